@@ -2,8 +2,8 @@
 
 Each task splits the words of its documents, encodes each distinct word of the task once, joins the ids back to the
 words by position, and decodes by an id-to-piece join (ids index the array of pieces). The table of distinct words
-stays within the task, so no text is shuffled and nothing that grows with the corpus is broadcast; it is emptied when
-it holds `MOST_WORDS` entries, which bounds its memory and changes no result.
+stays within the task, so no text is shuffled and nothing that grows with the corpus is broadcast; words not
+met for long are forgotten beyond `MOST_WORDS`, which bounds its memory and changes no result.
 """
 
 from __future__ import annotations
@@ -18,10 +18,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MOST_WORDS = 400_000
-#: White space at which the library's own splitting never joins what stands on both sides.
-BLANKS = re.compile("[\t\n\x0b\x0c\r ]+")
-PLAIN = re.compile("([a-zà-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)").fullmatch
+MOST_WORDS, MOST_RUNS = 300_000, 120_000
+RUNS = re.compile("[a-zà-öø-ÿ]+|[0-9]|[!-&(-/:-@[-`{-~]+").findall
 ALREADY_LOWER = re.compile("[^A-ZÀ-ÖØ-Þ]*").fullmatch
 LOWER = {c: c + 32 for r in ((0x41, 0x5B), (0xC0, 0xD7), (0xD8, 0xDF)) for c in range(*r)}
 
@@ -35,6 +33,24 @@ def byte_letters() -> dict[int, str]:
 LETTERS = byte_letters()
 
 
+class Recent(dict):
+    """Values by key, made when first asked for; two generations of at most `most` keys bound the memory."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class WordTable:
     """Encodes texts with the tokenizer at `path`; ids and decoded text equal the library's for the whole text."""
 
@@ -48,34 +64,38 @@ class WordTable:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.pieces = {i: self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size(True))}
-        self.plain: dict[str, list[int]] = {}
-        self.words: dict[str, tuple[str, str, int]] = {"": ("", "", 0)}
-
-    def run(self, piece: str) -> list[int]:
-        """One run of letters or of punctuation, which the library never splits before merging."""
-        ids = self.plain.get(piece)
-        if ids is None:
-            written = piece.encode().decode("latin-1").translate(LETTERS)
-            ids = self.plain[piece] = [t.id for t in self.tokenizer.model.tokenize(written)]
-        return ids
-
-    def word(self, word: str) -> list[int]:
-        parts = PLAIN(word if ALREADY_LOWER(word) else word.translate(LOWER))
-        if parts is None:  # digits, apostrophes, other scripts, special tokens
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
-        return self.run(parts[1]) + self.run(parts[2]) if parts[2] else self.run(parts[1])
-
-    def text(self, text: str) -> tuple[list[str], list[str], int]:
-        """Decimal ids and pieces of each word that has any, and the number of ids."""
-        if len(self.words) + len(self.plain) > MOST_WORDS:
-            self.words, self.plain = {"": ("", "", 0)}, {}
-        words = self.words
-        tokens = BLANKS.split(text)
-        for w in set(tokens).difference(words):
-            ids = self.word(w)
-            words[w] = (" ".join(map(str, ids)), " ".join(map(self.pieces.__getitem__, ids)), len(ids))
-        rows = [row for row in map(words.__getitem__, tokens) if row[2]]
-        return [r[0] for r in rows], [r[1] for r in rows], sum([r[2] for r in rows])
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.runs = Recent(self.new_run, MOST_RUNS)
+        self.words = Recent(self.new_word, MOST_WORDS)
+
+    def row(self, ids: list[int]) -> tuple[str, str]:
+        return " ".join(map(str, ids)), " ".join(map(self.pieces.__getitem__, ids))
+
+    def new_run(self, piece: str) -> tuple[str, str]:
+        """One run of letters or of punctuation, or a digit, which the library never splits before merging."""
+        written = piece.encode().decode("latin-1").translate(LETTERS)
+        return self.row([t.id for t in self.tokenizer.model.tokenize(written)])
+
+    def new_word(self, raw: bytes) -> tuple[str, str]:
+        word = raw.decode()
+        small = word if ALREADY_LOWER(word) else word.translate(LOWER)
+        runs = RUNS(small)
+        if len(runs) == 1 and runs[0] == small:
+            return self.runs[small]
+        if "".join(runs) == small and not any(s in word for s in self.special):
+            rows = [self.runs[r] for r in runs]
+            return " ".join([r[0] for r in rows]), " ".join([r[1] for r in rows])
+        return self.row(self.tokenizer.encode(word, add_special_tokens=False).ids)  # apostrophes, other scripts, special tokens
+
+    def text(self, text: str) -> tuple[str, str, int]:
+        """Decimal ids and pieces, one space between, and the number of ids. Words end at ASCII white space, at which
+        the library's own splitting never joins what stands on both sides."""
+        rows = list(map(self.words.__getitem__, text.encode().split()))
+        ids, pieces = " ".join([r[0] for r in rows]), " ".join([r[1] for r in rows])
+        if "  " in ids or ids[:1] == " " or ids[-1:] == " ":  # words of other white space have no ids
+            ids, pieces = " ".join(ids.split()), " ".join(pieces.split(" ")).strip()
+            pieces = re.sub(" +", " ", pieces)
+        return ids, pieces, ids.count(" ") + 1 if ids else 0
 
 
 _tables: dict[str, WordTable] = {}
@@ -105,7 +125,6 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", keep: tuple[st
                 n, ids, decoded = [], [], []
                 for text in part["__text"].to_pylist():
                     a, b, k = table.text(text)
-                    a, b = " ".join(a), " ".join(b)
                     n.append(k)
                     ids.append(hashlib.sha256(a.encode()).hexdigest() if digests else a)
                     decoded.append(hashlib.sha256(b.encode()).hexdigest() if digests else b)
