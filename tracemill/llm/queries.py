@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import common, tokenbin, tokencount, wordbpe
+from . import common, digest, media, simhash, tokenbin, tokencount, wordbpe
 
 
 def tokenizer(name: str) -> str:
@@ -15,6 +16,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.fingerprinted(common.table(spark, sf_dir, "documents"))
+
+
 def op3_token_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.read(tokenbin.write(common.table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2))
 
@@ -23,13 +28,26 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(common.table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), limit=4096)
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(common.table(spark, sf_dir, "documents"), words=4, radius=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordbpe.encode_decode(common.table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), digests=True)
 
 
+def op10_media_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = media.store(common.table(spark, sf_dir, "documents"))
+    return media.read_back(index)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_canonical_digest": op2_canonical_digest,
     "op3_token_bits": op3_token_bits,
     "op4_token_counts": op4_token_counts,
+    "op7_simhash": op7_simhash,
     "op8_word_bpe": op8_word_bpe,
+    "op10_media_shards": op10_media_shards,
 }
 ORACLE_SQL: dict[str, str] = {}
