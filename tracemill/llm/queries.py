@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, digest, media, simhash, tokenbin, tokencount, wordbpe
+from . import common, digest, media, mixing, simhash, tokenbin, tokencount, urlrules, wordbpe
 
 
 def tokenizer(name: str) -> str:
@@ -28,6 +28,17 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(common.table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), limit=4096)
 
 
+def op5_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op6_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judge(common.table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict", "template")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(common.table(spark, sf_dir, "documents"), words=4, radius=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -46,6 +57,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_canonical_digest": op2_canonical_digest,
     "op3_token_bits": op3_token_bits,
     "op4_token_counts": op4_token_counts,
+    "op5_pivotal_mix": op5_pivotal_mix,
+    "op6_url_templates": op6_url_templates,
     "op7_simhash": op7_simhash,
     "op8_word_bpe": op8_word_bpe,
     "op10_media_shards": op10_media_shards,
