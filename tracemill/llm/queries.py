@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, digest, media, mixing, simhash, tokenbin, tokencount, urlrules, wordbpe
+from . import common, digest, media, mixing, simhash, tokenbin, tokencount, toxicity, urlrules, wordbpe
 
 
 def tokenizer(name: str) -> str:
@@ -48,6 +48,12 @@ def op8_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordbpe.encode_decode(common.table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), digests=True)
 
 
+def op9_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).select("doc_id", (toxicity.fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_media_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = media.store(common.table(spark, sf_dir, "documents"))
     return media.read_back(index)
@@ -61,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_templates": op6_url_templates,
     "op7_simhash": op7_simhash,
     "op8_word_bpe": op8_word_bpe,
+    "op9_toxicity_cnn": op9_toxicity_cnn,
     "op10_media_shards": op10_media_shards,
 }
 ORACLE_SQL: dict[str, str] = {}
