@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, digest, media, mixing, simhash, tokenbin, tokencount, toxicity, urlrules, wordbpe
+from . import common, digest, media, mixing, pii, simhash, tokenbin, tokencount, toxicity, urlrules, wordbpe
 
 
 def tokenizer(name: str) -> str:
@@ -16,6 +16,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    rows = pii.found(docs, pii.fit(docs))
+    return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 def op2_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.fingerprinted(common.table(spark, sf_dir, "documents"))
 
@@ -60,6 +66,7 @@ def op10_media_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_skip_chain_pii": op1_skip_chain_pii,
     "op2_canonical_digest": op2_canonical_digest,
     "op3_token_bits": op3_token_bits,
     "op4_token_counts": op4_token_counts,
