@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from . import common
 
 TILE = 8192
+#: Buckets of so many fingerprints are compared together.
+FEW = 32
 
 
 def hashes(text: str, words: int, seed: int) -> np.ndarray:
@@ -97,7 +99,7 @@ def planes_of(values: np.ndarray) -> np.ndarray:
     n = -(-len(values) // 64) * 64
     full = np.concatenate([values, np.repeat(values[-1:], n - len(values))]).astype("<u8")
     bits = np.unpackbits(full.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.packbits(bits.T, axis=1, bitorder="little").view("<u8")
+    return np.ascontiguousarray(np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")).view("<u8")
 
 
 def near(planes: np.ndarray, value: int, radius: int, first: int = 0) -> np.ndarray:
@@ -142,6 +144,30 @@ def above(count: list[np.ndarray], radius: int) -> np.ndarray:
     return more
 
 
+def lanes(hits: np.ndarray) -> Iterator[int]:
+    """The numbers of the set bits of machine words."""
+    for w in np.flatnonzero(hits).tolist():
+        word = int(hits[w])
+        while word:
+            yield 64 * w + (word & -word).bit_length() - 1
+            word &= word - 1
+
+
+def pair_links(values: np.ndarray, bucket: np.ndarray, size: np.ndarray, radius: int) -> set[tuple[int, int]]:
+    """Links inside buckets of few values: `bucket` is where each value's bucket ends, `size` how many it has. The candidate
+    pairs of all buckets are the lanes, so small buckets fill machine words too."""
+    found = set()
+    own = values.view(np.uint64)
+    for gap in range(1, int(size.max(initial=1))):
+        a = np.flatnonzero(np.arange(len(values)) + gap < bucket)
+        for i in range(0, len(a), 1 << 16):
+            at = a[i : i + (1 << 16)]
+            for lane in lanes(near(planes_of(own[at] ^ own[at + gap]), 0, radius)):
+                if lane < len(at):
+                    found.add((int(values[at[lane]]), int(values[at[lane] + gap])))
+    return found
+
+
 def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links inside `left`, or between `left` and `right` with those inside left known."""
     values = left if right is None else np.concatenate([left, right])
@@ -154,29 +180,19 @@ def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tupl
         return x
 
     edges = []
-    if len(values) <= 48:  # too few for planes to pay
-        own = values.view(np.uint64)
-        far = np.bitwise_count(own[:, None] ^ own[None, :])
-        a, b = np.nonzero(np.triu(far <= radius, 1))
-        pairs: Iterator = ((int(i), int(j)) for i, j in zip(a, b, strict=True) if right is None or i < len(left) <= j)
-    else:
-        planes = planes_of((left if right is None else right).view(np.uint64))
-        base = 0 if right is None else len(left)
-
-        def found() -> Iterator[tuple[int, int]]:
-            for i, value in enumerate(left.view(np.uint64).tolist()):
-                first = (i + 1) // 64 if right is None else 0
-                hits = near(planes, value, radius, first)
-                for w in np.flatnonzero(hits).tolist():
-                    word = int(hits[w])
-                    while word:
-                        j = base + 64 * (first + w) + (word & -word).bit_length() - 1
-                        word &= word - 1
-                        if j < len(values) and (right is not None or j > i):
-                            yield i, j
-
-        pairs = found()
-    for i, j in pairs:
+    planes = planes_of((left if right is None else right).view(np.uint64))
+    base = 0 if right is None else len(left)
+
+    def found() -> Iterator[tuple[int, int]]:
+        for i, value in enumerate(left.view(np.uint64).tolist()):
+            first = (i + 1) // 64 if right is None else 0
+            if first < planes.shape[1]:
+                for j in lanes(near(planes, value, radius, first)):
+                    j += base + 64 * first
+                    if j < len(values) and (right is not None or j > i):
+                        yield i, j
+
+    for i, j in found():
         a, b = find(i), find(j)
         if a != b:
             parent[max(a, b)] = min(a, b)
@@ -204,9 +220,15 @@ def links(keyed: DataFrame, radius: int = 4) -> DataFrame:
         groups = groups.sort_values(["plan", "key", "fp"], kind="stable")
         fp, plan, key = groups["fp"].to_numpy(), groups["plan"].to_numpy(), groups["key"].to_numpy()
         begins = np.flatnonzero(np.concatenate([[True], (plan[1:] != plan[:-1]) | (key[1:] != key[:-1])]))
-        for a, b in zip(begins, [*begins[1:], len(fp)], strict=True):
-            if b - a > 1:
-                found.update(forest(fp[a:b], None, radius))
+        sizes = np.diff(np.append(begins, len(fp)))
+        few = np.repeat((sizes > 1) & (sizes <= FEW), sizes)
+        if few.any():
+            last, size = np.repeat(begins + sizes, sizes), np.repeat(sizes, sizes)
+            kept = np.cumsum(few)  # positions among the rows of small buckets
+            found |= pair_links(fp[few], kept[last[few] - 1], size[few], radius)
+        for a, n in zip(begins.tolist(), sizes.tolist(), strict=True):
+            if n > FEW:
+                found.update(forest(fp[a : a + n], None, radius))
         return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
 
     def compare_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
