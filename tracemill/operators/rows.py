@@ -93,7 +93,7 @@ def greedy_fit(df: DataFrame, key: str, order: str, size: str, budget: int) -> D
         return F.struct((a["used"] + F.when(fits, x["s"]).otherwise(0)).cast("long").alias("used"), F.when(fits, F.concat(a["kept"], F.array(F.struct(x["o"].cast("long").alias("o"), x["s"].alias("s"))))).otherwise(a["kept"]).alias("kept"))
 
     kept = df.groupBy(key).agg(F.aggregate(rows, state, step)["kept"].alias("kept"))
-    return kept.select(key, F.explode("kept").alias("k")).select(key, F.col("k.o").alias(order), F.col("k.s").alias(size))
+    return kept.select(key, F.explode("kept").alias("__row")).select(key, F.col("__row.o").alias(order), F.col("__row.s").alias(size))
 
 
 def dropped_to_budget(df: DataFrame, size: str, budget: Column, order: list[Column], keys: list[str] | None = None) -> DataFrame:
