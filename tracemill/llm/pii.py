@@ -186,7 +186,8 @@ def fit(docs: DataFrame, most_docs: int = 4_000, text: str = "text") -> Field:
     """Weights from the documents with candidate tokens that have the least hash of doc_id, at most `most_docs`. Without any the field
     labels nothing."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.whole_text(text).alias("__text")).filter(F.col("__text").rlike("[0-9@]"))
-    sample = source.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("__text")).limit(most_docs)
+    chosen = source.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
+    sample = source.join(F.broadcast(chosen), "doc_id", "left_semi")  # at most most_docs ids
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
