@@ -40,7 +40,7 @@ def test_skip_edges_carry_evidence():
 
 
 def test_pii_rows(spark):
-    rows = [*EDGE, (50, "mail a.b@c.de 10.0.0.1 4111 1111 1111 1111 +49 (30) 123-4567", "en", "a", 1), (51, "call +49 (30) 123-4567 999.1.1.1", "en", "a", 1)]
+    rows = [*EDGE, (50, "mail a.b@c.de 10.0.0.1, 4111 1111 1111 1111; +49 (30) 123-4567", "en", "a", 1), (51, "call +49 (30) 123-4567 999.1.1.1", "en", "a", 1)]
     docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'x' as spans", "1 as n_email")
     field = pii.fit(docs)
     for r in pii.found(docs, field, keep=("doc_id", "text")).collect():
@@ -48,7 +48,7 @@ def test_pii_rows(spark):
         assert r["base"] == pii.joined(base) and r[2:6] == tuple(sum(s[2] == k for s in base) for k in pii.KINDS)
         assert set(filter(None, r["base"].split(","))) <= set(r["spans"].split(","))
     clean = {r["doc_id"]: r for r in pii.redacted(docs, field).collect()}
-    assert clean[50]["text"] == "mail [EMAIL] [IP] [CARD] [PHONE]" and clean[50]["n_chars"] == len(clean[50]["text"])
+    assert clean[50]["text"] == "mail [EMAIL] [IP], [CARD]; [PHONE]" and clean[50]["n_chars"] == len(clean[50]["text"])
     assert clean[3]["text"] is None and clean[1]["text"] == EDGE[0][1]
     assert pii.found(empty(spark), pii.fit(empty(spark))).count() == 0
 
