@@ -34,7 +34,12 @@ def texts(rows: DataFrame) -> DataFrame:
 def jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Lines as objects with a column damaged for lines that aren't one; blank lines are left out."""
     kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    raw = spark.read.text(path).filter(F.trim("value") != "")
+    return parsed_lines(spark.read.text(path), kind)
+
+
+def parsed_lines(lines: DataFrame, kind: StructType) -> DataFrame:
+    """Lines (value) as objects with a column damaged."""
+    raw = lines.filter(F.trim("value") != "")
     parsed = raw.select("value", F.try_parse_json("value").alias("v"))
     whole = F.col("v").isNotNull() & F.startswith(F.ltrim("value"), F.lit("{"))
     return parsed.select(F.when(whole, F.from_json("value", kind)).alias("row"), (~whole).alias("damaged")).select("row.*", "damaged")
@@ -65,7 +70,12 @@ def manifests(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def flow_report(spark: SparkSession, path: str) -> DataFrame:
     """flow and its elements (label, method, file, line, code) in order, from tab-separated ELEM rows; others are passed over.
     Each file is one report and its line order counts."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
+    return flow_elements(spark.read.option("wholetext", True).text(path))
+
+
+def flow_elements(reports: DataFrame) -> DataFrame:
+    """The flows of reports that are rows (value)."""
+    lines = reports.select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
     cells = lines.select("pos", F.split("line", "\t").alias("c")).filter((F.col("c")[0] == "ELEM") & (F.size("c") >= 7) & F.get(F.col("c"), F.lit(1)).rlike("^[0-9]+$"))
     element = F.struct("pos", F.col("c")[2].alias("label"), F.col("c")[3].alias("method"), F.col("c")[4].alias("file"), F.col("c")[5].alias("line"), F.col("c")[6].alias("code"))
     return cells.groupBy(F.col("c")[1].cast("int").alias("flow")).agg(F.array_sort(F.collect_list(element)).alias("elements"))

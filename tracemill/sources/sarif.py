@@ -25,6 +25,14 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("_metadata.file_path").alias("file"), checked.alias("runs"))
 
 
+def from_texts(texts: DataFrame, text: str = "text", file: str = "file") -> DataFrame:
+    """Documents that are rows already."""
+    kind = SCHEMA.rsplit(",", 1)[0]
+    parsed = F.from_json(text, kind)
+    checked = F.when(F.try_parse_json(text).isNull(), F.raise_error(F.lit("invalid SARIF json"))).otherwise(parsed["runs"])
+    return texts.select(F.col(file).alias("file"), checked.alias("runs"))
+
+
 def rules(runs: DataFrame) -> DataFrame:
     """file, run, rule_id and the rule's severity sources. A missing id is rule-<position>; of a repeated id the last counts; an
     alias fills in where no rule has that id."""
@@ -37,8 +45,12 @@ def rules(runs: DataFrame) -> DataFrame:
 
 
 def findings(spark: SparkSession, path: str) -> DataFrame:
+    return projected(documents(spark, path))
+
+
+def projected(docs: DataFrame) -> DataFrame:
     """One row per result with a location and a uri: finding_id, rule, severity, path, region (0-based), message, snippet, tool."""
-    runs = documents(spark, path).select("file", F.posexplode("runs").alias("run", "r"))
+    runs = docs.select("file", F.posexplode("runs").alias("run", "r"))
     results = runs.select("file", "run", F.coalesce(falsy(F.col("r.tool.driver.name")), F.lit("unknown")).alias("tool"), F.explode("r.results").alias("x"))
     place = F.element_at("x.locations", 1)["physicalLocation"]
     region = place["region"]
