@@ -26,7 +26,9 @@ def shared_dir(spark: SparkSession) -> str:
         told = f"file://{tempfile.mkdtemp(prefix='tracemill-')}"
         spark.conf.set("spark.checkpoint.dir", told)
         spark.sparkContext.setCheckpointDir(told)
-    return told.rstrip("/")
+    at = spark._jvm.org.apache.hadoop.fs.Path(told)
+    whole = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()  # Spark and pyarrow then mean the same place
+    return ("file://" + whole[5:] if whole.startswith("file:/") and not whole.startswith("file://") else whole).rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
