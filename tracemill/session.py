@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 #: Adaptive execution splits skewed joins and merges small partitions; timestamps are UTC; broadcasts stay small.
@@ -19,3 +23,19 @@ def session(name: str = "tracemill", **settings: str) -> SparkSession:
     for key, value in (SETTINGS | settings).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once for each application; before functions that run in Python workers are made."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        root = Path(__file__).parent
+        path = f"{tempfile.mkdtemp(prefix='tracemill-')}/tracemill.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, f"tracemill/{p.relative_to(root)}")
+        context.addPyFile(path)
+        _shipped.add(context.applicationId)
