@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MOST_WORDS, MOST_RUNS = 300_000, 120_000
+MOST_WORDS, MOST_RUNS = 150_000, 60_000
 RUNS = re.compile("[a-zà-öø-ÿ]+|[0-9]|[!-&(-/:-@[-`{-~]+").findall
 ALREADY_LOWER = re.compile("[^A-ZÀ-ÖØ-Þ]*").fullmatch
 LOWER = {c: c + 32 for r in ((0x41, 0x5B), (0xC0, 0xD7), (0xD8, 0xDF)) for c in range(*r)}
