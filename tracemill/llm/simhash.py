@@ -78,10 +78,11 @@ def fingerprints(docs: DataFrame, words: int = 4, text: str = "text", mins: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in common.slices(batch, "__text", 8 << 20):
+            for part in common.slices(batch, "__text", 2 << 20):
                 each = [hashes(t, words, seed) for t in part["__text"].to_pylist()]
                 bits = np.array([folded(h) for h in each], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(bits), pa.array([least_hashes(h, mins) for h in each], pa.list_(pa.int64()))], ["doc_id", "fp", "mins"])
+        common.trimmed()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.whole_text(text).alias("__text")).mapInArrow(run, "doc_id long, fp long, mins array<long>")
 
@@ -297,7 +298,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, text: str
     of = components(links(keyed, radius))
     linked = common.written(by.join(of, F.col("fp") == F.col("node"), "left").select("fp", "least", "root"), "linked")
     roots = linked.filter("root is not null").groupBy("root").agg(F.min("least").alias("smallest"))
-    named = linked.join(roots, "root", "left").select("fp", F.coalesce("smallest", "least").alias("component_id"))
+    alone = linked.filter("root is null").select("fp", F.col("least").alias("component_id"))  # most rows; a null key would bring them together
+    named = linked.filter("root is not null").join(roots, "root").select("fp", F.col("smallest").alias("component_id")).unionByName(alone)
     return each.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
