@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,40 +33,36 @@ def digest(data: bytes) -> str:
     return xxhash.xxh3_128_hexdigest(data)
 
 
-def with_canonical(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id and canonical (bytes) of each row."""
+def digests(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id and fp (the digest) of each row; a null text counts as empty, repeated rows stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch, "__text", 8 << 20):
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([canonical(t) for t in part["__text"].to_pylist()], "binary")], [*part.schema.names[:-1], "canonical"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([digest(canonical(t)) for t in part["__text"].to_pylist()], "string")], ["doc_id", "fp"])
 
-    source = docs.select("doc_id", *[c for c in docs.columns if c in ("fp", "representative")], common.whole_text(text).alias("__text"))
-    return source.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema[:-1]) + ", canonical binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.whole_text(text).alias("__text")).mapInArrow(run, "doc_id long, fp string")
 
 
-def verified(rows: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id and fingerprint: fp of `rows` (doc_id, fp), after byte comparison inside buckets of several documents.
+def collisions(proofs: DataFrame) -> DataFrame:
+    """proofs: doc_id, fp, proof (canonical bytes) of documents in shared buckets. doc_id, fp and own (sha256 of the bytes) of
+    those whose bytes aren't their representative's.
 
-    Every member's canonical bytes meet those of its bucket's representative in a join by digest, whose large partitions
-    can be split; only documents of shared buckets move. A different member's fingerprint is extended by its sha256.
-    """
-    buckets = rows.groupBy("fp").agg(F.min("doc_id").alias("representative"), F.max("doc_id").alias("last")).filter("representative < last")
-    shared = rows.join(buckets.select("fp", "representative"), "fp").distinct()
-    texts = with_canonical(docs.join(shared, "doc_id"), text)
-    firsts = texts.filter("doc_id = representative").groupBy("fp").agg(F.min("canonical").alias("expected"))
-    differ = texts.join(firsts, "fp").filter("canonical != expected").select("doc_id", "fp", F.sha2("canonical", 256).alias("own")).distinct()
-    return rows.join(common.written(differ, "collisions"), ["doc_id", "fp"], "left").select("doc_id", F.when(F.col("own").isNotNull(), F.concat_ws("-", "fp", "own")).otherwise(F.col("fp")).alias("fingerprint"))
+    Members meet the bytes of their bucket's representative in a join by digest, whose large partitions can be split."""
+    firsts = proofs.groupBy("fp").agg(F.min_by("proof", "doc_id").alias("expected"))
+    return proofs.join(firsts, "fp").filter("proof != expected").select("doc_id", "fp", F.sha2("proof", 256).alias("own")).distinct()
 
 
 def neighbours(docs: DataFrame, rows_per_range: int = 2048, most_ranges: int = 50_000, text: str = "text") -> DataFrame:
-    """Per document, in descending doc_id: doc_id, n_chars, edited_sha256, fp, edited_fp, near_edited, near_next.
+    """Per document, in descending doc_id: doc_id, n_chars, edited_sha256, fp, edited_fp, near_edited, near_next, and proof, the
+    canonical bytes (compressed, which keeps equal and unequal ones so) of documents in buckets of several, else null.
 
     The edited text has its last floor(n_chars/3) code points replaced by as many first ones (or all) of the next document;
     after the last comes the first, and a single document is its own next. Likeness is 1 for equal canonical bytes and 0
-    otherwise. Null texts are empty; rows of equal doc_id are ordered by text, a null doc_id comes last.
+    otherwise. Null texts are empty; rows of equal doc_id are ordered by a hash of their text, a null doc_id comes last.
 
-    Documents are dealt to ranges of doc_id (between quantiles), each with a copy of the next range's first document.
+    Documents are dealt to ranges of doc_id (between quantiles), each with a copy of the next range's first document and the
+    (doc_id, digest) of its documents in shared buckets, so texts move once.
     """
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.whole_text(text).alias("text"))
@@ -78,52 +75,76 @@ def neighbours(docs: DataFrame, rows_per_range: int = 2048, most_ranges: int = 5
     edges = np.array(bounds, np.int64)
     n = len(bounds) + 1
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def placed(ids: pa.Array) -> pa.Array:
+        at = len(edges) - np.searchsorted(edges, ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), "left")  # descending
+        return pa.array(at, "int32")
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch["doc_id"].fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
-            at = len(edges) - np.searchsorted(edges, ids, "left")  # descending
-            yield pa.RecordBatch.from_arrays([pa.array(at, "int32"), batch["doc_id"], batch["text"]], ["range", "doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([placed(batch["doc_id"]), *batch.columns], ["range", *batch.schema.names])
 
-    numbered = source.select("doc_id").mapInArrow(lambda batches: deal(pa.RecordBatch.from_arrays([b["doc_id"], pa.nulls(b.num_rows, "string")], ["doc_id", "text"]) for b in batches), "range int, doc_id long, text string")
-    heads = {r["range"]: r["top"] for r in numbered.groupBy("range").agg(F.max("doc_id").alias("top")).collect()}  # a row a range
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(3)
+        for batch in batches:
+            for part in common.slices(batch, "text", 8 << 20):
+                at = part["range"] if "range" in part.schema.names else placed(part["doc_id"])
+                yield pa.RecordBatch.from_arrays([at, part["doc_id"], part["tie"], pa.array([packer.compress(t.encode()) for t in part["text"].to_pylist()], "binary")], ["range", "doc_id", "tie", "text"])
+
+    tops = source.select("doc_id").mapInArrow(number, "range int, doc_id long").groupBy("range").agg(F.max("doc_id").alias("top"))
+    heads = {r["range"]: r["top"] for r in tops.collect()}  # a row a range
     order = sorted(heads)
     before = {heads[r]: order[i - 1] for i, r in enumerate(order)}  # first document of a range -> the range before it
-    dealt = source.mapInArrow(deal, "range int, doc_id long, text string").withColumn("guest", F.lit(False))
-    tops = spark.createDataFrame([(k, v) for k, v in before.items()], "top long, to int")  # as many rows as ranges
-    whole = source.join(F.broadcast(tops), F.col("doc_id").eqNullSafe(F.col("top")))
-    first = whole.groupBy("to", "doc_id").agg(F.max("text").alias("text"))
-    guests = first.select(F.col("to").alias("range"), "doc_id", "text", F.lit(True).alias("guest"))
-    every = dealt.unionByName(guests).repartitionById(n, F.col("range")).sortWithinPartitions("range", "guest", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
+    tied = source.withColumn("tie", F.xxhash64("text"))
+    packed = "range int, doc_id long, tie long, text binary"
+    dealt = tied.mapInArrow(squeeze, packed).withColumn("kind", F.lit(1))
+    firsts = spark.createDataFrame([(k, v) for k, v in before.items()], "top long, range int")  # as many rows as ranges
+    whole = tied.join(F.broadcast(firsts), F.col("doc_id").eqNullSafe(F.col("top")))
+    guests = whole.groupBy("range", "doc_id").agg(F.max("tie").alias("tie"), F.max_by("text", "tie").alias("text")).mapInArrow(squeeze, packed).withColumn("kind", F.lit(2))
+    known = common.written(digests(docs, text).distinct(), "digests")
+    shared = known.join(known.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp"), "fp").select("doc_id", F.lit(0).cast("long").alias("tie"), F.col("fp").cast("binary").alias("text"))
+    marks = shared.mapInArrow(number, packed).withColumn("kind", F.lit(0))
+    every = dealt.unionByName(guests).unionByName(marks).repartitionById(n, F.col("range")).sortWithinPartitions("range", "kind", F.col("doc_id").desc_nulls_last(), F.col("tie").desc())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # (range, doc_id, text, canonical)
+        held, proven, within = None, set(), None  # held: (range, doc_id, text, canonical)
+        unpacker, packer = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(3)
         for batch in batches:
-            for part in common.slices(batch, "text", 8 << 20):
+            for part in common.slices(batch, "text", 4 << 20):
                 out = []
-                for at, doc, text, guest in zip(*(part[c].to_pylist() for c in ("range", "doc_id", "text", "guest")), strict=True):
+                for at, doc, text, kind in zip(*(part[c].to_pylist() for c in ("range", "doc_id", "text", "kind")), strict=True):
+                    if at != within:
+                        within, proven = at, set()
+                    if kind == 0:
+                        proven.add((doc, text.decode()))
+                        continue
+                    text = unpacker.decompress(text).decode()
                     own = canonical(text)
                     if held is not None and held[0] == at:
-                        out.append(compared(held, text, own))
-                    held = None if guest else (at, doc, text, own)
+                        *row, proof = compared(held, text, own, proven)
+                        out.append((*row, proof and packer.compress(proof)))
+                    held = None if kind == 2 else (at, doc, text, own)
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), ("int64", "int64", "string", "string", "string", "float64", "float64"), strict=True)], ["doc_id", "n_chars", "edited_sha256", "fp", "edited_fp", "near_edited", "near_next"])
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), ("int64", "int64", "string", "string", "string", "float64", "float64", "binary"), strict=True)], ["doc_id", "n_chars", "edited_sha256", "fp", "edited_fp", "near_edited", "near_next", "proof"])
 
-    return every.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fp string, edited_fp string, near_edited double, near_next double")
+    return every.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fp string, edited_fp string, near_edited double, near_next double, proof binary")
 
 
-def compared(held: tuple, following: str, its: bytes) -> tuple:
+def compared(held: tuple, following: str, its: bytes, proven: set) -> tuple:
     _, doc, text, own = held
     third = len(text) // 3
     edited = text[: len(text) - third] + following[:third]
-    changed = canonical(edited)
-    return doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), digest(own), digest(changed), float(own == changed), float(own == its)
+    changed, fp = canonical(edited), digest(own)
+    return doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), fp, digest(changed), float(own == changed), float(own == its), own if (doc, fp) in proven else None
 
 
 def fingerprinted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The columns of `neighbours` with the verified fingerprint, and edited_fingerprint, which is the document's own
-    where the edited text's canonical bytes are the document's."""
+    """The columns of `neighbours` with fingerprint, the digest after byte comparison inside buckets, and edited_fingerprint,
+    which is the document's own where the edited text's canonical bytes are the document's."""
     rows = common.written(neighbours(docs, text=text), "neighbours")
-    sure = verified(rows.select("doc_id", "fp").distinct(), docs, text)
-    joined = rows.join(sure.select("doc_id", F.col("fingerprint"), F.substring_index("fingerprint", "-", 1).alias("fp")).distinct(), ["doc_id", "fp"], "left")
-    fingerprint = F.coalesce("fingerprint", "fp")
-    return joined.select("doc_id", "n_chars", "edited_sha256", fingerprint.alias("fingerprint"), F.when(F.col("near_edited") == 1, fingerprint).otherwise(F.col("edited_fp")).alias("edited_fingerprint"), "near_edited", "near_next")
+    differ = common.written(collisions(rows.filter("proof is not null").select("doc_id", "fp", "proof")), "collisions")
+    if differ.isEmpty():
+        rows = rows.withColumn("own", F.lit(None).cast("string"))
+    else:
+        rows = rows.join(differ.withColumnRenamed("doc_id", "__id").withColumnRenamed("fp", "__fp"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("fp") == F.col("__fp")), "left")
+    fingerprint = F.concat_ws("-", "fp", "own")
+    return rows.select("doc_id", "n_chars", "edited_sha256", fingerprint.alias("fingerprint"), F.when(F.col("near_edited") == 1, fingerprint).otherwise(F.col("edited_fp")).alias("edited_fingerprint"), "near_edited", "near_next")
