@@ -13,24 +13,41 @@ from .registry import query
 
 @query("GX-1 GX-3")
 def bfs_budgeted(t: Tables) -> DataFrame:
-    starts = t.supplier.filter("s_suppkey < 5").select(F.col("s_suppkey").alias("root"))
-    return graph.walk(t.edges(), starts, max_depth=3, fan_out=4, max_nodes=30)
+    return graph.walk(t.edges(), t.supplier.select(F.col("s_suppkey").alias("root")), max_depth=3, fan_out=4, max_nodes=30)
 
 
 @query("GX-2 GX-6", """with recursive w(root, node, depth) as (select s_suppkey, s_suppkey, 0 from supplier where s_suppkey < 5 union select w.root, e.source, w.depth + 1 from w join (
     select *, row_number() over (partition by target order by source) n from v_edges) e on e.target = w.node where e.n <= 3 and w.depth < 3)
     select root, node, min(depth) depth from w group by 1, 2""")
 def caller_walk(t: Tables) -> DataFrame:
+    return callers_of(t, t.supplier.filter("s_suppkey < 5"))
+
+
+@query("GX-2 GX-6")
+def caller_walk_whole(t: Tables) -> DataFrame:
+    """caller_walk from every supplier."""
+    return callers_of(t, t.supplier)
+
+
+def callers_of(t: Tables, focus: DataFrame) -> DataFrame:
     back = t.edges().select(F.col("target").alias("source"), F.col("source").alias("target"), F.col("source").alias("ord"))
-    starts = t.supplier.filter("s_suppkey < 5").select(F.col("s_suppkey").alias("root"))
-    return graph.walk(back, starts, max_depth=3, fan_out=3).select("root", "node", "depth")
+    return graph.walk(back, focus.select(F.col("s_suppkey").alias("root")), max_depth=3, fan_out=3).select("root", "node", "depth")
 
 
 @query("GR-6 GX-8", """with recursive e as (select distinct o_custkey a, l_partkey b from orders join lineitem on o_orderkey = l_orderkey where o_custkey % 10 = 0 and l_linenumber = 1 and l_partkey % 3 = 0), n as (
     select distinct x.a, y.a b from e x join e y on x.b = y.b), r(a, b) as (select a, b from n union select r.a, n.b from r join n on r.b = n.a) select a node, min(b) root from r group by a having count(*) > 1""")
 def flow_components(t: Tables) -> DataFrame:
+    return sharing(t.orders.filter("o_custkey % 10 = 0"), t.lineitem.filter("l_linenumber = 1 and l_partkey % 3 = 0"))
+
+
+@query("GR-6 GX-8")
+def flow_components_whole(t: Tables) -> DataFrame:
+    """flow_components over all orders and lines."""
+    return sharing(t.orders, t.lineitem)
+
+
+def sharing(o: DataFrame, li: DataFrame) -> DataFrame:
     """Customers that share a part, as components; places meet in a star around each part's first customer."""
-    o, li = t.orders.filter("o_custkey % 10 = 0"), t.lineitem.filter("l_linenumber = 1 and l_partkey % 3 = 0")
     places = o.join(li, o.o_orderkey == li.l_orderkey).select("o_custkey", "l_partkey").distinct()
     hub = places.groupBy("l_partkey").agg(F.min("o_custkey").alias("a"))
     edges = places.join(hub, "l_partkey").filter("o_custkey != a").select("a", F.col("o_custkey").alias("b"))
@@ -68,7 +85,16 @@ def edge_reachability(t: Tables) -> DataFrame:
 
 @query("SNK-2", "select string_agg('\"' || source::varchar || '\" -> \"' || target::varchar || '\";', chr(10) order by source, target) dot from v_edges where source < 3")
 def dot_export(t: Tables) -> DataFrame:
-    e = t.edges().filter("source < 3")
+    return dot(t.edges().filter("source < 3"))
+
+
+@query("SNK-2")
+def dot_export_whole(t: Tables) -> DataFrame:
+    """dot_export of every edge."""
+    return dot(t.edges())
+
+
+def dot(e: DataFrame) -> DataFrame:
     each = F.array_sort(F.collect_list(F.struct("source", "target")))
     return e.agg(F.array_join(F.transform(each, lambda x: F.concat(F.lit('"'), x["source"].cast("string"), F.lit('" -> "'), x["target"].cast("string"), F.lit('";'))), "\n").alias("dot"))
 

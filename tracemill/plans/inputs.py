@@ -113,9 +113,19 @@ def isolated_failures(t: Tables) -> DataFrame:
 
 @query("FN-24 LG-24", "select event_id, '{\"calls\":[' || props || '],\"k\":1}' fixed from events where event_id % 3 = 0")
 def truncated_json(t: Tables) -> DataFrame:
+    return mended(t.events.filter("event_id % 3 = 0"))
+
+
+@query("FN-24 LG-24")
+def truncated_json_whole(t: Tables) -> DataFrame:
+    """truncated_json of every event."""
+    return mended(t.events)
+
+
+def mended(events: DataFrame) -> DataFrame:
     cut = F.concat(F.lit('text {"calls": ['), F.col("props"), F.lit('], "k": 1, "tail": "unfin'))
     fixed = answers.repair(cut)
-    return t.events.filter("event_id % 3 = 0").select("event_id", F.regexp_replace(fixed, '"k":([0-9]+)\\}\\]', '"k": $1}]').alias("fixed"))
+    return events.select("event_id", F.regexp_replace(fixed, '"k":([0-9]+)\\}\\]', '"k": $1}]').alias("fixed"))
 
 
 @query("LG-24 UD-1", "select event_id, least(event_id % 12, 8)::int n_calls from events")

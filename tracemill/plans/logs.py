@@ -172,7 +172,17 @@ def job_state_fold(t: Tables) -> DataFrame:
 
 @query("SM-6 GR-7", "select o_custkey fingerprint, min(o_orderkey) job from orders where o_custkey % 7 <> 0 group by 1")
 def idempotent_create(t: Tables) -> DataFrame:
-    return t.orders.filter("o_custkey % 7 != 0").groupBy(F.col("o_custkey").alias("fingerprint")).agg(F.min("o_orderkey").alias("job"))
+    return first_jobs(t.orders.filter("o_custkey % 7 != 0"))
+
+
+@query("SM-6 GR-7")
+def idempotent_create_whole(t: Tables) -> DataFrame:
+    """idempotent_create over all orders."""
+    return first_jobs(t.orders)
+
+
+def first_jobs(orders: DataFrame) -> DataFrame:
+    return orders.groupBy(F.col("o_custkey").alias("fingerprint")).agg(F.min("o_orderkey").alias("job"))
 
 
 @query("SM-12 LG-29", """with c as (select user_id scope, count(*) n, count(*) filter (where event_type = 'error') errors, count(distinct event_type) kinds from events group by 1)

@@ -177,8 +177,18 @@ def workspace_digest(t: Tables) -> DataFrame:
 
 @query("TX-14 SO-4 PRJ-16 JN-15", "select conv_id, string_agg(role || ': ' || text, chr(10) order by turn) prompt from conversations where conv_id % 3 <> 0 group by conv_id")
 def prompt_rendering(t: Tables) -> DataFrame:
+    return prompts(t.conversations.filter("conv_id % 3 != 0"))
+
+
+@query("TX-14 SO-4 PRJ-16 JN-15")
+def prompt_rendering_whole(t: Tables) -> DataFrame:
+    """prompt_rendering of every conversation."""
+    return prompts(t.conversations)
+
+
+def prompts(turns: DataFrame) -> DataFrame:
     each = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    return t.conversations.filter("conv_id % 3 != 0").groupBy("conv_id").agg(F.array_join(F.transform(each, lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n").alias("prompt"))
+    return turns.groupBy("conv_id").agg(F.array_join(F.transform(each, lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n").alias("prompt"))
 
 
 @query("LG-22 TX-8", "select page_id, url not like '%..%' inside from pages")
