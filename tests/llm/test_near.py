@@ -103,6 +103,24 @@ def test_one_of_each(spark):
     assert simhash.one_of_each(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("tile", [2048, 40])
+def test_one_of_each_links_by_jaccard(spark, tile, monkeypatch):
+    """Links of the near-duplicate stage against brute-force Jaccard of five-word shingles: no false and no lost ones."""
+    monkeypatch.setattr(simhash, "EXACT_TILE", tile)
+    rng = random.Random(7)
+    texts = []
+    for n in (100, 100, 100, 300, 300):  # families whose members share all but a run of words at the end
+        stem = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+        for keep in (1.0, 0.95, 0.92, 0.9, 0.88, 0.85, 0.8, 0.75, 0.7, 0.6, 0.5):
+            k = int(n * keep)
+            texts.append(" ".join(stem[:k] + [f"x{rng.randrange(10**9)}" for _ in range(n - k)]))
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], SCHEMA)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    want = roots(range(len(texts)), [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    assert {r["doc_id"] for r in simhash.one_of_each(docs).collect()} == set(want.values())
+    assert len(texts) > len(set(want.values())) > 5
+
+
 def test_canonical():
     assert digest.canonical("  The\tQUICK \n fox ") == b"the quick fox"
     assert digest.canonical("ﬁne Straße") == digest.canonical("FINE STRASSE")
