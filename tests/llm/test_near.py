@@ -121,6 +121,14 @@ def test_one_of_each_links_by_jaccard(spark, tile, monkeypatch):
     assert len(texts) > len(set(want.values())) > 5
 
 
+def test_one_of_each_keys_by_row(spark):
+    """An id met with different texts loses none of them, and copies among rows without an id go."""
+    a, b, c = prose(3, 21)
+    rows = [(1, a, "en", "a", 1), (1, b, "en", "a", 1), (2, b, "en", "a", 1), (1, a, "en", "a", 1), (None, c, "en", "a", 1), (None, c, "en", "a", 1), (None, c, "de", "b", 2), (None, None, "x", "a", 1), (None, "x", None, "a", 1)]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=repr) == sorted([(1, a), (1, b), (None, c), (None, None), (None, "x")], key=repr)
+
+
 def test_canonical():
     assert digest.canonical("  The\tQUICK \n fox ") == b"the quick fox"
     assert digest.canonical("ﬁne Straße") == digest.canonical("FINE STRASSE")

@@ -454,11 +454,14 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, mins:
     """`docs` with one document of each near-duplicate component: the one with the smallest doc_id.
 
     Documents link if the Jaccard similarity of their sets of shingles is at least `similarity`; those that share one of
-    `mins` min-hashes and differ in few bits of their fingerprints are compared. Of repeated rows with the same doc_id one stays.
-    Rows with a null doc_id can't be told apart and all stay."""
-    of = exact_components(docs.filter("doc_id is not null").withColumn("__hash", F.lit(0).cast("long")), words, similarity, mins, text)
-    chosen = of.groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    `mins` min-hashes and differ in few bits of their fingerprints are compared. A null doc_id tells nothing, so rows with one
+    aren't dropped for a document that has an id: of each component one row with an id stays (of the smallest doc_id, then
+    of the least row hash) and one without."""
     kinds = dict(docs.dtypes)
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if not kinds[c].startswith(("map", "variant", "void"))]))
-    kept = docs.join(chosen, "doc_id", "left_semi").withColumn("__rank", F.row_number().over(order)).filter("__rank = 1").drop("__rank")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.filter("doc_id is null"))
+    plain = [F.col(f"`{c}`") for c in docs.columns if not kinds[c].startswith(("map", "variant", "void"))]
+    keyed = docs.withColumn("__hash", F.xxhash64(*plain, *[c.isNull() for c in plain]))  # nulls don't change xxhash64 alone
+    of = exact_components(keyed, words, similarity, mins, text)
+    chosen = of.groupBy("component", F.col("doc_id").isNull().alias("__none")).agg(F.min(F.struct("doc_id", "hash")).alias("first")).select(F.col("first.hash").alias("__hash")).distinct()
+    order = Window.partitionBy("__hash").orderBy("doc_id")  # rows of a hash are equal
+    kept = keyed.join(chosen, "__hash", "left_semi").withColumn("__rank", F.row_number().over(order)).filter("__rank = 1")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
