@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from tests.llm.helpers import EDGE, SCHEMA, edge, empty, prose
-from tracemill.llm import mixing, pii, toxicity, urlrules
+from tracemill.llm import mixing, pii, queries, toxicity, urlrules
 
 PATTERNS = (
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(q) <= 255 for q in m.split("."))),
@@ -146,6 +146,14 @@ def test_templates_learn_from_labels(spark):
     assert got["http://s.com/spam/35"] == "block" and got["http://s.com/news/35"] == "allow"
 
 
+def test_production_rules_reject_unlabelled_branches(spark):
+    """A branch that no rule reaches is judged by a blocked one of the same templates; other structures and hosts aren't."""
+    urls = [f"http://example.com/{p}/{i}" for p in ("de", "it") for i in range(40)] + [f"http://example.com/about/team-{'abcd'[i % 4]}" for i in range(40)] + [f"http://a.org/{p}/{i}" for p in ("fr", "it") for i in range(40)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {u: r["verdict"] for r, u in zip(urlrules.judge(pages, queries.RULES).orderBy("page_id").collect(), urls, strict=True)}
+    assert {u for u, v in got.items() if v == "block"} == {u for u in urls if "/example.com/de/" in u or "/example.com/it/" in u}
+
+
 def test_rare_children_become_wildcards(spark):
     rows = [("h", ["blog", f"title-{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}"], 1, 1, 1) for i in range(60)]
     df = spark.createDataFrame(rows, "host string, shape array<string>, n long, labelled long, bad long")

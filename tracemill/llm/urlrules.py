@@ -2,7 +2,8 @@
 
 Paths become templates: segments that are numbers, dates, hashes or long mixed names turn into wildcards by their shape,
 and so do segments of a node with many rare children. Branches of a host under the same parent merge if their subtrees
-have the same main templates and their labelled shares don't differ significantly. A template's purity is the share of
+have the same main templates and their labelled shares don't differ significantly; a branch without labels joins by its
+templates alone, so that labels reach it. A template's purity is the share of
 its labelled pages that are bad, smoothed towards a prior; templates at or above a threshold are rejected.
 """
 
@@ -78,7 +79,8 @@ def templates(paths: DataFrame, fanout: int = 32, prior: float = 0.1, strength:
     pool = marks.groupBy("host", "mark").agg(F.sum("l").alias("pl"), F.sum("b").alias("pb"))
     share = F.try_divide("pb", "pl")
     error = F.sqrt(F.try_divide(share * (1 - share), F.col("l")) + 1e-12)
-    similar = F.coalesce(F.abs(F.try_divide("b", "l") - share) <= alike * error + 1e-6, F.lit(False))
+    # a branch without labels has no share that differs, so its structure alone decides
+    similar = F.coalesce(F.abs(F.try_divide("b", "l") - share) <= alike * error + 1e-6, F.col("pl") > 0)
     merged = marks.join(pool, ["host", "mark"]).select("host", "branch", F.when(similar, F.concat(F.lit("~"), F.col("mark"))).otherwise(F.col("branch")).alias("merged"))
     of = parts.join(merged, ["host", "branch"])
     pure = of.groupBy("host", "merged", "below").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b")).withColumn("purity", (F.col("b") + strength * prior) / (F.col("l") + strength))
