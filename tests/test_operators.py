@@ -33,6 +33,50 @@ def test_walk_budget_and_order(spark):
     assert {r["node"]: r["depth"] for r in graph.walk(edges, start, 9, 1).collect()} == {1: 0, 3: 1, 5: 2, 6: 3}
 
 
+def brute_budgeted(edges, impls, root, max_depth, max_nodes, callees, callers, most):
+    methods, out, queue = {root: 0}, [], [(root, 0, "callee"), (root, 0, "caller")]
+    while queue:
+        node, depth, way = queue.pop(0)
+        if depth >= max_depth:
+            out.append(("prune", node, None, "max_depth"))
+            continue
+        rest = max_nodes - len(methods)
+        if rest <= 0:
+            out.append(("prune", node, None, "max_nodes"))
+            break
+        limit = min(callees if way == "callee" else callers, rest)
+        taken = sorted(t if way == "callee" else s for s, t in edges if node == (s if way == "callee" else t))[:limit]
+        for other in taken:
+            if other not in methods:
+                methods[other] = depth + 1
+                queue.append((other, depth + 1, way))
+            out.append(("edge", *((other, node) if way == "callee" else (node, other)), way))
+        if len(taken) >= limit:
+            out.append(("prune", node, None, f"max_{way}s_per_node"))
+    for node in list(methods):
+        for other in sorted(t for s, t in impls if s == node)[:most]:
+            if other not in methods and len(methods) >= max_nodes:
+                out.append(("prune", other, node, "max_nodes"))
+                continue
+            methods.setdefault(other, 1)
+            out.append(("edge", other, node, "callee"))
+    edges = {o for o in out if o[0] == "edge"}
+    return sorted([*edges, *(o for o in out if o[0] == "prune"), *(("method", n, d, None) for n, d in methods.items())], key=repr)
+
+
+@pytest.mark.parametrize("budget", [(1, 30, 2, 2, 2), (3, 6, 2, 3, 2), (3, 12, 3, 2, 1), (9, 99, 9, 9, 9)])
+def test_budgeted_both_ways(spark, budget):
+    edges = sorted({(i * i % 17, (3 * i + 1) % 19) for i in range(40)})
+    impls = [(i, 20 + i % 5) for i in range(19)] + [(i, 30 + i) for i in range(9)]
+    df = spark.createDataFrame(edges, "source long, target long").selectExpr("*", "target as ord", "1.0D as confidence")
+    # callers come in the order of their own number
+    df = df.selectExpr("source", "target", "0L as ord", "confidence")
+    found = graph.budgeted(df, spark.createDataFrame(impls, "source long, target long").selectExpr("*", "target as ord"), spark.createDataFrame([(1,), (4,), (99,)], "root long"), *budget).collect()
+    for root in (1, 4, 99):
+        got = [(r["kind"], r["node"], r["depth"], None) if r["kind"] == "method" else (r["kind"], r["node"], r["parent"], r["rule"] or r["direction"]) for r in found if r["root"] == root]
+        assert sorted(got, key=repr) == brute_budgeted(edges, impls, root, *budget)
+
+
 def test_components_chain_and_empty(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, 101), (5, 5)], "a long, b long")
     assert pairs(graph.components(chain), "node", "root") == sorted([(i, 0) for i in range(21)] + [(100, 100), (101, 100)])

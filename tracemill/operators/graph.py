@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,3 +45,85 @@ def components(edges: DataFrame) -> DataFrame:
         if size["n"] == size["d"] and new.select("a").distinct().join(new.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
             return new.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(new.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
         now = new
+
+
+WALKED = "root long, kind string, node long, parent long, depth int, direction string, rule string, confidence double, place int, queued boolean"
+
+
+def budgeted(edges: DataFrame, implementations: DataFrame, starts: DataFrame, max_depth: int, max_nodes: int, max_callees: int, max_callers: int, max_implementations: int) -> DataFrame:
+    """A walk from each start (root) to callees and callers at once: rows of kind method, edge (parent calls node) and prune.
+
+    edges: source, target, ord, confidence; implementations: source, target, ord. A queue of (method, direction) starts with the
+    root in both directions; a method is queued once, in the direction that found it first. An entry takes its first neighbours
+    up to its direction's limit and the rest of `max_nodes`; entries at `max_depth`, full limits and an empty budget leave prunes,
+    and an empty budget ends the walk. Then each method's dispatch targets join at depth 1, within `max_nodes`. A root's rows are at
+    most max_nodes times the limits, so one task folds them."""
+
+    def first(df: DataFrame, to: str, by: str, n: int) -> DataFrame:
+        return df.select(F.col(by).alias("node"), F.col(to).alias("next"), "ord", "confidence").withColumn("n", F.row_number().over(Window.partitionBy("node").orderBy("ord", "next"))).filter(F.col("n") <= n)
+
+    near = materialised(first(edges, "target", "source", max_callees).withColumn("direction", F.lit("callee")).unionByName(first(edges, "source", "target", max_callers).withColumn("direction", F.lit("caller"))))
+    limits = {"callee": max_callees, "caller": max_callers}
+
+    def level(depth: int):
+        def fold(key: tuple, held: pd.DataFrame, steps: pd.DataFrame) -> pd.DataFrame:
+            root, out, seen, queued = key[0], [], dict.fromkeys(held["node"].tolist()), True
+            by = {(r[0], r[1]): g for r, g in steps.dropna(subset=["next"]).sort_values("n").groupby(["node", "direction"])}
+            for _, node, direction in sorted(set(zip(steps["place"].tolist(), steps["node"].tolist(), steps["direction"].tolist(), strict=True)), key=lambda e: (e[0], e[2] == "caller")):
+                if depth >= max_depth:
+                    out.append((root, "prune", node, None, depth, direction, "max_depth", None, None, False))
+                    continue
+                rest = max_nodes - len(seen)
+                if rest <= 0:
+                    out.append((root, "prune", node, None, depth, direction, "max_nodes", None, None, False))
+                    queued = False
+                    break
+                limit, taken = min(limits[direction], rest), by.get((node, direction))
+                taken = [] if taken is None else list(zip(taken["next"].astype("int64").tolist(), taken["confidence"].tolist(), strict=True))[:limit]
+                for other, confidence in taken:
+                    if other not in seen:
+                        out.append((root, "method", other, node, depth + 1, direction, None, None, len(seen), True))
+                        seen[other] = None
+                    parent, child = (node, other) if direction == "callee" else (other, node)
+                    out.append((root, "edge", child, parent, None, direction, None, confidence, None, False))
+                if limit and len(taken) >= limit:
+                    out.append((root, "prune", node, None, depth, direction, f"max_{direction}s_per_node", None, None, False))
+            return frame(out, queued)
+
+        return fold
+
+    def attach(key: tuple, held: pd.DataFrame, steps: pd.DataFrame) -> pd.DataFrame:
+        root, out, seen = key[0], [], dict.fromkeys(held["node"].tolist())
+        for node, other in steps.sort_values(["place", "n"])[["node", "next"]].itertuples(index=False):
+            if other not in seen and len(seen) >= max_nodes:
+                out.append((root, "prune", other, node, 1, "callee", "max_nodes", None, None, False))
+                continue
+            if other not in seen:
+                out.append((root, "method", other, node, 1, "callee", None, None, len(seen), False))
+                seen[other] = None
+            out.append((root, "edge", other, node, None, "callee", None, 0.8, None, False))
+        return frame(out, False)
+
+    def frame(out: list, queued: bool) -> pd.DataFrame:
+        rows = pd.DataFrame(out, columns=[c.split()[0] for c in WALKED.split(", ")])
+        rows["queued"] &= queued
+        return rows.astype({"parent": "Int64", "depth": "Int32", "place": "Int32", "queued": "bool"})
+
+    empty = F.lit(None)
+    found = materialised(starts.select(F.col("root").cast("long").alias("root"), F.lit("method").alias("kind"), F.col("root").cast("long").alias("node"), empty.cast("long").alias("parent"), F.lit(0).alias("depth"), empty.cast("string").alias("direction"), empty.cast("string").alias("rule"), empty.cast("double").alias("confidence"), F.lit(0).alias("place"), F.lit(True).alias("queued")))
+    frontier = found.drop("direction").withColumn("direction", F.explode(F.array(F.lit("callee"), F.lit("caller"))))
+    for depth in range(max_depth + 1):
+        steps = frontier.filter("queued").select("root", "place", "node", "direction").join(near.select("node", "direction", "next", "n", "confidence"), ["node", "direction"], "left")
+        new = materialised(found.filter("kind = 'method'").join(frontier.filter("queued").select("root").distinct(), "root", "left_semi").groupBy("root").cogroup(steps.toDF(*[f"_{c}" for c in steps.columns]).toDF(*steps.columns).groupBy("root")).applyInPandas(level(depth), WALKED))
+        found = materialised(found.unionByName(new))
+        frontier = new.filter("kind = 'method'")
+        if frontier.filter("queued").isEmpty():
+            break
+    targets = first(implementations.withColumn("confidence", F.lit(0.8)), "target", "source", max_implementations)
+    methods = found.filter("kind = 'method'")
+    aimed = methods.select("root", "place", "node").join(targets, "node")
+    attached = methods.groupBy("root").cogroup(aimed.toDF(*[f"_{c}" for c in aimed.columns]).toDF(*aimed.columns).groupBy("root")).applyInPandas(attach, WALKED)
+    once = Window.partitionBy("root", "parent", "node", "direction").orderBy(F.col("confidence").desc())
+    whole = materialised(found.unionByName(attached)).drop("queued")
+    edge = whole.filter("kind = 'edge'").withColumn("__n", F.row_number().over(once)).filter("__n = 1").drop("__n")
+    return whole.filter("kind != 'edge'").unionByName(edge)

@@ -13,7 +13,11 @@ from .registry import query
 
 @query("GX-1 GX-3")
 def bfs_budgeted(t: Tables) -> DataFrame:
-    return graph.walk(t.edges(), t.supplier.select(F.col("s_suppkey").alias("root")), max_depth=3, fan_out=4, max_nodes=30)
+    """Callees, callers, prunes and dispatch targets; the second lines of orders stand for implementations."""
+    provider = F.when(F.col("source") == F.col("target"), "file_range").otherwise("lsp_call_hierarchy")
+    second = t.lineitem.filter("l_linenumber = 2").select(F.col("l_suppkey").alias("source"), (F.col("l_partkey") % t.n_paths).alias("target")).distinct().withColumn("ord", F.col("target"))
+    starts = t.supplier.select(F.col("s_suppkey").alias("root"))
+    return graph.budgeted(t.edges().withColumn("confidence", scalars.confidence(provider)), second, starts, max_depth=3, max_nodes=30, max_callees=4, max_callers=4, max_implementations=4)
 
 
 @query("GX-2 GX-6", """with recursive w(root, node, depth) as (select s_suppkey, s_suppkey, 0 from supplier where s_suppkey < 5 union select w.root, e.source, w.depth + 1 from w join (
