@@ -108,3 +108,19 @@ def test_encode_decode_rows(spark, library):
     again = wordbpe.decoded(plain.drop("decoded"), WORDS).select("doc_id", "decoded")
     assert sorted((r[0] or 0, r[1]) for r in again.collect()) == sorted((r[0] or 0, r[1]) for r in plain.select("doc_id", "decoded").collect())
     assert wordbpe.encode_decode(empty(spark), WORDS).count() == 0
+
+
+def test_one_long_text_of_pieces(library):
+    """States beyond every bound inside a single text: compilation starts anew and the count is the library's."""
+    sp, rng = library[0], np.random.default_rng(3)
+    pieces = [p for p in (sp.id_to_piece(i) for i in range(1000, 32000)) if p.isascii()]
+    text = "".join(rng.choice(pieces, 40_000))
+    own = tokencount.Transducer(tokencount.compiled(PIECES).scores, max_states=3000, slot_bits=14)
+    assert own.counts([text, text[:999], "x"]).tolist() == [len(sp.encode(t)) for t in (text, text[:999], "x")]
+    assert len(own.states) < 3000 + 3 * 8192
+
+
+def test_texts_that_fit_no_pair_are_counted_by_the_model():
+    own = tokencount.Transducer({"▁": -1.0, "a": -2.0}, plain=lambda t: 99)
+    own.fit = lambda left, right: False
+    assert own.counts(["a", "", "aa"]).tolist() == [99, 0, 99]

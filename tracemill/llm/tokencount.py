@@ -18,7 +18,7 @@ parts before the first such position then run from the states found.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,7 @@ from . import common
 SPACE = "▁"
 HOLD, TEXT, BYTES = 1, 2, 3  # classes: no change, start of a text, characters of 1 to 4 bytes outside the vocabulary
 FIRST = 7
+MIX = 0x9E3779B97F4A7C15
 
 
 def merged(text: str, scores: dict[str, float]) -> list[str]:
@@ -47,12 +48,18 @@ def merged(text: str, scores: dict[str, float]) -> list[str]:
     return parts
 
 
+class Unfit(ValueError):
+    """No piece fits behind a state: the vocabulary isn't one whose encodings are told by adjacent pairs."""
+
+
 class Transducer:
-    def __init__(self, scores: dict[str, float], max_states: int = 240_000, slot_bits: int = 22):
-        """scores: of all normal pieces. Beyond max_states or a third of the slots compilation starts anew, so memory is bounded."""
-        self.scores, self.max_states, self.shift = scores, max_states, np.uint32(32 - slot_bits)
+    def __init__(self, scores: dict[str, float], max_states: int = 240_000, slot_bits: int = 22, plain: Callable[[str], int] | None = None):
+        """scores: of all normal pieces. Beyond max_states or a third of the slots compilation starts anew from the states that
+        are in use, also inside a text, so memory is bounded. plain: the model's own count, for texts that raise Unfit."""
+        self.scores, self.max_states, self.shift, self.plain = scores, max_states, np.uint64(64 - slot_bits), plain
+        self.slots = 1 << slot_bits
         self.begun = {p[:i] for p in scores for i in range(len(p))}
-        self.classes = np.zeros(0x110000, np.uint16)
+        self.classes = np.zeros(0x110000, np.int32)
         self.chars: list[str] = [""] * FIRST
         self.reset()
 
@@ -60,9 +67,19 @@ class Transducer:
         self.fits: dict[tuple[str | None, str], bool] = {}
         self.number: dict[tuple, int] = {}
         self.states: list[tuple] = []
-        self.keys, self.packed, self.used = np.full(1 << 32 - int(self.shift), -1, np.int32), np.zeros(1 << 32 - int(self.shift), np.int32), 0
+        self.keys, self.packed, self.used = np.full(self.slots, -1, np.int64), np.zeros(self.slots, np.int64), 0
         self.root = self.state(("", (None,), (0,)))
 
+    def full(self) -> bool:
+        return len(self.states) > self.max_states or self.used > self.slots // 3
+
+    def renewed(self, states: np.ndarray) -> np.ndarray:
+        """The states after compilation has started anew: what they stand for is kept, their numbers and all transitions go."""
+        values, back = np.unique(states, return_inverse=True)
+        kept = [self.states[v] for v in values.tolist()]
+        self.reset()
+        return np.array([self.state(k) for k in kept], np.int64)[back]
+
     def state(self, key: tuple) -> int:
         n = self.number.get(key)
         if n is None:
@@ -88,9 +105,9 @@ class Transducer:
         else:
             char, own = self.chars[kind], self.states[state]
             to, more = self.after(self.states[self.root] if char == SPACE and own[0][-1:] != SPACE else own, char)
-        packed = self.state(to) << 6 | more + 32
-        key = state << 13 | kind
-        slot = (key * 0x9E3779B1 & 0xFFFFFFFF) >> int(self.shift)
+        packed = self.state(to) << 8 | more + 128
+        key = state << 21 | kind
+        slot = (key * MIX & 0xFFFFFFFFFFFFFFFF) >> int(self.shift)
         while self.keys[slot] >= 0:
             slot = (slot + 1) % len(self.keys)
         self.keys[slot], self.packed[slot] = key, packed
@@ -99,8 +116,8 @@ class Transducer:
 
     def found(self, state: np.ndarray, kinds: np.ndarray) -> np.ndarray:
         """The packed transitions by linear probing, -1 where not compiled yet."""
-        keys = state << 13 | kinds
-        slots = ((keys.astype(np.uint32) * np.uint32(0x9E3779B1)) >> self.shift).astype(np.int64)
+        keys = state << 21 | kinds
+        slots = ((keys.astype(np.uint64) * np.uint64(MIX)) >> self.shift).astype(np.int64)
         held = self.keys[slots]
         packed = self.packed[slots]
         odd = np.flatnonzero(held != keys)
@@ -122,7 +139,7 @@ class Transducer:
                 piece, more = text[i:], count[back] + 1
                 break
         else:
-            raise ValueError(f"no piece fits after {own}: {char!r}")
+            raise Unfit(f"no piece fits after {own}: {char!r}")
         while text not in self.begun:
             text = text[1:]
         use = [text[len(text) - j :] in self.begun for j in range(1, len(text) + 1)]  # may a piece begin that far back?
@@ -143,80 +160,97 @@ class Transducer:
                     if char == SPACE:
                         self.classes[[32, ord(SPACE)]] = self.classes[code]
             kinds = self.classes[codes]
-            if len(self.chars) > 8192:
-                raise ValueError("more than 8,192 characters have pieces of their own")
         return kinds
 
-    def run(self, steps: np.ndarray, state: np.ndarray, out: np.ndarray) -> np.ndarray:
-        """All columns of `steps` (time by lane) in lock step from `state`; `out` gets what is emitted."""
+    def run(self, steps: np.ndarray, state: np.ndarray, out: np.ndarray, live: int | None = None) -> np.ndarray:
+        """All columns of `steps` (time by lane) in lock step from `state`; `out` gets what is emitted. Only the first `live`
+        lanes move; the states of the others are kept, whatever number they have afterwards."""
+        live = len(state) if live is None else live
         for t in range(len(steps)):
-            kinds = steps[t]
-            packed = self.found(state, kinds)
+            if self.full():
+                state = self.renewed(state)
+            kinds, now = steps[t], state[:live]
+            packed = self.found(now, kinds)
             if packed.min() < 0:
                 lacking = np.flatnonzero(packed < 0)
-                pairs, back = np.unique(state[lacking].astype(np.int64) << 16 | kinds[lacking], return_inverse=True)
-                packed[lacking] = np.array([self.step(int(p >> 16), int(p & 65535)) for p in pairs], np.int32)[back]
-            state = packed >> 6
-            out[t] = (packed & 63) - 32
+                pairs, back = np.unique(now[lacking] << 21 | kinds[lacking], return_inverse=True)
+                packed[lacking] = np.array([self.step(int(p >> 21), int(p & 0x1FFFFF)) for p in pairs], np.int64)[back]
+            state = np.concatenate([packed >> 8, state[live:]])
+            out[t] = (packed & 255) - 128
         return state
 
-    def follow(self, kinds: np.ndarray, state: int, out: np.ndarray) -> None:
+    def follow(self, kinds: np.ndarray, key: tuple, out: np.ndarray) -> None:
+        """One lane alone, from the state that `key` stands for."""
         known: dict[tuple[int, int], int] = {}
+        state = self.state(key)
         for t, kind in enumerate(kinds.tolist()):
             packed = known.get((state, kind))
             if packed is None:
-                packed = int(self.found(np.array([state], np.int32), np.array([kind], np.int32))[0])
+                if self.full():
+                    state = int(self.renewed(np.array([state]))[0])
+                    known = {}
+                packed = int(self.found(np.array([state], np.int64), np.array([kind], np.int64))[0])
                 packed = known[state, kind] = packed if packed >= 0 else self.step(state, kind)
-            state = packed >> 6
-            out[t] = (packed & 63) - 32
+            state = packed >> 8
+            out[t] = (packed & 255) - 128
 
     def emitted(self, kinds: np.ndarray, lanes: int = 8192) -> np.ndarray:
         """What each position emits, the first being the start of a text."""
         n = len(kinds)
         lanes = max(1, min(lanes, n // 64))
         size = -(-n // lanes)
-        padded = np.full(lanes * size, TEXT, np.uint16)
+        padded = np.full(lanes * size, TEXT, np.int32)
         padded[:n] = kinds
         space = self.classes[32]
         free = (padded < FIRST) | ((padded == space) & (np.concatenate([[0], padded[:-1]]) != space) & (space > 0))
         free = free.reshape(lanes, size)
         constant = free.any(1)
         head = np.where(constant, free.argmax(1), size)
-        steps = padded.reshape(lanes, size).T.astype(np.int32)
+        steps = padded.reshape(lanes, size).T.astype(np.int64)
         steps[np.arange(size)[:, None] < head] = HOLD
         out = np.zeros((size, lanes), np.int8)
-        ends = self.run(steps, np.full(lanes, self.root, np.int32), out)
+        ends = self.run(steps, np.full(lanes, self.root, np.int64), out)
         flat = out.T.reshape(-1).copy()
         # the prefix scan: before each chunk, the nearest chunk with a constant map
         before = np.concatenate([[-1], np.maximum.accumulate(np.where(constant, np.arange(lanes), -1))[:-1]])
         runs = [(int(b + 1) * size, k * size + int(head[k]), int(ends[b])) for k, b in enumerate(before) if b >= 0 and (constant[k] or k == lanes - 1) and (head[k] or b + 1 < k)]
         runs.sort(key=lambda r: r[0] - r[1])
         longest = runs[8][1] - runs[8][0] if len(runs) > 8 else 0  # the eight longest may outlast the others by far
-        state, done = np.array([r[2] for r in runs], np.int32), 0
+        state, done = np.array([r[2] for r in runs], np.int64), 0
         if longest:
             begins, lengths = np.array([r[0] for r in runs]), np.array([r[1] - r[0] for r in runs])
             for t in range(longest):
                 live = int(np.searchsorted(-lengths, -t, "left"))
                 at = begins[:live] + t
                 row = np.empty((1, live), np.int8)
-                state[:live] = self.run(padded[at][None].astype(np.int32), state[:live], row)
+                state = self.run(padded[at][None].astype(np.int64), state, row, live)
                 flat[at] = row[0]
             done = longest
-        for i, (begin, end, _) in enumerate(runs[: 8 if longest else None]):
+        left = runs[: 8 if longest else None]
+        keys = [self.states[s] for s in state[: len(left)].tolist()]  # numbers change when compilation starts anew
+        for key, (begin, end, _) in zip(keys, left, strict=True):
             if end - begin > done:
-                self.follow(padded[begin + done : end], int(state[i]), flat[begin + done : end])
+                self.follow(padded[begin + done : end], key, flat[begin + done : end])
         return flat[:n]
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text; an empty text has none."""
         if not texts:
             return np.zeros(0, np.int64)
+        try:
+            return self.together(texts)
+        except Unfit:
+            if len(texts) > 1:
+                return np.concatenate([self.counts([t]) for t in texts])
+            if self.plain is None:
+                raise
+            return np.array([self.plain(texts[0]) if texts[0] else 0])
+
+    def together(self, texts: list[str]) -> np.ndarray:
         codes = np.frombuffer(("\n" + "\n".join(texts)).encode("utf-32-le", "surrogatepass"), np.uint32)
         begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts[:-1]], dtype=np.int64)])
         kinds = self.classify(codes).copy()
         kinds[begins] = TEXT
-        if len(self.states) > self.max_states or self.used > len(self.keys) // 3:
-            self.reset()
         total = np.add.reduceat(self.emitted(kinds).astype(np.int64), begins)
         return np.where([bool(t) for t in texts], total, 0)
 
@@ -233,7 +267,7 @@ def compiled(model_file: str) -> Transducer:
         ids = range(sp.vocab_size())
         if sum(map(sp.is_byte, ids)) != 256 or sp.encode("  ﬁ", out_type=str)[:1] != [SPACE * 3][:1] and "".join(sp.encode("  a", out_type=str)) != SPACE * 3 + "a":
             raise ValueError(f"{model_file} isn't a model of the kind that can be compiled")
-        _compiled[model_file] = Transducer({sp.id_to_piece(i): sp.get_score(i) for i in ids if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))})
+        _compiled[model_file] = Transducer({sp.id_to_piece(i): sp.get_score(i) for i in ids if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}, plain=lambda t: len(sp.encode(t)))
     return _compiled[model_file]
 
 
