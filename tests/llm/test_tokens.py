@@ -92,21 +92,23 @@ def test_ids_read_back(spark, library, rows_per_shard):
 def test_word_table_equals_the_library(text):
     table = wordbpe.word_table(WORDS)
     ids = table.tokenizer.encode(text, add_special_tokens=False).ids
-    assert table.text(text) == (" ".join(map(str, ids)), table.tokenizer.decode(ids, skip_special_tokens=False), len(ids))
+    assert [i for w in text.encode().split() for i in table.word(w)] == ids
+    assert " ".join(table.pieces[i] for i in ids) == table.tokenizer.decode(ids, skip_special_tokens=False)
     own = tokenbin.encoder(BYTES)
     assert np.frombuffer(own.text(text), "<u2").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
 
 
-def test_encode_decode_rows(spark, library):
-    got = wordbpe.encode_decode(edge(spark), WORDS, digests=True).collect()
+@pytest.mark.parametrize("block_words", [300_000, 20])
+def test_encode_decode_rows(spark, library, block_words):
+    got = wordbpe.encode_decode(edge(spark), WORDS, digests=True, block_words=block_words).collect()
     want = []
     for d, t, *_ in EDGE:
         ids = library[2].encode(t or "", add_special_tokens=False).ids
         want.append((d or 0, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library[2].decode(ids, skip_special_tokens=False).encode()).hexdigest()))
     assert sorted((r[0] or 0, *r[1:]) for r in got) == sorted(want)
     plain = wordbpe.encode_decode(edge(spark), WORDS)
-    again = wordbpe.decoded(plain.drop("decoded"), WORDS).select("doc_id", "decoded")
-    assert sorted((r[0] or 0, r[1]) for r in again.collect()) == sorted((r[0] or 0, r[1]) for r in plain.select("doc_id", "decoded").collect())
+    texts = [(d or 0, library[2].encode(t or "", add_special_tokens=False).ids) for d, t, *_ in EDGE]
+    assert sorted((r["doc_id"] or 0, r["n_tokens"], r["ids"], r["decoded"]) for r in plain.collect()) == sorted((d, len(i), " ".join(map(str, i)), library[2].decode(i, skip_special_tokens=False)) for d, i in texts)
     assert wordbpe.encode_decode(empty(spark), WORDS).count() == 0
 
 
@@ -124,3 +126,21 @@ def test_texts_that_fit_no_pair_are_counted_by_the_model():
     own = tokencount.Transducer({"▁": -1.0, "a": -2.0}, plain=lambda t: 99)
     own.fit = lambda left, right: False
     assert own.counts(["a", "", "aa"]).tolist() == [99, 0, 99]
+
+
+def test_words_are_encoded_once(spark):
+    """However many blocks and documents have a word, one bucket holds it, and each of a bucket's words once."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(prose(80) * 3)], "doc_id long, text string").repartition(6)
+    rows = wordbpe.split(docs.selectExpr("doc_id", "text as __text"), 8, 30).filter("bucket is not null").collect()
+    held = {}
+    for r in rows:
+        for w in wordbpe.zstandard.ZstdDecompressor().decompress(r["words"]).split(b" "):
+            held.setdefault(w, set()).add(r["bucket"])
+    assert len({r["block"] for r in rows}) > 6 and all(len(b) == 1 for b in held.values())
+    assert set(held) == {w for t in prose(80) for w in t.encode().split()}
+
+
+def test_planes_and_packing():
+    numbers = np.array([0, 1, 255, 256, 70_000, 2**31], np.uint32)
+    assert (wordbpe.from_planes(wordbpe.in_planes(numbers)) == numbers).all() and len(wordbpe.from_planes(b"")) == 0
+    assert [a.tolist() for a in wordbpe.unpacked(wordbpe.packed(numbers, numbers[:0], numbers[:2]))] == [numbers.tolist(), [], [0, 1]]

@@ -71,12 +71,20 @@ def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Record
         yield batch.slice(begin)
 
 
+def file_system(path: str):
+    """pyarrow's file system of a path, and the path within it."""
+    import pyarrow.fs
+
+    return pyarrow.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pyarrow.fs.LocalFileSystem(), path)
+
+
 def trimmed() -> None:
     """Hand freed memory back to the system at the end of a task; a Python worker lives on for other tasks."""
     import ctypes
     import gc
 
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library

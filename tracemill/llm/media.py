@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .tokenbin import file_system
+from .common import file_system
 
 WIDTH = 576
 SHARD_BYTES = 256 << 20

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .tokenbin import file_system
+from .common import file_system
 
 TILE = 8192
 #: Buckets of so many fingerprints are compared together.

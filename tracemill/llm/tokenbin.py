@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .common import file_system
 from .wordbpe import LETTERS, Recent
 
 MAGIC = b"TMBITS01"
@@ -60,12 +61,6 @@ def unpack(data: bytes, n: int, width: int) -> np.ndarray:
     return rows.reshape(-1)[:n]
 
 
-def file_system(path: str):
-    import pyarrow.fs
-
-    return pyarrow.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pyarrow.fs.LocalFileSystem(), path)
-
-
 class Writer:
     def __init__(self, path: str, width: int):
         fs, at = file_system(path)
