@@ -170,15 +170,18 @@ def split(source: DataFrame, buckets: int, block_words: int = BLOCK_WORDS) -> Da
         for batch in batches:
             schema = batch.schema
             for part in common.slices(batch, "__text", 8 << 20):
-                rows = []
-                for text in part["__text"].to_pylist():
+                rows, first = [], 0
+                for k, text in enumerate(part["__text"].to_pylist(), 1):
                     tokens = text.encode().split()
                     rows.append(in_planes(np.fromiter(map(numbers.__getitem__, tokens), np.uint32, len(tokens))))
-                n = len(rows)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([block] * n, kinds[0]), pa.array(rows, kinds[1]), *(pa.nulls(n, k) for k in kinds[2:])], names)
-                if len(numbers) > block_words:
-                    yield shares(schema)
-                    block, numbers = uuid.uuid4().hex, Numbers()
+                    full = len(numbers) > block_words
+                    if full or k == part.num_rows:
+                        n = len(rows)
+                        yield pa.RecordBatch.from_arrays([*(c.slice(first, n) for c in part.columns[:-1]), pa.array([block] * n, kinds[0]), pa.array(rows, kinds[1]), *(pa.nulls(n, k) for k in kinds[2:])], names)
+                        rows, first = [], k
+                    if full:
+                        yield shares(schema)
+                        block, numbers = uuid.uuid4().hex, Numbers()
         if numbers:
             yield shares(schema)
         del numbers
