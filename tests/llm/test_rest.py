@@ -220,3 +220,122 @@ def test_pipeline_stages(spark, tmp_path):
     assert sizes[0] < 322 and sizes[1] < sizes[0] and sizes[2] == sizes[1]
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.count() == sizes[3] and not out.filter("ids is null or decoded is null").count()
+
+
+def brute_tree(rows, fanout, prior=0.1, strength=4.0, alike=2.0, distance=0.25):
+    """Template and purity of (host, shape) -> (n, labelled, bad), by walking nodes one after the other."""
+    now = {k: list(k[1]) for k in rows}
+
+    def renames(found):
+        for key, template in now.items():
+            own = [found.get((key[0], *template[: i + 1]), template[i]) for i in range(len(template))]
+            now[key] = own
+
+    def nodes():
+        tree = defaultdict(lambda: defaultdict(lambda: np.zeros(3, int)))
+        for key, t in now.items():
+            for i in range(len(t)):
+                tree[key[0], *t[: i + 1]][tuple(t[i + 1 :])] += rows[key]
+        return tree
+
+    while True:
+        size = {k: sum(v[0] for v in below.values()) for k, below in nodes().items()}
+        kids = defaultdict(list)
+        for k in size:
+            kids[k[:-1]].append(k)
+        rare = {k: "*" for p, own in kids.items() if len(own) > fanout for k in own if k[-1] != "*" and size[k] * fanout < sum(map(size.get, own))}
+        if not rare:
+            break
+        renames(rare)
+    while True:
+        tree, groups, found = nodes(), defaultdict(list), {}
+        for k, below in tree.items():
+            best = max(v[0] for v in below.values())
+            # ties are avoided by the inputs
+            main = next(b for b, v in below.items() if v[0] == best)
+            if main:
+                groups[k[:-1], main].append(k)
+        for own in groups.values():
+            pool = defaultdict(int)
+            for k in own:
+                for b, v in tree[k].items():
+                    pool[b] += v[0]
+            every = sum(pool.values())
+            _, pl, pb = sum(v for k in own for v in tree[k].values())
+            close = []
+            for k in own:
+                n, l, b = sum(tree[k].values())
+                far = (sum(abs(v[0] / n - pool[x] / every) for x, v in tree[k].items()) + 1 - sum(pool[x] / every for x in tree[k])) / 2
+                share = pb / pl if pl else None
+                if far <= distance + 1 / n**0.5 and (not l or abs(b / l - share) <= alike * (share * (1 - share) / l + 1e-12) ** 0.5 + 1e-6):
+                    close.append(k)
+            if len(close) > 1:
+                found |= {k: "~" + min(c[-1] for c in close).removeprefix("~") for k in close}
+        if not found:
+            break
+        renames(found)
+
+    def line(host, template):
+        parts = host.split(".")
+        above = [".".join(parts[-i:]) for i in range(2, len(parts))] if not re.fullmatch("[0-9.]*", host) else []
+        return [("above", d) for d in above] + [(host, *template[:i]) for i in range(len(template) + 1)]
+
+    count, parent = defaultdict(lambda: np.zeros(3, int)), {}
+    for key, t in now.items():
+        way = line(key[0], t)
+        for i, k in enumerate(way):
+            count[k] += rows[key]
+            parent[k] = way[i - 1] if i else None
+    hope = {}
+
+    def expects(k):
+        if k is None:
+            return prior
+        if k not in hope:
+            own = [(count[c][2] + prior * (count[c][0] - count[c][1])) / count[c][0] for c, p in parent.items() if p == k and count[c][1]]
+            hope[k] = (sum(own) + strength * expects(parent[k])) / (len(own) + strength)
+        return hope[k]
+
+    leaves = defaultdict(lambda: np.zeros(3, int))
+    for key, t in now.items():
+        leaves[line(key[0], t)[-1]] += rows[key]
+    out = {}
+    for key, t in now.items():
+        k = line(key[0], t)[-1]
+        out[key] = ("/".join(t), (leaves[k][2] + strength * expects(parent[k])) / (leaves[k][1] + strength))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_tree_equals_brute_force(spark, seed):
+    """Wildcards, merges at every level and smoothed purity against a walk over one node after the other; paths of any depth."""
+    rng = random.Random(seed)
+    rows = {}
+    for host in ("a.b.c.org", "b.c.org", "x.c.org", "7.7.7.7", "lone"):
+        for lang in ("de", "en", "fr", "it"):
+            bad = lang == "de"
+            for section in ("news", "shop", "blog")[: rng.randint(2, 3)]:
+                tail = ["x", "deep", "er", "and", "deeper", "still", "on", "and on"] if section == "blog" else []
+                weight = {"news": 200, "shop": 90, "blog": 37}[section]
+                for leaf in ("*", "*.html"):
+                    n = weight + rng.randint(0, 9) + (400 if leaf == "*" else 0)
+                    labelled = n if bad else rng.choice([0, 0, n // 2])
+                    rows[host, (lang, section, *tail, leaf)] = (n, labelled, labelled if bad else 0)
+        for i in range(12):
+            rows[host, ("user", f"name{i}", "likes" if i in (3, 4) else "posts", "*")] = (rng.randint(1, 3), rng.randint(0, 1), 0)
+    df = spark.createDataFrame([(h, list(s), *map(int, v)) for (h, s), v in rows.items()], "host string, shape array<string>, n long, labelled long, bad long")
+    got = {(r["host"], tuple(r["shape"])): (r["template"], r["purity"]) for r in urlrules.templates(df, fanout=8).collect()}
+    want = brute_tree(rows, 8)
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(got[k][1] == pytest.approx(want[k][1]) for k in want)
+    assert any("~" in t for t, _ in want.values()) and any("/*/" in t for t, _ in want.values()) and len({p > 0.5 for _, p in want.values()}) == 2
+
+
+def test_long_paths_and_hot_hosts(spark):
+    """Segments of any depth are told apart, and a third of the pages may lie under one host and shape."""
+    deep = "/".join(f"s{i % 7}" for i in range(400))
+    urls = [None] * 300 + [f"http://h.com/{deep}/{'xy'[i % 2]}" for i in range(10)] + [f"http://example.com/{p}/{i}" for p in ("de", "it") for i in range(40)]
+    pages = spark.createDataFrame([(i % 5, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = urlrules.judge(pages, queries.RULES).collect()
+    assert len(got) == len(urls) and len({r["template"] for r in got if r["host"] == "h.com"}) == 2
+    assert {(r["verdict"]) for r in got if r["host"] == "example.com"} == {"block"}

@@ -47,6 +47,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def salted_join(rows: DataFrame, side: DataFrame, on: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """`rows` joined to `side`, which has one row a key and in column `n` (left out of the result) how many of the `total` rows have it.
+
+    Keys with over a thousandth of the rows (256 at least), of which there are a thousand at most, are dealt to slices by
+    the place of a row in its partition, so no key lands in one task; only those keys are broadcast."""
+    share = max(256, total // 1000)
+    slices = F.ceil(F.col(n) / share).cast("int")
+    hot = side.filter(F.col(n) > share).select(*on, slices.alias("__slices"))
+    dealt = rows.join(F.broadcast(hot), on, "left")
+    dealt = dealt.withColumn("__salt", F.when(F.col("__slices").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("__slices")).cast("int"))).drop("__slices")
+    spread = side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.when(F.col(n) > share, slices).otherwise(1)) - 1))).drop(n)
+    return dealt.join(spread, [*on, "__salt"], how).drop("__salt")
+
+
 def dropped(spark: SparkSession, path: str) -> None:
     """Delete a scratch path through Spark's own file system layer."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
