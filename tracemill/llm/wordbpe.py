@@ -30,7 +30,7 @@ from . import common
 from .common import file_system
 
 #: Distinct words of a block; words that a bucket's task holds at once (beyond it a word met again is encoded again).
-BLOCK_WORDS, MOST_WORDS, MOST_RUNS = 300_000, 400_000, 30_000
+BLOCK_WORDS, MOST_WORDS, MOST_RUNS = 800_000, 400_000, 30_000
 RUNS = re.compile("[a-zà-öø-ÿ]+|[0-9]|[!-&(-/:-@[-`{-~]+").findall
 ALREADY_LOWER = re.compile("[^A-ZÀ-ÖØ-Þ]*").fullmatch
 LOWER = {c: c + 32 for r in ((0x41, 0x5B), (0xC0, 0xD7), (0xD8, 0xDF)) for c in range(*r)}
@@ -115,15 +115,20 @@ class Numbers(dict):
 
 
 def packed(*columns: np.ndarray) -> bytes:
-    """Arrays of 32-bit numbers, their lengths first, compressed."""
-    sizes = np.array([len(columns), *map(len, columns)], "<u4")
-    return zstandard.ZstdCompressor(3).compress(b"".join([sizes.tobytes(), *(c.astype("<u4").tobytes() for c in columns)]))
+    """Arrays of numbers below 2^32, each in the bytes its greatest one needs, compressed. Their lengths and widths come first."""
+    wide = [np.dtype("u1" if c.max(initial=0) < 256 else "<u2" if c.max() < 65536 else "<u4") for c in columns]
+    head = np.array([len(columns), *(x for c, w in zip(columns, wide, strict=True) for x in (len(c), w.itemsize))], "<u4")
+    return zstandard.ZstdCompressor(3).compress(b"".join([head.tobytes(), *(c.astype(w).tobytes() for c, w in zip(columns, wide, strict=True))]))
 
 
 def unpacked(data: bytes) -> list[np.ndarray]:
-    every = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<u4")
-    ends = np.cumsum(every[1 : 1 + every[0]]) + 1 + every[0]
-    return [every[a:b] for a, b in zip([1 + every[0], *ends[:-1]], ends, strict=True)]
+    whole = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(whole, "<u4", 1)[0])
+    head, at, out = np.frombuffer(whole, "<u4", 2 * n, 4).tolist(), 4 + 8 * n, []
+    for length, width in zip(head[::2], head[1::2], strict=True):
+        out.append(np.frombuffer(whole, f"<u{width}", length, at))
+        at += length * width
+    return out
 
 
 def in_planes(numbers: np.ndarray) -> bytes:
@@ -195,7 +200,7 @@ def split(source: DataFrame, buckets: int, block_words: int = BLOCK_WORDS) -> Da
 
 
 def encoded_words(rows: DataFrame, path: str, buckets: int) -> DataFrame:
-    """block and ids (packed: numbers of words, how many ids each has, ids) for each share of a block's words. A bucket's words are
+    """block and ids (packed: steps between numbers of words, how many ids each has, ids) for each share of a block's words. A bucket's words are
     in one task, which encodes each of them once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,13 +210,13 @@ def encoded_words(rows: DataFrame, path: str, buckets: int) -> DataFrame:
             out = []
             for words, places in zip(batch["words"].to_pylist(), batch["places"].to_pylist(), strict=True):
                 ids = [known[w] for w in unpacker.decompress(words).split(b" ")]
-                out.append(packed(np.cumsum(unpacked(places)[0], dtype=np.uint32), np.array([len(i) for i in ids], np.uint32), np.concatenate(ids)))
+                out.append(packed(unpacked(places)[0], np.array([len(i) for i in ids], np.uint32), np.concatenate(ids)))
             yield pa.RecordBatch.from_arrays([batch["block"], pa.array(out, "binary")], ["block", "ids"])
         del known
         word_table(path).runs = Recent(word_table(path).new_run, MOST_RUNS)
         common.trimmed()
 
-    return rows.repartition(buckets, "bucket").mapInArrow(run, "block string, ids binary")
+    return rows.repartitionById(buckets, F.col("bucket")).mapInArrow(run, "block string, ids binary")
 
 
 def block_files(shares: DataFrame, folder: str) -> DataFrame:
@@ -261,7 +266,8 @@ class BlockIds:
         words = sum(len(s[0]) for s in shares)
         self.size, self.begin = np.zeros(words, np.int64), np.zeros(words, np.int64)
         self.flat, before = np.concatenate([s[2] for s in shares]) if shares else np.zeros(0, np.uint32), 0
-        for places, sizes, ids in shares:
+        for steps, sizes, ids in shares:
+            places = np.cumsum(steps, dtype=np.int64)
             ends = np.cumsum(sizes, dtype=np.int64)
             self.size[places], self.begin[places] = sizes, before + ends - sizes
             before += len(ids)
