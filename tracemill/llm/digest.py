@@ -48,9 +48,9 @@ def collisions(proofs: DataFrame) -> DataFrame:
     """proofs: doc_id, fp, proof (canonical bytes) of documents in shared buckets. doc_id, fp and own (sha256 of the bytes) of
     those whose bytes aren't their representative's.
 
-    Members meet the bytes of their bucket's representative in a join by digest, whose large partitions can be split."""
-    firsts = proofs.groupBy("fp").agg(F.min_by("proof", "doc_id").alias("expected"))
-    return proofs.join(firsts, "fp").filter("proof != expected").select("doc_id", "fp", F.sha2("proof", 256).alias("own")).distinct()
+    Members meet the bytes of their bucket's representative in a join by digest; large buckets are dealt to several tasks."""
+    firsts = proofs.groupBy("fp").agg(F.min_by("proof", "doc_id").alias("expected"), F.count("*").alias("n"))
+    return common.salted_join(proofs, firsts, ["fp"], "n", proofs.count(), spread=("doc_id",)).filter("proof != expected").select("doc_id", "fp", F.sha2("proof", 256).alias("own")).distinct()
 
 
 def neighbours(docs: DataFrame, rows_per_range: int = 2048, most_ranges: int = 50_000, text: str = "text") -> DataFrame:
@@ -101,7 +101,7 @@ def neighbours(docs: DataFrame, rows_per_range: int = 2048, most_ranges: int = 5
     whole = tied.join(F.broadcast(firsts), F.col("doc_id").eqNullSafe(F.col("top")))
     guests = whole.groupBy("range", "doc_id").agg(F.max("tie").alias("tie"), F.max_by("text", "tie").alias("text")).mapInArrow(squeeze, packed).withColumn("kind", F.lit(2))
     known = common.written(digests(docs, text).distinct(), "digests")
-    shared = known.join(known.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp"), "fp").select("doc_id", F.lit(0).cast("long").alias("tie"), F.col("fp").cast("binary").alias("text"))
+    shared = common.salted_join(known, known.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1"), ["fp"], "n", size["n"], spread=("doc_id",)).select("doc_id", F.lit(0).cast("long").alias("tie"), F.col("fp").cast("binary").alias("text"))
     marks = shared.mapInArrow(number, packed).withColumn("kind", F.lit(0))
     every = dealt.unionByName(guests).unionByName(marks).repartitionById(n, F.col("range")).sortWithinPartitions("range", "kind", F.col("doc_id").desc_nulls_last(), F.col("tie").desc())
 

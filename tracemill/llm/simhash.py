@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -178,32 +178,24 @@ def pair_links(values: np.ndarray, bucket: np.ndarray, size: np.ndarray, radius:
 def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links inside `left`, or between `left` and `right` with those inside left known."""
     values = left if right is None else np.concatenate([left, right])
-    parent = list(range(len(values)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    edges = []
+    label, edges = np.arange(len(values)), []
     planes = planes_of((left if right is None else right).view(np.uint64))
     base = 0 if right is None else len(left)
-
-    def found() -> Iterator[tuple[int, int]]:
-        for i, value in enumerate(left.view(np.uint64).tolist()):
-            first = (i + 1) // 64 if right is None else 0
-            if first < planes.shape[1]:
-                for j in lanes(near(planes, value, radius, first)):
-                    j += base + 64 * first
-                    if j < len(values) and (right is not None or j > i):
-                        yield i, j
-
-    for i, j in found():
-        a, b = find(i), find(j)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            edges.append((int(values[i]), int(values[j])))
+    for i, value in enumerate(left.view(np.uint64).tolist()):
+        first = (i + 1) // 64 if right is None else 0
+        apart = label[base + 64 * first :] != label[i]  # candidates that are joined already aren't compared
+        if right is None:
+            apart[: i + 1 - 64 * first] = False
+        if not apart.any():
+            continue
+        hits = near(planes, value, radius, first)
+        mask = np.packbits(apart, bitorder="little")
+        hits &= np.concatenate([mask, np.zeros(8 * len(hits) - len(mask), np.uint8)]).view("<u8")
+        for j in lanes(hits):
+            j += base + 64 * first
+            if label[i] != label[j]:
+                label[label == label[j]] = label[i]
+                edges.append((int(values[i]), int(values[j])))
     return edges
 
 
@@ -274,13 +266,14 @@ def components(edges: DataFrame) -> DataFrame:
     """node and root (smallest node reachable) of all nodes of `edges` (a, b), by alternating star rounds."""
     now = common.written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges")
     while True:
+        n = now.count()
         # large star: every node links its larger neighbours to its smallest neighbour (or itself)
         both = now.select(F.col("b").alias("u"), F.col("a").alias("v")).unionByName(now.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")).filter("n > 0").select("u", F.least("u", "m").alias("m"), "n")
+        large = common.salted_join(both.filter("v > u"), least, ["u"], "n", n, spread=("v",)).select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
         # small star: every node links its smaller neighbours and itself to the smallest of them
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a < b").distinct()
+        least = large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
+        small = common.salted_join(large, least, ["b"], "n", n, spread=("a",)).select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a < b").distinct()
         new = common.written(small, "edges")
         # a forest of stars: no node is both a root and a member, no member has two roots
         same = new.agg(F.count("*").alias("n"), F.count_distinct("b").alias("d")).first()
@@ -299,14 +292,15 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, text: str
     Null texts count as empty; documents without words have fingerprint 0 and link like any other; repeated rows stay
     and share a component; a null doc_id is never the smallest (a component of nulls alone has null)."""
     each = common.written(fingerprints(docs, words, text, mins), "fingerprints")
-    by = common.written(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    by = common.written(each.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     keyed = each.select("fp", F.posexplode("mins").alias("plan", "key")).distinct() if mins else bit_keys(by.select("fp"), radius)
     of = components(links(keyed, radius))
-    linked = common.written(by.join(of, F.col("fp") == F.col("node"), "left").select("fp", "least", "root"), "linked")
-    roots = linked.filter("root is not null").groupBy("root").agg(F.min("least").alias("smallest"))
-    alone = linked.filter("root is null").select("fp", F.col("least").alias("component_id"))  # most rows; a null key would bring them together
-    named = linked.filter("root is not null").join(roots, "root").select("fp", F.col("smallest").alias("component_id")).unionByName(alone)
-    return each.join(named, "fp").select("doc_id", "fp", "component_id")
+    linked = common.written(by.join(of, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", "root"), "linked")
+    several, total = linked.filter("root is not null"), linked.agg(F.count("root").alias("linked"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    roots = several.groupBy("root").agg(F.min("least").alias("smallest"), F.count("*").alias("members"))
+    alone = linked.filter("root is null").select("fp", "n", F.col("least").alias("component_id"))  # most rows; a null key would bring them together
+    named = common.salted_join(several, roots, ["root"], "members", total["linked"], spread=("fp",)).select("fp", "n", F.col("smallest").alias("component_id")).unionByName(alone)
+    return common.salted_join(each, named, ["fp"], "n", total["rows"], spread=("doc_id",)).select("doc_id", "fp", "component_id")
 
 
 def shingle_sets(docs: DataFrame, words: int, mins: int, text: str) -> DataFrame:
@@ -384,6 +378,8 @@ def exact_edges(rows: pd.DataFrame, cut: int, similarity: float, radius: int, se
     for i in range(cut or len(node)):
         first = cut or i + 1
         near_by = (np.bitwise_count(fp[first:] ^ fp[i]) <= radius) & (label[first:] != label[i])
+        if not near_by.any():
+            continue
         near_by &= np.minimum(size[first:], size[i]) >= similarity * np.maximum(size[first:], size[i]) - 1e-9
         for j in (first + np.flatnonzero(near_by)).tolist():
             if label[i] != label[j] and alike(*(sets.get(int(node[k]), shard[k], int(offset[k]), int(size[k])) for k in (i, j)), similarity):
@@ -445,9 +441,10 @@ def exact_links(each: DataFrame, similarity: float, radius: int) -> DataFrame:
 def exact_components(docs: DataFrame, words: int, similarity: float, mins: int, text: str) -> DataFrame:
     """doc_id, hash and component of each row of `docs` (which has a column __hash), over links of the shingle sets."""
     each = common.written(shingle_sets(docs, words, mins, text), "sets")
-    one = each.groupBy("node").agg(F.min(F.struct("shard", "offset", "fp", "size", "mins")).alias("at")).select("node", "at.*")
-    of = components(exact_links(common.written(one, "distinct"), similarity, WIDE))
-    return each.select("doc_id", "hash", "node").join(of, "node", "left").select("doc_id", "hash", F.coalesce("root", "node").alias("component"))
+    one = common.written(each.groupBy("node").agg(F.min(F.struct("shard", "offset", "fp", "size", "mins")).alias("at"), F.count("*").alias("n")).select("node", "n", "at.*"), "distinct")
+    of = components(exact_links(one, similarity, WIDE))
+    named = one.join(of, "node", "left").select("node", "n", F.coalesce("root", "node").alias("component"))
+    return common.salted_join(each.select("doc_id", "hash", "node"), named, ["node"], "n", each.count(), spread=("doc_id",)).select("doc_id", "hash", "component")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, mins: int = 8, text: str = "text") -> DataFrame:
@@ -460,8 +457,11 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, mins:
     kinds = dict(docs.dtypes)
     plain = [F.col(f"`{c}`") for c in docs.columns if not kinds[c].startswith(("map", "variant", "void"))]
     keyed = docs.withColumn("__hash", F.xxhash64(*plain, *[c.isNull() for c in plain]))  # nulls don't change xxhash64 alone
-    of = exact_components(keyed, words, similarity, mins, text)
-    chosen = of.groupBy("component", F.col("doc_id").isNull().alias("__none")).agg(F.min(F.struct("doc_id", "hash")).alias("first")).select(F.col("first.hash").alias("__hash")).distinct()
-    order = Window.partitionBy("__hash").orderBy("doc_id")  # rows of a hash are equal
-    kept = keyed.join(chosen, "__hash", "left_semi").withColumn("__rank", F.row_number().over(order)).filter("__rank = 1")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    of = common.written(exact_components(keyed, words, similarity, mins, text), "components")
+    first = of.groupBy("component", F.col("doc_id").isNull().alias("__none")).agg(F.min(F.struct("doc_id", "hash")).alias("first")).select(F.col("first.hash").alias("__hash")).distinct()
+    equal = of.groupBy(F.col("hash").alias("__hash")).agg(F.count("*").alias("n"))  # rows of a hash are equal
+    chosen = first.join(equal, "__hash").withColumn("__many", F.col("n") > 1)
+    kept = common.salted_join(keyed, chosen, ["__hash"], "n", of.count())
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # of equal rows one stays; they are put together before they move
+    return kept.filter("not __many").select(*columns).unionByName(kept.filter("__many").dropDuplicates(["__hash"]).select(*columns))
