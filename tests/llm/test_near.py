@@ -165,11 +165,22 @@ def test_media(spark):
         s = media.picture(p)
         assert media.samples(s) == p
         want.append((d or 0, len((t or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(s), hashlib.sha256(s).hexdigest(), media.feature(p)))
-    assert sorted((r[0] or 0, *r[1:]) for r in got) == sorted(want)
+    assert sorted((r[0] or 0, *r[1:8]) for r in got) == sorted(want)
+    assert all((r["width"], r["height"], r["bits"], r["digest"]) == (576, r["payload_bytes"] // 576, 8, r["media_sha256"]) for r in got)
     heads = media.metadata(index).collect()
     assert all(r["width"] == 576 and r["bits"] == 8 for r in heads) and {r["height"] for r in heads} >= {1, len(media.padded("x" * 50000)) // 576}
     shard = index.first()["shard"]
     fs, at = media.file_system(shard)
     names = media.members(fs.open_input_file(at).read())
     assert len(names) == len(set(names))
-    assert media.store(empty(spark)).count() == 0
+    assert media.store(empty(spark)).count() == 0 and media.read_back(media.store(empty(spark))).count() == 0
+
+
+def test_media_addresses(spark):
+    """A content has one address, whichever tasks met it, and it is read in several tasks."""
+    texts = prose(40)
+    docs = spark.createDataFrame([(i, texts[i % 40 if i % 3 else 0]) for i in range(400)], "doc_id long, text string").repartition(5, "doc_id")
+    index = media.store(docs)
+    rows = index.collect()
+    assert len(rows) == 400 and len({r["digest"] for r in rows}) == len({tuple(r[1:]) for r in rows}) == 40
+    assert {r["doc_id"]: r["payload_sha256"] for r in media.read_back(index).collect()} == {i: hashlib.sha256(media.padded(texts[i % 40 if i % 3 else 0])).hexdigest() for i in range(400)}

@@ -1,10 +1,11 @@
 """Media columns: content-addressed payloads in tar shards.
 
 A payload becomes a lossless 8-bit grey PNG (one byte a sample, `WIDTH` samples a row), named by the sha256 of its bytes.
-Each task writes the pictures of its rows, each content once, to a tar file in the shared folder; rows carry digest,
-shard, offset and length of the picture. Metadata columns come from a range read of the picture's header alone; reading
-payloads back is a range read of the picture. Shard names are new for each attempt of a task and only the ones in the
-written index count, so a lost executor leaves at most an unused file.
+Each task writes the pictures of its rows, each content once, to a tar file in the shared folder. Then one of a content's
+places becomes its address in a shuffle of the index alone, and all rows of the content carry it: digest, shard, offset
+and length. Metadata columns (width, height, bits) come from a range read of the picture's header alone; reading
+payloads back is a range read of the picture, once a content, in tasks of about equal bytes. Shard names are new for each
+attempt of a task and only the ones in the written index count, so a lost executor leaves at most an unused file.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .common import file_system
 
 WIDTH = 576
 SHARD_BYTES = 256 << 20
+#: Bytes of pictures that one task reads back.
+TASK_BYTES = 8 << 20
 HEADER = 33  # signature and IHDR chunk
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
@@ -102,8 +105,8 @@ class TarWriter:
 def store(docs: DataFrame, text: str = "text") -> DataFrame:
     """The written index: doc_id, digest (sha256 of the stored picture), shard (path), offset and length of each row.
 
-    A null text is stored as an empty one; equal texts have equal digests, are stored once in a shard, and once in every
-    shard that meets them; repeated rows stay; other columns are left out; an empty table gives an empty index."""
+    A null text is stored as an empty one; equal texts have equal digests and one address (other shards that met them keep
+    an unused copy); repeated rows stay; other columns are left out; an empty table gives an empty index."""
     spark = docs.sparkSession
     folder = common.scratch(spark, "media")
 
@@ -126,7 +129,16 @@ def store(docs: DataFrame, text: str = "text") -> DataFrame:
             shard.close()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.whole_text(text).alias("__text"))
-    return common.written(source.mapInArrow(run, "doc_id long, digest string, shard string, offset long, length long"), "media-index")
+    places = common.written(source.mapInArrow(run, "doc_id long, digest string, shard string, offset long, length long"), "media-places")
+    owners = places.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at"), F.count("*").alias("n")).select("digest", "n", "at.*")
+    return common.written(common.salted_join(places.select("doc_id", "digest"), owners, ["digest"], "n", places.count(), spread=("doc_id",)).select("doc_id", "digest", "shard", "offset", "length"), "media-index")
+
+
+def contents(index: DataFrame) -> DataFrame:
+    """The written contents of an index: digest, shard, offset, length and n (its rows), dealt to tasks by bytes."""
+    each = common.written(index.groupBy("digest", "shard", "offset", "length").agg(F.count("*").alias("n")), "media-contents")
+    size = each.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()["bytes"]
+    return each.repartitionByRange(max(1, -(-size // TASK_BYTES)), "shard", "offset").sortWithinPartitions("shard", "offset")
 
 
 class Ranges:
@@ -159,28 +171,33 @@ def metadata(index: DataFrame) -> DataFrame:
     return index.mapInArrow(run, f"{fields}, width int, height int, bits int")
 
 
-def read_back(index: DataFrame) -> DataFrame:
-    """Per row of `index`, from the stored bytes: doc_id, n_bytes (without padding), payload_bytes, payload_sha256, tail_crc32
-    (of the last 32 bytes), media_bytes, media_sha256, feature. A content met again soon isn't computed again."""
-    kinds = ("int64", "int64", "string", "int64", "int64", "string", "string")
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+FEATURES = {"n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"}
+
+
+def features(each: DataFrame) -> DataFrame:
+    """`each` (contents by shard and offset) with the columns of FEATURES, from the stored bytes: n_bytes (without padding),
+    payload_bytes, payload_sha256, tail_crc32 (of the last 32 bytes), media_bytes, media_sha256, feature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranges, known = Ranges(), {}
+        ranges = Ranges()
         for batch in batches:
             rows = []
-            for digest, path, offset, length in zip(*(batch[c].to_pylist() for c in ("digest", "shard", "offset", "length")), strict=True):
-                if digest not in known:
-                    if len(known) > 10_000:
-                        known.clear()
-                    stored = ranges.read(path, offset, length)
-                    payload = samples(stored)
-                    known[digest] = (len(payload.rstrip(b"\xff")), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(payload))
-                rows.append(known[digest])
-            if rows:
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", *names])
-
-    return index.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} {'string' if k == 'string' else 'long'}" for n, k in zip(names, kinds, strict=True)))
+            for path, offset, length in zip(*(batch[c].to_pylist() for c in ("shard", "offset", "length")), strict=True):
+                stored = ranges.read(path, offset, length)
+                payload = samples(stored)
+                rows.append((len(payload.rstrip(b"\xff")), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(payload)))
+            columns = [pa.array([r[i] for r in rows], "int64" if k == "long" else k) for i, k in enumerate(FEATURES.values())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *FEATURES])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in each.schema)
+    return each.mapInArrow(run, f"{fields}, " + ", ".join(f"{n} {k}" for n, k in FEATURES.items()))
+
+
+def read_back(index: DataFrame) -> DataFrame:
+    """Per row of `index`: doc_id, the columns of FEATURES, and the address digest, shard, offset, length with the metadata width,
+    height and bits. Each content is read once, its header by `metadata` and the whole by `features`."""
+    known = common.written(features(metadata(contents(index))), "media-features")
+    return common.salted_join(index.select("doc_id", "digest"), known, ["digest"], "n", index.count(), spread=("doc_id",)).select("doc_id", *FEATURES, "digest", "shard", "offset", "length", "width", "height", "bits")
 
 
 def members(data: bytes) -> list[str]:
