@@ -339,3 +339,46 @@ def test_long_paths_and_hot_hosts(spark):
     got = urlrules.judge(pages, queries.RULES).collect()
     assert len(got) == len(urls) and len({r["template"] for r in got if r["host"] == "h.com"}) == 2
     assert {(r["verdict"]) for r in got if r["host"] == "example.com"} == {"block"}
+
+
+def test_scores_equal_a_plain_convolution():
+    """The table look-ups against windows of embeddings times filters, maximum and logistic layer, one text at a time."""
+    rng = np.random.default_rng(4)
+    size, filters, words = 5, 3, [f"w{c}{d}".replace("w", "") for c in "abcdefgh" for d in "xyz"]
+    rows = {toxicity.bucket(w.encode()): toxicity.FIRST + i for i, w in enumerate(words[:-4])}  # the last four are unknown
+    emb = rng.normal(size=(toxicity.FIRST + len(rows), size))
+    emb[: toxicity.FIRST] = 0
+    conv, bias = [rng.normal(size=(w, size, filters)) for w in (1, 2, 3)], [rng.normal(size=filters) for _ in range(3)]
+    out, base, names = rng.normal(size=3 * filters), 0.3, ["de", "en"]
+    languages, cuts = rng.normal(size=(len(emb), 2)), np.array([0.7, -0.4])
+    languages[: toxicity.FIRST] = 0
+    model = toxicity.Model(rows, [[emb @ conv[w][j] for j in range(w + 1)] for w in range(3)], bias, out, base, names, languages, cuts)
+    texts = ["", " \n", *(" ".join(rng.choice(words, n)) for n in (1, 2, 3, 4, 9, 40, 500))]
+    want = []
+    for text in texts:
+        ids = [rows.get(toxicity.bucket(w.encode()), toxicity.EMPTY) for w in text.split()]
+        x = np.concatenate([emb[ids].reshape(-1, size), np.zeros((3, size))])
+        pooled = []
+        for w in range(3):
+            windows = [sum(x[i + j] @ conv[w][j] for j in range(w + 1)) + bias[w] for i in range(max(1, len(ids)))]
+            pooled.append(np.maximum(np.max(windows, axis=0), 0))
+        lang = int(sum((languages[i] for i in ids), np.zeros(2)).argmax())
+        want.append(1 / (1 + np.exp(-(np.concatenate(pooled) @ out + base - cuts[lang]))))
+    assert model.scores(texts) == pytest.approx(want)
+
+
+def test_toxicity_sample_bounds(spark):
+    """Rows and bytes of the sample are bounded, repeated documents count once, and a null doc_id is in no fold."""
+    rows, labels = corpus(120, 9)
+    docs, marks = spark.createDataFrame(rows * 3 + [(None, "x", "en", "a", 1)], SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    seen = []
+    old, toxicity.train = toxicity.train, lambda texts, *a, **k: seen.append((len(texts), sum(4 * len(t) for t in texts)))
+    try:
+        toxicity.fit(docs, marks)
+        toxicity.fit(docs, marks, most_rows=20)
+        toxicity.fit(docs, marks, most_bytes=2000)
+        toxicity.fit(docs, marks, most_bytes=0)
+    finally:
+        toxicity.train = old
+    assert 80 < seen[0][0] < 120 and seen[1][0] == 20 and 1000 < seen[2][1] <= 2000 and seen[3] == (0, 0)
+    assert [r["h"] for r in docs.filter("doc_id is null").select((toxicity.fold() == 0).alias("h")).collect()] == [False]

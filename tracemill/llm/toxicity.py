@@ -196,17 +196,19 @@ def threshold(logits: np.ndarray, toxic: np.ndarray, default: float, least: int
 
 
 def fold() -> F.Column:
-    """crc32 of doc_id as text, modulo 5."""
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
+    """crc32 of doc_id as text, modulo 5; -1 for a null doc_id, which is in no fold."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)), F.lit(-1))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 16_000, text: str = "text", **how) -> Model:
-    """A model from labelled rows whose fold isn't 0, at most `most_rows` of them. Rows without a label, doc_id or document are
-    left out; a doc_id labelled several times counts as toxic if one label says so; without any labels every score is low."""
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 16_000, most_bytes: int = 128 << 20, text: str = "text", **how) -> Model:
+    """A model from labelled rows whose fold isn't 0: those with the least hash of doc_id, at most `most_rows` of them and at most
+    `most_bytes` of word hashes (four bytes a word). Rows without a label, doc_id or document are
+    left out; a doc_id labelled several times counts as toxic if one label says so; of the documents of a doc_id one is taken;
+    without any labels every score is low."""
     known = labels.filter("doc_id is not null and toxic is not null").filter(fold() != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
-    texts = docs.select("doc_id", lang.alias("lang"), common.whole_text(text).alias("__text")).join(F.broadcast(sample), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), common.whole_text(text).alias("__text")).join(F.broadcast(sample), "doc_id")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Recent(bucket, MOST_WORDS)
@@ -214,9 +216,14 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 16_000, text: str =
             for part in common.slices(batch, "__text", 8 << 20):
                 own = [np.fromiter(map(words.__getitem__, t.encode().split()), np.uint32).tobytes() for t in part["__text"].to_pylist()]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["lang"], part["toxic"].cast("int32"), pa.array(own, "binary")], ["doc_id", "lang", "toxic", "words"])
+        common.trimmed()
 
-    rows = sorted(texts.mapInArrow(hashed, "doc_id long, lang string, toxic int, words binary").toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["words"]))
-    rows = [r for k, r in enumerate(rows) if not k or r["doc_id"] != rows[k - 1]["doc_id"]]
+    each = texts.mapInArrow(hashed, "doc_id long, lang string, toxic int, words binary").groupBy("doc_id").agg(F.min(F.struct("words", "lang", "toxic")).alias("row"))
+    one = common.written(each.select("doc_id", "row.*", F.xxhash64("doc_id").alias("order")), "toxicity-sample")
+    lengths = np.array([tuple(r) for r in one.select("order", F.octet_length("words")).orderBy("order", "doc_id").collect()], np.int64).reshape(-1, 2)  # at most most_rows
+    whole = lengths[np.cumsum(lengths[:, 1]) <= most_bytes, 0]
+    rows = one.filter(F.col("order") <= int(whole[-1])).toArrow().to_pylist() if len(whole) else []
+    rows.sort(key=lambda r: r["doc_id"])
     return train([np.frombuffer(r["words"], np.uint32) for r in rows], np.array([int(r["toxic"] > 0) for r in rows]), [r["lang"] for r in rows], **how)
 
 
