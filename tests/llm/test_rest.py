@@ -95,14 +95,37 @@ def test_mix(spark, seed):
 
 
 def test_mixed_rows(spark):
-    docs = edge(spark)
+    docs = edge(spark).unionByName(spark.createDataFrame([(77, "a b", "en", "c", 1)] * 30 + [(77, "c d", "en", "c", 1)] * 30 + [(None, "e", "en", "c", i) for i in range(40)], SCHEMA), allowMissingColumns=True)
     got = mixing.mixed(docs)
     assert got.columns == docs.columns
-    copies = {(r["doc_id"], r["size"]): r["copies"] for r in mixing.mix(docs).collect()}
-    assert got.count() == sum(r["copies"] for r in mixing.mix(docs).collect()) and copies
+    mix = mixing.mix(docs).collect()
+    want = defaultdict(int)
+    for r in mix:
+        want[r["doc_id"], r["size"], r["source"]] += r["copies"]
+    have = defaultdict(int)
+    for r in got.collect():
+        have[r["doc_id"], len((r["text"] or "").split()), r["source"]] += 1
+    assert {k[::2]: n for k, n in have.items() if k[0] in (77, 1, 6)} == {k[::2]: n for k, n in want.items() if n and k[0] in (77, 1, 6)}
+    assert sum(have.values()) == sum(want.values()) > 0 and len(mix) == docs.count()
     assert mixing.mixed(empty(spark)).count() == 0
 
 
+def test_inclusion_chances(spark):
+    """Over 1,500 sources of 100 documents of unlike sizes each document is taken as often as its fraction says, and every
+    source's words are those of its fractions but for part of a document."""
+    sizes = [int(n) for n in np.random.default_rng(2).lognormal(3, 1, 100) + 1]
+    docs = spark.range(1500).selectExpr("id as s").crossJoin(spark.createDataFrame(list(enumerate(sizes)), "i long, size long"))
+    got = mixing.rounded(docs.selectExpr("concat('s', s) as source", "100L as n", "1000 * s + i as doc_id", "size", "1 as nth", "0.3D as p"), 100, 7).collect()
+    assert len(got) == 150_000 and {r["p"] for r in got} == {0.0, 1.0}
+    share, words = np.zeros(100), defaultdict(float)
+    for r in got:
+        share[r["doc_id"] % 1000] += r["p"] / 1500
+        words[r["source"]] += r["p"] * r["size"]
+    assert np.abs(share - 0.3).max() < 4 * (0.3 * 0.7 / 1500) ** 0.5 + 0.01 and abs(share.mean() - 0.3) < 0.01
+    off = np.abs(np.array(list(words.values())) - 0.3 * sum(sizes))
+    assert off.max() <= max(sizes) and np.median(off) < 30
+
+
 def test_native_plans(spark):
     pages = spark.createDataFrame([(1, "https://a.net/en/1")], "page_id long, url string")
     for df in (mixing.mix(edge(spark)), urlrules.judge(pages, [("block", "net/")])):

@@ -4,8 +4,11 @@ Each source's target is so many copies of each of its documents; the whole part
 probability. Documents meet in pairs: size-weighted mass moves between two fractions, in a random direction that leaves
 their expectations unchanged, until one is 0 or 1; the other goes on to the next pair. Small groups of documents of a
 source are worked off in array expressions, each leaving at most one fraction, and these residuals go up a tree of
-groups. All moves keep the sum of size times copies; only the last residual of a source is rounded, and documents of one
-small group are turned over where that makes up for it.
+groups. All moves keep the sum of size times copies. The last fraction of a source becomes 1 with just this probability;
+documents of some small groups, in random order, are then turned over to bring the source's words back near the target. What
+they make up for is such a share of the words too many or too few that they can make up for either, and only documents
+smaller than both take part, so that a document is as likely to be turned in as out and its chance stays its fraction (nearly: in sources of a score of
+documents one of which holds a third of the words, the small ones' chances were seen to rise by 0.05).
 """
 
 from __future__ import annotations
@@ -18,6 +21,9 @@ from pyspark.sql import functions as F
 from . import common
 
 GROUP = 32
+#: Groups of a source whose documents make up for the last residual.
+EVENING = 16
+ITEM = "struct<size:bigint,doc_id:bigint,nth:int,p:double>"
 TINY = 1e-9
 WORD = r"[^\x20\x09-\x0D]+"
 MOST_BROADCAST = 50_000  # sources; a row of the table of sources is under 1 kB
@@ -56,18 +62,23 @@ def settled(p: Column) -> Column:
     return (p < TINY) | (p > 1 - TINY)
 
 
+def uniform(*of: Column) -> Column:
+    """A number from 0 to 1 told by the columns alone."""
+    return F.shiftrightunsigned(F.xxhash64(*of), 11) / F.lit(float(1 << 53))
+
+
 def pairwise(items: Column, seed: int) -> Column:
-    """items: array of struct<size, doc_id, p>. A struct<done, rest>: items with p 0 or 1, and at most one with a fraction."""
-    item = "struct<size:bigint,doc_id:bigint,p:double>"
+    """items: array of ITEM. A struct<done, rest>: items with p 0 or 1, and at most one with a fraction."""
+    item = ITEM
     none = F.lit(None).cast(item)
 
     def made(x: Column, p: Column) -> Column:
-        return F.struct(x["size"].alias("size"), x["doc_id"].alias("doc_id"), F.when(p < TINY, 0.0).when(p > 1 - TINY, 1.0).otherwise(p).alias("p"))
+        return F.struct(x["size"].alias("size"), x["doc_id"].alias("doc_id"), x["nth"].alias("nth"), F.when(p < TINY, 0.0).when(p > 1 - TINY, 1.0).otherwise(p).alias("p"))
 
     def met(a: Column, b: Column) -> Column:
         rate = b["size"] / a["size"]
         up, down = F.least(1 - a["p"], b["p"] * rate), F.least(a["p"], (1 - b["p"]) * rate)
-        chance = F.shiftrightunsigned(F.xxhash64(F.lit(seed), a["doc_id"], a["size"], b["doc_id"], b["size"]), 11) / F.lit(float(1 << 53))
+        chance = uniform(F.lit(seed), a["doc_id"], a["size"], a["nth"], b["doc_id"], b["size"], b["nth"])
         move = let(F.struct(up.alias("up"), down.alias("down")), lambda m: F.when(chance * (m["up"] + m["down"]) < m["down"], m["up"]).otherwise(-m["down"]))
         return let(move, lambda d: F.struct(made(a, a["p"] + d).alias("a"), made(b, b["p"] - d * a["size"] / b["size"]).alias("b")))
 
@@ -82,11 +93,10 @@ def pairwise(items: Column, seed: int) -> Column:
 
 
 def rounded(items: DataFrame, largest: int, seed: int) -> DataFrame:
-    """items: source, n, doc_id, size, p (a fraction). The same with p 0 or 1, by a reduction tree over groups of a source.
-
-    Groups of about GROUP come from a hash of doc_id; where repeated rows make one longer it is worked off in slices."""
-    group = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size")), F.greatest(F.lit(1), F.ceil(F.col("n") / GROUP)))
-    now = items.select("source", group.cast("long").alias("group"), F.struct("size", "doc_id", "p").alias("item"))
+    """items: source, n, doc_id, size, nth (among equal rows), p (a fraction). The same with p 0 or 1, by a reduction tree over
+    groups of a source. Groups of about GROUP come from a hash of an item, so repeated rows are spread like others."""
+    group = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"), F.col("nth")), F.greatest(F.lit(1), F.ceil(F.col("n") / GROUP)))
+    now = items.select("source", group.cast("long").alias("group"), F.struct("size", "doc_id", "nth", "p").alias("item"))
     done, groups, level = [], -(-largest // GROUP), 0
     while True:
         # the largest first: what is left over at the end is then seldom a long document
@@ -102,29 +112,39 @@ def rounded(items: DataFrame, largest: int, seed: int) -> DataFrame:
         if groups <= 1:
             break
         groups, level = -(-groups // GROUP), level + 1
-    # one fraction a source is left: it goes to the nearer side, and small documents of the source's first group make up for it
-    nearest = F.round("item.p")
-    last = common.written(now.select("source", F.struct(F.col("item.size").alias("size"), F.col("item.doc_id").alias("doc_id"), nearest.alias("p")).alias("item"), (F.col("item.size") * (nearest - F.col("item.p"))).alias("excess")), "mix-rest")
-    first = done[0].filter("group = 0").alias("g").join(last.select(F.col("source").alias("__source"), "excess"), F.col("source").eqNullSafe(F.col("__source")), "left")
-    evened = first.select("source", evenly(F.col("done"), F.coalesce("excess", F.lit(0.0))).alias("done"))
+    # one fraction a source is left: it is drawn, and documents of the source's first group make up for what that adds or takes
+    drawn = F.when(uniform(F.lit(seed), F.lit("last"), F.col("item")) < F.col("item.p"), 1.0).otherwise(0.0)
+    item = F.struct(F.col("item.size").alias("size"), F.col("item.doc_id").alias("doc_id"), F.col("item.nth").alias("nth"), drawn.alias("p"))
+    size, p = F.col("item.size"), F.col("item.p")
+    last = common.written(now.select("source", item.alias("item"), (size * (1 - p)).alias("over"), (size * p).alias("under")), "mix-rest")
+    part = items.groupBy("source").agg(F.max("p").alias("part"))
+    some = done[0].filter(F.col("group") < EVENING).groupBy("source").agg(F.flatten(F.collect_list("done")).alias("done"))  # a bounded number of small groups
+    facts = last.join(part, last["source"].eqNullSafe(part["source"])).select(last["source"].alias("__source"), "part", "over", "under", F.col("item.p").alias("in"))
+    first = some.join(facts, F.col("source").eqNullSafe(F.col("__source")), "left")
+    held = F.aggregate("done", F.lit(0).cast("long"), lambda n, x: n + x["size"])
+    share = F.least(F.lit(1.0), F.col("part") * held / (2 * F.col("over")), (1 - F.col("part")) * held / (2 * F.col("under")))
+    excess = F.when(F.col("in") == 1, share * F.col("over")).otherwise(-share * F.col("under"))
+    evened = first.select("source", evenly(F.col("done"), F.coalesce(excess, F.lit(0.0)), F.coalesce(share * F.least("over", "under"), F.lit(0.0))).alias("done"))
     every = last.select("source", "item").unionByName(evened.select("source", F.explode("done").alias("item")))
     for k, table in enumerate(done):
-        every = every.unionByName((table if k else table.filter("group > 0")).select("source", F.explode("done").alias("item")))
+        every = every.unionByName((table if k else table.filter(F.col("group") >= EVENING)).select("source", F.explode("done").alias("item")))
     return every.select("source", "item.size", "item.doc_id", "item.p")
 
 
-def evenly(items: Column, excess: Column) -> Column:
-    """items with p 0 or 1, some turned over, the largest first, wherever that brings the excess of words nearer to 0."""
-    item = "struct<size:bigint,doc_id:bigint,p:double>"
-    order = F.transform(F.array_sort(F.transform(items, lambda x: F.struct((-x["size"]).alias("s"), F.xxhash64(x).alias("h"), x.alias("x")))), lambda y: y["x"])
+def evenly(items: Column, excess: Column, most: Column) -> Column:
+    """items with p 0 or 1; in the order of a hash those of at most `most` words are turned over until the next one is more than what is
+    left of the excess. (To go on with smaller ones would turn small documents more often than others.)"""
+    order = F.transform(F.array_sort(F.transform(items, lambda x: F.struct(F.xxhash64(x["doc_id"], x["nth"], x["size"]).alias("h"), x.alias("x")))), lambda y: y["x"])
 
     def step(state: Column, x: Column) -> Column:
         sign = 2 * x["p"] - 1
-        turn = (sign * state["excess"] > 0) & (x["size"] < 2 * F.abs(state["excess"]))
-        new = F.struct(x["size"].alias("size"), x["doc_id"].alias("doc_id"), F.when(turn, 1 - x["p"]).otherwise(x["p"]).alias("p"))
-        return F.struct(F.concat(state["out"], F.array(new)).alias("out"), F.when(turn, state["excess"] - sign * x["size"]).otherwise(state["excess"]).alias("excess"))
+        due = (sign * state["excess"] > 0) & (x["size"] <= most)
+        turn = due & (x["size"] <= F.abs(state["excess"]))
+        new = F.struct(x["size"].alias("size"), x["doc_id"].alias("doc_id"), x["nth"].alias("nth"), F.when(turn, 1 - x["p"]).otherwise(x["p"]).alias("p"))
+        left = F.when(turn, state["excess"] - sign * x["size"]).when(due, 0.0).otherwise(state["excess"])
+        return F.struct(F.concat(state["out"], F.array(new)).alias("out"), left.alias("excess"))
 
-    return F.aggregate(order, F.struct(F.array().cast(f"array<{item}>").alias("out"), excess.alias("excess")), step)["out"]
+    return F.aggregate(order, F.struct(F.array().cast(f"array<{ITEM}>").alias("out"), excess.alias("excess")), step)["out"]
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 20_251, text: str = "text") -> DataFrame:
@@ -139,22 +159,32 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(0.0)
     whole = F.floor(F.col("rate") + TINY)
     shares = side.select(F.col("source").alias("__source"), "n", "source_size", "target", rate.alias("rate")).withColumn("whole", whole).withColumn("part", F.greatest(F.lit(0.0), F.col("rate") - F.col("whole")))
-    joined = each.join(shares, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    alike = each.groupBy("source", "doc_id", "size").agg(F.count("*").alias("rows"))  # equal rows meet before the shuffle
+    joined = alike.join(shares, F.col("source").eqNullSafe(F.col("__source"))).drop("__source").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))).drop("rows")
     fractional = (F.col("size") > 0) & ~settled(F.col("part"))
-    parts = rounded(joined.filter(fractional).select("source", "n", "doc_id", "size", F.col("part").alias("p")), known["largest"], seed)
+    parts = rounded(joined.filter(fractional).select("source", "n", "doc_id", "size", "nth", F.col("part").alias("p")), known["largest"], seed)
     back = parts.join(shares, F.col("source").eqNullSafe(F.col("__source"))).select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("p")).cast("long").alias("copies"))
     plain = joined.filter(~fractional).select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("whole")).otherwise(1).cast("long").alias("copies"))
     return back.unionByName(plain).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """`docs` as the mix takes them: rows repeated by their copies, rows with none left out, columns as before."""
+    """`docs` as the mix takes them: rows repeated by their copies, rows with none left out, columns as before.
+
+    Rows meet their copies by doc_id, size and source. Where several rows have these and differ in copies, places among
+    them tell rows apart; equal rows may stand for each other."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
     kinds = dict(docs.dtypes)
     order = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if not kinds[c].startswith(("map", "variant", "void"))])
-    # a row of a repeated doc_id is told apart by its place among them; equal rows may stand for each other
-    taken = mix(docs, **how).select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("source").alias("__source"), "copies")
-    taken = taken.withColumn("__place", F.row_number().over(Window.partitionBy("__id", "__size", "__source").orderBy("copies")))
-    own = docs.withColumn("__order", order).withColumn("__size", sized(docs)).withColumn("__place", F.row_number().over(Window.partitionBy("doc_id", "__size", "source").orderBy("__order")))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (own["__size"] == taken["__size"]) & F.col("source").cast("string").eqNullSafe(F.col("__source")) & (own["__place"] == taken["__place"])
-    return own.join(taken.filter("copies > 0"), same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
+
+    def key(doc_id: Column, size: Column, source: Column) -> Column:
+        return F.concat(F.coalesce(doc_id.cast("long").cast("string"), F.lit("none")), F.lit(":"), size.cast("string"), F.coalesce(F.concat(F.lit(":"), source.cast("string")), F.lit("")))
+
+    taken = common.written(mix(docs, **how).select(key(F.col("doc_id"), F.col("size"), F.col("source")).alias("__key"), "copies"), "taken")
+    keys = taken.groupBy("__key").agg(F.count("*").alias("n"), F.min("copies").alias("__copies"), (F.min("copies") != F.max("copies")).alias("__differ"))
+    own = common.salted_join(docs.withColumn("__key", key(F.col("doc_id"), sized(docs), F.col("source"))), keys, ["__key"], "n", taken.count())
+    place = Window.partitionBy("__key")
+    differ = taken.join(keys.filter("__differ").select("__key"), "__key", "left_semi").withColumn("__place", F.row_number().over(place.orderBy("copies")))
+    placed = own.filter("__differ").withColumn("__place", F.row_number().over(place.orderBy(order))).drop("__copies").join(differ.withColumnRenamed("copies", "__copies"), ["__key", "__place"])
+    every = own.filter("not __differ").select(*columns, "__copies").unionByName(placed.select(*columns, "__copies"))
+    return every.filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*columns)
