@@ -1,20 +1,24 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
 Patterns give base spans (email, ip, card, phone). Tokens with a digit or an at sign are the nodes of a random field over
-the labels none, email, ip, card and phone; other tokens are none. Factors: a log-linear model of a token's shape, a
-transition between neighbouring tokens, and a skip factor between a token and the last one before it in the document with
-the same letters and digits, however distant (a similar token), so that evidence at one place counts at the others. Base
-spans are observed. Loopy sum-product runs on all documents of a batch at once; tokens that it labels with confidence
-and no base span covers become further spans.
-
-Weights come from the base labels of a sample of documents, at most `most_docs`: a gradient fit of the shape factor on
-counts, and smoothed log ratios of counts for the pairs.
+the labels none, email, ip, card and phone; other tokens are none. Factors: a log-linear model of a token's form and the
+word before it, a transition between neighbouring tokens, and skip factors between a token and the last one before it in
+the document, however distant, that is the same but for separators, or similar (the same digits, or the same beginning),
+so that evidence at one place counts at the others. Base spans are observed. Loopy sum-product runs on all documents of a
+batch at once; tokens that it labels with confidence and no base span covers become further spans: a number that runs into
+the next one and so fails its pattern, or a known one written with other separators.
+
+All factors are trained together by pseudo-likelihood (each token's label given its form and its neighbours' labels) on the
+base labels of a sample of documents, at most `most_docs`. Each token counts three times: whole, without its neighbours'
+labels, and without its form, so that factors of the form and of the neighbours are each learnt to do without the other.
+What a similar labelled token speaks for and no pattern takes is left out: its label isn't known.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,7 +36,8 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 ANY = re.compile("[0-9@]")
-TOKEN = re.compile(r"\S*[0-9@]\S*")
+WHITE = re.compile(r"\s")
+GROUP = re.compile("[0-9]+")
 DIGITS = re.compile("[0-9]")
 CORE = re.compile("[^A-Za-z0-9]")
 Span = tuple[int, int, str]
@@ -73,17 +78,36 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def shape(token: str) -> tuple[int, ...]:
-    """What the shape factor sees of a token: counts, each up to a bound."""
+def tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Begin and end of the runs without white space that hold a digit or an at sign. Each character is looked at once."""
+    done, m = 0, ANY.search(text)
+    while m:
+        begin = m.start()
+        while begin > done and not text[begin - 1].isspace():
+            begin -= 1
+        after = WHITE.search(text, m.end())
+        done = after.start() if after else len(text)
+        yield begin, done
+        m = ANY.search(text, done)
+
+
+def shape(token: str, before: str = "") -> tuple[int, ...]:
+    """What the form factor sees of a token: counts, each up to a bound, and the bucket of the word before."""
     letters = sum(map(str.isalpha, token))
+    groups = GROUP.findall(token)
+    digits = "".join(groups)
     return (
-        min(20, len(DIGITS.findall(token))), min(2, token.count("@")), min(4, token.count(".")), min(3, token.count("-")),
+        min(20, len(digits)), min(2, token.count("@")), min(4, token.count(".")), min(3, token.count("-")),
         int(token[0] == "+"), int("(" in token), 0 if not letters else 1 if letters < 4 else 2, int(token[0].isdigit() and token[-1].isdigit()),
+        int(14 <= len(digits) <= 19 and luhn(digits)), min(6, len(groups)), int(len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups)),
+        zlib.crc32(CORE.sub("", before).lower().encode()) % 32,
     )
 
 
-BOUNDS = (21, 3, 5, 4, 2, 2, 3, 2)
+BOUNDS = (21, 3, 5, 4, 2, 2, 3, 2, 2, 7, 2, 32)
 OFFSETS = np.concatenate([[0], np.cumsum(BOUNDS)[:-1]])
+FORM = len(BOUNDS) - 1  # features of the token itself
+PAIRS = ("chain", "same", "like")
 
 
 class Graph:
@@ -93,45 +117,61 @@ class Graph:
         self.tokens: list[tuple[int, int, int]] = []  # document, start, end
         self.shapes: list[tuple[int, ...]] = []
         self.observed: list[int] = []
-        self.chain: list[tuple[int, int]] = []
-        self.skip: list[tuple[int, int]] = []
+        self.edges: dict[str, list[tuple[int, int]]] = {name: [] for name in PAIRS}
 
     def add(self, doc: int, text: str, base: list[Span]) -> None:
-        before, last_end, k = {}, -2, 0
+        """At most one edge of each kind back from a token, and two of `like`: their number is linear."""
+        same, like, last_end, k = {}, {}, -2, 0
         reach: list[Span] = []
-        for m in TOKEN.finditer(text):
-            here = len(self.tokens)
-            while k < len(base) and base[k][0] < m.end():
+        for begin, end in tokens(text):
+            here, token = len(self.tokens), text[begin:end]
+            while k < len(base) and base[k][0] < end:
                 reach.append(base[k])
                 k += 1
-            reach = [s for s in reach if s[1] > m.start()]
-            self.tokens.append((doc, m.start(), m.end()))
-            self.shapes.append(shape(m[0]))
+            reach = [s for s in reach if s[1] > begin]
+            self.tokens.append((doc, begin, end))
+            head = text[max(0, begin - 40) : begin].rsplit(None, 1)
+            self.shapes.append(shape(token, head[-1] if head else ""))
             self.observed.append(1 + KINDS.index(reach[0][2]) if reach else -1)
-            if m.start() == last_end + 1:
-                self.chain.append((here - 1, here))
-            core = CORE.sub("", m[0]).lower()
+            if begin == last_end + 1:
+                self.edges["chain"].append((here - 1, here))
+            core = CORE.sub("", token).lower()
             if len(core) >= 4:
-                if core in before:
-                    self.skip.append((before[core], here))
-                before[core] = here
-            last_end = m.end()
+                linked = {same.get(core)}
+                if core in same:
+                    self.edges["same"].append((same[core], here))
+                same[core] = here
+                digits = "".join(GROUP.findall(core))
+                for key in (("d", digits) if len(digits) >= 6 else None, ("b", core[:8]) if len(core) >= 10 else None):
+                    if key:
+                        if key in like and like[key] not in linked:
+                            self.edges["like"].append((like[key], here))
+                            linked.add(like[key])
+                        like[key] = here
+            last_end = end
 
 
 class Field:
-    def __init__(self, shape_weights: np.ndarray, chain: np.ndarray, skip: np.ndarray):
-        self.shape_weights, self.chain, self.skip = shape_weights, chain, skip
+    """weights: rows of all features, labels; pairs: a matrix for each kind of edge, label of the earlier token first."""
 
-    def marginals(self, graph: Graph, rounds: int = 20, damping: float = 0.3) -> np.ndarray:
-        """Label probabilities of all tokens by loopy sum-product, edges in parallel, until messages rest."""
-        unary = self.shape_weights[OFFSETS + np.array(graph.shapes, np.int64)].sum(1)
+    def __init__(self, shape_weights: np.ndarray, pairs: dict[str, np.ndarray]):
+        self.shape_weights, self.pairs = shape_weights, pairs
+
+    def unary(self, graph: Graph) -> np.ndarray:
+        unary = self.shape_weights[OFFSETS + np.array(graph.shapes, np.int64).reshape(-1, len(BOUNDS))].sum(1)
         unary -= unary.max(1, keepdims=True)
         seen = np.array(graph.observed)
         unary[seen >= 0] = -20
         unary[seen >= 0, seen[seen >= 0]] = 0
-        edges = np.array([*graph.chain, *graph.skip], np.int64).reshape(-1, 2)
+        return unary
+
+    def marginals(self, graph: Graph, rounds: int = 30, damping: float = 0.3) -> np.ndarray:
+        """Label probabilities of all tokens by loopy sum-product, edges in parallel, until messages rest."""
+        unary = self.unary(graph)
+        kinds = [(np.array(graph.edges[name], np.int64).reshape(-1, 2), self.pairs[name]) for name in PAIRS]
+        edges = np.concatenate([e for e, _ in kinds])
         if len(edges):
-            pair = np.concatenate([np.repeat(self.chain[None], len(graph.chain), 0), np.repeat(self.skip[None], len(graph.skip), 0)])
+            pair = np.concatenate([np.repeat(m[None], len(e), 0) for e, m in kinds])
             source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
             pair = np.concatenate([pair, pair.transpose(0, 2, 1)])
             message = np.zeros((len(source), len(KINDS) + 1))
@@ -151,7 +191,7 @@ class Field:
         unary = np.exp(unary - unary.max(1, keepdims=True))
         return unary / unary.sum(1, keepdims=True)
 
-    def spans(self, texts: list[str], confidence: float = 0.9) -> list[tuple[list[Span], list[Span]]]:
+    def spans(self, texts: list[str], confidence: float = 0.8) -> list[tuple[list[Span], list[Span]]]:
         """Base spans and all spans of each text. Neighbouring tokens of one kind make one span."""
         base = [base_spans(t) for t in texts]
         graph = Graph()
@@ -182,9 +222,62 @@ def trimmed(text: str, span: Span) -> Span:
     return begin, end, kind
 
 
+def instances(graph: Graph) -> Iterator[tuple[int, ...]]:
+    """For each token with a known label: its label, the labels of its neighbours (before and after, for each kind of edge; -1
+    where there is none) and its shape. A token without a base label counts as none unless a similar one has a label."""
+    labels = [max(0, x) for x in graph.observed]
+    around = np.full((len(labels), 2 * len(PAIRS)), -1)
+    for k, name in enumerate(PAIRS):
+        for a, b in graph.edges[name]:
+            around[b, 2 * k], around[a, 2 * k + 1] = labels[a], labels[b]
+    for y, own, form in zip(labels, around.tolist(), graph.shapes, strict=True):
+        if y or max(own[2:]) <= 0:
+            yield (y, *own, *form)
+
+
+def trained(rows: list[tuple[int, ...]], counts: list[int], steps: int = 500) -> Field:
+    """All factors by gradient ascent on the pseudo-likelihood of `rows` (see instances), with a quadratic penalty."""
+    n_labels, n_around = len(KINDS) + 1, 2 * len(PAIRS)
+    w = np.zeros((sum(BOUNDS), n_labels))
+    pairs = np.zeros((len(PAIRS), n_labels, n_labels))
+    if not rows:
+        w[:, 0] = 5.0
+        return Field(w, dict(zip(PAIRS, pairs, strict=True)))
+    table, n = np.array(rows), np.array(counts, np.float64)
+    y, around, keys = table[:, 0], table[:, 1 : 1 + n_around], table[:, 1 + n_around :] + OFFSETS
+    # every label weighs alike in the mean of its square root and its count: entities are few
+    n = n * np.sqrt(n.sum() / np.bincount(y, n, n_labels))[y]
+    n /= n.sum()
+    goal = np.eye(n_labels)[y]
+    alone, bare = np.full_like(around, -1), np.zeros_like(keys, bool)
+    bare[:, :FORM] = True
+    views = [(around, np.zeros_like(bare)), (alone, np.zeros_like(bare)), (around, bare)]
+    speeds = [np.zeros_like(w), np.zeros_like(pairs)]
+    for _ in range(steps):
+        pull_w, pull_p = -1e-4 * w, -1e-4 * pairs
+        for near, hidden in views:
+            z = np.where(hidden[:, :, None], 0, w[keys]).sum(1)
+            for k in range(len(PAIRS)):
+                before, after = near[:, 2 * k], near[:, 2 * k + 1]
+                z += np.where(before[:, None] >= 0, pairs[k][before], 0) + np.where(after[:, None] >= 0, pairs[k][:, after].T, 0)
+            p = np.exp(z - z.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            g = (goal - p) * (n / len(views))[:, None]
+            np.add.at(pull_w, keys[~hidden], np.repeat(g, (~hidden).sum(1), 0))
+            for k in range(len(PAIRS)):
+                before, after = near[:, 2 * k], near[:, 2 * k + 1]
+                np.add.at(pull_p[k], before[before >= 0], g[before >= 0])
+                np.add.at(pull_p[k].T, after[after >= 0], g[after >= 0])
+        for value, speed, pull in ((w, speeds[0], pull_w), (pairs, speeds[1], pull_p)):
+            speed *= 0.9
+            speed += 0.5 * pull
+            value += speed
+    return Field(w, dict(zip(PAIRS, pairs, strict=True)))
+
+
 def fit(docs: DataFrame, most_docs: int = 4_000, text: str = "text") -> Field:
-    """Weights from the documents with candidate tokens that have the least hash of doc_id, at most `most_docs`. Without any the field
-    labels nothing."""
+    """The field trained on the documents with candidate tokens that have the least hash of doc_id, at most `most_docs`. Without any
+    the field labels nothing."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.whole_text(text).alias("__text")).filter(F.col("__text").rlike("[0-9@]"))
     chosen = source.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
     sample = source.join(F.broadcast(chosen), "doc_id", "left_semi")  # at most most_docs ids
@@ -196,43 +289,12 @@ def fit(docs: DataFrame, most_docs: int = 4_000, text: str = "text") -> Field:
                 graph = Graph()
                 for i, t in enumerate(part["__text"].to_pylist()):
                     graph.add(i, t, base_spans(t))
-                labels = [max(0, x) for x in graph.observed]
-                counts.update(("shape", *s, y) for s, y in zip(graph.shapes, labels, strict=True))
-                for name, edges in (("chain", graph.chain), ("skip", graph.skip)):
-                    counts.update((name, labels[a], labels[b]) for a, b in edges)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], "string"), pa.array([list(k[1:]) for k in counts], pa.list_(pa.int32())), pa.array(list(counts.values()), "int64")], ["name", "key", "n"])
-
-    # as many rows as shapes there are, whose number is bounded
-    rows = sample.mapInArrow(counted, "name string, key array<int>, n long").groupBy("name", "key").agg(F.sum("n").alias("n")).collect()
-    n_labels = len(KINDS) + 1
-    pairs = {name: np.full((n_labels, n_labels), 0.5) + (3.0 if name == "skip" else 0) * np.eye(n_labels) for name in ("chain", "skip")}
-    shapes, weights = [], []
-    for name, key, n in sorted((r["name"], list(r["key"]), r["n"]) for r in rows):
-        if name == "shape":
-            shapes.append(key)
-            weights.append(n)
-        else:
-            pairs[name][key[0], key[1]] += n
-    logs = {}
-    for name, c in pairs.items():
-        c = c + c.T
-        logs[name] = np.clip(np.log(c * c.sum() / np.outer(c.sum(1), c.sum(0))), -4, 4)
-    w = np.zeros((sum(BOUNDS), n_labels))
-    if shapes:
-        keys, n = np.array(shapes)[:, :-1] + OFFSETS, np.array(weights, np.float64)
-        y = np.eye(n_labels)[np.array(shapes)[:, -1]]
-        speed = np.zeros_like(w)
-        for _ in range(400):
-            z = w[keys].sum(1)
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            g = np.zeros_like(w)
-            np.add.at(g, keys, ((p - y) * (n / n.sum())[:, None])[:, None, :].repeat(keys.shape[1], 1))
-            speed = 0.9 * speed - 0.5 * (g + 1e-4 * w)
-            w += speed
-    else:
-        w[:, 0] = 5.0
-    return Field(w, logs["chain"], logs["skip"])
+                counts.update(instances(graph))
+        yield pa.RecordBatch.from_arrays([pa.array(list(map(list, counts)), pa.list_(pa.int32())), pa.array(list(counts.values()), "int64")], ["key", "n"])
+
+    # as many rows as the sample has kinds of tokens in kinds of surroundings
+    rows = sorted((tuple(r["key"]), r["n"]) for r in sample.mapInArrow(counted, "key array<int>, n long").groupBy("key").agg(F.sum("n").alias("n")).collect())
+    return trained([k for k, _ in rows], [n for _, n in rows])
 
 
 def joined(spans: list[Span]) -> str:
@@ -278,6 +340,7 @@ def redacted(docs: DataFrame, field: Field, text: str = "text", length: str | No
                 columns = list(part.columns)
                 columns[at] = pa.array(out, columns[at].type)
                 yield pa.RecordBatch.from_arrays(columns, part.schema.names)
+        common.trimmed()
 
     clean = docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
     if length in docs.columns:
