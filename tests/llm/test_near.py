@@ -184,3 +184,22 @@ def test_media_addresses(spark):
     rows = index.collect()
     assert len(rows) == 400 and len({r["digest"] for r in rows}) == len({tuple(r[1:]) for r in rows}) == 40
     assert {r["doc_id"]: r["payload_sha256"] for r in media.read_back(index).collect()} == {i: hashlib.sha256(media.padded(texts[i % 40 if i % 3 else 0])).hexdigest() for i in range(400)}
+
+
+def test_written_tables_go(spark):
+    """Tables of a round go with it, and all others when the application sweeps."""
+    from pathlib import Path
+
+    from tracemill.llm import common
+
+    chain = spark.createDataFrame([(i, i + 1) for i in range(12)], "a long, b long")
+    assert {(r["node"], r["root"]) for r in simhash.components(chain).collect()} == {(i, 0) for i in range(13)}
+    folder = Path(common.scratch(spark, "x").removeprefix("file://")).parent
+    assert len(list(folder.glob("edges-*"))) >= 1
+    mine = common.written(chain, "mine")
+    common.dropped(mine)
+    assert not list(folder.glob("mine-*"))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        common.shared_dir(type("S", (), {"conf": {}, "sparkContext": type("C", (), {"master": "spark://x"})})())
+    common.swept(spark)
+    assert not folder.exists()

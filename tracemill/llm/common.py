@@ -22,10 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: `spark.checkpoint.dir` of the session.
 
-    Where the session has none (small tests on one machine) a temporary folder becomes the checkpoint folder.
+    Where a session on one machine has none (small tests) a temporary folder becomes the checkpoint folder; on a cluster that
+    would be a folder of each machine's own, so a session without the setting is an error there.
     """
     told = spark.conf.get("spark.checkpoint.dir", None)
     if not told:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         told = f"file://{tempfile.mkdtemp(prefix='tracemill-')}"
         spark.conf.set("spark.checkpoint.dir", told)
         spark.sparkContext.setCheckpointDir(told)
@@ -35,8 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/tracemill/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's part of the shared folder."""
+    return f"{shared_dir(spark)}/tracemill/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -44,7 +47,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
 
 
 def salted_join(rows: DataFrame, side: DataFrame, on: list[str], n: str, total: int, how: str = "inner", spread: tuple[str, ...] = ()) -> DataFrame:
@@ -62,9 +67,16 @@ def salted_join(rows: DataFrame, side: DataFrame, on: list[str], n: str, total:
     return dealt.join(spread, [*on, "__salt"], how).drop("__salt")
 
 
-def dropped(spark: SparkSession, path: str) -> None:
-    """Delete a scratch path through Spark's own file system layer."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that `written` made and nothing reads any more."""
+    for table in tables:
+        spark, at = table.sparkSession, table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def swept(spark: SparkSession) -> None:
+    """Delete all that this application has written to the shared folder; to be called when its results are stored elsewhere."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tracemill/{spark.sparkContext.applicationId}")
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 

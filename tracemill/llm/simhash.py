@@ -279,7 +279,9 @@ def components(edges: DataFrame) -> DataFrame:
         same = new.agg(F.count("*").alias("n"), F.count_distinct("b").alias("d")).first()
         if same["n"] == same["d"] and new.select("a").distinct().join(new.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
             break
+        common.dropped(now)
         now = new
+    common.dropped(now)
     return new.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(new.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 

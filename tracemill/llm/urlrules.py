@@ -88,8 +88,10 @@ def wildcards(now: DataFrame, fanout: int) -> DataFrame:
         rare = of.filter("child != '*'").join(parent, "parent").filter(F.col("of") * fanout < F.col("all")).select("node", F.lit("*").alias("name"))
         rare = common.written(rare, "rare")
         if rare.isEmpty():
+            common.dropped(each, rare)
             return now
         now = renamed(now, each, rare)
+        common.dropped(each, rare)
 
 
 def merges(now: DataFrame, alike: float, distance: float) -> DataFrame:
@@ -114,8 +116,10 @@ def merges(now: DataFrame, alike: float, distance: float) -> DataFrame:
         group = close.groupBy("parent", "main").agg(F.count("*").alias("n"), F.concat(F.lit("~"), F.regexp_replace(F.min("child"), "^~", "")).alias("name")).filter("n > 1")
         names = common.written(close.join(group.drop("n"), ["parent", "main"]).select("node", "name"), "merged")
         if names.isEmpty():
+            common.dropped(each, known, names)
             return now
         now = renamed(now, each, names)
+        common.dropped(each, known, names)
 
 
 def domains(host: Column) -> Column:
