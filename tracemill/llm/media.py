@@ -44,7 +44,7 @@ def chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
 
-def picture(payload: bytes, level: int = 1) -> bytes:
+def picture(payload: bytes, level: int = 6) -> bytes:
     rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
     lines = np.zeros((len(rows), WIDTH + 1), np.uint8)  # a leading 0: the row isn't filtered
     lines[:, 1:] = rows
@@ -102,11 +102,12 @@ class TarWriter:
         self.out.close()
 
 
-def store(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The written index: doc_id, digest (sha256 of the stored picture), shard (path), offset and length of each row.
+def placed(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The written places of the rows' pictures: doc_id, digest (sha256 of the stored picture), shard (path), offset and length, where
+    the row's own task has put them.
 
-    A null text is stored as an empty one; equal texts have equal digests and one address (other shards that met them keep
-    an unused copy); repeated rows stay; other columns are left out; an empty table gives an empty index."""
+    A null text is stored as an empty one; equal texts have equal digests; repeated rows stay; other columns are left out; an
+    empty table gives no places."""
     spark = docs.sparkSession
     folder = common.scratch(spark, "media")
 
@@ -129,14 +130,24 @@ def store(docs: DataFrame, text: str = "text") -> DataFrame:
             shard.close()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.whole_text(text).alias("__text"))
-    places = common.written(source.mapInArrow(run, "doc_id long, digest string, shard string, offset long, length long"), "media-places")
-    owners = places.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at"), F.count("*").alias("n")).select("digest", "n", "at.*")
-    return common.written(common.salted_join(places.select("doc_id", "digest"), owners, ["digest"], "n", places.count(), spread=("doc_id",)).select("doc_id", "digest", "shard", "offset", "length"), "media-index")
+    return common.written(source.mapInArrow(run, "doc_id long, digest string, shard string, offset long, length long"), "media-places")
+
+
+def addresses(places: DataFrame) -> DataFrame:
+    """One address (shard, offset, length) of each digest, and n, its rows."""
+    return places.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at"), F.count("*").alias("n")).select("digest", "n", "at.*")
+
+
+def store(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The index: doc_id, digest, shard, offset and length of each row, all rows of a content with one address (other shards that met it
+    keep an unused copy)."""
+    places = placed(docs, text)
+    return common.salted_join(places.select("doc_id", "digest"), addresses(places), ["digest"], "n", places.count(), spread=("doc_id",)).select("doc_id", "digest", "shard", "offset", "length")
 
 
-def contents(index: DataFrame) -> DataFrame:
-    """The written contents of an index: digest, shard, offset, length and n (its rows), dealt to tasks by bytes."""
-    each = common.written(index.groupBy("digest", "shard", "offset", "length").agg(F.count("*").alias("n")), "media-contents")
+def contents(places: DataFrame) -> DataFrame:
+    """The contents of places or of an index (see addresses), dealt to tasks by bytes."""
+    each = common.written(addresses(places), "media-contents")
     size = each.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()["bytes"]
     return each.repartitionByRange(max(1, -(-size // TASK_BYTES)), "shard", "offset").sortWithinPartitions("shard", "offset")
 
@@ -194,7 +205,7 @@ def features(each: DataFrame) -> DataFrame:
 
 
 def read_back(index: DataFrame) -> DataFrame:
-    """Per row of `index`: doc_id, the columns of FEATURES, and the address digest, shard, offset, length with the metadata width,
+    """Per row of `index` (or of places): doc_id, the columns of FEATURES, and the address digest, shard, offset, length with the metadata width,
     height and bits. Each content is read once, its header by `metadata` and the whole by `features`."""
     known = common.written(features(metadata(contents(index))), "media-features")
     return common.salted_join(index.select("doc_id", "digest"), known, ["digest"], "n", index.count(), spread=("doc_id",)).select("doc_id", *FEATURES, "digest", "shard", "offset", "length", "width", "height", "bits")

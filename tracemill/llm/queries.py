@@ -61,8 +61,7 @@ def op9_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = media.store(common.table(spark, sf_dir, "documents"))
-    return media.read_back(index)
+    return media.read_back(media.placed(common.table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
