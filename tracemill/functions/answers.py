@@ -57,7 +57,7 @@ def repaired_all(texts: pd.Series) -> pd.Series:
 
 def repair(text: Column) -> Column:
     """`repaired` over Arrow batches."""
-    return F.pandas_udf(repaired_all, "string", F.PandasUDFType.SCALAR)(text)
+    return F.pandas_udf(repaired_all, "string")(text)
 
 
 def calls(answer: Column) -> Column:

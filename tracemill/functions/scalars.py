@@ -30,7 +30,7 @@ def content_hash(text: Column) -> Column:
 
 def estimate_tokens(text: Column) -> Column:
     """0 for no text, else the whole part of 0.9 a CJK character and 0.25 any other, and 1."""
-    cjk = F.length(F.regexp_replace(text, r"[^\x{2e80}-\x{9fff}\x{ac00}-\x{d7af}]", ""))
+    cjk = F.regexp_count(text, F.lit(r"[\x{2e80}-\x{9fff}\x{ac00}-\x{d7af}]"))
     return F.when(F.length(text) > 0, F.floor(cjk * F.lit(0.9) + (F.length(text) - cjk) / F.lit(4.0)).cast("long") + 1).otherwise(F.lit(0).cast("long"))
 
 
@@ -176,8 +176,11 @@ def seconds_since(then: Column, now: Column) -> Column:
 
 
 def duration_label(ms: Column) -> Column:
-    whole = F.round(ms).cast("long")
-    return F.when(ms.isNull() | F.isnan(ms.cast("double")), "-").when(ms < 1000, F.concat(whole.cast("string"), F.lit(" ms"))).when(ms < 60_000, F.concat(F.format_string("%.1f", ms / 1000.0), F.lit(" s"))).otherwise(
+    """ms, seconds to a tenth, or minutes and seconds; a dash for null and NaN. Halves of the decimal value round up."""
+    exact = F.when(~F.isnan(ms.cast("double")), ms.cast("decimal(24,6)"))
+    whole = F.round(exact).cast("long")
+    seconds = F.round(exact / F.lit(1000).cast("decimal(4,0)"), 1).cast("decimal(24,1)").cast("string")
+    return F.when(exact.isNull(), "-").when(exact < 1000, F.concat(whole.cast("string"), F.lit(" ms"))).when(exact < 60_000, F.concat(seconds, F.lit(" s"))).otherwise(
         F.concat((whole / 60_000).cast("long").cast("string"), F.lit(" m "), F.floor(F.pmod(whole, F.lit(60_000)) / 1000).cast("string"), F.lit(" s")))
 
 
@@ -221,3 +224,9 @@ def clean_path(path: Column) -> Column:
 def bounded(items: Column, n: int) -> Column:
     """struct<items, omitted>: the first n and how many more there are."""
     return F.struct(F.slice(items, 1, n).alias("items"), F.greatest(F.size(items) - n, F.lit(0)).alias("omitted"))
+
+
+def dataflow_outcome(sink: Column, sources: Column, answered: Column, flows: Column) -> Column:
+    """What an engine's answer says about a claim: without a sink or candidates of sources nothing was asked (error), without an answer
+    the claim goes on by other means (fallback), else a flow was found or not."""
+    return F.when(~F.coalesce(sink, F.lit(False)) | (F.coalesce(sources, F.lit(0)) == 0), "error").when(~F.coalesce(answered, F.lit(False)), "fallback").when(F.coalesce(flows, F.lit(0)) == 0, "no_path").otherwise("flow")

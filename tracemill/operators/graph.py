@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import materialised
+from .store import discarded, materialised
 
 
 def walk(edges: DataFrame, starts: DataFrame, max_depth: int, fan_out: int, max_nodes: int | None = None) -> DataFrame:
@@ -28,7 +28,9 @@ def walk(edges: DataFrame, starts: DataFrame, max_depth: int, fan_out: int, max_
         frontier = materialised(placed.select("root", "node", F.lit(depth).alias("depth"), F.col("by.parent").alias("parent"), F.col("found").cast("long").alias("found")))
         if frontier.isEmpty():
             break
-        seen = materialised(seen.unionByName(frontier))
+        before, seen = seen, materialised(seen.unionByName(frontier))
+        if before is not frontier and depth > 1:
+            discarded(before)
     return seen
 
 
@@ -44,9 +46,16 @@ def components(edges: DataFrame) -> DataFrame:
         size = new.agg(F.count("*").alias("n"), F.count_distinct("b").alias("d")).first()
         if size["n"] == size["d"] and new.select("a").distinct().join(new.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
             return new.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(new.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+        discarded(now)
         now = new
 
 
+def stars(places: DataFrame, shared: str, member: str) -> DataFrame:
+    """Edges a, b that join all members of what is shared: a star around the first one, not all pairs."""
+    hub = places.groupBy(shared).agg(F.min(member).alias("a"))
+    return places.join(hub, shared).filter(F.col(member) != F.col("a")).select("a", F.col(member).alias("b"))
+
+
 WALKED = "root long, kind string, node long, parent long, depth int, direction string, rule string, confidence double, place int, queued boolean"
 
 

@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     told = spark.conf.get("spark.checkpoint.dir", None)
-    if not told:  # one machine, as in tests
+    if not told:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        # one machine, as in tests
         told = f"file://{tempfile.mkdtemp(prefix='tracemill-')}"
         spark.conf.set("spark.checkpoint.dir", told)
     return told.rstrip("/")
@@ -19,6 +22,24 @@ def shared_dir(spark: SparkSession) -> str:
 def materialised(df: DataFrame) -> DataFrame:
     """`df` written and read again: later uses see one result, and lineage ends here."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tracemill-tables/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tracemill-tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Delete tables that `materialised` made and nothing reads any more."""
+    for table in tables:
+        delete(table.sparkSession, table.scratch_path)
+
+
+def swept(spark: SparkSession) -> None:
+    """Delete all tables of this application; to be called when its results are stored elsewhere."""
+    delete(spark, f"{shared_dir(spark)}/tracemill-tables/{spark.sparkContext.applicationId}")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

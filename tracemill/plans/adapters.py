@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    @property
+    @cached_property
     def n_paths(self) -> Column:
         return F.lit(self.supplier.count())
 
@@ -35,7 +37,7 @@ class Tables:
             (F.col("p_partkey") * 7 % 400 + F.col("p_size")).alias("end"), F.col("p_brand").alias("provider"), F.col("p_type").alias("kind"), F.col("p_name").alias("name"), F.col("p_size").cast("long").alias("chars"))
 
     def edges(self) -> DataFrame:
-        return self.lineitem.filter("l_linenumber = 1").select(F.col("l_suppkey").alias("source"), (F.col("l_partkey") % self.n_paths).alias("target")).distinct().withColumn("ord", F.col("target"))
+        return self.lineitem.select(F.col("l_suppkey").alias("source"), (F.col("l_partkey") % self.n_paths).alias("target")).distinct().withColumn("ord", F.col("target"))
 
     def reads(self) -> DataFrame:
         offset = F.col("l_linenumber") * F.col("l_suppkey") % 90 + 1
@@ -55,7 +57,7 @@ SQL = {
         from lineitem join orders on l_orderkey = o_orderkey""",
     "v_methods": """select 'm' || p_partkey::varchar method_id, p_partkey, p_partkey % (select count(*) from supplier) path_id, p_partkey * 7 % 400 "start", p_partkey * 7 % 400 + p_size "end",
         p_brand provider, p_type kind, p_name "name", p_size::bigint chars from part""",
-    "v_edges": "select distinct l_suppkey source, l_partkey % (select count(*) from supplier) target, l_partkey % (select count(*) from supplier) ord from lineitem where l_linenumber = 1",
+    "v_edges": "select distinct l_suppkey source, l_partkey % (select count(*) from supplier) target, l_partkey % (select count(*) from supplier) ord from lineitem",
     "v_reads": "select l_partkey file, l_linenumber step, l_orderkey run, l_linenumber * l_suppkey % 90 + 1 lo, l_linenumber * l_suppkey % 90 + trunc(l_quantity)::bigint hi, 100::bigint total from lineitem",
     "v_trail": """select event_id seq, event_id * 7919 % 10007 arrival, ts, user_id run, event_type, case event_type when 'signup' then 'agent_start' when 'error' then 'agent_end' else 'agent_step' end kind,
         (props::json ->> '$.k')::int k, round("value" * 100)::bigint cents from events""",

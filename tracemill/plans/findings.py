@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, scalars
-from ..operators import intervals, rows
+from ..operators import folds, intervals, joins, ledger, rows, totals, views
 from .adapters import Tables
 from .registry import query
 
@@ -15,17 +15,17 @@ RANK = "case severity when 'error' then 0 when 'warning' then 1 when 'info' then
 
 @query("AG-8", "select \"rule\", severity, count(*) n, count(distinct path) paths from v_findings group by all")
 def scan_record_rules(t: Tables) -> DataFrame:
-    return t.findings().groupBy("rule", "severity").agg(F.count("*").alias("n"), F.count_distinct("path").alias("paths"))
+    return totals.scan_counts(t.findings(), "rule", "severity")
 
 
 @query("AG-8", "select path, count(*) n from v_findings group by path order by n desc, path limit 10")
 def scan_record_paths_top10(t: Tables) -> DataFrame:
-    return t.findings().groupBy("path").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "path").limit(10)
+    return totals.top_paths(t.findings(), 10)
 
 
 @query("AG-8", "select count(*) n, count(*) = 0 suspicious from v_findings where severity = 'info'")
 def scan_suspicious_zero(t: Tables) -> DataFrame:
-    return t.findings().filter("severity = 'info'").agg(F.count("*").alias("n")).withColumn("suspicious", F.col("n") == 0)
+    return totals.suspicious_zero(t.findings().filter("severity = 'info'"))
 
 
 @query("PRJ-1", """select o_orderkey, case lower(trim(substr(o_orderpriority, 3))) when 'high' then 'error' when 'medium' then 'warning' when 'low' then 'info' when 'urgent' then null end named,
@@ -51,11 +51,13 @@ LOCATED = """select * from (select f.*, m.method_id, m.start, m."end", m.chars,
     from (select distinct * from v_findings) f join v_methods m on f.path_id = m.path_id and f.line between m.start and m."end") where n = 1"""
 
 
-def located(t: Tables) -> DataFrame:
-    """Findings with the innermost method that contains them."""
-    points = t.findings().distinct()
+def located(t: Tables, *columns: str) -> DataFrame:
+    """Distinct findings (finding_id, run, col, line, path_id and `columns`) with the innermost method that contains them: places are
+    located once each, and findings join them by place."""
+    points = t.findings().select("finding_id", "run", "col", "line", "path_id", *columns).distinct()
     methods = t.methods().select("path_id", "method_id", "p_partkey", "start", "end", "chars")
-    return intervals.innermost(points, methods, "path_id", "line", "start", "end", ["finding_id", "run", "col", "line", "path_id"], F.col("end") - F.col("start"), F.col("p_partkey"))
+    best = joins.innermost(points, methods, "path_id", "line", "start", "end", ["method_id", "start", "chars"], F.col("end") - F.col("start"), F.col("p_partkey"))
+    return points.join(best, ["path_id", "line"])
 
 
 @query("JN-1 PRJ-2 PRJ-3", f"select finding_id, line, method_id, start method_start from ({LOCATED})")
@@ -66,17 +68,14 @@ def locate_innermost(t: Tables) -> DataFrame:
 @query("JN-2", """select f.finding_id, f.line, count(*) depth, string_agg(m.method_id, '>' order by m."end" - m.start desc, m.p_partkey) chain
     from (select distinct finding_id, line, path_id from v_findings) f join v_methods m on f.path_id = m.path_id and f.line between m.start and m."end" group by all""")
 def containing_chain(t: Tables) -> DataFrame:
-    points = t.findings().select("finding_id", "line", "path_id").distinct()
-    inside = points.join(t.methods(), "path_id").filter("line between start and end")
-    each = F.array_sort(F.collect_list(F.struct((F.col("start") - F.col("end")).alias("s"), "p_partkey", "method_id")))
-    return inside.groupBy("finding_id", "line").agg(F.count("*").alias("depth"), F.array_join(F.transform(each, lambda x: x["method_id"]), ">").alias("chain"))
+    return joins.containing_chain(t.findings(), t.methods(), "path_id", "line", "start", "end", "method_id", "p_partkey", ["finding_id", "line"])
 
 
 @query("SO-6", f"""select finding_id, line, method_id, case when place <= 500 then 'kept' else 'max_contexts' end outcome from (
     select *, row_number() over (order by {RANK}, path, line, finding_id, run, col) place from ({LOCATED}))""")
 def locate_cap_prunes(t: Tables) -> DataFrame:
     order = [scalars.severity_rank(F.col("severity")), F.col("path"), F.col("line"), F.col("finding_id"), F.col("run"), F.col("col")]
-    found = located(t).withColumn("rank", order[0])
+    found = located(t, "severity", "path").withColumn("rank", order[0])
     cut = found.orderBy(*order).limit(500).select("finding_id", "run", "col", "line", "path_id").withColumn("kept", F.lit(True))  # a bounded cap
     joined = found.join(F.broadcast(cut), ["finding_id", "run", "col", "line", "path_id"], "left")
     return joined.select("finding_id", "line", "method_id", F.when(F.col("kept"), "kept").otherwise("max_contexts").alias("outcome"))
@@ -84,7 +83,7 @@ def locate_cap_prunes(t: Tables) -> DataFrame:
 
 @query("SO-2 GR-3 AG-6", f"select method_id, count(*) findings, min(line) first_line, min({RANK}) worst, string_agg(distinct \"rule\", ',' order by \"rule\") rules from ({LOCATED}) group by method_id")
 def context_groups(t: Tables) -> DataFrame:
-    return located(t).groupBy("method_id").agg(F.count("*").alias("findings"), F.min("line").alias("first_line"), F.min(scalars.severity_rank(F.col("severity"))).alias("worst"), F.array_join(F.array_sort(F.collect_set("rule")), ",").alias("rules"))
+    return located(t, "severity", "rule").groupBy("method_id").agg(F.count("*").alias("findings"), F.min("line").alias("first_line"), F.min(scalars.severity_rank(F.col("severity"))).alias("worst"), F.array_join(F.array_sort(F.collect_set("rule")), ",").alias("rules"))
 
 
 @query("AG-6", f"select path, min_by(severity, {RANK}) worst, coalesce(min_by(severity, {RANK}) filter (where severity = 'info'), 'none') worst_info from v_findings group by path")
@@ -96,33 +95,27 @@ def worst_severity(t: Tables) -> DataFrame:
 
 @query("GR-5 SO-3", """select path_id, line, "rule", count(*) members, max_by(finding_id, (weight, col, finding_id)) representative, max(weight) weight from v_findings group by path_id, line, "rule" """)
 def claim_groups_representative(t: Tables) -> DataFrame:
-    return t.findings().groupBy("path_id", "line", "rule").agg(F.count("*").alias("members"), F.max_by("finding_id", F.struct("weight", "col", "finding_id")).alias("representative"), F.max("weight").alias("weight"))
+    return folds.claim_groups(t.findings(), ["path_id", "line", "rule"], "finding_id", "weight", "col")
 
 
 @query("GR-12 LG-26 LG-28", """with reps as (select path_id, line, "rule", max_by(finding_id, (weight, col, finding_id)) rep, max(weight) w from v_findings group by all)
     select f.finding_id, r.rep, case when r.w % 3 = 0 then 'confirmed' when r.w % 3 = 1 then 'rejected' else 'uncertain' end verdict, f.finding_id <> r.rep inherited
     from v_findings f join reps r on f.path_id = r.path_id and f.line is not distinct from r.line and f."rule" = r."rule" """)
 def verdict_fan_out(t: Tables) -> DataFrame:
-    f = t.findings()
-    reps = f.groupBy("path_id", "line", "rule").agg(F.max_by("finding_id", F.struct("weight", "col", "finding_id")).alias("rep"), F.max("weight").alias("w"))
-    verdict = F.when(F.col("w") % 3 == 0, "confirmed").when(F.col("w") % 3 == 1, "rejected").otherwise("uncertain")
-    return f.alias("f").join(reps.alias("r"), (F.col("f.path_id") == F.col("r.path_id")) & F.col("f.line").eqNullSafe(F.col("r.line")) & (F.col("f.rule") == F.col("r.rule"))).select("finding_id", "rep", verdict.alias("verdict"), (F.col("finding_id") != F.col("rep")).alias("inherited"))
+    return folds.fanned_out(t.findings().select("finding_id", "path_id", "line", "rule", "weight", "col"), ["path_id", "line", "rule"], "finding_id", F.struct("weight", "col", "finding_id"), F.when(F.col("__w.weight") % 3 == 0, "confirmed").when(F.col("__w.weight") % 3 == 1, "rejected").otherwise("uncertain"))
 
 
 @query("JN-5 JN-7 PRJ-12", """select o.o_orderkey, c.c_mktsegment, case when o.o_orderstatus = 'F' then 'confirmed' when o.o_orderstatus = 'O' then 'rejected' else 'uncertain' end verdict,
     case when c.c_custkey is null then 'low' when o.o_totalprice > 200000 then 'medium' else 'high' end severity from orders o left join customer c on o.o_custkey = c.c_custkey and c.c_acctbal > 0""")
 def findings_assembly(t: Tables) -> DataFrame:
     verdict = F.when(F.col("o_orderstatus") == "F", "confirmed").when(F.col("o_orderstatus") == "O", "rejected").otherwise("uncertain")
-    severity = F.when(F.col("c_custkey").isNull(), "low").when(F.col("o_totalprice") > 200000, "medium").otherwise("high")
-    paths = t.customer.filter("c_acctbal > 0").select("c_custkey", "c_mktsegment")
-    o = t.orders
-    return o.join(paths, o.o_custkey == paths.c_custkey, "left").select("o_orderkey", "c_mktsegment", verdict.alias("verdict"), severity.alias("severity"))
+    severity = views.derived_severity(F.col("__path_key").isNotNull(), F.col("o_totalprice") > 200000, F.lit(False))
+    return joins.assembled(t.orders, t.customer.filter("c_acctbal > 0"), "o_custkey", "c_custkey", ["c_mktsegment"], severity, verdict).select("o_orderkey", "c_mktsegment", "verdict", "severity")
 
 
 @query("JN-5", "select o_orderkey from orders where o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING')")
 def confirmed_semi(t: Tables) -> DataFrame:
-    o = t.orders
-    return o.join(t.customer.filter("c_mktsegment = 'BUILDING'"), o.o_custkey == F.col("c_custkey"), "left_semi").select("o_orderkey")
+    return joins.confirmed(t.orders, t.customer, "o_custkey", "c_custkey", F.col("c_mktsegment") == "BUILDING").select("o_orderkey")
 
 
 @query("GR-1 GX-7", "select l_suppkey, l_partkey, l_returnflag, min(l_orderkey * 10 + l_linenumber) first_at, count(*) n from lineitem group by all")
@@ -140,9 +133,7 @@ def symbol_dedupe_first(t: Tables) -> DataFrame:
 
 @query("GR-4", """select doc_id, substr(sha1(text), 1, 20) content, min(doc_id) over (partition by sha1(text)) owner from documents""")
 def body_dedupe_canonical(t: Tables) -> DataFrame:
-    d = t.documents.select("doc_id", F.sha1("text").alias("h"))
-    owner = d.groupBy("h").agg(F.min("doc_id").alias("owner"))
-    return d.join(owner, "h").select("doc_id", F.substring("h", 1, 20).alias("content"), "owner")
+    return folds.body_owners(t.documents, "doc_id", "text")
 
 
 @query("GX-7 PRJ-4 JN-3", """select method_id, case p_partkey % 10 when 0 then 'strong' when 1 then 'strong' when 2 then 'unknown' when 3 then 'weak' when 4 then 'guess' when 5 then 'guess' when 6 then 'fact' when 7 then 'fact' when 8 then 'fact' else 'unknown' end trust,
@@ -155,13 +146,12 @@ def trust_and_confidence(t: Tables) -> DataFrame:
 
 @query("PRJ-5", """select method_id, 'f' || path_id::varchar || ':' || (start + 1)::varchar || '-' || ("end" + 1)::varchar shown from v_methods""")
 def method_rows(t: Tables) -> DataFrame:
-    return t.methods().select("method_id", F.concat(F.lit("f"), F.col("path_id").cast("string"), F.lit(":"), (F.col("start") + 1).cast("string"), F.lit("-"), (F.col("end") + 1).cast("string")).alias("shown"))
+    return views.method_rows(t.methods().withColumn("path", F.concat(F.lit("f"), F.col("path_id").cast("string")))).select("method_id", "shown")
 
 
 @query("JN-4", """select p.p_partkey, count(distinct l.l_orderkey) contexts, min(l.l_linenumber) min_depth, count(l.l_orderkey) filter (where l.l_linenumber = 1) focus_findings from part p left join lineitem l on l.l_partkey = p.p_partkey group by p.p_partkey""")
 def method_index(t: Tables) -> DataFrame:
-    refs = t.lineitem.groupBy("l_partkey").agg(F.count_distinct("l_orderkey").alias("contexts"), F.min("l_linenumber").alias("min_depth"), F.count_if(F.col("l_linenumber") == 1).alias("focus"))
-    return t.part.join(refs, F.col("p_partkey") == F.col("l_partkey"), "left").select("p_partkey", F.coalesce("contexts", F.lit(0)).alias("contexts"), "min_depth", F.coalesce("focus", F.lit(0)).alias("focus_findings"))
+    return totals.method_index(t.part.select("p_partkey"), t.lineitem.withColumnRenamed("l_partkey", "p_partkey"), "p_partkey", "l_orderkey", "l_linenumber", F.col("l_linenumber") == 1)
 
 
 @query("AG-2 AG-9 AG-10", f"""with f as (select count(*) n from v_findings), l as (select count(*) n, count(distinct method_id) m from ({LOCATED})), s as (
@@ -180,24 +170,18 @@ def funnel_steps(t: Tables) -> DataFrame:
 
 @query("AG-3", "select event_type stage, sum(round(\"value\" * 100)::bigint)::bigint cents, round(sum(round(\"value\" * 100)::bigint) / sum(sum(round(\"value\" * 100)::bigint)) over ()::double, 6) share from events group by event_type")
 def timeline_share(t: Tables) -> DataFrame:
-    each = t.events.groupBy(F.col("event_type").alias("stage")).agg(F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
-    total = F.coalesce(F.nullif(F.sum("cents").over(Window.partitionBy()), F.lit(0)), F.lit(1))
-    return each.withColumn("share", F.round(F.col("cents").cast("double") / total.cast("double"), 6))
+    return totals.timeline_share(t.events.select(F.col("event_type").alias("stage"), F.round(F.col("value") * 100).cast("long").alias("cents")), "stage", "cents")
 
 
 @query("AG-4", """with m as (select p_brand provider, count(*) methods from part group by 1), e as (select 'Brand#' || (10 + l_suppkey % 60)::varchar provider, count(*) edges from lineitem group by 1)
     select coalesce(m.provider, e.provider) provider, coalesce(methods, 0) methods, coalesce(edges, 0) edges from m full join e on m.provider = e.provider""")
 def provider_stats_full_outer(t: Tables) -> DataFrame:
-    m = t.part.groupBy(F.col("p_brand").alias("provider")).agg(F.count("*").alias("methods"))
-    e = t.lineitem.groupBy(F.concat(F.lit("Brand#"), (10 + F.col("l_suppkey") % 60).cast("string")).alias("provider")).agg(F.count("*").alias("edges"))
-    return m.join(e, "provider", "full_outer").na.fill(0, ["methods", "edges"])
+    return totals.provider_stats(t.part.select(F.col("p_brand").alias("provider")), t.lineitem.select(F.concat(F.lit("Brand#"), (10 + F.col("l_suppkey") % 60).cast("string")).alias("provider")))
 
 
 @query("AG-5", "select l_suppkey, string_agg(l_linenumber::varchar || ':' || n::varchar, ',' order by l_linenumber) depths from (select l_suppkey, l_linenumber, count(*) n from lineitem group by all) group by 1")
 def depth_histograms(t: Tables) -> DataFrame:
-    n = t.lineitem.groupBy("l_suppkey", "l_linenumber").agg(F.count("*").alias("n"))
-    pairs = F.array_sort(F.collect_list(F.struct("l_linenumber", "n")))
-    return n.groupBy("l_suppkey").agg(F.array_join(F.transform(pairs, lambda p: F.concat(p["l_linenumber"].cast("string"), F.lit(":"), p["n"].cast("string"))), ",").alias("depths"))
+    return totals.listed_counts(t.lineitem, "l_suppkey", "l_linenumber", "depths")
 
 
 @query("AG-1", """select c_nationkey, count(*) contexts, max_by(c_mktsegment, (c_acctbal, c_custkey)) top, count(*) filter (where c_acctbal < 0) negative, (count(*) filter (where c_acctbal < 0) > 0) has_negative, count(distinct c_mktsegment) = 5 all_segments from customer group by 1""")
@@ -208,10 +192,8 @@ def overview_flags(t: Tables) -> DataFrame:
 @query("AG-7 ST-2", """with l as (select l_returnflag k, count(*) n from lineitem where l_linenumber <= 2 group by 1), r as (select l_returnflag k, count(*) n from lineitem where l_linenumber > 1 and l_returnflag <> 'N' group by 1)
     select coalesce(l.k, r.k) k, coalesce(l.n, 0) left_n, coalesce(r.n, 0) right_n, coalesce(r.n, 0) - coalesce(l.n, 0) delta from l full join r on l.k = r.k""")
 def diff_counters(t: Tables) -> DataFrame:
-    li = t.lineitem
-    l = li.filter("l_linenumber <= 2").groupBy(F.col("l_returnflag").alias("k")).agg(F.count("*").alias("left_n"))
-    r = li.filter("l_linenumber > 1 and l_returnflag <> 'N'").groupBy(F.col("l_returnflag").alias("k")).agg(F.count("*").alias("right_n"))
-    return l.join(r, "k", "full_outer").na.fill(0, ["left_n", "right_n"]).withColumn("delta", F.col("right_n") - F.col("left_n"))
+    li = t.lineitem.withColumnRenamed("l_returnflag", "k")
+    return totals.deltas(totals.histogram(li.filter("l_linenumber <= 2"), "k"), totals.histogram(li.filter("l_linenumber > 1 and k <> 'N'"), "k"), "k")
 
 
 @query("ST-1", "with l as (select distinct l_partkey k from lineitem where l_linenumber = 1), r as (select distinct l_partkey k from lineitem where l_linenumber = 2) select coalesce(l.k, r.k) l_partkey, case when l.k is null then 'right' when r.k is null then 'left' else 'both' end side from l full join r on l.k = r.k")
@@ -226,7 +208,7 @@ def total_budget_drop(t: Tables) -> DataFrame:
     return rows.dropped_to_budget(p, "chars", F.lit(500), [F.col("p_partkey") % 2, F.col("chars"), F.col("p_partkey")], ["p_brand"])
 
 
-@query("SO-10 IV-10")
+@query("SO-10")
 def bounded_read_replay(t: Tables) -> DataFrame:
     return rows.greedy_fit(t.part.select("p_brand", "p_partkey", "p_size"), "p_brand", "p_partkey", "p_size", 400)
 
@@ -241,9 +223,9 @@ def evidence_page(t: Tables) -> DataFrame:
     return rows.page(t.orders.select("o_orderkey", "o_totalprice"), 40, 20, F.desc("o_totalprice"), F.col("o_orderkey"))
 
 
-@query("SO-7", "select * from (select o_orderkey, o_orderstatus from orders order by o_orderdate desc, o_orderkey limit 80) where o_orderstatus = 'F'")
+@query("SO-7", "select o_orderkey, o_orderstatus from (select o_orderkey, o_orderstatus, o_orderdate from orders order by o_orderdate desc, o_orderkey limit 80) where o_orderstatus = 'F' order by o_orderdate desc, o_orderkey limit 20")
 def job_list_page(t: Tables) -> DataFrame:
-    return t.orders.orderBy(F.desc("o_orderdate"), "o_orderkey").limit(80).filter("o_orderstatus = 'F'").select("o_orderkey", "o_orderstatus")
+    return totals.pages_of(t.orders, 20, F.col("o_orderstatus") == "F", F.desc("o_orderdate"), F.col("o_orderkey")).select("o_orderkey", "o_orderstatus")
 
 
 def island_sql(reach: int, source: str = "v_reads") -> str:
@@ -270,9 +252,9 @@ def intervals_gap6(t: Tables) -> DataFrame:
     return intervals.union(intervals.clamped(t.reads(), "lo", "hi", "total"), ["file"], "lo", "hi", 6).select("file", "lo", "hi")
 
 
-@query("IV-4", "select file, count(*) reads, max(total) total, min(lo) first_lo, max(hi) last_hi from v_reads where step <= 5 group by file")
+@query("IV-4", "select file, count(*) reads, max(total) total, min(lo) first_lo, max(hi) last_hi from v_reads group by file")
 def coverage_from_reads(t: Tables) -> DataFrame:
-    return t.reads().filter("step <= 5").groupBy("file").agg(F.count("*").alias("reads"), F.max("total").alias("total"), F.min("lo").alias("first_lo"), F.max("hi").alias("last_hi"))
+    return folds.coverage_from_reads(t.reads(), "file", "lo", "hi", "total")
 
 
 @query("IV-6 JN-14", f"""with i as ({island_sql(1, CLAMPED)}), t as (select p_partkey file, 100::bigint total from part), g as (select i.file, hi + 1 gap_start, coalesce(lead(lo) over (partition by i.file order by lo) - 1, total) gap_end from i join t on i.file = t.file
@@ -294,33 +276,31 @@ def coverage_full_partial_never(t: Tables) -> DataFrame:
 
 @query("IV-9", """select finding_id, line, max_by(method_id, (start, p_partkey)) method_id from (select distinct finding_id, line, path_id from v_findings) f join v_methods m on f.path_id = m.path_id and line between start and "end" group by 1, 2""")
 def innermost_by_start(t: Tables) -> DataFrame:
-    inside = t.findings().select("finding_id", "line", "path_id").distinct().join(t.methods(), "path_id").filter("line between start and end")
-    return inside.groupBy("finding_id", "line").agg(F.max_by("method_id", F.struct("start", "p_partkey")).alias("method_id"))
+    return joins.widest_start(t.findings(), t.methods(), "path_id", "line", "start", "end", "method_id", "p_partkey", ["finding_id", "line"])
 
 
 @query("IV-8", "select file, step % 2 = 0 reused, count(*) windows, max(total) total, string_agg(distinct lo::varchar, ',' order by lo::varchar) starts from v_reads group by 1, 2")
 def compaction_fold(t: Tables) -> DataFrame:
-    return t.reads().groupBy("file", (F.col("step") % 2 == 0).alias("reused")).agg(F.count("*").alias("windows"), F.max("total").alias("total"), F.array_join(F.array_sort(F.collect_set(F.col("lo").cast("string"))), ",").alias("starts"))
+    return folds.compaction(t.reads(), "file", F.col("step") % 2 == 0, "lo", "total")
 
 
 @query("LG-15", "select file, max_by(step, (run, step)) last_step, min_by(step, (run, step)) first_step from v_reads where hi - lo + 1 >= 30 group by file")
 def latest_complete_read(t: Tables) -> DataFrame:
-    return t.reads().filter("hi - lo + 1 >= 30").groupBy("file").agg(F.max_by("step", F.struct("run", "step")).alias("last_step"), F.min_by("step", F.struct("run", "step")).alias("first_step"))
+    return folds.complete_reads(t.reads(), "file", F.expr("hi - lo + 1 >= 30"), "step", "run", "step")
 
 
 @query("JN-8 JN-9", """with b as (select coalesce(c_mktsegment, '(none)') ws, count(*) bundles from customer group by 1), j as (select case when o_orderpriority like '1%' then 'BUILDING' else 'JOBS' end ws, count(*) jobs, max(o_orderkey) last_job from orders group by 1)
     select coalesce(b.ws, j.ws) ws, coalesce(bundles, 0) bundles, coalesce(jobs, 0) jobs, last_job from b full join j on b.ws = j.ws""")
 def projects_full_outer(t: Tables) -> DataFrame:
-    b = t.customer.groupBy(F.coalesce("c_mktsegment", F.lit("(none)")).alias("ws")).agg(F.count("*").alias("bundles"))
-    j = t.orders.groupBy(F.when(F.col("o_orderpriority").startswith("1"), "BUILDING").otherwise("JOBS").alias("ws")).agg(F.count("*").alias("jobs"), F.max("o_orderkey").alias("last_job"))
-    return b.join(j, "ws", "full_outer").na.fill(0, ["bundles", "jobs"])
+    jobs = t.orders.select(F.when(F.col("o_orderpriority").startswith("1"), "BUILDING").otherwise("JOBS").alias("ws"), F.col("o_orderkey").alias("at"))
+    return joins.projects(t.customer.select(F.col("c_mktsegment").alias("ws")), jobs, "ws")
 
 
-@query("JN-9", "select coalesce(n.n_nationkey, r.r_regionkey + 20) k, coalesce(r.r_name, n.n_name) name, n.n_regionkey regionkey from nation n full join region r on n.n_nationkey = r.r_regionkey + 20 + 3")
+@query("JN-9", "select coalesce(n.n_nationkey, r.r_regionkey + 23) k, coalesce(r.r_name, n.n_name) name, n.n_regionkey regionkey from nation n full join region r on n.n_nationkey = r.r_regionkey + 23")
 def registry_merge(t: Tables) -> DataFrame:
-    n, r = t.nation, t.region
-    both = n.join(r, n.n_nationkey == r.r_regionkey + 23, "full_outer")
-    return both.select(F.coalesce("n_nationkey", F.col("r_regionkey") + 20).alias("k"), F.coalesce("r_name", "n_name").alias("name"), F.col("n_regionkey").alias("regionkey"))
+    derived = t.nation.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("regionkey"))
+    registry = t.region.select((F.col("r_regionkey") + 23).alias("k"), F.col("r_name").alias("name"))
+    return joins.registered(derived, registry, "k", ["name"]).select("k", "name", "regionkey")
 
 
 @query("JN-10", "select n_name name, 'derived' origin from nation where n_nationkey < 10 union all select n_name, 'registry' from nation where n_nationkey % 2 = 0 and n_name not in (select n_name from nation where n_nationkey < 10)")
@@ -337,57 +317,50 @@ def planned_fill_surveyed(t: Tables) -> DataFrame:
 
 @query("JN-13", "select a.p_partkey, max_by(b.p_partkey, (b.p_size, b.p_partkey)) last_match, coalesce(max(b.p_partkey) filter (where b.p_size = a.p_size), max_by(b.p_partkey, (b.p_size, b.p_partkey))) near_first from part a join part b on a.p_type = b.p_type and a.p_brand = b.p_brand group by 1")
 def same_name_definitions(t: Tables) -> DataFrame:
-    a = t.part.select("p_partkey", "p_type", "p_brand", F.col("p_size").alias("own"))
-    b = t.part.select(F.col("p_partkey").alias("other"), "p_type", "p_brand", F.col("p_size").alias("size"))
-    last = F.max_by("other", F.struct("size", "other"))
-    return a.join(b, ["p_type", "p_brand"]).groupBy("p_partkey").agg(last.alias("last_match"), F.coalesce(F.max(F.when(F.col("size") == F.col("own"), F.col("other"))), last).alias("near_first"))
+    wanted = t.part.select("p_partkey", "p_type", "p_brand", F.col("p_size").alias("own"))
+    known = t.part.select(F.col("p_partkey").alias("other"), "p_type", "p_brand", F.col("p_size").alias("size"))
+    return joins.same_name(wanted, known, ["p_type", "p_brand"], "p_partkey", F.col("size") == F.col("own"), "size")
 
 
 @query("JN-16 ST-4", "select distinct a.l_orderkey a, b.l_orderkey b from lineitem a join lineitem b on a.l_partkey = b.l_partkey and a.l_orderkey < b.l_orderkey where a.l_suppkey = b.l_suppkey")
 def work_overlap(t: Tables) -> DataFrame:
-    li = t.lineitem.select("l_partkey", "l_suppkey", "l_orderkey").distinct()
-    a, b = li.withColumnRenamed("l_orderkey", "a"), li.withColumnRenamed("l_orderkey", "b")
-    return a.join(b, ["l_partkey", "l_suppkey"]).filter("a < b").select("a", "b").distinct()
+    return joins.overlaps(t.lineitem, "l_orderkey", "l_partkey", "l_suppkey")
 
 
 @query("JN-12 JN-6", "select f.run, min_by(f.path, (f.col, f.finding_id)) path, min_by(f.line, (f.col, f.finding_id)) line from v_findings f group by f.run")
 def first_located(t: Tables) -> DataFrame:
-    return t.findings().groupBy("run").agg(F.min_by("path", F.struct("col", "finding_id")).alias("path"), F.min_by("line", F.struct("col", "finding_id")).alias("line"))
+    return joins.first_of(t.findings(), "run", ["path", "line"], "col", "finding_id")
 
 
 @query("AG-11 AG-12 LG-30", "select lang, n, n = max(n) over () and lang = min(lang) filter (where n = top) over () dominant from (select lang, count(*) n, max(count(*)) over () top from documents group by lang)")
 def language_census(t: Tables) -> DataFrame:
-    each = t.documents.groupBy("lang").agg(F.count("*").alias("n"))
-    best = each.agg(F.min_by("lang", F.struct(-F.col("n"), F.col("lang"))).alias("best"))
-    return each.crossJoin(F.broadcast(best)).select("lang", "n", (F.col("lang") == F.col("best")).alias("dominant"))  # best is one row
+    return totals.census(t.documents, "lang")
 
 
 @query("AG-13", "select source, count(*) files, sum(strlen(text))::bigint bytes from documents group by source")
 def tree_measurement(t: Tables) -> DataFrame:
-    return t.documents.groupBy("source").agg(F.count("*").alias("files"), F.sum(F.octet_length("text")).cast("long").alias("bytes"))
+    return totals.measured(t.documents, "source")
 
 
 @query("AG-14", "select count(*) bundles, count(distinct c_nationkey) workspaces, sum(coalesce(case when c_acctbal > 0 then round(c_acctbal * 100)::bigint end, 0))::bigint cents, count(*) filter (where c_acctbal < 0) negative from customer")
 def coverage_totals(t: Tables) -> DataFrame:
-    return t.customer.agg(F.count("*").alias("bundles"), F.count_distinct("c_nationkey").alias("workspaces"), F.sum(F.coalesce(F.when(F.col("c_acctbal") > 0, F.round(F.col("c_acctbal") * 100).cast("long")), F.lit(0))).alias("cents"), F.count_if(F.col("c_acctbal") < 0).alias("negative"))
+    rows_ = t.customer.withColumn("cents", F.when(F.col("c_acctbal") > 0, F.round(F.col("c_acctbal") * 100).cast("long")))
+    return totals.coverage_totals(rows_, "c_nationkey", ["cents"], {"negative": F.col("c_acctbal") < 0})
 
 
 @query("AG-15", "select flag, count(*) n, round(count(*) / (select count(distinct l_orderkey) from lineitem)::double, 6) share from (select distinct l_orderkey, l_returnflag flag from lineitem) group by flag")
 def provider_mix_share(t: Tables) -> DataFrame:
-    each = t.lineitem.groupBy("l_orderkey").agg(F.collect_set("l_returnflag").alias("flags"))
-    total = each.agg(F.count("*").alias("total"))
-    n = each.select(F.explode("flags").alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
-    return n.crossJoin(F.broadcast(total)).select("flag", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))  # total is one row
+    return totals.share_of_units(t.lineitem, "l_orderkey", "l_returnflag", "flag")
 
 
-@query("AG-25", "select path_id, line, count(*) n, string_agg(distinct severity, ',' order by severity) kinds from v_findings where weight < 20 group by 1, 2")
+@query("AG-25", "select path_id, line, count(*) n, string_agg(distinct severity, ',' order by severity) kinds from v_findings group by 1, 2")
 def rejected_by_place(t: Tables) -> DataFrame:
-    return t.findings().filter("weight < 20").groupBy("path_id", "line").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("severity")), ",").alias("kinds"))
+    return totals.rejected_by_place(t.findings(), ["path_id", "line"], "severity")
 
 
 @query("AG-28", "select source, sum(n_chars)::bigint chars, sum(n_chars)::bigint + count(*) - 1 joined from documents group by source")
 def bundle_totals(t: Tables) -> DataFrame:
-    return t.documents.groupBy("source").agg(F.sum("n_chars").alias("chars"), (F.sum("n_chars") + F.count("*") - 1).alias("joined"))
+    return totals.bundle_totals(t.documents, "source", "n_chars")
 
 
 @query("WN-11", "select path_id, line, \"rule\", severity from (select *, row_number() over (partition by path_id order by line, \"rule\") k from (select *, row_number() over (partition by path_id, \"rule\" order by line, finding_id) n from v_findings) where n = 1) where k <= 3")
@@ -398,21 +371,17 @@ def signals_per_scope(t: Tables) -> DataFrame:
 
 @query("PRJ-15 FN-30", "select lang, case lang when 'en' then 'full' when 'de' then 'call_graph' else 'findings_only' end depth from documents group by lang")
 def language_depth(t: Tables) -> DataFrame:
-    graph, taint = F.array(F.lit("en"), F.lit("de")), F.array(F.lit("en"))
-    depth = F.when(F.array_contains(graph, F.col("lang")) & F.array_contains(taint, F.col("lang")), "full").when(F.array_contains(graph, F.col("lang")), "call_graph").otherwise("findings_only")
-    return t.documents.select("lang", depth.alias("depth")).distinct()
+    return t.documents.select("lang", views.language_depth(F.col("lang"), ["en", "de"], ["en"]).alias("depth")).distinct()
 
 
 @query("LG-6", "select l_orderkey, count(*) files, bool_and(l_partkey in (select p_partkey from part where p_size <= 45)) valid from lineitem group by l_orderkey")
 def plan_validation(t: Tables) -> DataFrame:
-    known = t.part.filter("p_size <= 45").select(F.col("p_partkey").alias("l_partkey"), F.lit(True).alias("known"))
-    return t.lineitem.join(known, "l_partkey", "left").groupBy("l_orderkey").agg(F.count("*").alias("files"), (F.count_if(F.col("known").isNull()) == 0).alias("valid"))
+    return ledger.valid_scopes(t.lineitem.select("l_orderkey", F.col("l_partkey").alias("p_partkey")), t.part.filter("p_size <= 45"), "l_orderkey", "p_partkey")
 
 
 @query("LG-17", "select l_orderkey, count(*) n, greatest(count(*) - 3, 0) omitted, case when max(l_linenumber) > 5 then 'yes' when max(l_linenumber) > 3 then 'no' else 'no conclusion' end reachable from lineitem group by 1")
 def findings_index(t: Tables) -> DataFrame:
-    reachable = F.when(F.max("l_linenumber") > 5, "yes").when(F.max("l_linenumber") > 3, "no").otherwise("no conclusion")
-    return t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.greatest(F.count("*") - 3, F.lit(0)).alias("omitted"), reachable.alias("reachable"))
+    return ledger.findings_index(t.lineitem, "l_orderkey", 3, F.max("l_linenumber") > 5, F.max("l_linenumber") > 3)
 
 
 SEVERITIES = fixed.SEVERITY_RANK

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import graph, rows
+from ..operators import graph, joins, rows
+from ..sources import sinks
 from .adapters import Tables
 from .registry import query
 
@@ -20,87 +21,53 @@ def bfs_budgeted(t: Tables) -> DataFrame:
     return graph.budgeted(t.edges().withColumn("confidence", scalars.confidence(provider)), second, starts, max_depth=3, max_nodes=30, max_callees=4, max_callers=4, max_implementations=4)
 
 
-@query("GX-2 GX-6", """with recursive w(root, node, depth) as (select s_suppkey, s_suppkey, 0 from supplier where s_suppkey < 5 union select w.root, e.source, w.depth + 1 from w join (
+@query("GX-2 GX-6", """with recursive w(root, node, depth) as (select s_suppkey, s_suppkey, 0 from supplier union select w.root, e.source, w.depth + 1 from w join (
     select *, row_number() over (partition by target order by source) n from v_edges) e on e.target = w.node where e.n <= 3 and w.depth < 3)
     select root, node, min(depth) depth from w group by 1, 2""")
 def caller_walk(t: Tables) -> DataFrame:
-    return callers_of(t, t.supplier.filter("s_suppkey < 5"))
-
-
-@query("GX-2 GX-6")
-def caller_walk_whole(t: Tables) -> DataFrame:
-    """caller_walk from every supplier."""
-    return callers_of(t, t.supplier)
-
-
-def callers_of(t: Tables, focus: DataFrame) -> DataFrame:
     back = t.edges().select(F.col("target").alias("source"), F.col("source").alias("target"), F.col("source").alias("ord"))
-    return graph.walk(back, focus.select(F.col("s_suppkey").alias("root")), max_depth=3, fan_out=3).select("root", "node", "depth")
-
-
-@query("GR-6 GX-8", """with recursive e as (select distinct o_custkey a, l_partkey b from orders join lineitem on o_orderkey = l_orderkey where o_custkey % 10 = 0 and l_linenumber = 1 and l_partkey % 3 = 0), n as (
-    select distinct x.a, y.a b from e x join e y on x.b = y.b), r(a, b) as (select a, b from n union select r.a, n.b from r join n on r.b = n.a) select a node, min(b) root from r group by a having count(*) > 1""")
-def flow_components(t: Tables) -> DataFrame:
-    return sharing(t.orders.filter("o_custkey % 10 = 0"), t.lineitem.filter("l_linenumber = 1 and l_partkey % 3 = 0"))
+    return graph.walk(back, t.supplier.select(F.col("s_suppkey").alias("root")), max_depth=3, fan_out=3).select("root", "node", "depth")
 
 
 @query("GR-6 GX-8")
-def flow_components_whole(t: Tables) -> DataFrame:
-    """flow_components over all orders and lines."""
-    return sharing(t.orders, t.lineitem)
-
-
-def sharing(o: DataFrame, li: DataFrame) -> DataFrame:
+def flow_components(t: Tables) -> DataFrame:
     """Customers that share a part, as components; places meet in a star around each part's first customer."""
-    places = o.join(li, o.o_orderkey == li.l_orderkey).select("o_custkey", "l_partkey").distinct()
-    hub = places.groupBy("l_partkey").agg(F.min("o_custkey").alias("a"))
-    edges = places.join(hub, "l_partkey").filter("o_custkey != a").select("a", F.col("o_custkey").alias("b"))
-    return graph.components(edges).select("node", "root")
+    places = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_partkey").distinct()
+    return graph.components(graph.stars(places, "l_partkey", "o_custkey")).select("node", "root")
 
 
 @query("GX-4 AG-29", "select l_orderkey, min(l_linenumber) filter (where l_returnflag = 'R') first_focus, max(l_linenumber) filter (where l_returnflag = 'R') last_focus, max(l_linenumber) - coalesce(max(l_linenumber) filter (where l_returnflag = 'R'), 999) depth from lineitem group by 1")
 def flow_depth(t: Tables) -> DataFrame:
-    focus = F.when(F.col("l_returnflag") == "R", F.col("l_linenumber"))
-    return t.lineitem.groupBy("l_orderkey").agg(F.min(focus).alias("first_focus"), F.max(focus).alias("last_focus"), (F.max("l_linenumber") - F.coalesce(F.max(focus), F.lit(999))).alias("depth"))
+    return joins.flow_depth(t.lineitem, "l_orderkey", "l_linenumber", F.col("l_returnflag") == "R")
 
 
 @query("GX-5", "select source, target, 'hierarchy' via from v_edges where source % 3 <> 0 union all select distinct l_suppkey, l_partkey % (select count(*) from supplier), 'lexical' from lineitem where l_suppkey % 3 = 0 and l_linenumber = 2 and l_suppkey <> l_partkey % (select count(*) from supplier)")
 def callee_resolution(t: Tables) -> DataFrame:
-    known = t.edges().filter("source % 3 != 0").select("source", "target", F.lit("hierarchy").alias("via"))
-    lexical = t.lineitem.filter("l_suppkey % 3 = 0 and l_linenumber = 2").select(F.col("l_suppkey").alias("source"), (F.col("l_partkey") % t.n_paths).alias("target")).distinct().filter("source != target").withColumn("via", F.lit("lexical"))
-    return known.unionByName(lexical)
+    lexical = t.lineitem.filter("l_linenumber = 2").select(F.col("l_suppkey").alias("source"), (F.col("l_partkey") % t.n_paths).alias("target"))
+    return joins.callees(t.edges().filter("source % 3 != 0"), lexical)
 
 
 @query("GX-7 GR-1", "select source, target, count(*) over (partition by source) out_degree, case when source = target then 0.2::double else 1.0 end confidence from v_edges")
 def edge_confidence(t: Tables) -> DataFrame:
-    e = t.edges()
-    n = e.groupBy("source").agg(F.count("*").alias("out_degree"))
     provider = F.when(F.col("source") == F.col("target"), "file_range").otherwise("lsp_call_hierarchy")
-    return e.join(n, "source").select("source", "target", "out_degree", scalars.confidence(provider).alias("confidence"))
+    return joins.out_degrees(t.edges()).select("source", "target", "out_degree", scalars.confidence(provider).alias("confidence"))
 
 
-@query("GX-9", """with recursive r(root, node) as (select 0::bigint, 0::bigint union select r.root, e.target from r join v_edges e on e.source = r.node where e.target % 7 <> 3) select root, node from r""")
+@query("GX-9", """with recursive e as (select distinct l_suppkey source, (l_suppkey + l_partkey % 3) % (select count(*) from supplier) target from lineitem), r(root, node, depth) as (
+    select s_suppkey, s_suppkey, 0 from supplier union select r.root, e.target, r.depth + 1 from r join e on e.source = r.node where r.depth < 5) select distinct root, node from r""")
 def edge_reachability(t: Tables) -> DataFrame:
     """Plain edge reachability (not a value-flow analysis)."""
-    edges = t.edges().filter("target % 7 != 3")
-    starts = t.spark.createDataFrame([(0,)], "root long")
-    return graph.walk(edges, starts, max_depth=100, fan_out=1 << 30).select("root", "node")
+    starts = t.supplier.select(F.col("s_suppkey").alias("root"))
+    edges = t.lineitem.select(F.col("l_suppkey").alias("source"), ((F.col("l_suppkey") + F.col("l_partkey") % 3) % t.n_paths).alias("target"), F.lit(0).alias("ord")).distinct()
+    return graph.walk(edges, starts, max_depth=5, fan_out=1 << 30).select("root", "node")
 
 
-@query("SNK-2", "select string_agg('\"' || source::varchar || '\" -> \"' || target::varchar || '\";', chr(10) order by source, target) dot from v_edges where source < 3")
+@query("SNK-2", """select 0 part, s_suppkey::bigint a, null::bigint b, '  "' || s_suppkey::varchar || '" [label="' || s_name || '"];' line from supplier
+    union all select 1, source, target, '  "' || source::varchar || '" -> "' || target::varchar || '" [color="' || case when source = target then 'gray' else 'black' end || '"];' from v_edges""")
 def dot_export(t: Tables) -> DataFrame:
-    return dot(t.edges().filter("source < 3"))
-
-
-@query("SNK-2")
-def dot_export_whole(t: Tables) -> DataFrame:
-    """dot_export of every edge."""
-    return dot(t.edges())
-
-
-def dot(e: DataFrame) -> DataFrame:
-    each = F.array_sort(F.collect_list(F.struct("source", "target")))
-    return e.agg(F.array_join(F.transform(each, lambda x: F.concat(F.lit('"'), x["source"].cast("string"), F.lit('" -> "'), x["target"].cast("string"), F.lit('";'))), "\n").alias("dot"))
+    nodes = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("label"))
+    edges = t.edges().withColumn("provider", F.when(F.col("source") == F.col("target"), "file_range").otherwise("lsp_call_hierarchy"))
+    return sinks.dot_lines(nodes, edges)
 
 
 @query("LG-21 LG-20", "select finding_id, line, coalesce(m.method_id, 'file:' || f.path) symbol, case when m.method_id is null then 'fallback' else 'flow' end route from (select distinct finding_id, line, path, path_id from v_findings) f left join (select path_id, start, min_by(method_id, p_partkey) method_id from v_methods group by 1, 2) m on f.path_id = m.path_id and f.line = m.start")

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import answers, scalars
+from ..operators import tools, totals
 from ..operators.store import materialised, shared_dir
 from ..sources import code, records, sarif, sinks
 from .adapters import Tables
 from .registry import query
 
 
-@query("SRC-1 SRC-2 SRC-3 SRC-14 SRC-15", """select 'R' || (o_orderkey % 3)::varchar "rule", case o_orderkey % 3 when 0 then 'error' when 1 then 'note' else 'warning' end severity, 'src/' || o_custkey::varchar || '.py' path, (o_orderkey % 50)::int start_line,
+@query("SRC-1 SRC-2 SRC-3", """select 'R' || (o_orderkey % 3)::varchar "rule", case o_orderkey % 3 when 0 then 'error' when 1 then 'note' else 'warning' end severity, 'src/' || o_custkey::varchar || '.py' path, (o_orderkey % 50)::int start_line,
     'F-' || substr(sha1('R' || (o_orderkey % 3)::varchar || chr(0) || 'src/' || o_custkey::varchar || '.py' || chr(0) || (o_orderkey % 50)::varchar || chr(0) || '3' || chr(0)), 1, 12) finding_id from orders where o_orderkey % 5 <> 0""")
 def sarif_findings(t: Tables) -> DataFrame:
     """A document a customer; results without a location are left out, and severities come from level, rule or tag."""
@@ -28,7 +29,7 @@ def sarif_findings(t: Tables) -> DataFrame:
     return found.select("rule", "severity", "path", "start_line", "finding_id")
 
 
-@query("SRC-8 SRC-12 SRC-13", "select count(*) filter (where event_id % 10 <> 0) rows_read, count(*) filter (where event_id % 10 = 0) damaged, sum(case when event_id % 10 <> 0 then event_id end)::bigint seqs from events")
+@query("SRC-8", "select count(*) filter (where event_id % 10 <> 0) rows_read, count(*) filter (where event_id % 10 = 0) damaged, sum(case when event_id % 10 <> 0 then event_id end)::bigint seqs from events")
 def jsonl_damage(t: Tables) -> DataFrame:
     whole = F.to_json(F.struct(F.col("event_id").alias("seq"), F.col("event_type").alias("kind")))
     lines = t.events.select(F.when(F.col("event_id") % 10 == 0, F.substring(whole, 1, 9)).otherwise(whole).alias("value"))
@@ -52,11 +53,11 @@ def symbols_flat(t: Tables) -> DataFrame:
     return got.select(F.col("path").alias("p_partkey"), "name", "parent")
 
 
-@query("SRC-17", "select l_linenumber::int flow, count(*) elements from lineitem where l_quantity > 3 group by 1")
+@query("SRC-17", "select l_suppkey::varchar report, l_linenumber::int flow, count(*) elements from lineitem where l_quantity > 3 group by 1, 2")
 def flow_report(t: Tables) -> DataFrame:
     line = F.concat_ws("\t", F.when(F.col("l_quantity") > 3, "ELEM").otherwise("NOTE"), F.col("l_linenumber").cast("string"), F.lit("CALL"), F.lit("f"), F.lit("a.py"), F.lit("?"), F.lit("x"))
-    report = t.lineitem.groupBy("l_suppkey").agg(F.array_join(F.collect_list(line), "\n").alias("value"))
-    return records.flow_elements(report.select("value")).select("flow", F.size("elements").cast("long").alias("elements"))
+    report = t.lineitem.groupBy(F.col("l_suppkey").cast("string").alias("report")).agg(F.array_join(F.collect_list(line), "\n").alias("value"))
+    return records.flow_elements(report).select("report", "flow", F.size("elements").cast("long").alias("elements"))
 
 
 @query("SNK-1 SNK-3", "select n_nationkey, n_name, r_name from nation join region on n_regionkey = r_regionkey")
@@ -67,15 +68,15 @@ def package_round_trip(t: Tables) -> DataFrame:
     return materialised(nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_nationkey", "n_name", "r_name"))
 
 
-@query("SNK-6 SNK-7 SNK-8", "select event_id, case when event_type in ('view', 'click') then event_type else 'unknown' end kind, case when event_type not in ('view', 'click') then event_type end raw_kind from events")
+@query("SNK-6", "select event_id, case when event_type in ('view', 'click') then event_type else 'unknown' end kind, case when event_type not in ('view', 'click') then event_type end raw_kind from events")
 def known_kinds(t: Tables) -> DataFrame:
     return sinks.known_kinds(t.events.select("event_id", F.col("event_type").alias("kind")), ["view", "click"])
 
 
 @query("SNK-9", "select '| ' || r_name || ' | ' || count(*)::varchar || ' |' line from nation join region on n_regionkey = r_regionkey group by r_name")
 def report_lines(t: Tables) -> DataFrame:
-    n = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.count("*").alias("n"))
-    return n.select(F.concat(F.lit("| "), F.col("r_name"), F.lit(" | "), F.col("n").cast("string"), F.lit(" |")).alias("line"))
+    n = totals.histogram(t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")), "r_name")
+    return sinks.table_lines(n.select("r_name", "n"))
 
 
 def code_files(t: Tables) -> DataFrame:
@@ -111,24 +112,14 @@ def isolated_failures(t: Tables) -> DataFrame:
     return got.select("p_partkey", "result", F.col("error").isNotNull().alias("failed"))
 
 
-@query("FN-24 LG-24", "select event_id, '{\"calls\":[' || props || '],\"k\":1}' fixed from events where event_id % 3 = 0")
+@query("FN-24 LG-24", "select event_id, 1 calls, (props::json ->> '$.k')::int \"first\", 1 k, null::varchar tail from events")
 def truncated_json(t: Tables) -> DataFrame:
-    return mended(t.events.filter("event_id % 3 = 0"))
-
-
-@query("FN-24 LG-24")
-def truncated_json_whole(t: Tables) -> DataFrame:
-    """truncated_json of every event."""
-    return mended(t.events)
-
-
-def mended(events: DataFrame) -> DataFrame:
     cut = F.concat(F.lit('text {"calls": ['), F.col("props"), F.lit('], "k": 1, "tail": "unfin'))
-    fixed = answers.repair(cut)
-    return events.select("event_id", F.regexp_replace(fixed, '"k":([0-9]+)\\}\\]', '"k": $1}]').alias("fixed"))
+    read = F.from_json(answers.repair(cut), "calls array<map<string,string>>, k int, tail string")
+    return t.events.select("event_id", read.alias("r")).select("event_id", F.size("r.calls").alias("calls"), F.col("r.calls")[0]["k"].cast("int").alias("first"), F.col("r.k").alias("k"), F.col("r.tail").alias("tail"))
 
 
-@query("LG-24 UD-1", "select event_id, least(event_id % 12, 8)::int n_calls from events")
+@query("LG-24", "select event_id, least(event_id % 12, 8)::int n_calls from events")
 def turn_calls(t: Tables) -> DataFrame:
     many = F.transform(F.slice(F.sequence(F.lit(1), F.lit(12)), 1, (F.col("event_id") % 12).cast("int")), lambda i: F.concat(F.lit('{"tool":"grep","arguments":{"n":"'), i.cast("string"), F.lit('"}}')))
     answer = F.concat(F.lit('{"calls":['), F.array_join(many, ","), F.lit("]}"))
@@ -138,7 +129,8 @@ def turn_calls(t: Tables) -> DataFrame:
 @query("UD-4 LG-20", "select l_orderkey, l_linenumber, l_partkey, case when l_quantity < 5 then 'error' when l_quantity < 20 then 'fallback' when l_quantity < 30 then 'no_path' else 'flow' end outcome from lineitem")
 def dataflow_verify(t: Tables) -> DataFrame:
     q = F.col("l_quantity")
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.when(q < 5, "error").when(q < 20, "fallback").when(q < 30, "no_path").otherwise("flow").alias("outcome"))
+    bundle = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", (q >= 5).alias("sink"), F.when(q >= 20, F.lit(3)).otherwise(F.lit(1)).alias("sources"), (q >= 20).alias("answered"), F.when(q >= 30, 1).otherwise(0).alias("flows"))
+    return bundle.select("l_orderkey", "l_linenumber", "l_partkey", scalars.dataflow_outcome(F.col("sink"), F.col("sources"), F.col("answered"), F.col("flows")).alias("outcome"))
 
 
 @query("PRJ-4 AG-1", "select p_brand, count(*) n, max(case p_partkey % 3 when 0 then 1 when 1 then 2 else 4 end) worst from part group by 1")
@@ -147,3 +139,73 @@ def worst_trust(t: Tables) -> DataFrame:
     from ..functions import fixed
 
     return t.part.groupBy("p_brand").agg(F.count("*").alias("n"), F.max(scalars.lookup(scalars.trust(provider), fixed.TRUST_RANK)).alias("worst"))
+
+
+@query("IV-10")
+def material_packet(t: Tables) -> DataFrame:
+    """A candidate a part, in its Python file, with a path through its Java file and back."""
+    from ..operators import material
+
+    key = F.col("p_partkey").cast("string")
+    path = F.array(F.concat(F.lit("p"), key, F.lit(".java:3 g")), F.concat(F.lit("p"), key, F.lit(".py:12")), F.concat(F.lit("q"), key, F.lit(".py:1")))
+    found = t.part.select(F.col("p_partkey").alias("candidate_id"), F.concat(F.lit("p"), key, F.lit(".py")).alias("file"), F.lit(8).alias("line"), path.alias("path"))
+    return material.packets(found, code_files(t)).drop("text")
+
+
+@query("UD-1", """select p_partkey call_id, p_size % 3 <> 0 ok, case when p_size % 3 = 0 then 'missing: path' else '2 of 6 lines' end summary, case when p_size % 3 = 0 then '[]' else '["  int h' || p_size::varchar || '(int a) {","    return g(a);"]' end as "data", p_size % 3 <> 0 truncated from part where p_partkey <= 50""")
+def tool_reads(t: Tables) -> DataFrame:
+    """Reads of the first fifty parts' Java files, a third of them without a path."""
+    path = F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".java"))
+    given = F.when(F.col("p_size") % 3 == 0, F.create_map(F.lit("limit"), F.lit("2"))).otherwise(F.create_map(F.lit("path"), path, F.lit("offset"), F.lit("2"), F.lit("limit"), F.lit("2")))
+    return tools.call("read", code_files(t), t.part.filter("p_partkey <= 50").select(F.col("p_partkey").alias("call_id"), given.alias("arguments")))
+
+
+@query("UD-5 UD-8", "select p_partkey, case when p_size % 5 <> 0 then (100 // (p_size % 5))::varchar end answer, case when p_size % 5 = 0 then 3 else 1 end::int attempts, p_size % 5 = 0 failed from part")
+def provided_answers(t: Tables) -> DataFrame:
+    """An injected provider that fails for some contexts, however often it is asked."""
+    got = tools.provided(t.part.select("p_partkey", F.col("p_size").cast("string").alias("v")), "p_partkey", "v", lambda v: str(100 // (int(v) % 5)))
+    return got.select("p_partkey", "answer", "attempts", F.col("error").isNotNull().alias("failed"))
+
+
+@query("SRC-11", """select 'b' || o_orderkey::varchar bundle_id, o_orderstatus created_at, case when o_orderkey % 7 = 0 then 'unreadable' end error, case when o_orderkey % 7 <> 0 then o_orderkey % 4 end::int prune_count from orders where o_orderkey % 5 <> 0""")
+def bundle_list(t: Tables) -> DataFrame:
+    """Manifests of orders: a fifth is still being written, a seventh can't be read."""
+    n = F.when(F.col("o_orderkey") % 7 != 0, F.sequence(F.lit(1), F.lit(4)))
+    o = t.orders.select(F.concat(F.when(F.col("o_orderkey") % 5 == 0, ".b").otherwise("b"), F.col("o_orderkey").cast("string")).alias("folder"), F.col("o_orderstatus").alias("created_at"), F.when(F.col("o_orderkey") % 7 == 0, "unreadable").alias("error"), F.slice(n, F.lit(1), (F.col("o_orderkey") % 4).cast("int")).alias("prunes"))
+    return records.listed_bundles(o).select("bundle_id", "created_at", "error", "prune_count")
+
+
+@query("SRC-13", "select o_orderkey::varchar folder, o_orderstatus created_at from orders where o_orderkey % 7 <> 0 and o_orderkey % 5 <> 0")
+def project_registry(t: Tables) -> DataFrame:
+    """Records of projects without damaged and half-written ones."""
+    o = t.orders.select(F.concat(F.when(F.col("o_orderkey") % 5 == 0, ".staging-").otherwise(""), F.col("o_orderkey").cast("string")).alias("folder"), F.col("o_orderstatus").alias("created_at"), F.when(F.col("o_orderkey") % 7 == 0, "unreadable").alias("error"))
+    return records.registered_projects(o)
+
+
+@query("SRC-12 JN-15", "select conv_id, turn, coalesce(turn <= 1 and conv_id % 2 = 0, false) in_prefix from conversations")
+def prompt_block_scan(t: Tables) -> DataFrame:
+    """Turns as blocks; every second conversation has a prefix document that names the first two."""
+    blocks = t.conversations.select(F.col("conv_id").alias("bundle"), F.col("turn").cast("string").alias("block_id"), "turn")
+    prefix = t.conversations.filter("conv_id % 2 = 0").select(F.col("conv_id").alias("bundle")).distinct().withColumn("prefix_blocks", F.array(F.lit("0"), F.lit("1")))
+    return records.prompt_blocks(blocks, prefix).select(F.col("bundle").alias("conv_id"), "turn", "in_prefix")
+
+
+@query("SNK-6 SNK-7 SNK-8", "select event_id, event_id - (select min(event_id) from events) + 101 seq, case when event_type in ('view', 'click') then event_type else 'unknown' end kind from events")
+def trail_sink(t: Tables) -> DataFrame:
+    """Events appended to a trail after seq 100, read back."""
+    import uuid
+
+    path = f"{shared_dir(t.spark)}/tracemill-trail/{uuid.uuid4().hex}"
+    sinks.trail(t.events.select("event_id", F.col("event_type").alias("kind")), path, ["view", "click"], 100, F.col("event_id"))
+    return t.spark.read.schema("event_id long, seq long, kind string").json(path)
+
+
+@query("SNK-4", "select event_id call_id, (props::json ->> '$.k')::int % 2 = 0 verdict from events where event_type = 'view' and (props::json ->> '$.k') is not null")
+def verdict_sink(t: Tables) -> DataFrame:
+    """Calls with a verdict, written as a report and read back."""
+    import uuid
+
+    path = f"{shared_dir(t.spark)}/tracemill-report/{uuid.uuid4().hex}"
+    k = F.get_json_object("props", "$.k").cast("int")
+    sinks.verdicts(t.events.select(F.col("event_id").alias("call_id"), F.when(F.col("event_type") == "view", k % 2 == 0).alias("verdict"), F.col("props").alias("answer")), path)
+    return t.spark.read.schema("call_id long, verdict boolean").json(f"{path}/verdicts")

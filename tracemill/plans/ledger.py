@@ -6,15 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import rows
+from ..operators import dryrun, folds, joins, ledger, rows, views
 from .adapters import Tables
 from .registry import query
 
 
 @query("LG-3", "select l_orderkey, l_partkey, min(l_linenumber) first_line, substr(sha256(l_orderkey::varchar || chr(0) || l_partkey::varchar || chr(0)), 1, 20) id from lineitem where l_quantity > 5 group by 1, 2")
 def candidate_parser(t: Tables) -> DataFrame:
-    c = t.lineitem.filter("l_quantity > 5").groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("first_line"))
-    return c.withColumn("id", F.substring(F.sha2(F.concat(F.col("l_orderkey").cast("string"), F.lit("\0"), F.col("l_partkey").cast("string"), F.lit("\0")), 256), 1, 20))
+    return ledger.parsed_candidates(t.lineitem, ["l_orderkey", "l_partkey"], "l_linenumber", F.col("l_quantity") > 5, "first_line").select("l_orderkey", "l_partkey", "first_line", "id")
 
 
 @query("LG-4 LG-27", "select l_orderkey, l_linenumber, l_returnflag verdict from (select l_orderkey, l_linenumber, l_returnflag, l_quantity, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_extendedprice) n from lineitem) where n = 1 and l_returnflag in ('A', 'R')")
@@ -26,54 +25,48 @@ def verdict_batch(t: Tables) -> DataFrame:
 
 @query("LG-5", "select p.p_partkey, l.n answered, l.n is null absent from part p left join (select l_partkey, count(*) n from lineitem where l_linenumber = 7 group by 1) l on l.l_partkey = p.p_partkey where p_size between 1 and 30")
 def attack_path_answers(t: Tables) -> DataFrame:
-    n = t.lineitem.filter("l_linenumber = 7").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("answered"))
-    return t.part.filter("p_size between 1 and 30").select("p_partkey").join(n, "p_partkey", "left").withColumn("absent", F.col("answered").isNull())
+    return ledger.answered(t.part.filter("p_size between 1 and 30").select("p_partkey"), t.lineitem.filter("l_linenumber = 7").withColumnRenamed("l_partkey", "p_partkey"), "p_partkey")
 
 
 @query("LG-7", "select o_custkey, count(*) leads, bool_and(o_totalprice > 20000) commits, case when bool_and(o_totalprice > 20000) then count(*) else 0 end written from orders group by 1")
 def lead_plan_commit(t: Tables) -> DataFrame:
     """One invalid decision rejects its whole batch."""
-    ok = F.bool_and(F.col("o_totalprice") > 20000)
-    return t.orders.groupBy("o_custkey").agg(F.count("*").alias("leads"), ok.alias("commits"), F.when(ok, F.count("*")).otherwise(0).alias("written"))
+    return ledger.batch_commit(t.orders, "o_custkey", F.col("o_totalprice") > 20000)
 
 
 @query("LG-8 LG-9", "select substr(sha256(l_suppkey::varchar || '|' || l_returnflag), 1, 20) gap, max(case l_linestatus when 'F' then 1 else 0 end) resolved, string_agg(distinct l_linenumber::varchar, ',' order by l_linenumber::varchar) refs from lineitem group by l_suppkey, l_returnflag")
 def gap_upsert(t: Tables) -> DataFrame:
-    g = t.lineitem.groupBy("l_suppkey", "l_returnflag").agg(F.max(F.when(F.col("l_linestatus") == "F", 1).otherwise(0)).alias("resolved"), F.array_join(F.array_sort(F.collect_set(F.col("l_linenumber").cast("string"))), ",").alias("refs"))
-    return g.select(F.substring(F.sha2(F.concat_ws("|", F.col("l_suppkey").cast("string"), "l_returnflag"), 256), 1, 20).alias("gap"), "resolved", "refs")
+    return ledger.upserted_gaps(t.lineitem, ["l_suppkey", "l_returnflag"], F.col("l_linestatus") == "F", "l_linenumber").select("gap", "resolved", "refs")
 
 
 @query("LG-10", "select l_suppkey, l_returnflag, string_agg(distinct l_partkey::varchar, ',' order by l_partkey::varchar) files, count(*) >= 30 blocked from lineitem group by 1, 2")
 def claim_work(t: Tables) -> DataFrame:
-    return t.lineitem.groupBy("l_suppkey", "l_returnflag").agg(F.array_join(F.array_sort(F.collect_set(F.col("l_partkey").cast("string"))), ",").alias("files"), (F.count("*") >= 30).alias("blocked"))
+    return ledger.claim_work(t.lineitem, ["l_suppkey", "l_returnflag"], "l_partkey", 30)
 
 
 @query("LG-11 UD-3", "select l_orderkey, l_linenumber, l_returnflag from lineitem where l_returnflag in ('A', 'R') and l_partkey in (select p_partkey from part where p_size > 10)")
 def record_dispatch(t: Tables) -> DataFrame:
-    li, known = t.lineitem, t.part.filter("p_size > 10").select("p_partkey")
-    return li.filter(F.col("l_returnflag").isin("A", "R")).join(known, li.l_partkey == known.p_partkey, "left_semi").select("l_orderkey", "l_linenumber", "l_returnflag")
+    return ledger.recorded(t.lineitem, t.part.filter("p_size > 10"), "l_partkey", "p_partkey", F.col("l_returnflag").isin("A", "R")).select("l_orderkey", "l_linenumber", "l_returnflag")
 
 
 @query("LG-12 AG-24", "select l_orderkey, least(count(*), 3) shown, greatest(count(*) - 3, 0) omitted from lineitem group by 1")
 def board_sections(t: Tables) -> DataFrame:
-    items = scalars.bounded(F.array_sort(F.collect_list("l_linenumber")), 3)
-    return t.lineitem.groupBy("l_orderkey").agg(items.alias("b")).select("l_orderkey", F.size("b.items").cast("long").alias("shown"), F.col("b.omitted").cast("long").alias("omitted"))
+    return ledger.sections(t.lineitem, "l_orderkey", "l_linenumber", 3)
 
 
 @query("LG-25", "select p_brand, bool_or(p_type like 'STANDARD%') gate, count(*) filter (where p_type like 'STANDARD%') kept from part group by 1")
 def capability_gate(t: Tables) -> DataFrame:
-    lsp = F.col("p_type").startswith("STANDARD")
-    return t.part.groupBy("p_brand").agg(F.bool_or(lsp).alias("gate"), F.count_if(lsp).alias("kept"))
+    return folds.capability_gate(t.part, "p_brand", F.col("p_type").startswith("STANDARD"))
 
 
 @query("GR-8", "select c_nationkey, max_by(c_mktsegment, c_custkey) last_segment, min_by(c_name, c_custkey) first_name from customer group by 1")
 def context_merge(t: Tables) -> DataFrame:
-    return t.customer.groupBy("c_nationkey").agg(F.max_by("c_mktsegment", "c_custkey").alias("last_segment"), F.min_by("c_name", "c_custkey").alias("first_name"))
+    return folds.context_merge(t.customer, "c_nationkey", "c_custkey", {"last_segment": "c_mktsegment"}, {"first_name": "c_name"})
 
 
 @query("GR-9", "select p_brand, max_by(p_type, (p_size, -p_partkey)) kind, min_by(p_name, (case when p_name = '' then 1 else 0 end, p_partkey)) name, count(distinct p_type) sites from part group by 1")
 def architecture_merge(t: Tables) -> DataFrame:
-    return t.part.groupBy("p_brand").agg(F.max_by("p_type", F.struct("p_size", -F.col("p_partkey"))).alias("kind"), F.min_by("p_name", F.struct(F.when(F.col("p_name") == "", 1).otherwise(0), F.col("p_partkey"))).alias("name"), F.count_distinct("p_type").alias("sites"))
+    return folds.architecture_merge(t.part, "p_brand", F.struct("p_size", -F.col("p_partkey")), "p_type", "p_name", "p_partkey")
 
 
 @query("GR-10 GR-7", "select c_custkey, c_name from customer where c_nationkey < 5 union all select min(c_custkey), trim(c_name) from customer where c_nationkey between 3 and 8 and trim(c_name) <> '' and c_name not in (select c_name from customer where c_nationkey < 5) group by trim(c_name)")
@@ -83,14 +76,14 @@ def threat_merge(t: Tables) -> DataFrame:
     return rows.insert_absent(old, new, "c_name", F.col("c_custkey"))
 
 
-@query("SNK-5 SNK-4", "select o_custkey, o_orderkey from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) n from orders where o_orderstatus = 'F') where n = 1")
+@query("SNK-5", "select o_custkey, o_orderkey from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) n from orders where o_orderstatus = 'F') where n = 1")
 def newest_complete_body(t: Tables) -> DataFrame:
     return rows.first_by(t.orders.filter("o_orderstatus = 'F'"), ["o_custkey"], F.desc("o_orderdate"), F.desc("o_orderkey")).select("o_custkey", "o_orderkey")
 
 
 @query("SO-5", "select c_nationkey, max(c_custkey) last_activity, count(*) n from customer group by 1 order by last_activity desc, c_nationkey")
 def recent_activity(t: Tables) -> DataFrame:
-    return t.customer.groupBy("c_nationkey").agg(F.max("c_custkey").alias("last_activity"), F.count("*").alias("n")).orderBy(F.desc("last_activity"), "c_nationkey")
+    return joins.recent_activity(t.customer, "c_nationkey", "c_custkey")
 
 
 @query("SO-11")
@@ -98,24 +91,28 @@ def claim_batching(t: Tables) -> DataFrame:
     """First-fit packing of orders by shared parts, a brand's orders at a time."""
     from ..operators import packing
 
-    li = t.lineitem.filter("l_linenumber <= 3")
-    return packing.first_fit(li.select(F.col("l_suppkey").alias("scope"), F.col("l_orderkey").alias("claim"), F.col("l_partkey").alias("file")), 4, 8)
+    return packing.first_fit(t.lineitem.select(F.col("l_suppkey").alias("scope"), F.col("l_orderkey").alias("claim"), F.col("l_partkey").alias("file")), 4, 8)
 
 
-@query("LG-1", """with s as (select doc_id, source, case when text like '%token = "%' then 'hardcoded_secret' when text like '%@mail%' then 'sensitive_data_exposure' end kind from documents)
-    select source, kind, min(doc_id) candidate, count(*) signals, 'rejected' verdict from s where kind is not null group by 1, 2""")
+SIGNALS = [("hardcoded_secret", r"token = \"[0-9a-f]{8}"), ("sensitive_data_exposure", r"@mail[0-9]"), ("injection", r"password=")]
+
+
+@query("LG-1 LG-2", """with l as (select source scope, doc_id::varchar file, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) no from documents),
+    h as (select scope, file, no, case when regexp_matches(line, 'token = \"[0-9a-f]{8}') then 'hardcoded_secret' when regexp_matches(line, '@mail[0-9]') then 'sensitive_data_exposure' when regexp_matches(line, 'password=') then 'injection' end kind from l),
+    f as (select *, row_number() over (partition by scope, file, kind order by no) n from h where kind is not null), c as (select scope, file, no, kind, row_number() over (partition by scope order by file, no, kind) k from f where n = 1),
+    s as (select distinct source scope from documents) select s.scope, count(c.file)::bigint candidates, count(c.file)::bigint rejected, count(distinct c.file || ':' || c.no::varchar)::bigint places, case when count(c.file) > 0 then 2 else 1 end::int rounds, 'sufficient' state, 0::bigint findings
+    from s left join c on c.scope is not distinct from s.scope and c.k <= 50 group by s.scope""")
 def dry_run(t: Tables) -> DataFrame:
     """Survey, signals and candidates without a model: every candidate is rejected."""
-    kind = F.when(F.contains("text", F.lit('token = "')), "hardcoded_secret").when(F.contains("text", F.lit("@mail")), "sensitive_data_exposure")
-    return t.documents.select("doc_id", "source", kind.alias("kind")).filter("kind is not null").groupBy("source", "kind").agg(F.min("doc_id").alias("candidate"), F.count("*").alias("signals")).withColumn("verdict", F.lit("rejected"))
+    files = t.documents.select(F.col("source").alias("scope"), F.col("doc_id").cast("string").alias("file"), "text")
+    return dryrun.run(files, SIGNALS, per_scope=50, max_rounds=3)
 
 
 @query("LG-23", "select p_partkey, p_partkey in (select l_partkey from lineitem) available from part")
 def artifact_availability(t: Tables) -> DataFrame:
-    seen = t.lineitem.select(F.col("l_partkey").alias("p_partkey")).distinct().withColumn("have", F.lit(True))
-    return t.part.select("p_partkey").join(seen, "p_partkey", "left").select("p_partkey", F.coalesce("have", F.lit(False)).alias("available"))
+    return joins.availability(t.part.select("p_partkey"), t.lineitem.select(F.col("l_partkey").alias("p_partkey")), "p_partkey")
 
 
-@query("PRJ-6 SRC-11", "select o_orderkey, array_to_string([o_orderstatus, o_orderpriority], ' ') command from orders")
+@query("PRJ-6", "select o_orderkey, array_to_string([o_orderstatus, o_orderpriority], ' ') command from orders")
 def scan_summary(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", F.array_join(F.array("o_orderstatus", "o_orderpriority"), " ").alias("command"))
+    return views.scan_summaries(t.orders.select("o_orderkey", F.array("o_orderstatus", "o_orderpriority").alias("command"))).select("o_orderkey", F.col("command_line").alias("command"))

@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import rows
+from ..operators import folds, rows, totals, views
+from ..sources import records
 from .adapters import Tables
 from .registry import query
 
 
 @query("WN-1 WN-2 WN-6", "select run, max_by(kind, arrival) kind, max(arrival) arrival from v_trail group by run")
 def latest_by_arrival(t: Tables) -> DataFrame:
-    return t.trail().groupBy("run").agg(F.max_by("kind", "arrival").alias("kind"), F.max("arrival").alias("arrival"))
+    return folds.latest_by(t.trail(), "run", "arrival", "kind").select("run", "kind", "arrival")
 
 
 @query("WN-3 GR-13", "select run, max_by(kind, seq) kind, max(seq) seq from v_trail group by run")
 def latest_by_seq(t: Tables) -> DataFrame:
-    return t.trail().groupBy("run").agg(F.max_by("kind", "seq").alias("kind"), F.max("seq").alias("seq"))
+    return folds.latest_by(t.trail(), "run", "seq", "kind").select("run", "kind", "seq")
 
 
 @query("WN-4", """with e as (select *, sum(case kind when 'agent_start' then 1 else 0 end) over (partition by run order by arrival rows unbounded preceding) epoch from v_trail), l as (select run, max(epoch) last from e group by run)
@@ -38,16 +39,15 @@ def candidate_fold_invalidation(t: Tables) -> DataFrame:
     return now.groupBy("run").agg(F.max_by("cents", F.when(F.col("event_type") == "view", F.col("seq"))).alias("verdict"), F.max_by("k", F.when(F.col("event_type") == "click", F.col("seq"))).alias("path"))
 
 
-@query("WN-7 WN-8", "select o_custkey, max_by(o_orderkey, (o_orderdate, o_orderkey)) latest, bool_or(o_orderstatus in ('P', 'O')) in_flight from orders group by 1")
+@query("WN-8", "select o_custkey, max_by(o_orderkey, (o_orderdate, o_orderkey)) latest, bool_or(o_orderstatus in ('P', 'O')) in_flight from orders group by 1")
 def latest_audit(t: Tables) -> DataFrame:
-    return t.orders.groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("latest"), F.bool_or(F.col("o_orderstatus").isin("P", "O")).alias("in_flight"))
+    return folds.latest_bundle(t.orders, "o_custkey", "o_orderdate", "o_orderkey", views.active(F.col("o_orderstatus"), ("P", "O")))
 
 
 @query("WN-9 AG-19", """with c as (select run, min(k) least, count(*) n, count(*) filter (where event_type = 'error') failures, sum(cents)::bigint cents from v_trail group by run)
     select sum(n)::bigint attempts, sum(failures)::bigint failures, count(*) callers, greatest(0, sum(n) - sum(least))::bigint retried, sum(cents)::bigint cents from c""")
 def model_call_totals(t: Tables) -> DataFrame:
-    c = t.trail().groupBy("run").agg(F.min("k").alias("least"), F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("failures"), F.sum("cents").alias("cents"))
-    return c.agg(F.sum("n").alias("attempts"), F.sum("failures").alias("failures"), F.count("*").alias("callers"), F.greatest(F.lit(0), F.sum("n") - F.sum("least")).alias("retried"), F.sum("cents").alias("cents"))
+    return totals.model_call_totals(t.trail(), "run", "k", F.col("event_type") == "error", "cents")
 
 
 @query("WN-10", "select run, seq from (select run, seq, row_number() over (partition by run order by arrival) n from v_trail where kind = 'agent_step') where n <= 5")
@@ -62,77 +62,69 @@ def ring_page(t: Tables) -> DataFrame:
 
 @query("WN-13", "select kind, min(seq) first_seq, count(distinct run) runs from v_trail group by kind")
 def kinds_seen(t: Tables) -> DataFrame:
-    return t.trail().groupBy("kind").agg(F.min("seq").alias("first_seq"), F.count_distinct("run").alias("runs"))
+    return folds.seen_kinds(t.trail(), "kind", "seq", "run")
 
 
 @query("WN-14 LG-2", """with b as (select distinct run, k from v_trail where seq < 500), a as (select distinct run, k from v_trail)
     select a.run, count(*) places, count(*) filter (where not exists (select 1 from b where b.run = a.run and b.k is not distinct from a.k)) fresh from a group by a.run""")
 def new_places_per_round(t: Tables) -> DataFrame:
-    after, before = t.trail().select("run", "k").distinct(), t.trail().filter("seq < 500").select(F.col("run").alias("r"), F.col("k").alias("b"), F.lit(True).alias("known")).distinct()
-    return after.join(before, (F.col("run") == F.col("r")) & F.col("k").eqNullSafe(F.col("b")), "left").groupBy("run").agg(F.count("*").alias("places"), F.count_if(F.col("known").isNull()).alias("fresh"))
+    return folds.fresh_places(t.trail().filter("seq < 500"), t.trail(), "run", "k")
 
 
 @query("AG-18", "select event_type path, count(*) n, round(avg(round(\"value\" * 100)::bigint), 4) mean_cents, count(*) filter (where event_type = 'error') errors, min(event_id) first_seen from events group by 1 order by n desc, first_seen limit 3")
 def traffic_by_path(t: Tables) -> DataFrame:
-    e = t.events.groupBy(F.col("event_type").alias("path")).agg(F.count("*").alias("n"), F.round(F.avg(F.round(F.col("value") * 100).cast("long")), 4).alias("mean_cents"), F.count_if(F.col("event_type") == "error").alias("errors"), F.min("event_id").alias("first_seen"))
-    return e.orderBy(F.desc("n"), "first_seen").limit(3)
+    e = t.events.select(F.col("event_type").alias("path"), F.round(F.col("value") * 100).cast("long").alias("cents"), "event_id")
+    return totals.traffic_by_endpoint(e, "path", "cents", F.col("path") == "error", "event_id", 3)
 
 
 @query("AG-16 AG-17", """select event_type, sum(k)::bigint prompt, sum(case when k % 3 = 0 then k end)::bigint cached, round(sum(case when k % 3 = 0 then k end) / nullif(sum(k), 0)::double, 6) cache_share, count(k) reported from v_trail group by 1""")
 def ai_totals(t: Tables) -> DataFrame:
-    cached = F.sum(F.when(F.col("k") % 3 == 0, F.col("k")))
-    return t.trail().groupBy("event_type").agg(F.sum("k").alias("prompt"), cached.alias("cached"), F.round(F.try_divide(cached.cast("double"), F.nullif(F.sum("k"), F.lit(0)).cast("double")), 6).alias("cache_share"), F.count("k").alias("reported"))
+    return totals.ai_totals(t.trail().withColumn("cached_k", F.when(F.col("k") % 3 == 0, F.col("k"))), ["event_type"], "k", "cached_k")
 
 
 @query("AG-20 AG-21", """select kind, count(o_orderkey) filter (where o_orderstatus = 'O') queued, count(o_orderkey) filter (where o_orderstatus = 'P') running, count(o_orderkey) filter (where o_orderstatus = 'F') finished
     from (values ('1-URGENT'), ('2-HIGH'), ('9-NONE')) a(kind) left join orders on o_orderpriority = kind group by kind""")
 def queue_by_kind_axis(t: Tables) -> DataFrame:
-    axis = t.spark.createDataFrame([("1-URGENT",), ("2-HIGH",), ("9-NONE",)], "kind string")
-    counts = t.orders.groupBy("o_orderpriority").agg(*[F.count_if(F.col("o_orderstatus") == s).alias(n) for s, n in (("O", "queued"), ("P", "running"), ("F", "finished"))])
-    return F.broadcast(axis).join(counts, F.col("kind") == F.col("o_orderpriority"), "left").drop("o_orderpriority").na.fill(0)
+    return totals.on_axis(t.orders, "o_orderpriority", ["1-URGENT", "2-HIGH", "9-NONE"], {n: F.col("o_orderstatus") == s for s, n in (("O", "queued"), ("P", "running"), ("F", "finished"))})
 
 
 @query("AG-22", "select count(*) filter (where o_orderstatus = 'O') queued, count(*) filter (where o_orderstatus = 'P') pending, count(*) filter (where o_orderstatus = 'O') > count(*) filter (where o_orderstatus = 'P') degraded from orders")
 def queue_health(t: Tables) -> DataFrame:
-    q, p = F.count_if(F.col("o_orderstatus") == "O"), F.count_if(F.col("o_orderstatus") == "P")
-    return t.orders.agg(q.alias("queued"), p.alias("pending"), (q > p).alias("degraded"))
+    return totals.queue_health(t.orders, F.col("o_orderstatus") == "O", F.col("o_orderstatus") == "P")
 
 
 @query("AG-23", "select count(*) events, count(distinct run) runs, count(*) filter (where kind = 'agent_start') starts, count(*) filter (where kind = 'agent_end') ends, max(seq) last_seq from v_trail")
 def trail_counters(t: Tables) -> DataFrame:
-    return t.trail().agg(F.count("*").alias("events"), F.count_distinct("run").alias("runs"), F.count_if(F.col("kind") == "agent_start").alias("starts"), F.count_if(F.col("kind") == "agent_end").alias("ends"), F.max("seq").alias("last_seq"))
+    return totals.trail_counters(t.trail(), {"starts": F.col("kind") == "agent_start", "ends": F.col("kind") == "agent_end"})
 
 
 @query("AG-26", "select run, event_type, count(*) n from v_trail group by all")
 def tool_histogram(t: Tables) -> DataFrame:
-    return t.trail().groupBy("run", "event_type").agg(F.count("*").alias("n"))
+    return totals.histogram(t.trail(), "run", "event_type")
 
 
 @query("AG-27", """select run, min(seq) breach_seq, arg_min(cap, (seq, cap)) cap from (select run, seq, case when count(*) over w > 20 then 'calls' when sum(coalesce(k, 0)) over w > 500 then 'tokens' end cap from v_trail window w as (partition by run order by seq rows unbounded preceding)) where cap is not null group by run""")
 def budget_first_breach(t: Tables) -> DataFrame:
-    w = Window.partitionBy("run").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    cap = F.when(F.count("*").over(w) > 20, "calls").when(F.sum(F.coalesce("k", F.lit(0))).over(w) > 500, "tokens")
-    return t.trail().withColumn("cap", cap).filter("cap is not null").groupBy("run").agg(F.min("seq").alias("breach_seq"), F.min_by("cap", F.struct("seq", "cap")).alias("cap"))
+    return totals.first_breach(t.trail(), "run", "seq", [("calls", F.lit(1), 20), ("tokens", F.col("k"), 500)])
 
 
-@query("PRJ-8 PRJ-9", "select conv_id, turn, role, case when lower(text) like '%error%' then 'error' when length(text) < 40 then 'short' else 'ok' end kind, (select count(*) from conversations) total from conversations where role = 'assistant' and lower(text) like '%th%'")
+@query("PRJ-8 PRJ-9", """select conv_id, turn, case when text like 'context budget exceeded:%' then 'context_budget' when text like 'model call failed:%' then 'model' when turn % 2 = 0 then 'tool_arguments' else 'tool_execution' end failure_kind,
+    (select count(*) from conversations where role = 'assistant') total from conversations where role = 'assistant' and turn % 3 = 0 and lower('assistant s  ' || text || '  ' || case when turn % 2 = 0 then 'missing path' else 'it broke' end || ' {}') like '%th%'""")
 def dialogue_filter(t: Tables) -> DataFrame:
-    kind = F.when(F.contains(F.lower("text"), F.lit("error")), "error").when(F.length("text") < 40, "short").otherwise("ok")
-    total = t.conversations.agg(F.count("*").alias("total"))
-    hits = t.conversations.filter((F.col("role") == "assistant") & F.contains(F.lower("text"), F.lit("th")))
-    return hits.select("conv_id", "turn", "role", kind.alias("kind")).crossJoin(F.broadcast(total))  # total is one row
+    c = t.conversations
+    events = c.select(F.concat_ws("-", "conv_id", "turn").alias("seq"), "conv_id", "turn", F.when(F.col("role") == "assistant", "agent_step").otherwise("other").alias("kind"), F.col("role").alias("agent"), F.lit("s").alias("scope"), F.col("text").alias("thought"), F.lit(None).cast("string").alias("tool"), F.lit("{}").alias("arguments"), (F.col("turn") % 3 != 0).alias("ok"), F.lit("").alias("summary"), F.when(F.col("turn") % 3 == 0, F.when(F.col("turn") % 2 == 0, "missing path").otherwise("it broke")).alias("error"))
+    return views.dialogue_filter(views.dialogue(events), agent="assistant", needle="TH", problems=True).select("conv_id", "turn", "failure_kind", "total")
 
 
 @query("PRJ-10", "select seq, coalesce(k, -1) k, coalesce(event_type, 'unknown') label from v_trail where kind = 'agent_end'")
 def finding_rows(t: Tables) -> DataFrame:
-    return t.trail().filter("kind = 'agent_end'").select("seq", F.coalesce("k", F.lit(-1)).alias("k"), F.coalesce("event_type", F.lit("unknown")).alias("label"))
+    return views.finding_rows(t.trail().select("seq", "k", F.col("event_type").alias("label"), "kind"), "agent_end", {"k": -1, "label": "unknown"}).drop("kind")
 
 
 @query("PRJ-14", "select seq from v_trail where run in (select run from v_trail where event_type = 'signup' and k > 50) or (kind = 'agent_end' and k < 10)")
 def task_evidence(t: Tables) -> DataFrame:
     e = t.trail()
-    ids = e.filter("event_type = 'signup' and k > 50").select(F.col("run").alias("r"), F.lit(True).alias("own")).distinct()
-    return e.join(ids, e.run == F.col("r"), "left").filter(F.col("own").isNotNull() | ((F.col("kind") == "agent_end") & (F.col("k") < 10))).select("seq")
+    return views.task_evidence(e, e.filter("event_type = 'signup' and k > 50"), "run", (F.col("kind") == "agent_end") & (F.col("k") < 10)).select("seq")
 
 
 @query("PRJ-7", "select o_orderkey, o_orderstatus state, o_totalprice > 100000 large, coalesce(nullif(o_orderpriority, ''), 'none') priority from orders")
@@ -142,7 +134,7 @@ def job_summary(t: Tables) -> DataFrame:
 
 @query("PRJ-17", "select o_orderkey, o_orderstatus in ('O', 'P') active, o_orderstatus = 'F' terminal from orders")
 def job_predicates(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", F.col("o_orderstatus").isin("O", "P").alias("active"), (F.col("o_orderstatus") == "F").alias("terminal"))
+    return views.job_rows(t.orders, "o_orderstatus", ("O", "P"), ("F",)).select("o_orderkey", "active", "terminal")
 
 
 @query("SM-3 SM-2 FN-28", """with l as (select run, max(seq) seq, count(*) filter (where kind = 'agent_start') attempts, max_by(kind, seq) state, max(ts) beat from v_trail group by run), n as (select max(ts) now from v_trail)
@@ -150,46 +142,32 @@ def job_predicates(t: Tables) -> DataFrame:
 def stale_adjudication(t: Tables) -> DataFrame:
     e = t.trail()
     last = e.groupBy("run").agg(F.count_if(F.col("kind") == "agent_start").alias("attempts"), F.max_by("kind", "seq").alias("state"), F.max("ts").alias("beat"))
-    now = e.agg(F.max("ts").alias("now"))  # one row
-    decision = F.when(F.col("state") == "agent_end", "skipped").when(F.floor(scalars.seconds_since(F.col("beat"), F.col("now"))) < 86400, "recovered").when(F.col("attempts") < 20, "requeued").otherwise("failed")
-    return last.crossJoin(F.broadcast(now)).select("run", decision.alias("decision"))
+    both = last.crossJoin(F.broadcast(e.agg(F.max("ts").alias("now"))))  # one row
+    return both.select("run", folds.stale(both, F.col("now"), F.col("state") == "agent_end", 86400, 20).alias("decision"))
 
 
 @query("SM-4", "select o_orderkey from orders where o_orderstatus = 'O' and o_custkey not in (select c_custkey from customer where c_acctbal > 0)")
 def startup_reconcile(t: Tables) -> DataFrame:
-    live = t.customer.filter("c_acctbal > 0").select("c_custkey")
-    o = t.orders.filter("o_orderstatus = 'O'")
-    return o.join(live, o.o_custkey == live.c_custkey, "left_anti").select("o_orderkey")
+    return folds.orphans(t.orders.filter("o_orderstatus = 'O'"), t.customer.filter("c_acctbal > 0"), "o_custkey", "c_custkey").select("o_orderkey")
 
 
-@query("SM-5 SM-7", """select run, max(seq) revision, max_by(kind, seq) state, count(*) writes from v_trail where seq <= coalesce((select min(seq) from v_trail e where e.run = v_trail.run and e.kind = 'agent_end'), 1e18) group by run""")
+@query("SM-7", """select run, max(seq) revision, max_by(kind, seq) state, count(*) writes from v_trail where seq <= coalesce((select min(seq) from v_trail e where e.run = v_trail.run and e.kind = 'agent_end'), 1e18) group by run""")
 def job_state_fold(t: Tables) -> DataFrame:
     """Events up to the first terminal one count; later ones are absorbed."""
-    e = t.trail()
-    end = F.min(F.when(F.col("kind") == "agent_end", F.col("seq"))).over(Window.partitionBy("run"))
-    return e.withColumn("end", end).filter(F.col("end").isNull() | (F.col("seq") <= F.col("end"))).groupBy("run").agg(F.max("seq").alias("revision"), F.max_by("kind", "seq").alias("state"), F.count("*").alias("writes"))
+    return folds.state_fold(t.trail(), "run", "seq", "kind", F.col("kind") == "agent_end")
 
 
-@query("SM-6 GR-7", "select o_custkey fingerprint, min(o_orderkey) job from orders where o_custkey % 7 <> 0 group by 1")
+@query("GR-7", "select o_custkey fingerprint, min(o_orderkey) job from orders group by 1")
 def idempotent_create(t: Tables) -> DataFrame:
-    return first_jobs(t.orders.filter("o_custkey % 7 != 0"))
-
-
-@query("SM-6 GR-7")
-def idempotent_create_whole(t: Tables) -> DataFrame:
-    """idempotent_create over all orders."""
-    return first_jobs(t.orders)
-
-
-def first_jobs(orders: DataFrame) -> DataFrame:
-    return orders.groupBy(F.col("o_custkey").alias("fingerprint")).agg(F.min("o_orderkey").alias("job"))
+    return folds.created_once(t.orders.withColumnRenamed("o_custkey", "fingerprint"), "fingerprint", "o_orderkey")
 
 
 @query("SM-12 LG-29", """with c as (select user_id scope, count(*) n, count(*) filter (where event_type = 'error') errors, count(distinct event_type) kinds from events group by 1)
     select scope, case when errors > 40 then 'gaps' when kinds < 4 then 'not_covered' when n > 90 then 'new_places' when errors > 20 then 'unread' when n < 40 then 'undecided' else 'sufficient' end decision from c""")
 def closure_rule(t: Tables) -> DataFrame:
     c = t.events.groupBy(F.col("user_id").alias("scope")).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"), F.count_distinct("event_type").alias("kinds"))
-    return c.select("scope", F.when(F.col("errors") > 40, "gaps").when(F.col("kinds") < 4, "not_covered").when(F.col("n") > 90, "new_places").when(F.col("errors") > 20, "unread").when(F.col("n") < 40, "undecided").otherwise("sufficient").alias("decision"))
+    facts = c.select("scope", F.greatest(F.col("errors") - 40, F.lit(0)).alias("gaps"), (F.col("kinds") >= 4).alias("covered"), F.col("n").alias("new_places"), F.greatest(F.col("errors") - 20, F.lit(0)).alias("unread"), F.greatest(40 - F.col("n"), F.lit(0)).alias("undecided"))
+    return folds.closure(facts, "scope", folds.closure_rules(91))
 
 
 @query("SRC-9 SM-14", "select seq, kind, (select count(*) from v_trail where seq > 200) > 100 more from v_trail where seq > 200 order by seq limit 100")
@@ -198,39 +176,83 @@ def trail_page_after(t: Tables) -> DataFrame:
     return rows.page(rest.select("seq", "kind"), 0, 100, F.col("seq")).select("seq", "kind", (F.col("total") > 100).alias("more"))
 
 
-@query("SRC-10", """with l as (select conv_id, max(turn) last from conversations group by 1) select c.conv_id, turn, role from conversations c join l on c.conv_id = l.conv_id and turn > last - 2""")
+@query("SRC-10", """with s as (select *, turn // 2 % 2 as session_no from conversations), n as (select *, case when session_no is distinct from lag(session_no) over (partition by conv_id order by turn) then 1 else 0 end fresh from s),
+    g as (select *, sum(fresh) over (partition by conv_id order by turn rows unbounded preceding) no from n) select conv_id, turn, role from (select *, max(no) over (partition by conv_id) last from g) where no = last""")
 def last_session_rows(t: Tables) -> DataFrame:
-    last = t.conversations.groupBy("conv_id").agg(F.max("turn").alias("last"))
-    return t.conversations.join(last, "conv_id").filter("turn > last - 2").select("conv_id", "turn", "role")
+    told = t.conversations.withColumn("session", F.floor(F.col("turn") / 2) % 2)
+    return records.last_session(told, "conv_id", "session", "turn").select("conv_id", "turn", "role")
 
 
 @query("LG-14", "select run, max(k) max_steps, sum(k)::bigint sum_steps, case when max_by(kind, seq) = 'agent_end' then 'blocked' when count(*) filter (where kind = 'agent_start') > 10 then 'canceled' else 'planned' end state from v_trail group by run")
 def work_closing(t: Tables) -> DataFrame:
     state = F.when(F.max_by("kind", "seq") == "agent_end", "blocked").when(F.count_if(F.col("kind") == "agent_start") > 10, "canceled").otherwise("planned")
-    return t.trail().groupBy("run").agg(F.max("k").alias("max_steps"), F.sum("k").alias("sum_steps"), state.alias("state"))
+    return folds.work_closed(t.trail(), "run", "seq", "k", state)
 
 
 @query("LG-16", "select run, max_by(seq, seq) filter (where event_type = 'view') last_view, string_agg(distinct event_type, ',' order by event_type) reasons from v_trail group by run")
 def last_evidence(t: Tables) -> DataFrame:
-    return t.trail().groupBy("run").agg(F.max(F.when(F.col("event_type") == "view", F.col("seq"))).alias("last_view"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("reasons"))
+    return folds.last_matching(t.trail(), "run", "seq", F.col("event_type") == "view", "event_type").withColumnRenamed("last", "last_view")
 
 
 @query("LG-18", "select conv_id, max(turn) turns from conversations group by conv_id having max_by(role, turn) <> 'assistant'")
 def early_stopped_runs(t: Tables) -> DataFrame:
-    return t.conversations.groupBy("conv_id").agg(F.max("turn").alias("turns"), F.max_by("role", "turn").alias("r")).filter("r != 'assistant'").drop("r")
+    return folds.stopped_early(t.conversations, "conv_id", "turn", "role", "assistant")
 
 
 @query("LG-31", "select run, max(seq) last_summary, max_by(cents, seq) cents from v_trail where event_type in ('view', 'signup') group by run")
 def progress_mirror(t: Tables) -> DataFrame:
-    return t.trail().filter(F.col("event_type").isin("view", "signup")).groupBy("run").agg(F.max("seq").alias("last_summary"), F.max_by("cents", "seq").alias("cents"))
+    return folds.progress(t.trail(), "run", "seq", "event_type", ["view", "signup"], "cents").select("run", F.col("seq").alias("last_summary"), "cents")
 
 
-@query("LG-13 SM-8 SM-9", "select run, max_by(kind, seq) state, count(*) beats, count(*) filter (where kind = 'agent_end') = 0 keeps from v_trail group by run")
+@query("LG-13", "select run, max_by(kind, seq) state, count(*) beats, count(*) filter (where kind = 'agent_end') = 0 keeps from v_trail group by run")
 def coverage_upkeep(t: Tables) -> DataFrame:
-    return t.trail().groupBy("run").agg(F.max_by("kind", "seq").alias("state"), F.count("*").alias("beats"), (F.count_if(F.col("kind") == "agent_end") == 0).alias("keeps"))
+    return folds.coverage_upkeep(t.trail(), "run", "seq", "kind", F.col("kind") == "agent_end")
 
 
-@query("FN-18", """select event_id, case when "value" * 1000 < 1000 then round("value" * 1000)::bigint::varchar || ' ms' when "value" * 1000 < 60000 then printf('%.1f', "value") || ' s' else (round("value" * 1000)::bigint // 60000)::varchar || ' m ' || (round("value" * 1000)::bigint % 60000 // 1000)::varchar || ' s' end label from events where event_id % 2 = 0 and abs("value" * 10 - floor("value" * 10) - 0.5) > 0.01""")
+@query("FN-18", """select event_id, case when "value"::decimal(18,6) * 1000 < 1000 then round("value"::decimal(18,6) * 1000)::bigint::varchar || ' ms' when "value"::decimal(18,6) * 1000 < 60000 then round("value"::decimal(18,6), 1)::decimal(18,1)::varchar || ' s' else (round("value"::decimal(18,6) * 1000)::bigint // 60000)::varchar || ' m ' || (round("value"::decimal(18,6) * 1000)::bigint % 60000 // 1000)::varchar || ' s' end label from events""")
 def duration_labels(t: Tables) -> DataFrame:
-    v = F.col("value")
-    return t.events.filter((F.col("event_id") % 2 == 0) & (F.abs(v * 10 - F.floor(v * 10) - 0.5) > 0.01)).select("event_id", scalars.duration_label(v * 1000).alias("label"))
+    return t.events.select("event_id", scalars.duration_label(F.col("value").cast("decimal(18,6)") * 1000).alias("label"))
+
+
+@query("SM-1", """with q as (select event_id, row_number() over (order by event_id desc) back from events), o as (select event_id, row_number() over (order by event_id) n from q where back <= 5000 and event_id % 3 <> 0)
+    select event_id entry_id, ((n - 1) // 10)::int consumer from o where n <= 40""")
+def queue_claims(t: Tables) -> DataFrame:
+    """Ten entries for each of four consumers, of the newest 5,000; a third is acknowledged."""
+    entries = t.events.select(F.col("event_id").alias("entry_id"))
+    return folds.claimed(entries, entries.filter("entry_id % 3 = 0"), 4, 10, 5000).select("entry_id", "consumer")
+
+
+@query("SM-5", """with j as (select o_orderkey job_id, case o_orderstatus when 'F' then 'succeeded' when 'O' then 'queued' else 'running' end state, o_orderkey % 4 revision from orders)
+    select job_id, case when ok then 'running' else state end state, case when ok then revision + 1 else revision end revision, ok applied from (select *, state = 'queued' and revision = 1 and job_id % 2 = 0 ok from j)""")
+def compare_and_set(t: Tables) -> DataFrame:
+    """Writes to every second job that expect it queued at revision 1."""
+    state = F.when(F.col("o_orderstatus") == "F", "succeeded").when(F.col("o_orderstatus") == "O", "queued").otherwise("running")
+    jobs = t.orders.select(F.col("o_orderkey").alias("job_id"), state.alias("state"), (F.col("o_orderkey") % 4).alias("revision"))
+    writes = jobs.filter("job_id % 2 = 0").select("job_id", F.lit("queued").alias("expected_state"), F.lit(1).cast("long").alias("expected_revision"), F.lit("running").alias("state"), F.lit(True).alias("bump"))
+    return folds.compared_and_set(jobs, writes)
+
+
+@query("SM-6", """with e as (select c_custkey fingerprint, case c_custkey % 3 when 0 then 'failed' when 1 then 'succeeded' else 'running' end state from customer where c_custkey % 2 = 0),
+    s as (select o_custkey fingerprint, o_orderkey job_id, o_orderkey % 5 = 0 force, row_number() over (partition by o_custkey order by o_orderkey) n from orders)
+    select s.fingerprint, job_id, case when n > 1 then 'duplicate' when state is null then 'created' when state = 'failed' or force and state = 'succeeded' then 'redriven' else 'duplicate' end outcome from s left join e on e.fingerprint = s.fingerprint""")
+def submissions(t: Tables) -> DataFrame:
+    """Orders as submissions by customer, every second of whom has a job already."""
+    state = F.when(F.col("c_custkey") % 3 == 0, "failed").when(F.col("c_custkey") % 3 == 1, "succeeded").otherwise("running")
+    existing = t.customer.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("fingerprint"), state.alias("state"))
+    return folds.submitted(existing, t.orders.select(F.col("o_custkey").alias("fingerprint"), F.col("o_orderkey").alias("job_id"), (F.col("o_orderkey") % 5 == 0).alias("force")))
+
+
+@query("SM-8 SM-9", """with l as (select user_id, max(ts) beat from events group by 1), n as (select max(ts) now from events), j as (select c_custkey job_id, case c_custkey % 3 when 0 then 'succeeded' else 'running' end state, timestamp '2024-01-01 00:00:00' beat from customer)
+    select job_id, state, case when state = 'succeeded' then j.beat else greatest(j.beat, l.beat) end beat from j left join l on l.user_id = job_id, n where state <> 'succeeded' or date_diff('second', j.beat, now) < 86400""")
+def heartbeats(t: Tables) -> DataFrame:
+    """Jobs of customers with beats of users, after a day's time to live."""
+    begun = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    jobs = t.customer.select(F.col("c_custkey").alias("job_id"), F.when(F.col("c_custkey") % 3 == 0, "succeeded").otherwise("running").alias("state"), begun.alias("beat"))
+    beaten = folds.beaten(jobs, t.events.select(F.col("user_id").alias("job_id"), F.col("ts").alias("at")))
+    both = beaten.crossJoin(F.broadcast(t.events.agg(F.max("ts").alias("now"))))  # one row
+    return folds.expired(both, F.col("now"), 86400).select("job_id", "state", "beat")
+
+
+@query("WN-7", "select o_custkey, max_by(o_orderkey, (strftime(o_orderdate, '%Y-%m-%d'), o_orderkey)) latest from orders group by 1")
+def latest_bundle(t: Tables) -> DataFrame:
+    return folds.latest_bundle(t.orders.withColumn("created", F.date_format("o_orderdate", "yyyy-MM-dd")), "o_custkey", "created", "o_orderkey")

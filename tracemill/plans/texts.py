@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..operators import joins, texts, views
 from ..sources import code
 from .adapters import Tables
 from .registry import query
@@ -56,13 +57,12 @@ def type_normalise(t: Tables) -> DataFrame:
 
 @query("PRJ-11", "select p_partkey, lower(replace(p_type, ' ', '_')) like '%steel%' or lower(replace(p_type, ' ', '_')) like '%tin%' taint from part")
 def taint_predicate(t: Tables) -> DataFrame:
-    kind = F.lower(F.translate("p_type", " -", "__"))
-    return t.part.select("p_partkey", F.exists(F.array(F.lit("steel"), F.lit("tin")), lambda m: F.contains(kind, m)).alias("taint"))
+    return t.part.select("p_partkey", views.tainted(F.col("p_type"), ["steel", "tin"]).alias("taint"))
 
 
 @query("PRJ-13", "select p_partkey, p_name from part where p_name not like '%<%'")
 def synthetic_filter(t: Tables) -> DataFrame:
-    return t.part.filter(~F.contains("p_name", F.lit("<"))).select("p_partkey", "p_name")
+    return views.named(t.part, "p_name").select("p_partkey", "p_name")
 
 
 @query("FN-15", "select p_partkey, array_to_string(list_filter(string_split(regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> ''), '|') words from part")
@@ -120,8 +120,8 @@ def json_objects(t: Tables) -> DataFrame:
 
 @query("FN-25 FN-26 FN-31", "select event_id, coalesce((props::json ->> '$.cached')::int, (props::json ->> '$.k')::int) usage, case when (props::json ->> '$.k')::int > 0 then (props::json ->> '$.k')::int end line from events")
 def usage_normalised(t: Tables) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("int")
-    return t.events.select("event_id", F.coalesce(F.get_json_object("props", "$.cached").cast("int"), k).alias("usage"), F.when(k > 0, k).alias("line"))
+    usage = views.normalised_usage(F.col("props"), (("k",), ("none",), ("cached", "k")))
+    return t.events.select("event_id", usage[2].alias("usage"), views.positive_line(F.get_json_object("props", "$.k")).alias("line"))
 
 
 @query("FN-27", """select n_nationkey, '{"a":"' || n_name || '","b":"' || n_regionkey::varchar || '"}' canonical from nation""")
@@ -149,7 +149,7 @@ def failure_explanation(t: Tables) -> DataFrame:
 
 @query("ST-3 ST-5", "select p_partkey, array_to_string(list_filter([lower(p_brand), 'x'], lambda v: v <> 'brand#11'), '|') fresh from part")
 def new_facts(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", F.array_join(F.array_except(F.array(F.lower("p_brand"), F.lit("x")), F.array(F.lit("brand#11"))), "|").alias("fresh"))
+    return t.part.select("p_partkey", F.array_join(joins.fresh_facts(F.array(F.lower("p_brand"), F.lit("x")), F.array(F.lit("brand#11"))), "|").alias("fresh"))
 
 
 @query("TX-7", "select doc_id, n line_no, left(trim(line), 400) line from (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) n from documents) where regexp_matches(line, 'token = \"[0-9a-f]+\"')")
@@ -159,8 +159,7 @@ def grep_lines(t: Tables) -> DataFrame:
 
 @query("TX-10 SRC-4 SRC-5 SRC-6", "select page_id, case when html like '%<script%' then 'script' when html like '%<nav%' then 'nav' when html like '%<p%' then 'p' else 'none' end marker from pages")
 def entry_markers(t: Tables) -> DataFrame:
-    chain = F.when(F.contains("html", F.lit("<script")), "script").when(F.contains("html", F.lit("<nav")), "nav").when(F.contains("html", F.lit("<p")), "p").otherwise("none")
-    return t.pages.select("page_id", chain.alias("marker"))
+    return t.pages.select("page_id", views.entry_marker(F.col("html"), [("<script", "script"), ("<nav", "nav"), ("<p", "p")], "none").alias("marker"))
 
 
 @query("TX-1")
@@ -169,26 +168,15 @@ def call_sites(t: Tables) -> DataFrame:
     return code.call_sites(texts, "doc_id", "text")
 
 
-@query("TX-13", "select source, substr(sha1(string_agg(doc_id::varchar || chr(0) || sha1(text), chr(0) order by doc_id)), 1, 16) digest from documents group by source")
+@query("TX-13", "with r as (select source, doc_id // 1024 range, sha1(string_agg(doc_id::varchar || chr(0) || sha1(text) || chr(0), '' order by doc_id)) h from documents group by 1, 2) select source, substr(sha1(string_agg(range::varchar || chr(0) || h || chr(0), '' order by range)), 1, 16) digest from r group by source")
 def workspace_digest(t: Tables) -> DataFrame:
-    each = F.array_sort(F.collect_list(F.struct("doc_id", F.sha1("text").alias("h"))))
-    return t.documents.groupBy("source").agg(F.substring(F.sha1(F.array_join(F.transform(each, lambda x: F.concat(x["doc_id"].cast("string"), F.lit("\0"), x["h"])), "\0")), 1, 16).alias("digest"))
+    return texts.tree_digests(t.documents.select("source", "doc_id", F.sha1("text").alias("hash")), "source", "doc_id", "hash")
 
 
-@query("TX-14 SO-4 PRJ-16 JN-15", "select conv_id, string_agg(role || ': ' || text, chr(10) order by turn) prompt from conversations where conv_id % 3 <> 0 group by conv_id")
+@query("TX-14 SO-4 PRJ-16 JN-15", "select conv_id, string_agg(role || ': ' || text, chr(10) order by turn) prompt from conversations group by conv_id")
 def prompt_rendering(t: Tables) -> DataFrame:
-    return prompts(t.conversations.filter("conv_id % 3 != 0"))
-
-
-@query("TX-14 SO-4 PRJ-16 JN-15")
-def prompt_rendering_whole(t: Tables) -> DataFrame:
-    """prompt_rendering of every conversation."""
-    return prompts(t.conversations)
-
-
-def prompts(turns: DataFrame) -> DataFrame:
-    each = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    return turns.groupBy("conv_id").agg(F.array_join(F.transform(each, lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n").alias("prompt"))
+    c = t.conversations.withColumn("line", F.concat("role", F.lit(": "), "text"))
+    return views.rendered(c, "conv_id", "turn", text="line")
 
 
 @query("LG-22 TX-8", "select page_id, url not like '%..%' inside from pages")

@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words before a bracket that aren't calls.
-NOT_CALLS = ("if", "for", "while", "switch", "catch", "return", "def", "class", "elif", "with", "assert", "print", "not", "and", "or", "in")
-CALL = re.compile(r"(?:([A-Za-z_]\w*)\.)?([A-Za-z_]\w*)\s*\(")
+from ..functions.fixed import NOT_CALLS
+
+CALL = re.compile(r"(?:([A-Za-z_$][\w$]*)\s*\.\s*)?([A-Za-z_$][\w$]*)\s*\(")
 DEF = re.compile(r"^([ \t]*)(?:async\s+)?def\s+([A-Za-z_]\w*)\s*\(")
 CLASS = re.compile(r"^([ \t]*)class\s+([A-Za-z_]\w*)")
 BRACED = re.compile(r"^\s*(?:(?:public|private|protected|static|final|export|async|func|fun|function)\s+)*(?:[\w<>\[\],.?]+\s+)?([A-Za-z_]\w*)\s*\([^;{]*\)\s*(?:throws\s+[\w, .]+)?\{\s*$")
@@ -35,10 +35,10 @@ def rebased(paths: DataFrame, inventory: DataFrame, key: str, path: str, known:
 
 
 def calls_in(text: str) -> list[tuple[int, int, str | None, str]]:
-    """line (from 1), column (from 0), receiver and name of call sites; a declaration isn't one."""
+    """line (from 1), column (from 0), receiver and name of call sites; a line that declares a function or a class has none."""
     found = []
     for n, line in enumerate(text.split("\n"), 1):
-        if DEF.match(line):
+        if DEF.match(line) or CLASS.match(line) or BRACED.match(line) and BRACED.match(line)[1] not in NOT_CALLS:
             continue
         for m in CALL.finditer(line):
             if m[2] not in NOT_CALLS:

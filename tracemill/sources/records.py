@@ -2,25 +2,79 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Directories that aren't searched.
-SKIPPED = (".git", "node_modules", "target", "build", "dist", "__pycache__", ".venv", "vendor")
+from ..functions import fixed
+
 MOST_FILES = 5000
 
 
-def files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (), most_bytes: int = 1 << 20, most_files: int | None = MOST_FILES) -> DataFrame:
-    """path (below root), length and content of source files in path order. Hidden and skipped directories are left out. The cap
-    on the number of files is the feature of a workspace listing; None lifts it."""
-    base = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    below = F.regexp_replace(F.col("path"), "^.*?" + root.rstrip("/").replace("file:", "").replace(".", r"\.") + "/", "")
-    rows = base.select(below.alias("path"), "length", "content").filter(~F.col("path").rlike(r"(^|/)\.[^/]+/"))
-    rows = rows.filter(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIPPED)))).filter(F.col("length") <= most_bytes)
-    if suffixes:
-        rows = rows.filter(F.regexp_extract("path", r"(\.[^./]+)$", 1).isin(*suffixes))
-    return rows.orderBy("path").limit(most_files) if most_files else rows.orderBy("path")
+def files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (), most_bytes: int | None = None, skipped: tuple[str, ...] = (), hidden: bool = True) -> DataFrame:
+    """path (below root), length and content of the files under root. Files under a skipped folder are left out, and those under
+    a folder whose name begins with a dot unless `hidden`."""
+    base = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "content")
+    top, others = unlisted(spark, root)
+    if others:
+        base = base.unionByName(spark.createDataFrame(others, "path string, length long").mapInPandas(contents, "path string, length long, content binary"))
+    rows = base.select(F.substring("path", len(top) + 2, 1 << 30).alias("path"), "length", "content")
+    folders = F.slice(F.split("path", "/"), 1, F.greatest(F.lit(0), F.size(F.split("path", "/")) - 1))
+    if skipped:
+        rows = rows.filter(~F.arrays_overlap(folders, F.array(*map(F.lit, skipped))))
+    if not hidden:
+        rows = rows.filter(~F.exists(folders, lambda d: F.startswith(d, F.lit("."))))
+    if most_bytes is not None:
+        rows = rows.filter(F.col("length") <= most_bytes)
+    return rows.filter(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*suffixes)) if suffixes else rows
+
+
+def unlisted(spark: SparkSession, root: str) -> tuple[str, list[tuple[str, int]]]:
+    """The qualified root, and the files below it that Spark's own listing passes over: those with a name that begins with a dot or an
+    underscore on their way, such as __init__.py. Their names and sizes come to the driver, as any listing does."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    top = fs.getFileStatus(at).getPath().toString().rstrip("/")
+    every, found = fs.listFiles(at, True), []
+    while every.hasNext():
+        status = every.next()
+        path = status.getPath().toString()
+        if re.search("(^|/)[._]", path[len(top) + 1 :]):
+            found.append((path, status.getLen()))
+    return top, found
+
+
+def contents(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """path, length and content of files that are named."""
+    import pyarrow.fs
+
+    for rows in parts:
+        data = []
+        for path in rows["path"]:
+            fs, at = pyarrow.fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", path))
+            with fs.open_input_file(at) as f:
+                data.append(f.read())
+        yield rows.assign(content=data)
+
+
+def workspace_files(spark: SparkSession, root: str, suffixes: tuple[str, ...], most_bytes: int = 1 << 20, most_files: int = MOST_FILES) -> DataFrame:
+    """Source files to look definitions up in, hidden folders too. The cap on their number is the listing's own feature; which
+    files it leaves is the order of paths here, and the list comes in that order."""
+    return files(spark, root, suffixes, most_bytes, fixed.WORKSPACE_SKIPS).orderBy("path").limit(most_files)
+
+
+def inventory_files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (".py",)) -> DataFrame:
+    """Files that a parser reads (all files without suffixes), by path; none is too large and hidden folders count."""
+    return files(spark, root, suffixes, None, fixed.INVENTORY_SKIPS).orderBy("path")
+
+
+def survey_files(spark: SparkSession, root: str) -> DataFrame:
+    """All files but those under hidden or skipped folders, by path."""
+    return files(spark, root, (), None, fixed.SURVEY_SKIPS, hidden=False).orderBy("path")
 
 
 def texts(rows: DataFrame) -> DataFrame:
@@ -57,28 +111,67 @@ def after(rows: DataFrame, seq: int, limit: int = 500) -> DataFrame:
 
 
 def last_session(rows: DataFrame, run: str, session: str, order: str) -> DataFrame:
-    """Rows of each run's last session."""
-    return rows.join(rows.groupBy(run).agg(F.max_by(session, order).alias(session)), [run, session], "left_semi")
+    """Rows of each run since its session changed last: a session that comes back after another begins anew."""
+    by = Window.partitionBy(run).orderBy(order)
+    changed = ~F.col(session).eqNullSafe(F.lag(session).over(by)) | F.lag(F.lit(1)).over(by).isNull()
+    numbered = rows.withColumn("__turn", F.sum(F.when(changed, 1).otherwise(0)).over(by))
+    last = numbered.groupBy(run).agg(F.max("__turn").alias("__last"))
+    return numbered.join(last.withColumnRenamed(run, "__run"), F.col(run).eqNullSafe(F.col("__run")) & (F.col("__turn") == F.col("__last"))).select(*rows.columns)
 
 
-def manifests(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON documents with file and error (a document that can't be read), newest created_at first, null last."""
+def documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON documents with file, folder and error: what can't be read keeps a row."""
     raw = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").schema(f"{schema}, _bad string").json(path)
-    return raw.select("*", F.col("_metadata.file_path").alias("file"), F.when(F.col("_bad").isNotNull(), "unreadable").alias("error")).drop("_bad").orderBy(F.coalesce("created_at", F.lit("")).desc())
+    at = F.split(F.col("_metadata.file_path"), "/")
+    return raw.select("*", F.col("_metadata.file_path").alias("file"), F.element_at(at, -2).alias("folder"), F.when(F.col("_bad").isNotNull(), "unreadable").alias("error")).drop("_bad")
+
+
+def newest_first(rows: DataFrame, at: str = "created_at") -> DataFrame:
+    return rows.orderBy(F.coalesce(F.col(at), F.lit("")).desc())
+
+
+def listed_bundles(rows: DataFrame) -> DataFrame:
+    """Rows of bundle manifests (folder, error and the manifest's fields) as the list of bundles: folders that begin with a dot are
+    still being written; what a manifest lacks is null, what it lists is counted and its providers are named once, sorted."""
+    fields = dict(rows.dtypes)
+    shown = rows.filter(~F.startswith("folder", F.lit("."))).withColumn("bundle_id", F.col("folder"))
+    for name, one in (("prunes", "prune_count"), ("degradations", "degradation_count")):
+        if name in fields:
+            shown = shown.withColumn(one, F.when(F.col("error").isNull(), F.size(F.coalesce(name, F.array().cast(fields[name]))))).drop(name)
+    if "methods" in fields:
+        shown = shown.withColumn("providers", F.array_sort(F.array_distinct(F.filter(F.transform("methods", lambda m: m["provider"]), lambda p: p.isNotNull())))).drop("methods")
+    return newest_first(shown)
+
+
+def manifests(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """`listed_bundles` of the manifest of every folder below path, or of the documents in it."""
+    return listed_bundles(documents(spark, path, schema))
+
+
+def registered_projects(rows: DataFrame, staging: str = ".staging-") -> DataFrame:
+    """Project records (folder, error and fields), newest first: damaged ones and those in staging folders are left out."""
+    return newest_first(rows.filter(F.col("error").isNull() & ~F.startswith("folder", F.lit(staging)))).drop("error")
+
+
+def prompt_blocks(rows: DataFrame, prefix: DataFrame) -> DataFrame:
+    """Blocks (bundle, at, block_id ...) with in_prefix: whether the bundle's prefix document (bundle, prefix_blocks) names them. A
+    missing or unreadable prefix document is an empty set; a bundle without blocks is missing here, and an error to a reader."""
+    named = prefix.select("bundle", F.explode("prefix_blocks").alias("block_id")).distinct().withColumn("in_prefix", F.lit(True))
+    return rows.join(named, ["bundle", "block_id"], "left").withColumn("in_prefix", F.coalesce("in_prefix", F.lit(False)))
 
 
 def flow_report(spark: SparkSession, path: str) -> DataFrame:
-    """flow and its elements (label, method, file, line, code) in order, from tab-separated ELEM rows; others are passed over.
-    Each file is one report and its line order counts."""
-    return flow_elements(spark.read.option("wholetext", True).text(path))
+    """report (file), flow and its elements (label, method, file, line, code) in order, from tab-separated ELEM rows; others are
+    passed over. Each file is one report and its line order counts."""
+    return flow_elements(spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("report"), "value"))
 
 
 def flow_elements(reports: DataFrame) -> DataFrame:
-    """The flows of reports that are rows (value)."""
-    lines = reports.select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
-    cells = lines.select("pos", F.split("line", "\t").alias("c")).filter((F.col("c")[0] == "ELEM") & (F.size("c") >= 7) & F.get(F.col("c"), F.lit(1)).rlike("^[0-9]+$"))
+    """The flows of reports that are rows (report, value). Flow numbers are a report's own."""
+    lines = reports.select("report", F.posexplode(F.split("value", "\r?\n")).alias("pos", "text"))
+    cells = lines.select("report", "pos", F.split("text", "\t").alias("c")).filter((F.col("c")[0] == "ELEM") & (F.size("c") >= 7) & F.get(F.col("c"), F.lit(1)).rlike("^[0-9]+$"))
     element = F.struct("pos", F.col("c")[2].alias("label"), F.col("c")[3].alias("method"), F.col("c")[4].alias("file"), F.col("c")[5].alias("line"), F.col("c")[6].alias("code"))
-    return cells.groupBy(F.col("c")[1].cast("int").alias("flow")).agg(F.array_sort(F.collect_list(element)).alias("elements"))
+    return cells.groupBy("report", F.col("c")[1].cast("int").alias("flow")).agg(F.array_sort(F.collect_list(element)).alias("elements"))
 
 
 def symbols(spark: SparkSession, rows: DataFrame, depth: int = 8) -> DataFrame:

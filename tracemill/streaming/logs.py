@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -39,10 +40,18 @@ def moved(state: str | None, to: str) -> str | None:
     return to if to in NEXT.get(state, ()) else state
 
 
+def milliseconds(span: str) -> int:
+    """A span such as "10 minutes" or "1 hour 30 minutes"."""
+    found = re.findall(r"(\d+)\s*(second|minute|hour|day|week)s?", span)
+    if not found or re.sub(r"\d+\s*(?:second|minute|hour|day|week)s?|\s", "", span):
+        raise ValueError(f"not a span of time: {span!r}")
+    return sum(int(n) * {"second": 1, "minute": 60, "hour": 3600, "day": 86_400, "week": 604_800}[unit] for n, unit in found) * 1000
+
+
 def jobs(events: DataFrame, stale: str = "10 minutes") -> DataFrame:
     """run, state, revision and attempts after each batch of a run's events; a running job that is silent for the watermark's
     length becomes stale. Events apply in seq order; a write with an old revision is passed over."""
-    minutes = int(stale.split()[0])
+    wait = milliseconds(stale)
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now, revision, attempts = state.get if state.exists else (None, -1, 0)
@@ -60,7 +69,7 @@ def jobs(events: DataFrame, stale: str = "10 minutes") -> DataFrame:
                 now, revision = new, int(seq)
         state.update((now, revision, int(attempts)))
         if now not in TERMINAL:
-            state.setTimeoutTimestamp(int(rows["at"].max().timestamp() * 1000) + minutes * 60_000)
+            state.setTimeoutTimestamp(int(rows["at"].max().timestamp() * 1000) + wait)
         yield pd.DataFrame({"run": [key[0]], "state": [now], "revision": [revision], "attempts": [int(attempts)]})
 
     out = "run string, state string, revision long, attempts int"
