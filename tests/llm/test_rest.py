@@ -8,9 +8,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import EDGE, SCHEMA, edge, empty, prose
-from tracemill.llm import mixing, pii, queries, toxicity, urlrules
+from tracemill.llm import mixing, pii, queries, simhash, toxicity, urlrules
 
 PATTERNS = (
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(q) <= 255 for q in m.split("."))),
@@ -464,3 +465,30 @@ def test_toxicity_sample_bounds(spark):
         toxicity.train = old
     assert 80 < seen[0][0] < 120 and seen[1][0] == 20 and 1000 < seen[2][1] <= 2000 and seen[3] == (0, 0)
     assert [r["h"] for r in docs.filter("doc_id is null").select((toxicity.fold() == 0).alias("h")).collect()] == [False]
+
+
+def test_empty_tables_of_stages(spark):
+    none, marks = empty(spark), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert toxicity.clean(none, toxicity.fit(none, marks)).count() == 0
+    assert pii.redacted(none, pii.fit(none)).columns == none.columns and pii.redacted(none, pii.fit(none)).count() == 0
+
+
+def test_stages_keep_clashing_columns(spark):
+    """Columns whose names operators use inside stay as they are through every stage that keeps columns."""
+    docs = edge(spark).withColumn("n", F.lit("x")).withColumn("node", F.lit("x")).withColumn("copies", F.lit("x")).withColumn("hash", F.lit("x"))
+    for out in (simhash.one_of_each(docs), mixing.mixed(docs), pii.redacted(docs, pii.fit(docs)), toxicity.clean(docs, toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int")))):
+        assert out.columns == docs.columns and {r["n"] for r in out.select("n", "node", "hash", "copies").collect()} == {"x"}
+
+
+def test_one_id_holds_most_rows(spark):
+    """A doc_id that half of the rows have, and a null one, are rows like others for the mix and for labels."""
+    rows = [(7, "a b c", "en", "s", 1)] * 300 + [(None, "d e", "en", "s", 1)] * 200 + [(i, "f g h i", "en", "t", 1) for i in range(100, 400)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows) and {r["copies"] for r in got if r["doc_id"] == 7} <= {0, 1, 2, 3}
+    words = sum(r["taken"] for r in got if r["source"] == "s")
+    assert abs(words - next(r["target"] for r in got if r["source"] == "s")) <= 3
+    assert mixing.mixed(docs).count() == sum(r["copies"] for r in got)
+    marks = spark.createDataFrame([(7, 1)] * 3 + [(7, 0)] * 3 + [(i, i % 2) for i in range(100, 400)], "doc_id long, toxic int")
+    scores = [[r["score"] for r in toxicity.scored(docs, toxicity.fit(d, marks, epochs=1, steps=5)).orderBy("doc_id").limit(3).collect()] for d in (docs, docs.repartition(3))]
+    assert scores[0] == scores[1]
