@@ -130,3 +130,16 @@ def test_role_and_leading(spark):
     assert got == [("web-route", "shop/controllers"), ("batch-task", "a"), (None, "")]
     levels = spark.createDataFrame([("High: yes",), ("highest",), ("low",)], "t string").select(scalars.leading_severity(F.col("t")).alias("s")).collect()
     assert [r["s"]["level"] for r in levels] == ["high", None, "low"]
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_salted_join_equals_a_join(spark, how, monkeypatch):
+    """Keys with most of the rows, rare ones, and ones that the side lacks."""
+    from tracemill.operators import skew
+
+    left = spark.range(2000).selectExpr("id", "if(id % 3 = 0, -1, id % 500) as k")
+    side = left.filter("k % 7 != 3").groupBy("k").agg(F.count("*").alias("n")).withColumn("v", F.col("k") * 2)
+    got = skew.salted_join(left, side, ["k"], "n", 2000, how, spread=("id",))
+    assert pairs(got, "id", "k", "v") == pairs(left.join(side.drop("n"), "k", how), "id", "k", "v")
+    parts = got.withColumn("p", F.spark_partition_id()).filter("k = -1").select("p").distinct().count()
+    assert parts > 1

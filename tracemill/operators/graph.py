@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .skew import salted_join
 from .store import discarded, materialised
 
 
@@ -35,14 +36,16 @@ def walk(edges: DataFrame, starts: DataFrame, max_depth: int, fan_out: int, max_
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and root (smallest node reachable) for edges a, b, by alternating star contraction."""
+    """node and root (smallest node reachable) for edges a, b, by alternating star contraction. Hubs
+    are dealt to several tasks."""
     now = materialised(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
     while True:
+        n = now.count()
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").distinct()
-        low = large.groupBy("b").agg(F.min("a").alias("m"))
-        new = materialised(large.join(low, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a < b").distinct())
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n")).filter("n > 0")
+        large = salted_join(both.filter("b > a"), least, ["a"], "n", n, spread=("b",)).select(F.col("m").alias("a"), "b").distinct()
+        low = large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
+        new = materialised(salted_join(large, low, ["b"], "n", n, spread=("a",)).select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a < b").distinct())
         size = new.agg(F.count("*").alias("n"), F.count_distinct("b").alias("d")).first()
         if size["n"] == size["d"] and new.select("a").distinct().join(new.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
             return new.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(new.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
@@ -52,8 +55,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def stars(places: DataFrame, shared: str, member: str) -> DataFrame:
     """Edges a, b that join all members of what is shared: a star around the first one, not all pairs."""
-    hub = places.groupBy(shared).agg(F.min(member).alias("a"))
-    return places.join(hub, shared).filter(F.col(member) != F.col("a")).select("a", F.col(member).alias("b"))
+    hub = places.groupBy(shared).agg(F.min(member).alias("a"), F.count("*").alias("n"))
+    return salted_join(places, hub, [shared], "n", places.count(), spread=(member,)).filter(F.col(member) != F.col("a")).select("a", F.col(member).alias("b"))
 
 
 WALKED = "root long, kind string, node long, parent long, depth int, direction string, rule string, confidence double, place int, queued boolean"
