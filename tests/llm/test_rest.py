@@ -492,3 +492,13 @@ def test_one_id_holds_most_rows(spark):
     marks = spark.createDataFrame([(7, 1)] * 3 + [(7, 0)] * 3 + [(i, i % 2) for i in range(100, 400)], "doc_id long, toxic int")
     scores = [[r["score"] for r in toxicity.scored(docs, toxicity.fit(d, marks, epochs=1, steps=5)).orderBy("doc_id").limit(3).collect()] for d in (docs, docs.repartition(3))]
     assert scores[0] == scores[1]
+
+
+def test_native_plans_before_every_cut(spark, monkeypatch):
+    """No Python in any plan of the native operators: neither in the last one nor in those whose results are written on the way."""
+    pages = spark.createDataFrame([(i, f"https://a{i % 3}.net/{'de' if i % 2 else 'en'}/{i}") for i in range(200)], "page_id long, url string")
+    seen, written = [], mixing.common.written
+    monkeypatch.setattr(mixing.common, "written", lambda df, name: seen.append(df) or written(df, name))
+    seen += [mixing.mix(edge(spark)), mixing.mixed(edge(spark)), urlrules.judge(pages, RULES)]
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in seen]
+    assert len(plans) > 15 and not any(re.search("Python|Pandas|ArrowEval|MapInArrow", p) for p in plans)
