@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def salted_join(rows: DataFrame, side: DataFrame, on: list[str], n: str, total: int, how: str = "inner", spread: tuple[str, ...] = ()) -> DataFrame:
+def salted_join(rows: DataFrame, side: DataFrame, on: list[str], n: str, total: int, how: str = "inner", spread: tuple[str, ...] = (), counts: DataFrame | None = None) -> DataFrame:
     """`rows` joined to `side`, which has one row a key and in column `n` (left out of the result) how many of the `total` rows have it.
 
     Keys with over a thousandth of the rows (256 at least), of which there are a thousand at most, are dealt to slices by
     the row's partition and its columns `spread`, which are the same when a task runs again, so no key lands in one task;
-    only those keys are broadcast."""
+    only those keys are broadcast. They are taken from `counts` (keys and n) where `side` is dear to make twice."""
     share = max(256, total // 1000)
     slices = F.ceil(F.col(n) / share).cast("int")
-    hot = side.filter(F.col(n) > share).select(*on, slices.alias("__slices"))
+    hot = (side if counts is None else counts).filter(F.col(n) > share).select(*on, slices.alias("__slices"))
     dealt = rows.join(F.broadcast(hot), on, "left")
     dealt = dealt.withColumn("__salt", F.when(F.col("__slices").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.spark_partition_id(), *map(F.col, spread)), F.col("__slices")).cast("int"))).drop("__slices")
     spread = side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.when(F.col(n) > share, slices).otherwise(1)) - 1))).drop(n)
