@@ -145,9 +145,8 @@ def store(docs: DataFrame, text: str = "text") -> DataFrame:
     return common.salted_join(places.select("doc_id", "digest"), addresses(places), ["digest"], "n", places.count(), spread=("doc_id",)).select("doc_id", "digest", "shard", "offset", "length")
 
 
-def contents(places: DataFrame) -> DataFrame:
-    """The contents of places or of an index (see addresses), dealt to tasks by bytes."""
-    each = common.written(addresses(places), "media-contents")
+def dealt(each: DataFrame) -> DataFrame:
+    """Addresses dealt to tasks by bytes, in the order of the shards."""
     size = each.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()["bytes"]
     return each.repartitionByRange(max(1, -(-size // TASK_BYTES)), "shard", "offset").sortWithinPartitions("shard", "offset")
 
@@ -207,8 +206,9 @@ def features(each: DataFrame) -> DataFrame:
 def read_back(index: DataFrame) -> DataFrame:
     """Per row of `index` (or of places): doc_id, the columns of FEATURES, and the address digest, shard, offset, length with the metadata width,
     height and bits. Each content is read once, its header by `metadata` and the whole by `features`."""
-    known = common.written(features(metadata(contents(index))), "media-features")
-    return common.salted_join(index.select("doc_id", "digest"), known, ["digest"], "n", index.count(), spread=("doc_id",)).select("doc_id", *FEATURES, "digest", "shard", "offset", "length", "width", "height", "bits")
+    each = common.written(addresses(index), "media-contents")
+    known = features(metadata(dealt(each)))
+    return common.salted_join(index.select("doc_id", "digest"), known, ["digest"], "n", index.count(), spread=("doc_id",), counts=each).select("doc_id", *FEATURES, "digest", "shard", "offset", "length", "width", "height", "bits")
 
 
 def members(data: bytes) -> list[str]:
