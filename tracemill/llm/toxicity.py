@@ -222,9 +222,12 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 16_000, most_bytes:
     one = common.written(each.select("doc_id", "row.*", F.xxhash64("doc_id").alias("order")), "toxicity-sample")
     lengths = np.array([tuple(r) for r in one.select("order", F.octet_length("words")).orderBy("order", "doc_id").collect()], np.int64).reshape(-1, 2)  # at most most_rows
     whole = lengths[np.cumsum(lengths[:, 1]) <= most_bytes, 0]
-    rows = one.filter(F.col("order") <= int(whole[-1])).toArrow().to_pylist() if len(whole) else []
-    rows.sort(key=lambda r: r["doc_id"])
-    return train([np.frombuffer(r["words"], np.uint32) for r in rows], np.array([int(r["toxic"] > 0) for r in rows]), [r["lang"] for r in rows], **how)
+    if not len(whole):
+        return train([], np.zeros(0, np.int64), [], **how)
+    rows = one.filter(F.col("order") <= int(whole[-1])).toArrow()
+    rows = rows.take(pa.compute.sort_indices(rows["doc_id"]))
+    words = [np.frombuffer(w.as_buffer(), np.uint32) for w in rows["words"]]  # views: the driver holds the sample once
+    return train(words, (rows["toxic"].to_numpy() > 0).astype(np.int64), rows["lang"].to_pylist(), **how)
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
