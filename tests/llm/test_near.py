@@ -121,6 +121,29 @@ def test_one_of_each_links_by_jaccard(spark, tile, monkeypatch):
     assert len(texts) > len(set(want.values())) > 5
 
 
+def test_sets_meet_all_at_once(tmp_path, monkeypatch):
+    """The forest is the same whether a set meets its candidates at once or one by one."""
+    import pandas as pd
+
+    rng, data, rows = np.random.default_rng(6), b"", []
+    base = np.unique(rng.integers(0, 2**63, 200).astype(np.uint64))
+    for k in range(150):
+        own = base.copy()
+        own[rng.choice(len(own), int(rng.integers(0, 60)), replace=False)] ^= np.uint64(1 + k)
+        own = np.unique(own)
+        rows.append((k, 0, len(own), str(tmp_path / "s"), len(data)))
+        data += own.astype("<u8").tobytes()
+    (tmp_path / "s").write_bytes(data)
+    df = pd.DataFrame(rows, columns=["node", "fp", "size", "shard", "offset"])
+    found = []
+    for most in (10**9, 0):
+        monkeypatch.setattr(simhash.Incidence, "MOST", most)
+        sets = simhash.Sets()
+        found.append([roots(range(150), simhash.exact_edges(df, cut, 0.8, 64, sets)) for cut in (0, 70)])
+        sets.close()
+    assert found[0] == found[1] and 5 < len(set(found[0][0].values())) < 145
+
+
 def test_one_of_each_keys_by_row(spark):
     """An id met with different texts loses none of them, and copies among rows without an id go."""
     a, b, c = prose(3, 21)

@@ -370,21 +370,55 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return shared >= similarity * (len(both) - shared) - 1e-9
 
 
+class Incidence:
+    """Sets as rows of numbers below one bound, so that one set meets all others in a few array operations."""
+
+    #: Hashes held at once; beyond it sets are compared two by two.
+    MOST = 4_000_000
+
+    def __init__(self, every: list[np.ndarray]):
+        self.size = np.array([len(x) for x in every])
+        self.ends = np.cumsum(self.size)
+        values, self.ids = np.unique(np.concatenate(every), return_inverse=True)
+        self.flags = np.zeros(len(values), np.uint8)
+
+    def shared(self, i: int) -> np.ndarray:
+        """How many elements set i has in common with each."""
+        own = self.ids[self.ends[i] - self.size[i] : self.ends[i]]
+        self.flags[own] = 1
+        sums = np.concatenate([[0], np.cumsum(self.flags[self.ids], dtype=np.int64)])
+        self.flags[own] = 0
+        return sums[self.ends] - sums[self.ends - self.size]
+
+
 def exact_edges(rows: pd.DataFrame, cut: int, similarity: float, radius: int, sets: Sets) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links in a bucket, whose candidates differ in at most `radius` bits and have sizes that
     allow the similarity. With `cut` only pairs of the first `cut` rows with the others count. Pairs already joined are
-    not compared."""
+    not compared. A set with many candidates meets them all at once."""
     node, fp, size = rows["node"].to_numpy(), rows["fp"].to_numpy().view(np.uint64), rows["size"].to_numpy()
     shard, offset = rows["shard"].to_numpy(), rows["offset"].to_numpy()
     label, edges = np.arange(len(node)), []
+    small, incidence = int(size.sum(dtype=np.int64)) <= Incidence.MOST, None
+
+    def of(k: int) -> np.ndarray:
+        return sets.get(int(node[k]), shard[k], int(offset[k]), int(size[k]))
+
     for i in range(cut or len(node)):
         first = cut or i + 1
         near_by = (np.bitwise_count(fp[first:] ^ fp[i]) <= radius) & (label[first:] != label[i])
         if not near_by.any():
             continue
         near_by &= np.minimum(size[first:], size[i]) >= similarity * np.maximum(size[first:], size[i]) - 1e-9
-        for j in (first + np.flatnonzero(near_by)).tolist():
-            if label[i] != label[j] and alike(*(sets.get(int(node[k]), shard[k], int(offset[k]), int(size[k])) for k in (i, j)), similarity):
+        at = first + np.flatnonzero(near_by)
+        if len(at) >= 16 and small:
+            incidence = incidence or Incidence([of(k) for k in range(len(node))])
+            shared = incidence.shared(i)[at]
+            at = at[shared >= similarity * (size[at] + size[i] - shared) - 1e-9]
+            linked = at.tolist()
+        else:
+            linked = (j for j in at.tolist() if label[i] != label[j] and alike(of(i), of(j), similarity))
+        for j in linked:
+            if label[i] != label[j]:
                 label[label == label[j]] = label[i]
                 edges.append((int(node[i]), int(node[j])))
     return edges
