@@ -156,9 +156,16 @@ class Encoder:
         return np.array(ids, self.kind).tobytes()
 
     def new_run(self, piece: str) -> bytes:
-        return b"".join([self.bytes[t.id] for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(LETTERS))])
+        return self.written(piece.encode().decode("latin-1").translate(LETTERS))
+
+    def written(self, piece: str) -> bytes:
+        """Ids of a run in the letters that stand for its bytes."""
+        own = self.bytes
+        return b"".join([own[t.id] for t in self.tokenizer.model.tokenize(piece)])
 
     def new_word(self, raw: bytes) -> bytes:
+        if raw.isalpha():  # A-Z alone: one run, whose letters stand for themselves
+            return self.written(LETTERS[32] + raw.decode("ascii"))
         word = " " + raw.decode()
         runs = RUNS(word)
         if len(runs) == 1 and runs[0] == word:
