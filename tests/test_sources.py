@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from tracemill.sources import code, records, sarif, sinks
 
 REPO = {
-    "handler.py": "from service import load\n\n\n@route\ndef dispatch(req):\n    return handle(req)\n\n\ndef handle(req):\n    def inner(x):\n        return x\n    return load(req)\n",
-    "service.py": "class S:\n    def load(self, q):\n        return db.query(q)\n",
+    "shelf.py": "from stock import count\n\n\n@timed\ndef refill(order):\n    return pick(order)\n\n\ndef pick(order):\n    def label(x):\n        return x\n    return count(order)\n",
+    "stock.py": "class Stock:\n    def count(self, q):\n        return table.rows(q)\n",
 }
 
 
-def result(uri="repo.py", line=6, rule="r1", level="error"):
+def result(uri="app.py", line=6, rule="r1", level="error"):
     return {"ruleId": rule, "level": level, "message": {"text": "m"}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": uri}, "region": {"startLine": line, "startColumn": 12, "endLine": line, "endColumn": 60, "snippet": {"text": "a\n  b"}}}}]}
 
 
@@ -26,7 +26,7 @@ def test_sarif(spark, tmp_path):
     rows = [result(), result("file:///w/b.py", 1, "r2", ""), result(rule="old", level=None), {"ruleId": "r1", "message": {"text": "no place"}}, result(level="", line=0)]
     write(tmp_path / "a.sarif", {"runs": [{"tool": {"driver": {"name": "t", "rules": rules}}, "results": rows}]})
     got = sorted(sarif.findings(spark, str(tmp_path)).collect(), key=lambda r: (r["rule"], r["start_line"]))
-    assert [(r["rule"], r["severity"], r["path"], r["start_line"], r["start_char"]) for r in got] == [("old", "note", "repo.py", 5, 11), ("r1", "error", "repo.py", 0, 11), ("r1", "error", "repo.py", 5, 11), ("r2", "note", "/w/b.py", 0, 11)]
+    assert [(r["rule"], r["severity"], r["path"], r["start_line"], r["start_char"]) for r in got] == [("old", "note", "app.py", 5, 11), ("r1", "error", "app.py", 0, 11), ("r1", "error", "app.py", 5, 11), ("r2", "note", "/w/b.py", 0, 11)]
     assert got[0]["snippet"] == "a b" and got[0]["finding_id"].startswith("F-") and len(got[0]["finding_id"]) == 14
 
 
@@ -51,11 +51,11 @@ def test_files_and_methods(spark, tmp_path):
     write(tmp_path / ".git" / "x.py", "def no(): pass")
     (tmp_path / "bin.py").write_bytes(b"a\0b")
     texts = records.texts(records.workspace_files(spark, str(tmp_path), (".py",)))
-    assert sorted((r["path"], r["state"]) for r in texts.collect()) == [("bin.py", "binary"), ("handler.py", "ok"), ("service.py", "ok")]
+    assert sorted((r["path"], r["state"]) for r in texts.collect()) == [("bin.py", "binary"), ("shelf.py", "ok"), ("stock.py", "ok")]
     found = code.methods(texts.filter("state = 'ok'"), "path", "text").collect()
-    assert sorted((r["path"], r["name"], r["start"], r["end"], r["owner"]) for r in found) == [("handler.py", "dispatch", 3, 5, None), ("handler.py", "handle", 8, 11, None), ("service.py", "load", 1, 2, "S")]
+    assert sorted((r["path"], r["name"], r["start"], r["end"], r["owner"]) for r in found) == [("shelf.py", "pick", 8, 11, None), ("shelf.py", "refill", 3, 5, None), ("stock.py", "count", 1, 2, "Stock")]
     edges = code.innermost_calls(texts.filter("state = 'ok'").select("path", "text")).collect()
-    assert sorted((r["caller"], r["callee"]) for r in edges) == [("dispatch", "handle"), ("handle", "load"), ("load", "query")]
+    assert sorted((r["caller"], r["callee"]) for r in edges) == [("count", "rows"), ("pick", "count"), ("refill", "pick")]
 
 
 def test_braced_methods():
