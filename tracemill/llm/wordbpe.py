@@ -30,7 +30,7 @@ from . import common
 from .common import file_system
 
 #: Distinct words of a block; words that a bucket's task holds at once (beyond it a word met again is encoded again).
-BLOCK_WORDS, MOST_WORDS, MOST_RUNS = 800_000, 400_000, 30_000
+BLOCK_WORDS, MOST_WORDS, MOST_RUNS = 800_000, 250_000, 30_000
 RUNS = re.compile("[a-zà-öø-ÿ]+|[0-9]|[!-&(-/:-@[-`{-~]+").findall
 ALREADY_LOWER = re.compile("[^A-ZÀ-ÖØ-Þ]*").fullmatch
 LOWER = {c: c + 32 for r in ((0x41, 0x5B), (0xC0, 0xD7), (0xD8, 0xDF)) for c in range(*r)}
@@ -204,13 +204,13 @@ def encoded_words(rows: DataFrame, path: str, buckets: int) -> DataFrame:
     in one task, which encodes each of them once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Recent(lambda w: np.array(word_table(path).word(w), np.uint32), MOST_WORDS)
+        known = Recent(lambda w: np.array(word_table(path).word(w), "<u4").tobytes(), MOST_WORDS)
         unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
             for words, places in zip(batch["words"].to_pylist(), batch["places"].to_pylist(), strict=True):
                 ids = [known[w] for w in unpacker.decompress(words).split(b" ")]
-                out.append(packed(unpacked(places)[0], np.array([len(i) for i in ids], np.uint32), np.concatenate(ids)))
+                out.append(packed(unpacked(places)[0], np.array([len(i) // 4 for i in ids], np.uint32), np.frombuffer(b"".join(ids), "<u4")))
             yield pa.RecordBatch.from_arrays([batch["block"], pa.array(out, "binary")], ["block", "ids"])
         del known
         word_table(path).runs = Recent(word_table(path).new_run, MOST_RUNS)
