@@ -246,7 +246,7 @@ def trained(rows: list[tuple[int, ...]], counts: list[int], steps: int = 500) ->
     table, n = np.array(rows), np.array(counts, np.float64)
     y, around, keys = table[:, 0], table[:, 1 : 1 + n_around], table[:, 1 + n_around :] + OFFSETS
     # every label weighs alike in the mean of its square root and its count: entities are few
-    n = n * np.sqrt(n.sum() / np.bincount(y, n, n_labels))[y]
+    n = n * np.sqrt(n.sum() / np.maximum(np.bincount(y, n, n_labels), 1e-9))[y]
     n /= n.sum()
     goal = np.eye(n_labels)[y]
     alone, bare = np.full_like(around, -1), np.zeros_like(keys, bool)
