@@ -307,7 +307,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", keep: tuple[st
         numbers = pa.array(list(map(str, range(len(pieces)))), "string")
         block, table = None, None
         for batch in batches:
-            for part in common.slices(batch, "numbers", 8 << 20):
+            for part in common.slices(batch, "numbers", 1 << 20):
                 ids = []
                 for b, n in zip(part["block"].to_pylist(), part["numbers"].to_pylist(), strict=True):
                     own = from_planes(n)
