@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, digest, media, mixing, pii, simhash, tokenbin, tokencount, toxicity, urlrules, wordbpe
+from . import common, convrepair, digest, interactions, langmask, media, mixing, pii, simhash, tokenbin, tokencount, toxicity, urlrules, wordbpe
 
 
 def tokenizer(name: str) -> str:
@@ -64,6 +64,22 @@ def op10_media_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_back(media.placed(common.table(spark, sf_dir, "documents")))
 
 
+def op11_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    rows = langmask.identified(docs, langmask.fit(docs))
+    return rows.select("doc_id", (toxicity.fold() == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = common.table(spark, sf_dir, "conversations")
+    rows = convrepair.audited(convrepair.damaged(conversations), conversations)
+    return rows.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.interactions(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_skip_chain_pii": op1_skip_chain_pii,
     "op2_canonical_digest": op2_canonical_digest,
@@ -75,5 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_word_bpe": op8_word_bpe,
     "op9_toxicity_cnn": op9_toxicity_cnn,
     "op10_media_shards": op10_media_shards,
+    "op11_language_masks": op11_language_masks,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_filter_interactions": op13_filter_interactions,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op13_filter_interactions": interactions.SQL}
