@@ -101,19 +101,33 @@ def registered(derived: DataFrame, registry: DataFrame, key: str, columns: list[
     return rows.override(derived, registry, key, columns)
 
 
-def same_name(wanted: DataFrame, known: DataFrame, names: list[str], key: str, near: Column, order: str) -> DataFrame:
+def same_name(wanted: DataFrame, known: DataFrame, names: list[str], key: str, near: tuple[str, str], order: str) -> DataFrame:
     """For each wanted row (key) the last definition (other) of its name by `order`, and near_first: the greatest one that is near, else the
-    last. The sides meet by name after the known side is summed up by (name, nearness)."""
-    last = F.max_by("other", F.struct(order, "other"))
-    return wanted.join(known, names).groupBy(key).agg(last.alias("last_match"), F.coalesce(F.max(F.when(near, F.col("other"))), last).alias("near_first"))
+    last. near: columns of the wanted and the known side that are equal where a definition is near.
+
+    The known side is summed up to a row a name and a row a (name, nearness) first, so a frequent name makes no pairs; wanted rows of
+    frequent names are dealt to several tasks."""
+    from . import skew
+    from .store import materialised
+
+    own, its = near
+    last = known.groupBy(*names).agg(F.max_by("other", F.struct(order, "other")).alias("last_match"))
+    close = known.groupBy(*names, F.col(its).alias("__near")).agg(F.max("other").alias("__close"))
+    asked = materialised(wanted.select(key, *names, F.col(own).alias("__near")))
+    told = skew.keyed_join(asked, last, names, "inner", (key,)).join(close, [*names, "__near"], "left")
+    return told.select(key, "last_match", F.coalesce("__close", "last_match").alias("near_first"))
 
 
 def overlaps(work: DataFrame, item: str, *by: str) -> DataFrame:
-    """Pairs a < b of work items that share something, once each. What is shared by very many items makes as many pairs as the
-    semantics ask for; the pairs are distinct before they move on."""
-    once = work.select(item, *by).distinct()
+    """All pairs a < b of work items that share something, once each. What is shared by n items makes n(n-1)/2 pairs, as the semantics ask for
+    (`graph.stars` is linear, where only
+    connectedness is needed); rows of frequent things are dealt to several tasks."""
+    from . import skew
+    from .store import materialised
+
+    once = materialised(work.select(item, *by).distinct())
     a, b = once.withColumnRenamed(item, "a"), once.withColumnRenamed(item, "b")
-    return a.join(b, list(by)).filter("a < b").select("a", "b").distinct()
+    return skew.dealt_join(a, b, list(by), 0, ("a",)).filter("a < b").select("a", "b").distinct()
 
 
 def fresh_facts(facts: Column, known: Column) -> Column:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +38,24 @@ def ordinal(df: DataFrame, name: str, *order: Column) -> DataFrame:
     return parts.withColumn("__inside", inside).join(F.broadcast(before), "__range").withColumn(name, F.col("__inside") + F.col("__before")).drop("__range", "__inside", "__before")
 
 
+def running(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """The sum of `value` over the rows of a key so far, this one included, in order. Rows are cut into ranges of (key, order), so a
+    key of any size is dealt to several tasks; what a key had in the ranges before is added. Ranges are written once. Rows of a key must
+    differ in `order`."""
+    from tracemill.operators.store import materialised
+
+    parts = materialised(df.withColumn(name, value.cast("long")).repartitionByRange(*keys, *order).withColumn("__range", F.spark_partition_id()))
+    before = F.sum("__sum").over(Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    # a row a key and range; a key has as many as it has ranges
+    carried = parts.groupBy("__range", *keys).agg(F.sum(name).alias("__sum")).withColumn("__before", before).filter("__before != 0").drop("__sum")
+    inside = F.sum(name).over(Window.partitionBy("__range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    same = F.col("p.__range") == F.col("c.__range")
+    for k in keys:
+        same = same & F.col(f"p.{k}").eqNullSafe(F.col(f"c.{k}"))
+    summed = parts.withColumn("__inside", inside)
+    return summed.alias("p").join(carried.alias("c"), same, "left").select(*[F.col(f"p.{c}") for c in df.columns if c != name], (F.col("p.__inside") + F.coalesce("c.__before", F.lit(0))).alias(name))
+
+
 def chunked(df: DataFrame, size: int, *order: Column) -> DataFrame:
     return ordinal(df, "__at", *order).withColumn("chunk", F.floor(F.col("__at") / size).cast("long")).drop("__at")
 
@@ -84,16 +104,22 @@ def epochs(df: DataFrame, key: str, order: str, starts: Column, name: str = "epo
 def greedy_fit(df: DataFrame, key: str, order: str, size: str, budget: int) -> DataFrame:
     """Rows of each key that fit the budget in order: one that is too big is skipped and later ones may still fit.
 
-    A key's rows are folded as one ordered array, so a key must be of bounded size (files of one scope)."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s"))))
-    state = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<o:bigint,s:bigint>>").alias("kept"))
-
-    def step(a: Column, x: Column) -> Column:
-        fits = a["used"] + x["s"] <= budget
-        return F.struct((a["used"] + F.when(fits, x["s"]).otherwise(0)).cast("long").alias("used"), F.when(fits, F.concat(a["kept"], F.array(F.struct(x["o"].cast("long").alias("o"), x["s"].alias("s"))))).otherwise(a["kept"]).alias("kept"))
-
-    kept = df.groupBy(key).agg(F.aggregate(rows, state, step)["kept"].alias("kept"))
-    return kept.select(key, F.explode("kept").alias("__row")).select(key, F.col("__row.o").alias(order), F.col("__row.s").alias(size))
+    Rows of a key pass one task in order, as a stream that holds a sum. Those larger than the whole budget can't fit and don't move."""
+    kinds = dict(df.dtypes)
+    near = df.select(key, order, size).filter(F.col(size) <= budget).repartition(key).sortWithinPartitions(key, order, size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used = object(), 0
+        for batch in batches:
+            kept = []
+            for k, n in zip(batch[0].to_pylist(), batch[2].to_pylist(), strict=True):
+                if k != now:
+                    now, used = k, 0
+                kept.append(used + n <= budget)
+                used += n if kept[-1] else 0
+            yield batch.filter(pa.array(kept, "bool"))
+
+    return near.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in (key, order, size)))
 
 
 def dropped_to_budget(df: DataFrame, size: str, budget: Column, order: list[Column], keys: list[str] | None = None) -> DataFrame:

@@ -19,3 +19,30 @@ def salted_join(rows: DataFrame, side: DataFrame, on: list[str], n: str, total:
     dealt = dealt.withColumn("__salt", F.when(F.col("__slices").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.spark_partition_id(), *map(F.col, spread)), F.col("__slices")).cast("int"))).drop("__slices")
     spread = side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.when(F.col(n) > share, slices).otherwise(1)) - 1))).drop(n)
     return dealt.join(spread, [*on, "__salt"], how).drop("__salt")
+
+
+def keyed_join(rows: DataFrame, side: DataFrame, on: list[str], how: str = "left", spread: tuple[str, ...] = ()) -> DataFrame:
+    """`rows` joined to `side`, which has one row a key: a plain join unless a key has over a thousandth of the rows (256 at least),
+    else `salted_join`. `rows` are a table or a written one, as they are counted first."""
+    counts = rows.groupBy(*on).agg(F.count("*").alias("__n"))
+    told = counts.agg(F.sum("__n").alias("total"), F.max("__n").alias("most")).first()
+    if told["total"] is None or told["most"] <= max(256, told["total"] // 1000):
+        return rows.join(side, on, how)
+    hot = counts.filter(F.col("__n") > max(256, told["total"] // 1000))
+    side = side.join(F.broadcast(hot), on, "left").withColumn("__n", F.coalesce("__n", F.lit(1)))
+    return salted_join(rows, side, on, "__n", told["total"], how, spread, counts=hot)
+
+
+def dealt_join(rows: DataFrame, others: DataFrame, on: list[str], most_broadcast: int = 10_000, spread: tuple[str, ...] = ()) -> DataFrame:
+    """All pairs of `rows` and `others` of equal keys, where both may have many rows of a key: `others` are broadcast if their count is
+    within `most_broadcast`; else keys with many rows are dealt to slices and `others` of these keys stand in each."""
+    if others.limit(most_broadcast + 1).count() <= most_broadcast:
+        return rows.join(F.broadcast(others), on)
+    counts = rows.groupBy(*on).agg(F.count("*").alias("__n"))
+    total = rows.count()
+    share = max(256, total // 1000)
+    hot = F.broadcast(counts.filter(F.col("__n") > share).select(*on, F.ceil(F.col("__n") / share).cast("int").alias("__slices")))  # a thousand keys at most
+    salt = F.when(F.col("__slices").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.spark_partition_id(), *map(F.col, spread)), F.col("__slices")).cast("int"))
+    dealt = rows.join(hot, on, "left").withColumn("__salt", salt).drop("__slices")
+    copied = others.join(hot, on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__slices", F.lit(1)) - 1))).drop("__slices")
+    return dealt.join(copied, [*on, "__salt"]).drop("__salt")

@@ -81,7 +81,7 @@ def locate_cap_prunes(t: Tables) -> DataFrame:
     return joined.select("finding_id", "line", "method_id", F.when(F.col("kept"), "kept").otherwise("max_contexts").alias("outcome"))
 
 
-@query("SO-2 GR-3 AG-6", f"select method_id, count(*) findings, min(line) first_line, min({RANK}) worst, string_agg(distinct \"rule\", ',' order by \"rule\") rules from ({LOCATED}) group by method_id")
+@query("AG-6", f"select method_id, count(*) findings, min(line) first_line, min({RANK}) worst, string_agg(distinct \"rule\", ',' order by \"rule\") rules from ({LOCATED}) group by method_id")
 def context_groups(t: Tables) -> DataFrame:
     return located(t, "severity", "rule").groupBy("method_id").agg(F.count("*").alias("findings"), F.min("line").alias("first_line"), F.min(scalars.severity_rank(F.col("severity"))).alias("worst"), F.array_join(F.array_sort(F.collect_set("rule")), ",").alias("rules"))
 
@@ -136,7 +136,7 @@ def body_dedupe_canonical(t: Tables) -> DataFrame:
     return folds.body_owners(t.documents, "doc_id", "text")
 
 
-@query("GX-7 PRJ-4 JN-3", """select method_id, case p_partkey % 10 when 0 then 'strong' when 1 then 'strong' when 2 then 'unknown' when 3 then 'weak' when 4 then 'guess' when 5 then 'guess' when 6 then 'fact' when 7 then 'fact' when 8 then 'fact' else 'unknown' end trust,
+@query("GX-7 PRJ-4", """select method_id, case p_partkey % 10 when 0 then 'strong' when 1 then 'strong' when 2 then 'unknown' when 3 then 'weak' when 4 then 'guess' when 5 then 'guess' when 6 then 'fact' when 7 then 'fact' when 8 then 'fact' else 'unknown' end trust,
     case p_partkey % 10 when 0 then 1.0::double when 1 then 0.9 when 2 then 0.8 when 3 then 0.6 when 4 then 0.4 when 5 then 0.2 else 0.5 end confidence from v_methods""")
 def trust_and_confidence(t: Tables) -> DataFrame:
     names = ["lsp_call_hierarchy", "lsp_definition", "lsp_implementation", "lsp_references", "syntax_regex", "file_range", "opengrep", "lsp_document_symbol", "manual", "joern_dataflow"]
@@ -319,7 +319,7 @@ def planned_fill_surveyed(t: Tables) -> DataFrame:
 def same_name_definitions(t: Tables) -> DataFrame:
     wanted = t.part.select("p_partkey", "p_type", "p_brand", F.col("p_size").alias("own"))
     known = t.part.select(F.col("p_partkey").alias("other"), "p_type", "p_brand", F.col("p_size").alias("size"))
-    return joins.same_name(wanted, known, ["p_type", "p_brand"], "p_partkey", F.col("size") == F.col("own"), "size")
+    return joins.same_name(wanted, known, ["p_type", "p_brand"], "p_partkey", ("own", "size"), "size")
 
 
 @query("JN-16 ST-4", "select distinct a.l_orderkey a, b.l_orderkey b from lineitem a join lineitem b on a.l_partkey = b.l_partkey and a.l_orderkey < b.l_orderkey where a.l_suppkey = b.l_suppkey")
@@ -369,7 +369,7 @@ def signals_per_scope(t: Tables) -> DataFrame:
     return rows.top_per(one, ["path_id"], 3, F.col("line"), F.col("rule")).select("path_id", "line", "rule", "severity")
 
 
-@query("PRJ-15 FN-30", "select lang, case lang when 'en' then 'full' when 'de' then 'call_graph' else 'findings_only' end depth from documents group by lang")
+@query("PRJ-15", "select lang, case lang when 'en' then 'full' when 'de' then 'call_graph' else 'findings_only' end depth from documents group by lang")
 def language_depth(t: Tables) -> DataFrame:
     return t.documents.select("lang", views.language_depth(F.col("lang"), ["en", "de"], ["en"]).alias("depth")).distinct()
 

@@ -29,7 +29,7 @@ def caller_walk(t: Tables) -> DataFrame:
     return graph.walk(back, t.supplier.select(F.col("s_suppkey").alias("root")), max_depth=3, fan_out=3).select("root", "node", "depth")
 
 
-@query("GR-6 GX-8")
+@query("GX-8")
 def flow_components(t: Tables) -> DataFrame:
     """Customers that share a part, as components; places meet in a star around each part's first customer."""
     places = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_partkey").distinct()

@@ -49,7 +49,7 @@ def symbols_flat(t: Tables) -> DataFrame:
     span = '"range":{"start":{"line":1,"character":0},"end":{"line":2,"character":0}}'
     child = F.when(F.col("p_size") > 25, F.concat(F.lit(',"children":[{"name":"f'), F.col("p_size").cast("string"), F.lit(f'","kind":6,{span}}}]'))).otherwise("")
     payload = F.concat(F.lit('[{"name":"'), F.col("p_brand"), F.lit(f'","kind":5,{span}'), child, F.lit("}]"))
-    got = records.symbols(t.spark, t.part.select(F.col("p_partkey").alias("path"), payload.alias("payload")), depth=2)
+    got = records.symbols(t.spark, t.part.select(F.col("p_partkey").alias("path"), payload.alias("payload")))
     return got.select(F.col("path").alias("p_partkey"), "name", "parent")
 
 
@@ -87,18 +87,18 @@ def code_files(t: Tables) -> DataFrame:
     return t.part.select(F.concat(F.lit("p"), key, F.lit(".py")).alias("path"), py.alias("text")).unionByName(t.part.select(F.concat(F.lit("p"), key, F.lit(".java")).alias("path"), java.alias("text")))
 
 
-@query("TX-2 TX-3 TX-6 UD-7", """select 'p' || p_partkey::varchar || '.py' path, 'f' || p_size::varchar "name", 3 "start", 7 "end", 'A' owner from part union all select 'p' || p_partkey::varchar || '.py', 'g', 10, 11, null from part
+@query("TX-2 TX-3 UD-7", """select 'p' || p_partkey::varchar || '.py' path, 'f' || p_size::varchar "name", 3 "start", 7 "end", 'A' owner from part union all select 'p' || p_partkey::varchar || '.py', 'g', 10, 11, null from part
     union all select 'p' || p_partkey::varchar || '.java', 'h' || p_size::varchar, 1, 3, null from part""")
 def method_scopes(t: Tables) -> DataFrame:
     return code.methods(code_files(t), "path", "text")
 
 
-@query("TX-1 TX-4 TX-5 TX-12 JN-1", """select 'p' || p_partkey::varchar || '.py' path, 'f' || p_size::varchar caller, 'g' callee, 8 line_no from part union all select 'p' || p_partkey::varchar || '.java', 'h' || p_size::varchar, 'g', 3 from part""")
+@query("TX-1 TX-4 JN-1", """select 'p' || p_partkey::varchar || '.py' path, 'f' || p_size::varchar caller, 'g' callee, 8 line_no from part union all select 'p' || p_partkey::varchar || '.java', 'h' || p_size::varchar, 'g', 3 from part""")
 def scoped_calls(t: Tables) -> DataFrame:
     return code.innermost_calls(code_files(t)).select("path", "caller", "callee", "line_no")
 
 
-@query("SM-10 SM-11", """with p as (select user_id, event_id, row_number() over (order by ts, event_id) n from events where event_type = 'signup') select user_id, event_id, (n - 1) // 40 batch from p""")
+@query("SO-12", """with p as (select user_id, event_id, row_number() over (order by ts, event_id) n from events where event_type = 'signup') select user_id, event_id, (n - 1) // 40 batch from p""")
 def lead_batches(t: Tables) -> DataFrame:
     from ..operators import rows
 
@@ -152,12 +152,12 @@ def material_packet(t: Tables) -> DataFrame:
     return material.packets(found, code_files(t)).drop("text")
 
 
-@query("UD-1", """select p_partkey call_id, p_size % 3 <> 0 ok, case when p_size % 3 = 0 then 'missing: path' else '2 of 6 lines' end summary, case when p_size % 3 = 0 then '[]' else '["  int h' || p_size::varchar || '(int a) {","    return g(a);"]' end as "data", p_size % 3 <> 0 truncated from part where p_partkey <= 50""")
+@query("UD-1", """select p_partkey call_id, p_size % 3 <> 0 ok, case when p_size % 3 = 0 then 'missing: path' else '2 of 6 lines' end summary, case when p_size % 3 = 0 then '[]' else '["  int h' || p_size::varchar || '(int a) {","    return g(a);"]' end as "data", p_size % 3 <> 0 truncated from part""")
 def tool_reads(t: Tables) -> DataFrame:
-    """Reads of the first fifty parts' Java files, a third of them without a path."""
+    """A read of every part's Java file, a third of them without a path."""
     path = F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".java"))
     given = F.when(F.col("p_size") % 3 == 0, F.create_map(F.lit("limit"), F.lit("2"))).otherwise(F.create_map(F.lit("path"), path, F.lit("offset"), F.lit("2"), F.lit("limit"), F.lit("2")))
-    return tools.call("read", code_files(t), t.part.filter("p_partkey <= 50").select(F.col("p_partkey").alias("call_id"), given.alias("arguments")))
+    return tools.call("read", code_files(t), t.part.select(F.col("p_partkey").alias("call_id"), given.alias("arguments")))
 
 
 @query("UD-5 UD-8", "select p_partkey, case when p_size % 5 <> 0 then (100 // (p_size % 5))::varchar end answer, case when p_size % 5 = 0 then 3 else 1 end::int attempts, p_size % 5 = 0 failed from part")

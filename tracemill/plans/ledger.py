@@ -16,7 +16,7 @@ def candidate_parser(t: Tables) -> DataFrame:
     return ledger.parsed_candidates(t.lineitem, ["l_orderkey", "l_partkey"], "l_linenumber", F.col("l_quantity") > 5, "first_line").select("l_orderkey", "l_partkey", "first_line", "id")
 
 
-@query("LG-4 LG-27", "select l_orderkey, l_linenumber, l_returnflag verdict from (select l_orderkey, l_linenumber, l_returnflag, l_quantity, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_extendedprice) n from lineitem) where n = 1 and l_returnflag in ('A', 'R')")
+@query("LG-4", "select l_orderkey, l_linenumber, l_returnflag verdict from (select l_orderkey, l_linenumber, l_returnflag, l_quantity, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_extendedprice) n from lineitem) where n = 1 and l_returnflag in ('A', 'R')")
 def verdict_batch(t: Tables) -> DataFrame:
     """A repeated id keeps its first row, even if that row is then dropped."""
     first = rows.first_by(t.lineitem, ["l_orderkey", "l_linenumber"], F.col("l_partkey"), F.col("l_suppkey"), F.col("l_extendedprice"))

@@ -30,7 +30,7 @@ def agent_rows_fold(t: Tables) -> DataFrame:
     return e.join(last, (e.run == last.run) & (e.epoch == last.starts)).drop(last.run).filter("starts > 0").groupBy("run", "starts").agg(F.count_if(F.col("kind") == "agent_step").alias("steps"), F.max(F.when(F.col("kind") == "agent_end", F.col("arrival"))).alias("ended"))
 
 
-@query("WN-5 GR-11", """with e as (select *, sum(case kind when 'agent_start' then 1 else 0 end) over (partition by run order by seq rows unbounded preceding) epoch from v_trail), m as (select run, max(epoch) last from e group by run)
+@query("WN-5", """with e as (select *, sum(case kind when 'agent_start' then 1 else 0 end) over (partition by run order by seq rows unbounded preceding) epoch from v_trail), m as (select run, max(epoch) last from e group by run)
     select m.run, arg_max(e.cents, e.seq) filter (where e.event_type = 'view') verdict, arg_max(e.k, e.seq) filter (where e.event_type = 'click') path from m left join e on e.run = m.run and e.epoch = m.last group by 1""")
 def candidate_fold_invalidation(t: Tables) -> DataFrame:
     e = rows.epochs(t.trail(), "run", "seq", F.col("kind") == "agent_start")

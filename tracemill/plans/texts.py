@@ -70,7 +70,7 @@ def words_split(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.array_join(scalars.words(F.lower(F.concat_ws(" ", "p_name", "p_brand"))), "|").alias("words"))
 
 
-@query("FN-16 TX-11 LG-19", """select page_id, case page_id % 6 when 0 then 'web-route' when 1 then 'service-layer' when 2 then 'data-access' when 3 then null when 4 then null else 'config' end role,
+@query("FN-16", """select page_id, case page_id % 6 when 0 then 'web-route' when 1 then 'service-layer' when 2 then 'data-access' when 3 then null when 4 then null else 'config' end role,
     case page_id % 6 when 0 then 'shop/controllers' when 1 then 'service' when 2 then 'x' when 3 then '' when 4 then '' else 'config' end "group" from pages""")
 def role_of_path(t: Tables) -> DataFrame:
     paths = ["src/main/java/shop/controllers/Cart.java", "app/service/impl/Run.py", "x/user_dao.py", "Work/TaskConsumer.go", "a/OrderRequestDTO.java", "lib/config/x.yml"]
@@ -87,7 +87,7 @@ def path_rebase(t: Tables) -> DataFrame:
     return f.join(code.rebased(f, inventory, "page_id", "rest", "p"), "page_id", "left").select("page_id", "rest", "rebased")
 
 
-@query("FN-9 FN-10", "select page_id, replace(replace(url, 'https://', ''), 'http://', '') bare, length(url) units from pages")
+@query("FN-9", "select page_id, replace(replace(url, 'https://', ''), 'http://', '') bare, length(url) units from pages")
 def uri_codec(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.regexp_replace("url", "^https?://", "").alias("bare"), scalars.utf16_length(F.col("url")).alias("units"))
 

@@ -9,11 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions.fixed import NOT_CALLS
 
-CALL = re.compile(r"(?:([A-Za-z_$][\w$]*)\s*\.\s*)?([A-Za-z_$][\w$]*)\s*\(")
-DEF = re.compile(r"^([ \t]*)(?:async\s+)?def\s+([A-Za-z_]\w*)\s*\(")
-CLASS = re.compile(r"^([ \t]*)class\s+([A-Za-z_]\w*)")
+CALL, DEF, CLASS = (re.compile(p) for p in (fixed.CALL, fixed.DEF, fixed.CLASS))
 BRACED = re.compile(r"^\s*(?:(?:public|private|protected|static|final|export|async|func|fun|function)\s+)*(?:[\w<>\[\],.?]+\s+)?([A-Za-z_]\w*)\s*\([^;{]*\)\s*(?:throws\s+[\w, .]+)?\{\s*$")
 
 
@@ -23,8 +22,10 @@ def lines(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def grep(df: DataFrame, key: str, text: str, pattern: str, width: int = 400) -> DataFrame:
-    """Lines with a match of a Java regular expression, trimmed and cut; texts without one are left out before they are split."""
-    return lines(df.filter(F.col(text).rlike(pattern)), key, text).filter(F.col("line").rlike(pattern)).select(key, "line_no", F.substring(F.trim("line"), 1, width).alias("line"))
+    """Lines with a match of a Java regular expression, trimmed and cut; texts without one are left out before they are split, unless the
+    pattern can tell a line from a text (anchors, groups with a question mark)."""
+    whole = df if re.search(r"[\^$]|\\[AzZGR]|\(\?", pattern) else df.filter(F.col(text).rlike(pattern))
+    return lines(whole, key, text).filter(F.col("line").rlike(pattern)).select(key, "line_no", F.substring(F.trim("line"), 1, width).alias("line"))
 
 
 def rebased(paths: DataFrame, inventory: DataFrame, key: str, path: str, known: str) -> DataFrame:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import fixed
+from ..operators.store import materialised
 
 MOST_FILES = 5000
 
@@ -174,35 +176,35 @@ def flow_elements(reports: DataFrame) -> DataFrame:
     return cells.groupBy("report", F.col("c")[1].cast("int").alias("flow")).agg(F.array_sort(F.collect_list(element)).alias("elements"))
 
 
-def symbols(spark: SparkSession, rows: DataFrame, depth: int = 8) -> DataFrame:
-    """Flat symbols of documentSymbol answers: rows path and payload (JSON text), nested to `depth` levels. Both the nested and
-    the flat form are read; parent is the chain of names above."""
-    def schema(level: int) -> str:
-        span = "struct<start:struct<line:int,character:int>,`end`:struct<line:int,character:int>>"
-        inner = f", children array<{schema(level - 1)}>" if level else ""
-        body = f"name string, kind int, range {span}, location struct<uri:string,range:{span}>, containerName string{inner}"
-        return "struct<" + ", ".join(f"{p.strip().split(' ', 1)[0]}:{p.strip().split(' ', 1)[1]}" for p in split_fields(body)) + ">"
-
-    parsed = rows.select("path", F.explode(F.from_json("payload", f"array<{schema(depth)}>")).alias("s"), F.lit("").alias("parent"))
-    levels = []
-    for level in range(depth + 1):
-        levels.append(parsed.select("path", "s.name", "s.kind", F.coalesce("s.range", "s.location.range").alias("range"), F.coalesce(F.nullif("parent", F.lit("")), "s.containerName", F.lit("")).alias("parent")))
-        if level < depth:
-            parsed = parsed.select("path", F.explode("s.children").alias("c"), F.concat_ws(".", F.nullif("parent", F.lit("")), "s.name").alias("parent")).withColumnRenamed("c", "s")
-    out = levels[0]
-    for more in levels[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def split_fields(body: str) -> list[str]:
-    """Top-level comma parts of a field list."""
-    parts, depth, now = [], 0, ""
-    for ch in body:
-        depth += (ch == "<") - (ch == ">")
-        if ch == "," and not depth:
-            parts.append(now)
-            now = ""
-        else:
-            now += ch
-    return [*parts, now]
+def symbols(spark: SparkSession, rows: DataFrame, keys: tuple[str, ...] = ("path",), depth: int | None = None) -> DataFrame:
+    """Flat symbols of documentSymbol answers of any depth: rows of `keys` and payload (JSON text). place numbers an answer's symbols in
+    preorder; parent is the chain of names above, joined by dots, or the container of a flat symbol, whose range is its location's. With
+    `depth` so many levels below the first are read.
+
+    A payload is read as a VARIANT, and a level's children are exploded until none is left: as many rounds as the deepest answer has
+    levels, over what is left of the others. Levels are written."""
+    from pyspark.sql.functions import lit
+
+    def got(path: str, kind: str) -> Column:
+        return F.try_variant_get(F.col("v"), path, kind)
+
+    span = "struct<start:struct<line:int,character:int>,`end`:struct<line:int,character:int>>"
+    level = rows.select(*keys, F.expr("try_parse_json(payload)").alias("v"), F.array().cast("array<int>").alias("at"), lit(None).cast("string").alias("above"))
+    level, levels = materialised(exploded(level, keys, "$")), []
+    while not level.isEmpty() and (depth is None or len(levels) <= depth):
+        named = level.select(*keys, "at", "v", F.coalesce(got("$.name", "string"), lit("?")).alias("name"), got("$.kind", "int").alias("kind"), F.coalesce(got("$.range", span), got("$.location.range", span)).alias("range"), F.coalesce("above", got("$.containerName", "string"), lit("")).alias("parent"), "above")
+        levels.append(named.filter("range is not null").drop("v", "above"))
+        deeper = named.select(*keys, "at", "v", F.concat_ws(".", "above", "name").alias("above"))
+        level = materialised(exploded(deeper, keys, "$.children"))
+    if not levels:
+        return level.select(*keys, lit("").alias("name"), lit(0).alias("kind"), lit(None).cast(span).alias("range"), lit("").alias("parent"), lit(0).alias("place"))
+    out = reduce(DataFrame.unionByName, levels)
+    # the path of places sorts in preorder; an answer's symbols are numbered by it
+    return out.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("at")) - 1).drop("at")
+
+
+def exploded(level: DataFrame, keys: tuple[str, ...], path: str) -> DataFrame:
+    """The objects of an array in the variant `v`, each with its place behind the places of those above."""
+    items = F.try_variant_get(F.col("v"), path, "array<variant>")
+    each = level.select(*keys, "at", "above", F.posexplode(items).alias("__i", "__v"))
+    return each.select(*keys, F.concat("at", F.array("__i")).alias("at"), "above", F.col("__v").alias("v"))

@@ -72,15 +72,28 @@ def known_kinds(df: DataFrame, kinds: list[str]) -> DataFrame:
 
 
 def markdown(df: DataFrame, title: str, most: int = 1000) -> str:
-    """A small aggregated table as a Markdown document."""
+    """A small aggregated table as a Markdown document for a person. What `most` rows leave out is told in the last line;
+    `markdown_files` writes all."""
     head = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
-    return "\n".join([*head, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in df.limit(most).collect())])
+    held = df.limit(most + 1).collect()
+    body = ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in held[:most]]
+    if len(held) > most:
+        body += ["", f"{df.count() - most} more rows are left out."]
+    return "\n".join([*head, *body])
 
 
-def table_lines(rows: DataFrame) -> DataFrame:
-    """line: each row as a line of a Markdown table."""
-    cells = [x for c in rows.columns for x in (F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(" | "))][:-1]
-    return rows.select(F.concat(F.lit("| "), *cells, F.lit(" |")).alias("line"))
+def markdown_files(df: DataFrame, title: str, path: str, *order: Column) -> None:
+    """The whole table as Markdown: text files in order below path, the first with the title and the head."""
+    head = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
+    lines = table_lines(ordinal(df, "at", *(order or map(F.col, df.columns))), "at")
+    top = df.sparkSession.createDataFrame([(i - len(head), h) for i, h in enumerate(head)], "at long, line string")
+    top.unionByName(lines).orderBy("at").select("line").write.mode("overwrite").text(path)
+
+
+def table_lines(rows: DataFrame, *keep: str) -> DataFrame:
+    """line: each row as a line of a Markdown table, beside the columns `keep`, which aren't in it."""
+    cells = [x for c in rows.columns if c not in keep for x in (F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(" | "))][:-1]
+    return rows.select(*keep, F.concat(F.lit("| "), *cells, F.lit(" |")).alias("line"))
 
 
 #: Colours of edges by provider.

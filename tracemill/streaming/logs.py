@@ -48,14 +48,17 @@ def milliseconds(span: str) -> int:
     return sum(int(n) * {"second": 1, "minute": 60, "hour": 3600, "day": 86_400, "week": 604_800}[unit] for n, unit in found) * 1000
 
 
-def jobs(events: DataFrame, stale: str = "10 minutes") -> DataFrame:
+def jobs(events: DataFrame, stale: str = "10 minutes", ttl: str = "7 days") -> DataFrame:
     """run, state, revision and attempts after each batch of a run's events; a running job that is silent for the watermark's
-    length becomes stale. Events apply in seq order; a write with an old revision is passed over."""
-    wait = milliseconds(stale)
+    length becomes stale. Events apply in seq order; a write with an old revision is passed over. An ended job leaves the state after
+    `ttl`; others stay."""
+    wait, life = milliseconds(stale), milliseconds(ttl)
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now, revision, attempts = state.get if state.exists else (None, -1, 0)
         if state.hasTimedOut:
+            if now in TERMINAL:
+                state.remove()
             if now == "running":
                 now = "queued"
                 state.update((now, revision, attempts))
@@ -68,8 +71,7 @@ def jobs(events: DataFrame, stale: str = "10 minutes") -> DataFrame:
                 attempts += new == "running" and now != "running"
                 now, revision = new, int(seq)
         state.update((now, revision, int(attempts)))
-        if now not in TERMINAL:
-            state.setTimeoutTimestamp(int(rows["at"].max().timestamp() * 1000) + wait)
+        state.setTimeoutTimestamp(int(rows["at"].max().timestamp() * 1000) + (life if now in TERMINAL else wait))
         yield pd.DataFrame({"run": [key[0]], "state": [now], "revision": [revision], "attempts": [int(attempts)]})
 
     out = "run string, state string, revision long, attempts int"
