@@ -314,8 +314,8 @@ def test_claims_as_a_stream_leave_the_state_after_their_time(spark, tmp_path):
         [e(3, 60_000, "beat", "x")], [e(3, 120_000, "beat", "x")], [e(3, 240_000, "beat", "x")], [e(3, 480_000, "beat", "x")], [e(3, 900_000, "beat", "x")],
     ]
     got, held = stream(spark, tmp_path, "claims_out", "job long, at long, seq long, kind string, consumer string", chunks, lambda s: stateful.held(s, "job", ["a", "b"], 10_000, 100_000, late="0 seconds"))
-    assert [r[2:] for r in sorted(got, key=str) if r[0] == 1] == [("queued", None, 0), ("running", "a", 1), ("running", "b", 2), ("failed", None, 2), ("expired", None, 0)]
-    assert [r[2:] for r in sorted(got, key=str) if r[0] == 2] == [("queued", None, 0), ("running", "a", 1), ("succeeded", "a", 1), ("expired", None, 0)]
+    assert [r[2:] for r in sorted(got, key=lambda r: r[:2]) if r[0] == 1] == [("queued", None, 0), ("running", "a", 1), ("running", "b", 2), ("failed", None, 2), ("expired", None, 0)]
+    assert [r[2:] for r in sorted(got, key=lambda r: r[:2]) if r[0] == 2] == [("queued", None, 0), ("running", "a", 1), ("succeeded", "a", 1), ("expired", None, 0)]
     assert [r[2:] for r in got if r[0] == 3] == [("queued", None, 0)]
     assert held[-1] < max(held) and held[-1] <= 2  # only the job that never ended is left
 
