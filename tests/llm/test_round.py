@@ -291,3 +291,18 @@ def test_more_than_64_languages(spark):
     assert len(model.table) == 2 and len(model.names) == 90
     got = {r["doc_id"]: r["lang_pred"] for r in langmask.identified(df, model).collect()}
     assert sum(got[d[0]] == d[2] for d in docs) >= 0.99 * len(docs)
+
+
+# --- bounds of samples
+
+
+def test_a_text_beyond_the_sample_is_passed_over(spark):
+    from tracemill.llm import toxicity
+
+    docs = spark.createDataFrame([(i, ("vile " if i % 2 else "kind ") * (4000 if i % 7 == 0 else 20), "en") for i in range(200)], "doc_id long, text string, lang string")
+    labels = spark.range(200).selectExpr("id doc_id", "int(id % 2) toxic")
+    model = toxicity.fit(docs, labels, most_bytes=8000)
+    got = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, model).collect()}
+    assert all((s >= 0.5) == bool(i % 2) for i, s in got.items())
+    with pytest.raises(ValueError, match="fits"):
+        toxicity.fit(docs, labels, most_bytes=8)

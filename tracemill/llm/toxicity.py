@@ -202,7 +202,7 @@ def fold() -> F.Column:
 
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 16_000, most_bytes: int = 128 << 20, text: str = "text", **how) -> Model:
     """A model from labelled rows whose fold isn't 0: those with the least hash of doc_id, at most `most_rows` of them and at most
-    `most_bytes` of word hashes (four bytes a word). Rows without a label, doc_id or document are
+    `most_bytes` of word hashes (four bytes a word; a text with more is passed over, and it is an error if none is left). Rows without a label, doc_id or document are
     left out; a doc_id labelled several times counts as toxic if one label says so; of the documents of a doc_id one is taken;
     without any labels every score is low."""
     known = labels.filter("doc_id is not null and toxic is not null").filter(fold() != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -221,10 +221,13 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 16_000, most_bytes:
     each = texts.mapInArrow(hashed, "doc_id long, lang string, toxic int, words binary").groupBy("doc_id").agg(F.min(F.struct("words", "lang", "toxic")).alias("row"))
     one = common.written(each.select("doc_id", "row.*", F.xxhash64("doc_id").alias("order")), "toxicity-sample")
     lengths = np.array([tuple(r) for r in one.select("order", F.octet_length("words")).orderBy("order", "doc_id").collect()], np.int64).reshape(-1, 2)  # at most most_rows
-    whole = lengths[np.cumsum(lengths[:, 1]) <= most_bytes, 0]
-    if not len(whole):
+    if not len(lengths):
         return train([], np.zeros(0, np.int64), [], **how)
-    rows = one.filter(F.col("order") <= int(whole[-1])).toArrow()
+    fits = lengths[lengths[:, 1] <= most_bytes]  # a text beyond the bound alone is passed over
+    whole = fits[np.cumsum(fits[:, 1]) <= most_bytes, 0]
+    if not len(whole):
+        raise ValueError(f"no labelled text fits the sample's {most_bytes} bytes")
+    rows = one.filter((F.col("order") <= int(whole[-1])) & (F.octet_length("words") <= most_bytes)).toArrow()
     rows = rows.take(pa.compute.sort_indices(rows["doc_id"]))
     words = [np.frombuffer(w.as_buffer(), np.uint32) for w in rows["words"]]  # views: the driver holds the sample once
     return train(words, (rows["toxic"].to_numpy() > 0).astype(np.int64), rows["lang"].to_pylist(), **how)
