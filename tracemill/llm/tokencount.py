@@ -265,7 +265,8 @@ def compiled(model_file: str) -> Transducer:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         ids = range(sp.vocab_size())
-        if sum(map(sp.is_byte, ids)) != 256 or sp.encode("  ﬁ", out_type=str)[:1] != [SPACE * 3][:1] and "".join(sp.encode("  a", out_type=str)) != SPACE * 3 + "a":
+        kept = "  ﬁ Ａ\u3000e\u0301  x "  # a normaliser would change, join or cut something of it
+        if sum(map(sp.is_byte, ids)) != 256 or sp.normalize(kept) != SPACE + kept.replace(" ", SPACE) or "".join(sp.encode("  a", out_type=str)) != SPACE * 3 + "a":
             raise ValueError(f"{model_file} isn't a model of the kind that can be compiled")
         _compiled[model_file] = Transducer({sp.id_to_piece(i): sp.get_score(i) for i in ids if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}, plain=lambda t: len(sp.encode(t)))
     return _compiled[model_file]
