@@ -275,12 +275,15 @@ def trained(rows: list[tuple[int, ...]], counts: list[int], steps: int = 500) ->
     return Field(w, dict(zip(PAIRS, pairs, strict=True)))
 
 
-def fit(docs: DataFrame, most_docs: int = 4_000, text: str = "text") -> Field:
-    """The field trained on the documents with candidate tokens that have the least hash of doc_id, at most `most_docs`. Without any
-    the field labels nothing."""
+def fit(docs: DataFrame, most_docs: int = 4_000, most_bytes: int = 64 << 20, text: str = "text") -> Field:
+    """The field trained on the documents with candidate tokens that have the least hash of doc_id, at most `most_docs` and at most
+    `most_bytes` of their texts; a document beyond that alone is passed over. Without any the field labels nothing."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.whole_text(text).alias("__text")).filter(F.col("__text").rlike("[0-9@]"))
-    chosen = source.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
-    sample = source.join(F.broadcast(chosen), "doc_id", "left_semi")  # at most most_docs ids
+    sizes = source.filter("doc_id is not null").groupBy("doc_id").agg(F.sum(F.octet_length("__text")).alias("n"))
+    first = np.array([tuple(r) for r in sizes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs).collect()], np.int64).reshape(-1, 2)  # at most most_docs
+    fits = first[first[:, 1] <= most_bytes]
+    ids = fits[np.cumsum(fits[:, 1]) <= most_bytes, 0].tolist()
+    sample = source.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")), "doc_id", "left_semi")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
