@@ -5,10 +5,10 @@ probability. Documents meet in pairs: size-weighted mass moves between two fract
 their expectations unchanged, until one is 0 or 1; the other goes on to the next pair. Small groups of documents of a
 source are worked off in array expressions, each leaving at most one fraction, and these residuals go up a tree of
 groups. All moves keep the sum of size times copies. The last fraction of a source becomes 1 with just this probability;
-documents of some small groups, in random order, are then turned over to bring the source's words back near the target. What
-they make up for is such a share of the words too many or too few that they can make up for either, and only documents
-smaller than both take part, so that a document is as likely to be turned in as out and its chance stays its fraction (nearly: in sources of a score of
-documents one of which holds a third of the words, the small ones' chances were seen to rise by 0.05).
+documents of some small groups, in random order, are then turned over to bring the source's words back near the target. As many
+words are turned out, in expectation, as in, so a document's chance stays its fraction. Where the last residual is a large part of a
+small source, and one way can't be made up for, the other is taken: there the words come before the chances (figures are in the
+README).
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from . import common
 GROUP = 32
 #: Groups of a source whose documents make up for the last residual.
 EVENING = 16
+#: Once a document is too large for what is left, those are turned that are at least this part of it.
+CLOSE = 2
 ITEM = "struct<size:bigint,doc_id:bigint,nth:int,p:double>"
 TINY = 1e-9
 WORD = r"[^\x20\x09-\x0D]+"
@@ -112,39 +114,45 @@ def rounded(items: DataFrame, largest: int, seed: int) -> DataFrame:
         if groups <= 1:
             break
         groups, level = -(-groups // GROUP), level + 1
-    # one fraction a source is left: it is drawn, and documents of the source's first group make up for what that adds or takes
-    drawn = F.when(uniform(F.lit(seed), F.lit("last"), F.col("item")) < F.col("item.p"), 1.0).otherwise(0.0)
-    item = F.struct(F.col("item.size").alias("size"), F.col("item.doc_id").alias("doc_id"), F.col("item.nth").alias("nth"), drawn.alias("p"))
+    # one fraction a source is left: it is drawn, and documents of the source's first groups make up for what that adds or takes
     size, p = F.col("item.size"), F.col("item.p")
-    last = common.written(now.select("source", item.alias("item"), (size * (1 - p)).alias("over"), (size * p).alias("under")), "mix-rest")
-    part = items.groupBy("source").agg(F.max("p").alias("part"))
+    drawn = uniform(F.lit(seed), F.lit("last"), F.col("item")) < p
+    last = common.written(now.select("source", "item", drawn.alias("in"), (size * (1 - p)).alias("over"), (size * p).alias("under")), "mix-rest")
     some = done[0].filter(F.col("group") < EVENING).groupBy("source").agg(F.flatten(F.collect_list("done")).alias("done"))  # a bounded number of small groups
-    facts = last.join(part, last["source"].eqNullSafe(part["source"])).select(last["source"].alias("__source"), "part", "over", "under", F.col("item.p").alias("in"))
-    first = some.join(facts, F.col("source").eqNullSafe(F.col("__source")), "left")
-    held = F.aggregate("done", F.lit(0).cast("long"), lambda n, x: n + x["size"])
-    share = F.least(F.lit(1.0), F.col("part") * held / (2 * F.col("over")), (1 - F.col("part")) * held / (2 * F.col("under")))
-    excess = F.when(F.col("in") == 1, share * F.col("over")).otherwise(-share * F.col("under"))
-    evened = first.select("source", evenly(F.col("done"), F.coalesce(excess, F.lit(0.0)), F.coalesce(share * F.least("over", "under"), F.lit(0.0))).alias("done"))
-    every = last.select("source", "item").unionByName(evened.select("source", F.explode("done").alias("item")))
+    both = some.join(last.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source")), "full_outer")
+    both = both.select(F.coalesce("source", "__source").alias("source"), F.coalesce("done", F.array().cast(f"array<{ITEM}>")).alias("done"), "item", "in", "over", "under")
+
+    def held(value: float) -> Column:
+        return F.aggregate("done", F.lit(0).cast("long"), lambda n, x: n + F.when(x["p"] == value, x["size"]).otherwise(0))
+
+    # where too few words are in to be turned out, or out to be turned in, the other way is taken if it has enough
+    both = both.withColumn("ins", held(1.0)).withColumn("outs", held(0.0))
+    short = F.when(F.col("in"), (F.col("ins") < F.col("over")) & (F.col("outs") >= F.col("under"))).otherwise((F.col("outs") < F.col("under")) & (F.col("ins") >= F.col("over")))
+    both = both.withColumn("in", F.col("in") != short)
+    excess = F.when(F.col("in"), F.col("over")).otherwise(-F.col("under"))
+    item = F.struct(size.alias("size"), F.col("item.doc_id").alias("doc_id"), F.col("item.nth").alias("nth"), F.col("in").cast("double").alias("p"))
+    own = F.when(F.col("item").isNotNull(), F.array(item)).otherwise(F.array().cast(f"array<{ITEM}>"))
+    every = both.select("source", F.explode(F.concat(evenly(F.col("done"), F.coalesce(excess, F.lit(0.0))), own)).alias("item"))
     for k, table in enumerate(done):
         every = every.unionByName((table if k else table.filter(F.col("group") >= EVENING)).select("source", F.explode("done").alias("item")))
     return every.select("source", "item.size", "item.doc_id", "item.p")
 
 
-def evenly(items: Column, excess: Column, most: Column) -> Column:
-    """items with p 0 or 1; in the order of a hash those of at most `most` words are turned over until the next one is more than what is
-    left of the excess. (To go on with smaller ones would turn small documents more often than others.)"""
+def evenly(items: Column, excess: Column) -> Column:
+    """items with p 0 or 1; in the order of a hash they are turned over until the next one is more than what is left of the excess, and then
+    those that are at least a part of what is left. (Any smaller one would turn small documents more often than others.)"""
     order = F.transform(F.array_sort(F.transform(items, lambda x: F.struct(F.xxhash64(x["doc_id"], x["nth"], x["size"]).alias("h"), x.alias("x")))), lambda y: y["x"])
 
     def step(state: Column, x: Column) -> Column:
         sign = 2 * x["p"] - 1
-        due = (sign * state["excess"] > 0) & (x["size"] <= most)
-        turn = due & (x["size"] <= F.abs(state["excess"]))
+        due = sign * state["excess"] > 0
+        turn = due & (x["size"] <= F.abs(state["excess"])) & (~state["closing"] | (CLOSE * x["size"] >= F.abs(state["excess"])))
         new = F.struct(x["size"].alias("size"), x["doc_id"].alias("doc_id"), x["nth"].alias("nth"), F.when(turn, 1 - x["p"]).otherwise(x["p"]).alias("p"))
-        left = F.when(turn, state["excess"] - sign * x["size"]).when(due, 0.0).otherwise(state["excess"])
-        return F.struct(F.concat(state["out"], F.array(new)).alias("out"), left.alias("excess"))
+        left = F.when(turn, state["excess"] - sign * x["size"]).otherwise(state["excess"])
+        closing = state["closing"] | (due & (x["size"] > F.abs(state["excess"])))
+        return F.struct(F.concat(state["out"], F.array(new)).alias("out"), left.alias("excess"), closing.alias("closing"))
 
-    return F.aggregate(order, F.struct(F.array().cast(f"array<{ITEM}>").alias("out"), excess.alias("excess")), step)["out"]
+    return F.aggregate(order, F.struct(F.array().cast(f"array<{ITEM}>").alias("out"), excess.alias("excess"), F.lit(False).alias("closing")), step)["out"]
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 20_251, text: str = "text") -> DataFrame:
