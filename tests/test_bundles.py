@@ -565,3 +565,132 @@ def test_grep_knows_lines_from_texts(spark):
 
     df = spark.createDataFrame([(1, "ab\ncd\n"), (2, "cd")], "k int, text string")
     assert pairs(code.grep(df, "k", "text", "^cd$"), "k", "line_no") == [(1, 2), (2, 1)]
+
+
+BRACES = """export async function load(a) {
+  if (a) { return g(a); }
+}
+const make = (x) => {
+  return x;
+};
+let other = function (y) { return y }
+public static <T> List<T> all(String s) throws IOException {
+  while (s) {
+    call(s);
+  }
+}
+int bare(char *p)
+{
+  return f("{");
+}
+func (r *Repo) Find(id int) error {
+  return nil
+}
+// int no(int a) {
+class A {
+  run() {
+    return new B(1);
+  }
+}
+"""
+
+
+def test_four_forms_of_braced_functions():
+    from tracemill.sources import code
+
+    got = [(n, a, b) for n, a, b, _ in code.braced_methods(BRACES)]
+    assert got == [("load", 0, 2), ("make", 3, 5), ("other", 6, 6), ("all", 7, 11), ("bare", 12, 15), ("Find", 16, 18), ("run", 21, 23)]
+    assert code.braced_methods("int open() {\n" + "x\n" * 100)[0][2] == 60
+
+
+# --- boards, callers, slices --------------------------------------------------------------------------------------------------
+def test_board_shows_first_items_and_counts_the_rest(spark):
+    from tracemill.operators import boards
+
+    df = spark.range(2000).selectExpr("if(id % 3 = 0, 'a', concat('s', id)) s", "id")
+    got = boards.shown(df, ["s"], 2, F.col("id"))
+    assert pairs(got.filter("s = 'a'"), "id", "place", "omitted") == [(0, 1, 665), (3, 2, 665)] and got.count() == 2 + 1333
+
+
+def test_what_concerns_a_work_item(spark):
+    from tracemill.operators import boards
+
+    records = spark.createDataFrame([(1, "w1", "a"), (2, "w2", "a"), (3, "w3", "b"), (4, "w1", None)], "row int, work_id string, file string")
+    work = spark.createDataFrame([("w1",), ("w2",)], "work_id string")
+    files = spark.createDataFrame([("w1", "a"), ("w1", "a"), ("w2", "b"), ("w9", "a")], "work_id string, file string")
+    assert pairs(boards.concerning(records, work, files), "work_id", "row", "by") == [("w1", 1, "w1"), ("w1", 2, "w2"), ("w1", 4, "w1"), ("w2", 2, "w2"), ("w2", 3, "w3")]
+
+
+def test_projects_and_components_merge(spark):
+    from tracemill.operators import boards
+
+    told = [("p", 1, "language", "py", 3), ("p", 4, "language", "py", 9), ("p", 2, "note", "n", None), ("p", 3, "note", "n", None), ("p", 2, "entry_point", "a f (h.py:9)", None), ("p", 3, "entry_point", "other (h.py:9)", None), ("p", 5, "entry_point", " A  b", None), ("p", 6, "entry_point", "a b", None), ("p", 7, "workspace", "", None), ("p", 8, "workspace", "w", None), ("p", 9, "workspace", "x", None)]
+    got = boards.merged_contexts(spark.createDataFrame(told, "project string, seq int, kind string, value string, count int"))
+    assert pairs(got, "kind", "value", "seq") == [("entry_point", " A  b", 5), ("entry_point", "a f (h.py:9)", 2), ("language", "py", 1), ("note", "n", 2), ("workspace", "w", 8)]
+    assert got.filter("kind = 'language'").first()["count"] == 9
+    rows_ = [("p", "c", 1, "survey", " ", None, "x.py", 3), ("p", "c", 2, "model", "N", "k1", "x.py", 3), ("p", "c", 3, "recon", "M", None, None, None), ("p", "c", 4, "survey", "S", "k2", "y.py", 1)]
+    df = spark.createDataFrame(rows_, "project string, component string, seq int, origin string, name string, kind string, file string, line int")
+    parts, sites = boards.merged_components(df, ["name", "kind"], F.when(F.col("origin") == "recon", 0).when(F.col("origin") == "model", 1).otherwise(2))
+    assert pairs(parts, "name", "kind", "rows") == [("M", "k1", 4)] and pairs(sites, "file", "line", "nth") == [("x.py", 3, 1), ("y.py", 1, 4)]
+
+
+def test_coverage_samples(spark):
+    from tracemill.operators import boards
+
+    files = spark.createDataFrame([(f"f{i:03d}", None if i % 2 else i, 50) for i in range(80)], "file string, covered int, total int")
+    got = boards.coverage_samples(files, 3)
+    assert pairs(got, "state", "file", "files", "omitted") == [("never", "f001", 40, 37), ("never", "f003", 40, 37), ("never", "f005", 40, 37), ("partial", "f000", 25, 22), ("partial", "f002", 25, 22), ("partial", "f004", 25, 22)]
+
+
+def test_callers_of_implementations_and_references(spark):
+    edge = "source string, target string, ord int"
+    hierarchy = spark.createDataFrame([("a", "m", 1), ("b", "m", 2), ("c", "i", 1), ("a", "i", 2), ("x", "lone_impl", 1)], edge)
+    implementations = spark.createDataFrame([("m", "i", 1), ("n", "lone_impl", 1)], edge)
+    references = spark.createDataFrame([("r", "n", 2), ("q", "n", 1), ("r", "m", 1)], edge)
+    assert pairs(joins.callers(hierarchy, implementations, references, 3).filter("target in ('m', 'n')"), "target", "source", "confidence", "via") == [("m", "a", 1.0, "hierarchy"), ("m", "b", 1.0, "hierarchy"), ("m", "c", 1.0, "hierarchy"), ("n", "q", 0.6, "references"), ("n", "r", 0.6, "references")]
+    assert pairs(joins.callers(hierarchy, implementations, references, 2).filter("target = 'm'"), "source") == [("a",), ("b",)]
+
+
+def test_slices_of_answers(spark):
+    from tracemill.operators import graph
+
+    asked = [(1, "m", None, True, True, True), (2, "m", "boom", True, True, True), (3, "m", None, False, False, True), (4, "m", None, True, False, False), (5, "m", None, True, True, None), (6, "m", None, True, True, True)]
+    questions = spark.createDataFrame(asked, "slice int, focus string, error string, sink boolean, sink_node boolean, source_node boolean")
+    flows = spark.createDataFrame([(1, "x", 0), (1, "m", 1), (1, "x", 2), (2, "x", 0)], "slice int, method string, at int")
+    routes, prunes, kept = graph.sliced(questions, flows)
+    assert pairs(routes, "slice", "route") == [(1, "flow"), (2, "fallback"), (3, "fallback"), (4, "fallback"), (5, "fallback"), (6, "focus")]
+    assert pairs(prunes, "slice", "rule") == [(2, "dataflow_unavailable"), (3, "dataflow_sink_unresolved"), (4, "dataflow_sink_unmatched"), (5, "dataflow_source_unmatched"), (6, "dataflow_no_path")]
+    assert pairs(kept, "slice", "method") == [(1, "m"), (1, "x"), (6, "m")]
+
+
+def test_walks_have_no_window_by_root(spark):
+    from tracemill.operators import graph
+
+    edges = spark.createDataFrame([(i, (i * 7 + j) % 40, j) for i in range(40) for j in range(3)], "source int, target int, ord int")
+    starts = spark.createDataFrame([(0,), (5,)], "root int")
+    got = graph.walk(edges, starts, 3, 2)
+    want = []
+    for root in (0, 5):
+        seen, level = {root: 0}, [root]
+        for d in (1, 2, 3):
+            following = []
+            for n in level:
+                for j in range(2):
+                    t = (n * 7 + j) % 40
+                    if t not in seen:
+                        seen[t] = d
+                        following.append(t)
+            level = following
+        want += [(root, n, d) for n, d in seen.items()]
+    assert pairs(got, "root", "node", "depth") == sorted(want)
+    order = [r["node"] for r in got.filter("root = 0").orderBy("found").collect()]
+    assert order == [n for r, n, _ in want if r == 0]
+
+
+def test_listing_prunes_folders_and_reads_odd_names(spark, tmp_path):
+    for name in ("a b/c%20d.py", "node_modules/deep/x.py", ".git/y.py", "_p/__init__.py", "z.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    got = records.files(spark, str(tmp_path), (".py",), skipped=("node_modules", ".git"))
+    assert sorted((r["path"], bytes(r["content"]).decode()) for r in got.collect()) == [(n, n) for n in ("_p/__init__.py", "a b/c%20d.py")]
+    assert pairs(records.listed(spark, str(tmp_path), hidden=False), "path")[-1] == ("z.txt",)

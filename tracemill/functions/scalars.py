@@ -230,3 +230,11 @@ def dataflow_outcome(sink: Column, sources: Column, answered: Column, flows: Col
     """What an engine's answer says about a claim: without a sink or candidates of sources nothing was asked (error), without an answer
     the claim goes on by other means (fallback), else a flow was found or not."""
     return F.when(~F.coalesce(sink, F.lit(False)) | (F.coalesce(sources, F.lit(0)) == 0), "error").when(~F.coalesce(answered, F.lit(False)), "fallback").when(F.coalesce(flows, F.lit(0)) == 0, "no_path").otherwise("flow")
+
+
+def windowed(text: Column, offset: Column, limit: Column) -> Column:
+    """struct<lines, total, next_offset>: `limit` lines from `offset` (from 1), how many there are, and where to go on (null at the end)."""
+    rows = F.split(text, "\n")
+    last = F.greatest(offset, F.lit(1)) - 1 + F.greatest(limit, F.lit(0))
+    kept = F.slice(rows, F.greatest(offset, F.lit(1)), F.greatest(limit, F.lit(0)))
+    return F.struct(kept.alias("lines"), F.size(rows).alias("total"), F.when(last < F.size(rows), last + 1).alias("next_offset"))

@@ -34,6 +34,29 @@ def latest_bundle(bundles: DataFrame, key: str, created: str, name: str, *runnin
     return bundles.groupBy(key).agg(F.max_by(name, F.struct(created, name)).alias("latest"), *[F.bool_or(r).alias("in_flight") for r in running])
 
 
+def since_last(events: DataFrame, key: str, order: str, starts: Column) -> DataFrame:
+    """Events from the last start of their key on (all where it has none), with starts: how many it has. The last start is an aggregate, so no
+    running number goes over a key's events."""
+    from . import skew
+    from .store import materialised
+
+    rows_ = materialised(events)
+    last = rows_.groupBy(key).agg(F.max(F.when(starts, F.col(order))).alias("__last"), F.count_if(starts).alias("starts"))
+    return skew.keyed_join(rows_, last, [key], "inner", (order,)).filter(F.col("__last").isNull() | (F.col(order) >= F.col("__last"))).drop("__last")
+
+
+def agent_rows(events: DataFrame, run: str, order: str, starts: Column, steps: Column, ends: Column) -> DataFrame:
+    """Each run's row: starts, the steps since the last start, and where it ended (null: it goes on). Runs that never started have none."""
+    now = since_last(events, run, order, starts).filter("starts > 0")
+    return now.groupBy(run, "starts").agg(F.count_if(steps).alias("steps"), F.max(F.when(ends, F.col(order))).alias("ended"))
+
+
+def candidate_rows(events: DataFrame, key: str, order: str, starts: Column, columns: dict[str, tuple[str, Column]]) -> DataFrame:
+    """Each candidate's columns (name: value and when it is told): the last ones since the last event that takes all back."""
+    now = since_last(events, key, order, starts)
+    return now.groupBy(key).agg(*[F.max_by(value, F.when(told, F.col(order))).alias(name) for name, (value, told) in columns.items()])
+
+
 def seen_kinds(events: DataFrame, kind: str, order: str, run: str) -> DataFrame:
     """Kinds with where each is first seen and the runs that have it."""
     return events.groupBy(kind).agg(F.min(order).alias(f"first_{order}"), F.count_distinct(run).alias("runs"))

@@ -11,28 +11,40 @@ from .store import discarded, materialised
 
 
 def walk(edges: DataFrame, starts: DataFrame, max_depth: int, fan_out: int, max_nodes: int | None = None) -> DataFrame:
-    """root, node, depth and parent of a breadth-first walk from each start (root).
+    """root, node, depth, parent and found (which sorts in the order of discovery) of a breadth-first walk from each start (root).
 
     edges: source, target, ord. A level's edges come in the order of their parent's discovery and then `ord`; a parent follows its first
-    `fan_out` edges; a node is found once per root, by the first edge; a root stops, level and all, at `max_nodes` nodes."""
-    seen = materialised(starts.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast(starts.schema["root"].dataType).alias("parent"), F.lit(0).cast("long").alias("found")))
+    `fan_out` edges; a node is found once per root, by the first edge; a root stops, level and all, at `max_nodes` nodes.
+
+    A node's discovery is told by the (ord, node) of the edges that led to it, which sort like a queue within a level, so no root's nodes are
+    ranked in one task; only with `max_nodes` are a level's first nodes of each root picked, cut in partitions before they meet.
+    Levels are tables of their own and aren't written again."""
+    kind = starts.schema["root"].dataType.simpleString()
+    order = dict(edges.dtypes)["ord"]
+    trail = f"array<struct<ord:{order},node:{kind}>>"
+    level = materialised(starts.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("parent"), F.array().cast(trail).alias("found")))
     cut = materialised(edges.withColumn("__n", F.row_number().over(Window.partitionBy("source").orderBy("ord", "target"))).filter(F.col("__n") <= fan_out).drop("__n"))
-    frontier = seen
+    levels = [level]
     for depth in range(1, max_depth + 1):
-        step = frontier.alias("f").join(cut.alias("e"), F.col("f.node") == F.col("e.source")).select("f.root", F.col("e.target").alias("node"), F.col("f.node").alias("parent"), F.col("f.found").alias("po"), "e.ord")
+        step = level.alias("f").join(cut.alias("e"), F.col("f.node") == F.col("e.source")).select("f.root", F.col("e.target").cast(kind).alias("node"), F.col("f.node").alias("parent"), F.concat("f.found", F.array(F.struct(F.col("e.ord").alias("ord"), F.col("e.target").cast(kind).alias("node")))).alias("found"))
+        seen = table_of(levels)
         fresh = step.join(seen.select("root", "node"), ["root", "node"], "left_anti")
-        first = fresh.groupBy("root", "node").agg(F.min(F.struct("po", "ord", "parent")).alias("by"))
-        reached = seen.groupBy("root").agg(F.count("*").alias("held"))
-        placed = first.join(reached, "root").withColumn("found", F.col("held") - 1 + F.row_number().over(Window.partitionBy("root").orderBy("by", "node")))
+        first = fresh.groupBy("root", "node").agg(F.min(F.struct("found", "parent")).alias("by")).select("root", "node", F.lit(depth).alias("depth"), "by.parent", "by.found")
         if max_nodes is not None:
-            placed = placed.filter(F.col("found") < max_nodes)
-        frontier = materialised(placed.select("root", "node", F.lit(depth).alias("depth"), F.col("by.parent").alias("parent"), F.col("found").cast("long").alias("found")))
-        if frontier.isEmpty():
+            held = seen.groupBy("root").agg(F.count("*").alias("held"))
+            placed = first.withColumn("__n", F.row_number().over(Window.partitionBy("root").orderBy("found"))).filter(F.col("__n") < max_nodes)
+            first = placed.join(held, "root").filter(F.col("__n") + F.col("held") <= max_nodes).drop("__n", "held")
+        level = materialised(first)
+        if level.isEmpty():
             break
-        before, seen = seen, materialised(seen.unionByName(frontier))
-        if before is not frontier and depth > 1:
-            discarded(before)
-    return seen
+        levels.append(level)
+    discarded(cut)
+    return table_of(levels).withColumn("found", F.struct("depth", "found"))
+
+
+def table_of(levels: list[DataFrame]) -> DataFrame:
+    """Written tables of one schema as one."""
+    return levels[0].sparkSession.read.schema(levels[0].schema).parquet(*[x.scratch_path for x in levels])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -139,3 +151,39 @@ def budgeted(edges: DataFrame, implementations: DataFrame, starts: DataFrame, ma
     whole = materialised(found.unionByName(attached)).drop("queued")
     edge = whole.filter("kind = 'edge'").withColumn("__n", F.row_number().over(once)).filter("__n = 1").drop("__n")
     return whole.filter("kind != 'edge'").unionByName(edge)
+
+
+#: What a question to an engine of data flows may have failed at, in order.
+UNLANDED = (("sink", "dataflow_sink_unresolved"), ("sink_node", "dataflow_sink_unmatched"), ("source_node", "dataflow_source_unmatched"))
+
+
+def sliced(questions: DataFrame, flows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Routes, prunes and members of slices, of questions (slice, focus, error, sink, sink_node, source_node: whether each was found) and the
+    methods of their flows (slice, method, at).
+
+    An engine's error (dataflow_unavailable) and a question that didn't land leave a named prune, and the slice falls back to the walk. Where
+    it landed and no flow is there, the focus stands alone (dataflow_no_path); else the slice is the flow's methods, each once in the order
+    of the flow, and its focus."""
+    has = flows.select("slice").distinct().withColumn("__flow", F.lit(True))
+    told = questions.join(has, "slice", "left")
+    rule = F.when(F.col("error").isNotNull(), "dataflow_unavailable")
+    for column, name in UNLANDED:
+        rule = rule.when(F.col("__flow").isNull() & ~F.coalesce(F.col(column), F.lit(False)), name)
+    rule = rule.when(F.col("__flow").isNull(), "dataflow_no_path")
+    route = F.when(F.col("rule").isNull(), "flow").when(F.col("rule") == "dataflow_no_path", "focus").otherwise("fallback")
+    routed = told.withColumn("rule", rule).withColumn("route", route)
+    members = flows.join(routed.filter("route = 'flow'").select("slice"), "slice", "left_semi").groupBy("slice", "method").agg(F.min("at").alias("at"))
+    focus = routed.filter("route != 'fallback'").select("slice", F.col("focus").alias("method"), F.lit(-1).alias("at"))
+    kept = members.unionByName(focus).groupBy("slice", "method").agg(F.max("at").alias("at"))
+    return routed.select("slice", "route"), routed.filter("rule is not null").select("slice", "rule", F.col("focus").alias("method")), kept
+
+
+def provenance(places: DataFrame, methods: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, symbol and via of places (keys, path, line): the innermost method (path, start, end, method) that holds it, via method, else a
+    node made up for the file, via file."""
+    from . import joins
+
+    held = materialised(places)
+    inside = joins.innermost(held, methods, "path", "line", "start", "end", ["method"], F.col("end") - F.col("start"), F.col("method"))
+    told = held.join(inside, ["path", "line"], "left")
+    return told.select(*keys, F.coalesce("method", F.concat(F.lit("file:"), F.col("path").cast("string"))).alias("symbol"), F.when(F.col("method").isNull(), "file").otherwise("method").alias("via"))

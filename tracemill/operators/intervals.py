@@ -32,10 +32,3 @@ def gaps(merged: DataFrame, totals: DataFrame, key: str, start: str, end: str) -
 
 def covered(merged: DataFrame, key: str, start: str, end: str) -> DataFrame:
     return merged.groupBy(key).agg(F.sum(F.col(end) - F.col(start) + 1).alias("covered"))
-
-
-def innermost(points: DataFrame, ranges: DataFrame, path: str, point: str, start: str, end: str, keys: list[str], *order) -> DataFrame:
-    """Each point with the best range of its path that contains it, by `order`; an equi-join on path with a range condition."""
-    inside = points.join(ranges, path).filter((F.col(point) >= F.col(start)) & (F.col(point) <= F.col(end)))
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return inside.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")

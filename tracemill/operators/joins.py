@@ -165,3 +165,46 @@ def flow_depth(elements: DataFrame, flow: str, at: str, focus: Column, unknown:
 def out_degrees(edges: DataFrame) -> DataFrame:
     """Edges with the number of edges of their source; the counts are summed before they move."""
     return edges.join(edges.groupBy("source").agg(F.count("*").alias("out_degree")), "source")
+
+
+def flow_methods(elements: DataFrame, ranges: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, name, method and via of each method name of a flow. elements: keys, name, at (their order), path and line (null: not located);
+    ranges: path, start, end, method; known: name, method, place.
+
+    The first located element of the name, in flow order, is in a method (innermost), via flow; where none is, the last definition of
+    the name by place, via name; else method is null."""
+    from . import skew
+    from .store import materialised
+
+    held = materialised(elements)
+    first = held.filter("path is not null").groupBy(*keys, "name").agg(F.min_by(F.struct("path", "line"), "at").alias("p")).select(*keys, "name", "p.*")
+    inside = innermost(first, ranges, "path", "line", "start", "end", ["method"], F.col("end") - F.col("start"), F.col("method"))
+    own = first.join(inside, ["path", "line"]).select(*keys, "name", F.col("method").alias("__own"))
+    last = known.groupBy("name").agg(F.max_by("method", F.struct("place", "method")).alias("__any"))
+    wanted = materialised(held.select(*keys, "name").distinct().join(own, [*keys, "name"], "left"))
+    told = skew.keyed_join(wanted, last, ["name"], "left", tuple(keys))
+    return told.select(*keys, "name", F.coalesce("__own", "__any").alias("method"), F.when(F.col("__own").isNotNull(), "flow").when(F.col("__any").isNotNull(), "name").alias("via"))
+
+
+def callers(hierarchy: DataFrame, implementations: DataFrame, references: DataFrame, limit: int) -> DataFrame:
+    """Edges (source calls target) with confidence and via, `limit` a target at most. hierarchy: source, target, ord; implementations:
+    source (a method), target (what implements it), ord; references: source, target, ord.
+
+    A method that the call hierarchy knows callers of has these first, in order, and then those of its implementations, each caller once; one
+    without has those that refer to it, at 0.6. The callers of an implementation are cut to the limit before they meet, so a frequent one
+    stays small."""
+    from . import skew
+    from .store import materialised
+
+    direct = rows.top_per(hierarchy.select("source", "target", "ord"), ["target"], limit, F.col("ord"), F.col("source"))
+    direct = materialised(direct)
+    known = direct.select("target").distinct()
+    impls = rows.top_per(implementations.select(F.col("source").alias("method"), F.col("target").alias("impl"), F.col("ord").alias("nth")), ["method"], limit, F.col("nth"), F.col("impl")).join(known.withColumnRenamed("target", "method"), "method", "left_semi")
+    over = skew.dealt_join(materialised(impls), direct.withColumnRenamed("target", "impl"), ["impl"], 0, ("method",))
+    first = direct.select("source", "target", F.struct(F.lit(0).alias("k"), F.lit(0).cast("long").alias("nth"), F.col("ord").cast("long").alias("ord")).alias("at"))
+    more = over.select("source", F.col("method").alias("target"), F.struct(F.lit(1).alias("k"), F.col("nth").cast("long").alias("nth"), F.col("ord").cast("long").alias("ord")).alias("at"))
+    once = first.unionByName(more).groupBy("source", "target").agg(F.min("at").alias("at"))
+    kept = rows.top_per(once, ["target"], limit, F.col("at"), F.col("source")).select("source", "target", F.lit(1.0).alias("confidence"), F.lit("hierarchy").alias("via"))
+    rest = references.select("source", "target", "ord").join(known, "target", "left_anti").groupBy("source", "target").agg(F.min("ord").alias("ord"))
+    told = rows.top_per(rest, ["target"], limit, F.col("ord"), F.col("source")).select("source", "target", F.lit(0.6).alias("confidence"), F.lit("references").alias("via"))
+    return kept.unionByName(told)

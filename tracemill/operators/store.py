@@ -16,13 +16,20 @@ def shared_dir(spark: SparkSession) -> str:
         # one machine, as in tests
         told = f"file://{tempfile.mkdtemp(prefix='tracemill-')}"
         spark.conf.set("spark.checkpoint.dir", told)
-    return told.rstrip("/")
+    at = spark._jvm.org.apache.hadoop.fs.Path(told)
+    whole = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()  # Spark and pyarrow then mean the same place
+    return ("file://" + whole[5:] if whole.startswith("file:/") and not whole.startswith("file://") else whole).rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the application's part of the shared folder."""
+    return f"{shared_dir(spark)}/tracemill-tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def materialised(df: DataFrame) -> DataFrame:
     """`df` written and read again: later uses see one result, and lineage ends here."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tracemill-tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = scratch(spark, "table")
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.scratch_path = path

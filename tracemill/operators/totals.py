@@ -168,3 +168,29 @@ def method_index(methods: DataFrame, refs: DataFrame, key: str, context: str, de
 def pages_of(jobs: DataFrame, limit: int, keep: Column, *order: Column, over_read: int = 4) -> DataFrame:
     """A page that is filtered after reading: the newest over_read * limit rows, and of these the ones to keep, at most limit."""
     return jobs.orderBy(*order).limit(over_read * limit).filter(keep).orderBy(*order).limit(limit)
+
+
+def overview(rows: DataFrame, by: list[str], top: tuple[str, list[str]], flags: dict[str, Column], axis: tuple[str, int]) -> DataFrame:
+    """Per bundle the number of its contexts, the value of the top one (column, order), for each flag how many rows have it and whether any has,
+    and whether all values of an axis (column, how many there are) occur."""
+    column, order = top
+    counts = [x for name, flag in flags.items() for x in (F.count_if(flag).alias(name), (F.count_if(flag) > 0).alias(f"has_{name}"))]
+    return rows.groupBy(*by).agg(F.count("*").alias("contexts"), F.max_by(column, F.struct(*order)).alias("top"), *counts, (F.count_distinct(axis[0]) == axis[1]).alias("all_values"))
+
+
+def funnel(counts: DataFrame, steps: list[tuple[str, str, str]]) -> DataFrame:
+    """step, name, count, of_previous, of_first and lost of the steps (name, column of its count, column of what it is compared with) of a table of
+    one row. Shares of nothing are null."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("step"), F.lit(name).alias("name"), F.col(count).cast("long").alias("count"), F.col(before).cast("long").alias("previous")) for i, (name, count, before) in enumerate(steps, 1)]))
+    told = counts.select(F.col(steps[0][1]).alias("__first"), each.alias("s")).select("__first", "s.*")
+
+    def share(of: str) -> Column:
+        return F.round(F.try_divide(F.col("count").cast("double"), F.col(of).cast("double")), 6)
+
+    return told.select("step", "name", "count", share("previous").alias("of_previous"), share("__first").alias("of_first"), F.greatest(F.col("previous") - F.col("count"), F.lit(0).cast("long")).alias("lost"))
+
+
+def run_counters(slices: DataFrame, run: str, method: str, slice_id: str) -> DataFrame:
+    """Per run of rows (run, slice, method): slices, methods (each once) and methods_in_slices (each once a slice)."""
+    once = slices.select(run, slice_id, method).distinct()
+    return once.groupBy(run).agg(F.count_distinct(slice_id).alias("slices"), F.count_distinct(method).alias("methods"), F.count("*").alias("methods_in_slices"))

@@ -153,3 +153,9 @@ def repaired_container(value: Column, is_map: Column) -> Column:
 def entry_marker(text: Column, markers: list[tuple[str, str]], default: str | None = None) -> Column:
     """The name of the first marker (text, name) that a file has."""
     return scalars.first_rule(text, markers, default)
+
+
+def summarised(jobs: DataFrame, fields: dict[str, str], flags: dict[str, Column], filled: dict[str, tuple[str, str]]) -> DataFrame:
+    """Flat rows of nested jobs: fields by their path (null where a part of it is), flags that are false where they can't be told, and texts
+    with a word for none."""
+    return jobs.select(*[F.col(path).alias(name) for name, path in fields.items()], *[F.coalesce(flag, F.lit(False)).alias(name) for name, flag in flags.items()], *[F.coalesce(F.when(F.col(path) != "", F.col(path)), F.lit(none)).alias(name) for name, (path, none) in filled.items()])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, scalars
 from ..operators import folds, intervals, joins, ledger, rows, totals, views
+from ..operators.store import materialised
 from .adapters import Tables
 from .registry import query
 
@@ -60,6 +61,15 @@ def located(t: Tables, *columns: str) -> DataFrame:
     return points.join(best, ["path_id", "line"])
 
 
+def placed(t: Tables) -> DataFrame:
+    """Every finding with copies and its innermost method, null where none holds it: findings are joined once and written, and places
+    come from what was written."""
+    points = materialised(t.findings().groupBy("finding_id", "run", "col", "line", "path_id").agg(F.count("*").alias("copies")))
+    methods = t.methods().select("path_id", "method_id", "p_partkey", "start", "end")
+    best = joins.innermost(points, methods, "path_id", "line", "start", "end", ["method_id"], F.col("end") - F.col("start"), F.col("p_partkey"))
+    return points.join(best, ["path_id", "line"], "left")
+
+
 @query("JN-1 PRJ-2 PRJ-3", f"select finding_id, line, method_id, start method_start from ({LOCATED})")
 def locate_innermost(t: Tables) -> DataFrame:
     return located(t).select("finding_id", "line", "method_id", F.col("start").alias("method_start"))
@@ -154,18 +164,14 @@ def method_index(t: Tables) -> DataFrame:
     return totals.method_index(t.part.select("p_partkey"), t.lineitem.withColumnRenamed("l_partkey", "p_partkey"), "p_partkey", "l_orderkey", "l_linenumber", F.col("l_linenumber") == 1)
 
 
-@query("AG-2 AG-9 AG-10", f"""with f as (select count(*) n from v_findings), l as (select count(*) n, count(distinct method_id) m from ({LOCATED})), s as (
+@query("AG-2", f"""with f as (select count(*) n from v_findings), l as (select count(*) n, count(distinct method_id) m from ({LOCATED})), s as (
     select 1 step, 'discovered' name, f.n count, f.n previous from f union all select 2, 'located', l.n, f.n from f, l union all select 3, 'focus_methods', l.m, l.n from l
     union all select 4, 'proposed', l.m + 10, l.m from l union all select 5, 'kept', l.m, l.m + 10 from l)
     select step, name, count, round(count / nullif(previous, 0)::double, 6) of_previous, round(count / nullif((select n from f), 0)::double, 6) of_first, greatest(previous - count, 0) lost from s""")
 def funnel_steps(t: Tables) -> DataFrame:
     """Counts of each step with its share of the previous and first one; `proposed` compares with `kept`."""
-    found = t.findings().agg(F.count("*").alias("f"))
-    inside = located(t).agg(F.count("*").alias("l"), F.count_distinct("method_id").alias("m"))
-    each = found.crossJoin(inside)  # one row each
-    steps = each.select("f", F.explode(F.array(*[F.struct(F.lit(i).alias("step"), F.lit(n).alias("name"), c.alias("count"), p.alias("previous")) for i, n, c, p in (
-        (1, "discovered", F.col("f"), F.col("f")), (2, "located", F.col("l"), F.col("f")), (3, "focus_methods", F.col("m"), F.col("l")), (4, "proposed", F.col("m") + 10, F.col("m")), (5, "kept", F.col("m"), F.col("m") + 10))])).alias("s"))
-    return steps.select("s.step", "s.name", "s.count", F.round(F.try_divide(F.col("s.count").cast("double"), F.col("s.previous").cast("double")), 6).alias("of_previous"), F.round(F.try_divide(F.col("s.count").cast("double"), F.col("f").cast("double")), 6).alias("of_first"), F.greatest(F.col("s.previous") - F.col("s.count"), F.lit(0)).alias("lost"))
+    each = placed(t).agg(F.sum("copies").alias("f"), F.count("method_id").alias("l"), F.count_distinct("method_id").alias("m")).withColumn("p", F.col("m") + 10)
+    return totals.funnel(each, [("discovered", "f", "f"), ("located", "l", "f"), ("focus_methods", "m", "l"), ("proposed", "p", "m"), ("kept", "m", "p")])
 
 
 @query("AG-3", "select event_type stage, sum(round(\"value\" * 100)::bigint)::bigint cents, round(sum(round(\"value\" * 100)::bigint) / sum(sum(round(\"value\" * 100)::bigint)) over ()::double, 6) share from events group by event_type")
@@ -186,19 +192,22 @@ def depth_histograms(t: Tables) -> DataFrame:
 
 @query("AG-1", """select c_nationkey, count(*) contexts, max_by(c_mktsegment, (c_acctbal, c_custkey)) top, count(*) filter (where c_acctbal < 0) negative, (count(*) filter (where c_acctbal < 0) > 0) has_negative, count(distinct c_mktsegment) = 5 all_segments from customer group by 1""")
 def overview_flags(t: Tables) -> DataFrame:
-    return t.customer.groupBy("c_nationkey").agg(F.count("*").alias("contexts"), F.max_by("c_mktsegment", F.struct("c_acctbal", "c_custkey")).alias("top"), F.count_if(F.col("c_acctbal") < 0).alias("negative"), (F.count_if(F.col("c_acctbal") < 0) > 0).alias("has_negative"), (F.count_distinct("c_mktsegment") == 5).alias("all_segments"))
+    rows_ = totals.overview(t.customer, ["c_nationkey"], ("c_mktsegment", ["c_acctbal", "c_custkey"]), {"negative": F.col("c_acctbal") < 0}, ("c_mktsegment", 5))
+    return rows_.withColumnRenamed("all_values", "all_segments")
 
 
-@query("AG-7 ST-2", """with l as (select l_returnflag k, count(*) n from lineitem where l_linenumber <= 2 group by 1), r as (select l_returnflag k, count(*) n from lineitem where l_linenumber > 1 and l_returnflag <> 'N' group by 1)
+@query("AG-7 ST-2", """with l as (select l_returnflag k, count(*) n from lineitem where l_orderkey % 2 = 0 group by 1), r as (select l_returnflag || case when l_quantity > 45 then '+' else '' end k, count(*) n from lineitem where l_orderkey % 2 = 1 group by 1)
     select coalesce(l.k, r.k) k, coalesce(l.n, 0) left_n, coalesce(r.n, 0) right_n, coalesce(r.n, 0) - coalesce(l.n, 0) delta from l full join r on l.k = r.k""")
 def diff_counters(t: Tables) -> DataFrame:
+    """Flags of the lines of even orders against those of odd ones, where large lines have flags of their own."""
     li = t.lineitem.withColumnRenamed("l_returnflag", "k")
-    return totals.deltas(totals.histogram(li.filter("l_linenumber <= 2"), "k"), totals.histogram(li.filter("l_linenumber > 1 and k <> 'N'"), "k"), "k")
+    odd = li.filter("l_orderkey % 2 = 1").withColumn("k", F.concat("k", F.when(F.col("l_quantity") > 45, "+").otherwise("")))
+    return totals.deltas(totals.histogram(li.filter("l_orderkey % 2 = 0"), "k"), totals.histogram(odd, "k"), "k")
 
 
-@query("ST-1", "with l as (select distinct l_partkey k from lineitem where l_linenumber = 1), r as (select distinct l_partkey k from lineitem where l_linenumber = 2) select coalesce(l.k, r.k) l_partkey, case when l.k is null then 'right' when r.k is null then 'left' else 'both' end side from l full join r on l.k = r.k")
+@query("ST-1", "with l as (select distinct l_partkey k from lineitem where l_linenumber <= 3), r as (select distinct l_partkey k from lineitem where l_linenumber > 3) select coalesce(l.k, r.k) l_partkey, case when l.k is null then 'right' when r.k is null then 'left' else 'both' end side from l full join r on l.k = r.k")
 def diff_only_left_right(t: Tables) -> DataFrame:
-    return rows.id_sets(t.lineitem.filter("l_linenumber = 1"), t.lineitem.filter("l_linenumber = 2"), "l_partkey")
+    return rows.id_sets(t.lineitem.filter("l_linenumber <= 3"), t.lineitem.filter("l_linenumber > 3"), "l_partkey")
 
 
 @query("SO-9", """select p_partkey, p_brand, chars, fixed, not fixed and coalesce(sum(case when fixed then 0 else chars end) over w, 0) < total - 500 dropped from (select p_partkey, p_brand, p_size::bigint chars, p_partkey % 7 = 0 fixed, sum(p_size) over (partition by p_brand) total from part)
@@ -265,7 +274,7 @@ def unread_ranges(t: Tables) -> DataFrame:
     return intervals.gaps(merged.select("file", "lo", "hi"), totals, "file", "lo", "hi").select("file", "gap_start", "gap_end")
 
 
-@query("IV-7 IV-5", f"""with c as (select p_partkey file, coalesce(sum(hi - lo + 1), 0) covered from part left join ({island_sql(1, CLAMPED)}) i on i.file = p_partkey group by 1)
+@query("IV-5", f"""with c as (select p_partkey file, coalesce(sum(hi - lo + 1), 0) covered from part left join ({island_sql(1, CLAMPED)}) i on i.file = p_partkey group by 1)
     select case when covered >= 100 then 'full' when covered > 0 then 'partial' else 'never' end state, count(*) files, sum(covered)::bigint lines from c group by 1""")
 def coverage_full_partial_never(t: Tables) -> DataFrame:
     merged = intervals.union(intervals.clamped(t.reads(), "lo", "hi", "total"), ["file"], "lo", "hi", 1)
@@ -303,16 +312,15 @@ def registry_merge(t: Tables) -> DataFrame:
     return joins.registered(derived, registry, "k", ["name"]).select("k", "name", "regionkey")
 
 
-@query("JN-10", "select n_name name, 'derived' origin from nation where n_nationkey < 10 union all select n_name, 'registry' from nation where n_nationkey % 2 = 0 and n_name not in (select n_name from nation where n_nationkey < 10)")
+@query("JN-10", "select n_name name, 'derived' origin from nation union all select r_name, 'registry' from region where r_name not in (select n_name from nation)")
 def picker_anti_union(t: Tables) -> DataFrame:
-    derived, registry = t.nation.filter("n_nationkey < 10").select(F.col("n_name").alias("name")), t.nation.filter("n_nationkey % 2 = 0").select(F.col("n_name").alias("name"))
+    derived, registry = t.nation.select(F.col("n_name").alias("name")), t.region.select(F.col("r_name").alias("name"))
     return rows.fill_absent(derived, registry, "name").select("name", F.when(F.col("origin") == 0, "derived").otherwise("registry").alias("origin"))
 
 
-@query("JN-11", "select p_partkey, 0 origin from part where p_size < 10 union all select p_partkey, 1 from part where p_partkey % 3 = 0 and p_size >= 10")
+@query("JN-11", "select distinct l_partkey p_partkey, 0 origin from lineitem union all select p_partkey, 1 from part where p_partkey not in (select l_partkey from lineitem)")
 def planned_fill_surveyed(t: Tables) -> DataFrame:
-    p = t.part.select("p_partkey", "p_size")
-    return rows.fill_absent(p.filter("p_size < 10").select("p_partkey"), p.filter("p_partkey % 3 = 0").select("p_partkey"), "p_partkey")
+    return rows.fill_absent(t.lineitem.select(F.col("l_partkey").alias("p_partkey")).distinct(), t.part.select("p_partkey"), "p_partkey")
 
 
 @query("JN-13", "select a.p_partkey, max_by(b.p_partkey, (b.p_size, b.p_partkey)) last_match, coalesce(max(b.p_partkey) filter (where b.p_size = a.p_size), max_by(b.p_partkey, (b.p_size, b.p_partkey))) near_first from part a join part b on a.p_type = b.p_type and a.p_brand = b.p_brand group by 1")
@@ -327,7 +335,7 @@ def work_overlap(t: Tables) -> DataFrame:
     return joins.overlaps(t.lineitem, "l_orderkey", "l_partkey", "l_suppkey")
 
 
-@query("JN-12 JN-6", "select f.run, min_by(f.path, (f.col, f.finding_id)) path, min_by(f.line, (f.col, f.finding_id)) line from v_findings f group by f.run")
+@query("JN-6", "select f.run, min_by(f.path, (f.col, f.finding_id)) path, min_by(f.line, (f.col, f.finding_id)) line from v_findings f group by f.run")
 def first_located(t: Tables) -> DataFrame:
     return joins.first_of(t.findings(), "run", ["path", "line"], "col", "finding_id")
 

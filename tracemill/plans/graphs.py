@@ -21,7 +21,7 @@ def bfs_budgeted(t: Tables) -> DataFrame:
     return graph.budgeted(t.edges().withColumn("confidence", scalars.confidence(provider)), second, starts, max_depth=3, max_nodes=30, max_callees=4, max_callers=4, max_implementations=4)
 
 
-@query("GX-2 GX-6", """with recursive w(root, node, depth) as (select s_suppkey, s_suppkey, 0 from supplier union select w.root, e.source, w.depth + 1 from w join (
+@query("GX-2", """with recursive w(root, node, depth) as (select s_suppkey, s_suppkey, 0 from supplier union select w.root, e.source, w.depth + 1 from w join (
     select *, row_number() over (partition by target order by source) n from v_edges) e on e.target = w.node where e.n <= 3 and w.depth < 3)
     select root, node, min(depth) depth from w group by 1, 2""")
 def caller_walk(t: Tables) -> DataFrame:
@@ -41,9 +41,10 @@ def flow_depth(t: Tables) -> DataFrame:
     return joins.flow_depth(t.lineitem, "l_orderkey", "l_linenumber", F.col("l_returnflag") == "R")
 
 
-@query("GX-5", "select source, target, 'hierarchy' via from v_edges where source % 3 <> 0 union all select distinct l_suppkey, l_partkey % (select count(*) from supplier), 'lexical' from lineitem where l_suppkey % 3 = 0 and l_linenumber = 2 and l_suppkey <> l_partkey % (select count(*) from supplier)")
+@query("GX-5", "with h as (select source, target from v_edges where source % 3 <> 0), x as (select distinct l_suppkey source, l_partkey % (select count(*) from supplier) target from lineitem) select source, target, 'hierarchy' via from h union all select source, target, 'lexical' from x where source <> target and source not in (select source from h)")
 def callee_resolution(t: Tables) -> DataFrame:
-    lexical = t.lineitem.filter("l_linenumber = 2").select(F.col("l_suppkey").alias("source"), (F.col("l_partkey") % t.n_paths).alias("target"))
+    """A hierarchy that doesn't know every third supplier, and lexical calls of all lines."""
+    lexical = t.lineitem.select(F.col("l_suppkey").alias("source"), (F.col("l_partkey") % t.n_paths).alias("target"))
     return joins.callees(t.edges().filter("source % 3 != 0"), lexical)
 
 
@@ -70,7 +71,7 @@ def dot_export(t: Tables) -> DataFrame:
     return sinks.dot_lines(nodes, edges)
 
 
-@query("LG-21 LG-20", "select finding_id, line, coalesce(m.method_id, 'file:' || f.path) symbol, case when m.method_id is null then 'fallback' else 'flow' end route from (select distinct finding_id, line, path, path_id from v_findings) f left join (select path_id, start, min_by(method_id, p_partkey) method_id from v_methods group by 1, 2) m on f.path_id = m.path_id and f.line = m.start")
+@query("LG-21", "select finding_id, line, coalesce(m.method_id, 'file:' || f.path) symbol, case when m.method_id is null then 'fallback' else 'flow' end route from (select distinct finding_id, line, path, path_id from v_findings) f left join (select path_id, start, min_by(method_id, p_partkey) method_id from v_methods group by 1, 2) m on f.path_id = m.path_id and f.line = m.start")
 def symbol_provenance(t: Tables) -> DataFrame:
     f = t.findings().select("finding_id", "line", "path", "path_id").distinct()
     m = rows.first_by(t.methods(), ["path_id", "start"], F.col("p_partkey")).select("path_id", F.col("start").alias("line"), "method_id")

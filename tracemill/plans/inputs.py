@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import answers, scalars
 from ..operators import tools, totals
-from ..operators.store import materialised, shared_dir
+from ..operators.store import materialised, scratch
 from ..sources import code, records, sarif, sinks
 from .adapters import Tables
 from .registry import query
@@ -62,7 +62,7 @@ def flow_report(t: Tables) -> DataFrame:
 
 @query("SNK-1 SNK-3", "select n_nationkey, n_name, r_name from nation join region on n_regionkey = r_regionkey")
 def package_round_trip(t: Tables) -> DataFrame:
-    root = f"{shared_dir(t.spark)}/tracemill-package-{t.nation.count()}"
+    root = scratch(t.spark, "package")
     sinks.package({"nation": t.nation, "region": t.region}, root)
     nation, region = (t.spark.read.schema(df.schema).json(f"{root}/{n}") for n, df in (("nation", t.nation), ("region", t.region)))
     return materialised(nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_nationkey", "n_name", "r_name"))
@@ -126,7 +126,7 @@ def turn_calls(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.size(answers.calls(answer)).alias("n_calls"))
 
 
-@query("UD-4 LG-20", "select l_orderkey, l_linenumber, l_partkey, case when l_quantity < 5 then 'error' when l_quantity < 20 then 'fallback' when l_quantity < 30 then 'no_path' else 'flow' end outcome from lineitem")
+@query("UD-4", "select l_orderkey, l_linenumber, l_partkey, case when l_quantity < 5 then 'error' when l_quantity < 20 then 'fallback' when l_quantity < 30 then 'no_path' else 'flow' end outcome from lineitem")
 def dataflow_verify(t: Tables) -> DataFrame:
     q = F.col("l_quantity")
     bundle = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", (q >= 5).alias("sink"), F.when(q >= 20, F.lit(3)).otherwise(F.lit(1)).alias("sources"), (q >= 20).alias("answered"), F.when(q >= 30, 1).otherwise(0).alias("flows"))
@@ -193,9 +193,7 @@ def prompt_block_scan(t: Tables) -> DataFrame:
 @query("SNK-6 SNK-7 SNK-8", "select event_id, event_id - (select min(event_id) from events) + 101 seq, case when event_type in ('view', 'click') then event_type else 'unknown' end kind from events")
 def trail_sink(t: Tables) -> DataFrame:
     """Events appended to a trail after seq 100, read back."""
-    import uuid
-
-    path = f"{shared_dir(t.spark)}/tracemill-trail/{uuid.uuid4().hex}"
+    path = scratch(t.spark, "trail")
     sinks.trail(t.events.select("event_id", F.col("event_type").alias("kind")), path, ["view", "click"], 100, F.col("event_id"))
     return t.spark.read.schema("event_id long, seq long, kind string").json(path)
 
@@ -203,9 +201,7 @@ def trail_sink(t: Tables) -> DataFrame:
 @query("SNK-4", "select event_id call_id, (props::json ->> '$.k')::int % 2 = 0 verdict from events where event_type = 'view' and (props::json ->> '$.k') is not null")
 def verdict_sink(t: Tables) -> DataFrame:
     """Calls with a verdict, written as a report and read back."""
-    import uuid
-
-    path = f"{shared_dir(t.spark)}/tracemill-report/{uuid.uuid4().hex}"
+    path = scratch(t.spark, "report")
     k = F.get_json_object("props", "$.k").cast("int")
     sinks.verdicts(t.events.select(F.col("event_id").alias("call_id"), F.when(F.col("event_type") == "view", k % 2 == 0).alias("verdict"), F.col("props").alias("answer")), path)
     return t.spark.read.schema("call_id long, verdict boolean").json(f"{path}/verdicts")

@@ -23,9 +23,9 @@ def verdict_batch(t: Tables) -> DataFrame:
     return first.filter(F.col("l_returnflag").isin("A", "R")).select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("verdict"))
 
 
-@query("LG-5", "select p.p_partkey, l.n answered, l.n is null absent from part p left join (select l_partkey, count(*) n from lineitem where l_linenumber = 7 group by 1) l on l.l_partkey = p.p_partkey where p_size between 1 and 30")
+@query("LG-5", "select p.p_partkey, l.n answered, l.n is null absent from part p left join (select l_partkey, count(*) n from lineitem group by 1) l on l.l_partkey = p.p_partkey")
 def attack_path_answers(t: Tables) -> DataFrame:
-    return ledger.answered(t.part.filter("p_size between 1 and 30").select("p_partkey"), t.lineitem.filter("l_linenumber = 7").withColumnRenamed("l_partkey", "p_partkey"), "p_partkey")
+    return ledger.answered(t.part.select("p_partkey"), t.lineitem.withColumnRenamed("l_partkey", "p_partkey"), "p_partkey")
 
 
 @query("LG-7", "select o_custkey, count(*) leads, bool_and(o_totalprice > 20000) commits, case when bool_and(o_totalprice > 20000) then count(*) else 0 end written from orders group by 1")
@@ -49,7 +49,7 @@ def record_dispatch(t: Tables) -> DataFrame:
     return ledger.recorded(t.lineitem, t.part.filter("p_size > 10"), "l_partkey", "p_partkey", F.col("l_returnflag").isin("A", "R")).select("l_orderkey", "l_linenumber", "l_returnflag")
 
 
-@query("LG-12 AG-24", "select l_orderkey, least(count(*), 3) shown, greatest(count(*) - 3, 0) omitted from lineitem group by 1")
+@query("AG-24", "select l_orderkey, least(count(*), 3) shown, greatest(count(*) - 3, 0) omitted from lineitem group by 1")
 def board_sections(t: Tables) -> DataFrame:
     return ledger.sections(t.lineitem, "l_orderkey", "l_linenumber", 3)
 
@@ -69,11 +69,11 @@ def architecture_merge(t: Tables) -> DataFrame:
     return folds.architecture_merge(t.part, "p_brand", F.struct("p_size", -F.col("p_partkey")), "p_type", "p_name", "p_partkey")
 
 
-@query("GR-10 GR-7", "select c_custkey, c_name from customer where c_nationkey < 5 union all select min(c_custkey), trim(c_name) from customer where c_nationkey between 3 and 8 and trim(c_name) <> '' and c_name not in (select c_name from customer where c_nationkey < 5) group by trim(c_name)")
+@query("GR-10 GR-7", "select s_suppkey k, s_name who from supplier union all select min(p_partkey), trim(p_name) from part where trim(p_name) <> '' and trim(p_name) not in (select s_name from supplier) group by trim(p_name)")
 def threat_merge(t: Tables) -> DataFrame:
-    c = t.customer.select("c_custkey", "c_name", "c_nationkey")
-    old, new = c.filter("c_nationkey < 5").select("c_custkey", "c_name"), c.filter("c_nationkey between 3 and 8").select("c_custkey", "c_name")
-    return rows.insert_absent(old, new, "c_name", F.col("c_custkey"))
+    """Names of suppliers, and those of parts that aren't among them, each once."""
+    old, new = t.supplier.select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("who")), t.part.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("who"))
+    return rows.insert_absent(old, new, "who", F.col("k"))
 
 
 @query("SNK-5", "select o_custkey, o_orderkey from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) n from orders where o_orderstatus = 'F') where n = 1")

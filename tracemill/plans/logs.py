@@ -25,18 +25,15 @@ def latest_by_seq(t: Tables) -> DataFrame:
 @query("WN-4", """with e as (select *, sum(case kind when 'agent_start' then 1 else 0 end) over (partition by run order by arrival rows unbounded preceding) epoch from v_trail), l as (select run, max(epoch) last from e group by run)
     select e.run, last starts, count(*) filter (where kind = 'agent_step') steps, max(arrival) filter (where kind = 'agent_end') ended from e join l on e.run = l.run and e.epoch = l.last where last > 0 group by 1, 2""")
 def agent_rows_fold(t: Tables) -> DataFrame:
-    e = rows.epochs(t.trail(), "run", "arrival", F.col("kind") == "agent_start")
-    last = e.groupBy("run").agg(F.max("epoch").alias("starts"))
-    return e.join(last, (e.run == last.run) & (e.epoch == last.starts)).drop(last.run).filter("starts > 0").groupBy("run", "starts").agg(F.count_if(F.col("kind") == "agent_step").alias("steps"), F.max(F.when(F.col("kind") == "agent_end", F.col("arrival"))).alias("ended"))
+    kind = F.col("kind")
+    return folds.agent_rows(t.trail(), "run", "arrival", kind == "agent_start", kind == "agent_step", kind == "agent_end")
 
 
 @query("WN-5", """with e as (select *, sum(case kind when 'agent_start' then 1 else 0 end) over (partition by run order by seq rows unbounded preceding) epoch from v_trail), m as (select run, max(epoch) last from e group by run)
     select m.run, arg_max(e.cents, e.seq) filter (where e.event_type = 'view') verdict, arg_max(e.k, e.seq) filter (where e.event_type = 'click') path from m left join e on e.run = m.run and e.epoch = m.last group by 1""")
 def candidate_fold_invalidation(t: Tables) -> DataFrame:
-    e = rows.epochs(t.trail(), "run", "seq", F.col("kind") == "agent_start")
-    last = e.groupBy("run").agg(F.max("epoch").alias("last"))
-    now = e.join(last, "run").filter("epoch = last")
-    return now.groupBy("run").agg(F.max_by("cents", F.when(F.col("event_type") == "view", F.col("seq"))).alias("verdict"), F.max_by("k", F.when(F.col("event_type") == "click", F.col("seq"))).alias("path"))
+    kind = F.col("event_type")
+    return folds.candidate_rows(t.trail(), "run", "seq", F.col("kind") == "agent_start", {"verdict": ("cents", kind == "view"), "path": ("k", kind == "click")})
 
 
 @query("WN-8", "select o_custkey, max_by(o_orderkey, (o_orderdate, o_orderkey)) latest, bool_or(o_orderstatus in ('P', 'O')) in_flight from orders group by 1")
@@ -129,7 +126,7 @@ def task_evidence(t: Tables) -> DataFrame:
 
 @query("PRJ-7", "select o_orderkey, o_orderstatus state, o_totalprice > 100000 large, coalesce(nullif(o_orderpriority, ''), 'none') priority from orders")
 def job_summary(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", F.col("o_orderstatus").alias("state"), (F.col("o_totalprice") > 100000).alias("large"), F.coalesce(scalars.nonempty(F.col("o_orderpriority")), F.lit("none")).alias("priority"))
+    return views.summarised(t.orders, {"o_orderkey": "o_orderkey", "state": "o_orderstatus"}, {"large": F.col("o_totalprice") > 100000}, {"priority": ("o_orderpriority", "none")})
 
 
 @query("PRJ-17", "select o_orderkey, o_orderstatus in ('O', 'P') active, o_orderstatus = 'F' terminal from orders")

@@ -28,4 +28,4 @@ def query(covers: str, sql: str | None = None) -> Callable:
     return add
 
 
-from . import bundles, findings, graphs, inputs, ledger, logs, texts  # noqa: E402, F401
+from . import boards, bundles, findings, graphs, inputs, ledger, logs, texts  # noqa: E402, F401

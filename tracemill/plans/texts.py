@@ -38,10 +38,11 @@ def canonical_bodies(t: Tables) -> DataFrame:
     return t.documents.filter("trim(text) != ''").select("doc_id", scalars.content_hash(scalars.canonical_body(F.col("text"))).alias("content"))
 
 
-@query("FN-11 TX-9", "select doc_id, array_to_string(string_split(text, chr(10))[2:4], chr(10)) lines, len(string_split(text, chr(10))) total from documents where len(string_split(text, chr(10))) >= 4")
+@query("FN-11 TX-9", """select doc_id, case when len(l) < 2 then '' else array_to_string(l[2:4], chr(10)) end lines, len(l) total, case when len(l) > 4 then 5 end next_offset from (select doc_id, string_split(text, chr(10)) l from documents)""")
 def windowed_read(t: Tables) -> DataFrame:
-    d = t.documents.withColumn("total", F.size(F.split("text", "\n"))).filter("total >= 4")
-    return d.select("doc_id", scalars.line_slice(F.col("text"), F.lit(1), F.lit(3)).alias("lines"), "total")
+    """Lines 2 to 4 of every document, its lines, and where a next read goes on."""
+    window = scalars.windowed(F.col("text"), F.lit(2), F.lit(3))
+    return t.documents.select("doc_id", window.alias("w")).select("doc_id", F.array_join("w.lines", "\n").alias("lines"), F.col("w.total").alias("total"), F.col("w.next_offset").alias("next_offset"))
 
 
 @query("FN-13", "select p_partkey, regexp_replace(regexp_replace(lower(trim(p_name || '-' || p_brand)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') slug from part")

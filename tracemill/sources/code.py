@@ -83,23 +83,57 @@ def indented_methods(text: str) -> list[tuple[str, int, int, str | None]]:
     return found
 
 
+MODIFIERS = r"(?:(?:export|default|public|private|protected|static|final|abstract|async|override|virtual|inline|extern|synchronized)\s+)*"
+NAME = r"([A-Za-z_$][\w$]*)"
+#: How a function of a braced language may begin: by a keyword, as a value of a name, with a type or bare before its brace, or with a receiver.
+FORMS = tuple(
+    re.compile(r"^\s*" + p)
+    for p in (
+        MODIFIERS + r"(?:function\*?|fun|fn)\s+" + NAME + r"\s*[(<]",
+        MODIFIERS + r"(?:(?:const|let|var)\s+)?" + NAME + r"\s*[:=]\s*(?:async\s*)?(?:function\b|\([^()]*\)\s*(?::[^=]+)?=>)",
+        MODIFIERS + r"(?:[A-Za-z_$<][\w$:<>,.?*&\[\]]*\s+[*&]?)*?" + NAME + r"\s*\([^;{}]*\)\s*(?:(?:const|noexcept|override)\s*)*(?:throws\s+[\w.,\s]+|->\s*[\w:<>,*&\s]+)?(?:\{.*)?$",
+        r"func\s+(?:\([^)]*\)\s*)?" + NAME + r"\s*[(\[]",
+    )
+)
+NOT_CODE = ("//", "*", "/*", "#")
+
+
+def braced_name(rows: list[str], at: int) -> str | None:
+    """The name of the function that begins on a line; one without a brace on it needs a brace on the next line that isn't blank, but for
+    the forms that a keyword or a value tells."""
+    if not rows[at].strip() or rows[at].strip().startswith(NOT_CODE):
+        return None
+    for k, form in enumerate(FORMS):
+        m = form.match(rows[at])
+        if m is None or m[1] in NOT_CALLS or re.match(r"\s*(?:return|throw|new|else|case|await|yield)\b", rows[at]):
+            continue
+        if k != 2 or "{" in rows[at][m.end(1) :]:
+            return m[1]
+        following = next((r for r in rows[at + 1 :] if r.strip()), "")
+        if following.strip().startswith("{"):
+            return m[1]
+    return None
+
+
 def braced_methods(text: str, fallback: int = 60) -> list[tuple[str, int, int, str | None]]:
-    """name, first and last line of the functions of a braced language; an open brace that isn't closed ends after `fallback` lines."""
-    rows, found, at = text.split("\n"), [], 0
+    """name, first and last line of the functions of a braced language, in one of four forms; an open brace that isn't closed, or none, ends
+    after `fallback` lines."""
+    rows, found = text.split("\n"), []
     bare = [re.sub(r'"(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\])*\'|//.*$', "", r) for r in rows]
-    while at < len(rows):
-        m = BRACED.match(bare[at])
-        if not m or m[1] in NOT_CALLS:
-            at += 1
+    for at in range(len(rows)):
+        name = braced_name(bare, at)
+        if name is None:
             continue
-        depth, end = 0, min(len(rows) - 1, at + fallback)
+        depth, opened, end = 0, False, min(len(rows) - 1, at + fallback)
         for k in range(at, len(rows)):
             depth += bare[k].count("{") - bare[k].count("}")
-            if depth <= 0:
+            opened = opened or "{" in bare[k]
+            if opened and depth <= 0:
                 end = k
                 break
-        found.append((m[1], at, end, None))
-        at += 1
+            if not opened and k - at >= fallback:
+                break
+        found.append((name, at, end, None))
     return found
 
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -19,48 +20,51 @@ MOST_FILES = 5000
 
 def files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (), most_bytes: int | None = None, skipped: tuple[str, ...] = (), hidden: bool = True) -> DataFrame:
     """path (below root), length and content of the files under root. Files under a skipped folder are left out, and those under
-    a folder whose name begins with a dot unless `hidden`."""
-    base = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "content")
-    top, others = unlisted(spark, root)
-    if others:
-        base = base.unionByName(spark.createDataFrame(others, "path string, length long").mapInPandas(contents, "path string, length long, content binary"))
-    rows = base.select(F.substring("path", len(top) + 2, 1 << 30).alias("path"), "length", "content")
-    folders = F.slice(F.split("path", "/"), 1, F.greatest(F.lit(0), F.size(F.split("path", "/")) - 1))
-    if skipped:
-        rows = rows.filter(~F.arrays_overlap(folders, F.array(*map(F.lit, skipped))))
-    if not hidden:
-        rows = rows.filter(~F.exists(folders, lambda d: F.startswith(d, F.lit("."))))
+    a folder whose name begins with a dot unless `hidden`. Only files that are wanted are read."""
+    rows, top = listed(spark, root, skipped, hidden), uri(spark, root)
     if most_bytes is not None:
         rows = rows.filter(F.col("length") <= most_bytes)
-    return rows.filter(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*suffixes)) if suffixes else rows
-
-
-def unlisted(spark: SparkSession, root: str) -> tuple[str, list[tuple[str, int]]]:
-    """The qualified root, and the files below it that Spark's own listing passes over: those with a name that begins with a dot or an
-    underscore on their way, such as __init__.py. Their names and sizes come to the driver, as any listing does."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    top = fs.getFileStatus(at).getPath().toString().rstrip("/")
-    every, found = fs.listFiles(at, True), []
-    while every.hasNext():
-        status = every.next()
-        path = status.getPath().toString()
-        if re.search("(^|/)[._]", path[len(top) + 1 :]):
-            found.append((path, status.getLen()))
-    return top, found
-
-
-def contents(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """path, length and content of files that are named."""
-    import pyarrow.fs
-
-    for rows in parts:
-        data = []
-        for path in rows["path"]:
-            fs, at = pyarrow.fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", path))
-            with fs.open_input_file(at) as f:
-                data.append(f.read())
-        yield rows.assign(content=data)
+    if suffixes:
+        rows = rows.filter(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*suffixes))
+
+    def contents(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = pyarrow.fs.FileSystem.from_uri(top)
+        for some in parts:
+            for i in range(len(some)):  # a file at a time
+                row = some.iloc[i : i + 1]
+                with fs.open_input_file(f"{base}/{row['path'].iloc[0]}") as f:
+                    yield row.assign(content=[f.read()])
+
+    return rows.mapInPandas(contents, "path string, length long, content binary")
+
+
+def uri(spark: SparkSession, path: str) -> str:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri().toString()
+    return re.sub("^file:/+", "file:///", whole).rstrip("/")
+
+
+def listed(spark: SparkSession, root: str, skipped: tuple[str, ...] = (), hidden: bool = True) -> DataFrame:
+    """path (below root) and length of the files under root, names that begin with a dot or an underscore too. Folders are listed in
+    tasks, a level a round, and skipped ones aren't entered; a round's table has the level's files and folders."""
+    top = uri(spark, root)
+
+    def entries(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = pyarrow.fs.FileSystem.from_uri(top)
+        for some in parts:
+            out = []
+            for path in some["path"]:
+                for e in fs.get_file_info(pyarrow.fs.FileSelector(f"{base}/{path}".rstrip("/"))):
+                    folder = e.type == pyarrow.fs.FileType.Directory
+                    if not (folder and (e.base_name in skipped or not hidden and e.base_name.startswith("."))):
+                        out.append((f"{path}/{e.base_name}".lstrip("/"), None if folder else e.size, folder))
+            yield pd.DataFrame(out, columns=["path", "length", "folder"]).astype({"length": "Int64", "folder": "bool"})
+
+    level, found = spark.createDataFrame([("",)], "path string"), []
+    while not level.isEmpty():
+        found.append(materialised(level.repartition("path").mapInPandas(entries, "path string, length long, folder boolean")))
+        level = found[-1].filter("folder").select("path")
+    return reduce(DataFrame.unionByName, found).filter("not folder").select("path", "length")
 
 
 def workspace_files(spark: SparkSession, root: str, suffixes: tuple[str, ...], most_bytes: int = 1 << 20, most_files: int = MOST_FILES) -> DataFrame:
