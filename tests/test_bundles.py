@@ -694,3 +694,14 @@ def test_listing_prunes_folders_and_reads_odd_names(spark, tmp_path):
     got = records.files(spark, str(tmp_path), (".py",), skipped=("node_modules", ".git"))
     assert sorted((r["path"], bytes(r["content"]).decode()) for r in got.collect()) == [(n, n) for n in ("_p/__init__.py", "a b/c%20d.py")]
     assert pairs(records.listed(spark, str(tmp_path), hidden=False), "path")[-1] == ("z.txt",)
+
+
+def test_answers_of_an_engine_and_records(spark):
+    flows = spark.createDataFrame([("a.py", 3, "flow", ["x", "y"]), ("a.py", 4, "no_path", []), ("b.py", 1, "error", None)], "file string, line int, outcome string, flow array<string>")
+    calls = [(1, {"file": "a.py", "line": "3"}), (2, {"file": "a.py", "line": "4"}), (3, {"file": "b.py", "line": "1"}), (4, {"file": "c", "line": "x"}), (5, {"file": "c"})]
+    got = {r["call_id"]: (r["ok"], r["summary"], r["data"]) for r in tools.call("dataflow_verify", flows, spark.createDataFrame(calls, "call_id int, arguments map<string,string>")).collect()}
+    assert got == {1: (True, "flow", '["x","y"]'), 2: (True, "no_path", "[]"), 3: (False, "error", "[]"), 4: (False, "no such place", "[]"), 5: (False, "missing: line", "[]")}
+    kinds = spark.createDataFrame([("lead",), ("note",)], "kind string")
+    calls = [(1, {"kind": "lead", "title": "t"}), (2, {"kind": "odd", "title": "t"}), (3, {"kind": "note", "title": " "})]
+    got = {r["call_id"]: (r["ok"], r["data"]) for r in tools.call("record", kinds, spark.createDataFrame(calls, "call_id int, arguments map<string,string>")).collect()}
+    assert got == {1: (True, '[{"kind":"lead","title":"t"}]'), 2: (False, "[]"), 3: (False, "[]")}

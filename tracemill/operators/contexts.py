@@ -112,3 +112,10 @@ def prune_views(contexts: DataFrame, members: DataFrame, prunes: DataFrame, most
     whole = skew.dealt_join(contexts.select("bundle", "context_id"), prunes.filter("method_id is null"), ["bundle"], most_broadcast, ("context_id",))
     columns = ["bundle", "context_id", *[c for c in prunes.columns if c != "bundle"]]
     return of.select(*columns).unionByName(whole.select(*columns))
+
+
+def degradations(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Degradations once a key, the first by `order`: the key is (capability, reason) in a manifest and reason alone in an index of symbols. An
+    aggregate that combines before the shuffle, so a reason that most rows have is one row a task."""
+    others = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*others), order).alias("__first")).select(*keys, "__first.*")

@@ -257,3 +257,10 @@ def assembled(degradations: DataFrame, methods: DataFrame, edges: DataFrame) ->
     served = methods.filter(F.startswith("provider", F.lit("lsp_"))).select("bundle").distinct().withColumn("__served", F.lit(True))
     kept = degradations.join(served, "bundle", "left").filter(F.col("__served").isNull() | ~F.startswith("capability", F.lit("lsp"))).drop("__served")
     return kept, methods.dropDuplicates(["bundle", "method_id"]), edges
+
+
+def stages(events: DataFrame, run: str, stage: str, at: str, starts: Column, ends: Column, *counters: str) -> DataFrame:
+    """Each run's stages: when they first started and last ended, whether they go on, and the counters that the last end carries."""
+    last = F.when(ends, F.col(at))
+    told = events.groupBy(run, stage).agg(F.min(F.when(starts, F.col(at))).alias("started"), F.max(last).alias("ended"), *[F.max_by(c, last).alias(c) for c in counters])
+    return told.withColumn("running", F.col("started").isNotNull() & (F.col("ended").isNull() | (F.col("ended") < F.col("started"))))

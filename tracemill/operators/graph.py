@@ -48,23 +48,31 @@ def table_of(levels: list[DataFrame]) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and root (smallest node reachable) for edges a, b, by alternating star contraction. Hubs
-    are dealt to several tasks."""
+    """node and root (smallest node reachable) for edges a, b, by alternating star contraction. Where a hub has over a thousandth of the
+    edges, hubs are dealt to several tasks. A round's tables are written once and deleted with it."""
     now = materialised(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
     while True:
         n = now.count()
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n")).filter("n > 0")
-        large = salted_join(both.filter("b > a"), least, ["a"], "n", n, spread=("b",)).select(F.col("m").alias("a"), "b").distinct()
-        low = large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
-        new = materialised(salted_join(large, low, ["b"], "n", n, spread=("a",)).select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a < b").distinct())
-        size = new.agg(F.count("*").alias("n"), F.count_distinct("b").alias("d")).first()
-        if size["n"] == size["d"] and new.select("a").distinct().join(new.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
+        least = materialised(both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n")).filter("n > 0"))
+        large = materialised(hubs_joined(now, least, "a", n, "b").select(F.col("m").alias("a"), "b").distinct())
+        low = materialised(large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n")))
+        new = materialised(hubs_joined(large, low, "b", n, "a").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a < b").distinct())
+        discarded(now, least, large, low)
+        # done when every node has one root and no root has one
+        size = new.groupBy("b").agg(F.count("*").alias("n")).agg(F.max("n").alias("most")).first()
+        if size["most"] in (None, 1) and new.select("a").distinct().join(new.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
             return new.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(new.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
-        discarded(now)
         now = new
 
 
+def hubs_joined(rows: DataFrame, side: DataFrame, key: str, n: int, spread: str) -> DataFrame:
+    """`rows` joined to `side` (key, m and n: how many of the rows have the key); dealt only if a key has many."""
+    if (side.agg(F.max("n").alias("most")).first()["most"] or 0) <= max(256, n // 1000):
+        return rows.join(side.drop("n"), key)
+    return salted_join(rows, side, [key], "n", n, spread=(spread,))
+
+
 def stars(places: DataFrame, shared: str, member: str) -> DataFrame:
     """Edges a, b that join all members of what is shared: a star around the first one, not all pairs."""
     hub = places.groupBy(shared).agg(F.min(member).alias("a"), F.count("*").alias("n"))
@@ -136,11 +144,13 @@ def budgeted(edges: DataFrame, implementations: DataFrame, starts: DataFrame, ma
     empty = F.lit(None)
     found = materialised(starts.select(F.col("root").cast("long").alias("root"), F.lit("method").alias("kind"), F.col("root").cast("long").alias("node"), empty.cast("long").alias("parent"), F.lit(0).alias("depth"), empty.cast("string").alias("direction"), empty.cast("string").alias("rule"), empty.cast("double").alias("confidence"), F.lit(0).alias("place"), F.lit(True).alias("queued")))
     frontier = found.drop("direction").withColumn("direction", F.explode(F.array(F.lit("callee"), F.lit("caller"))))
+    last = None
     for depth in range(max_depth + 1):
         steps = frontier.filter("queued").select("root", "place", "node", "direction").join(near.select("node", "direction", "next", "n", "confidence"), ["node", "direction"], "left")
         new = materialised(found.filter("kind = 'method'").join(frontier.filter("queued").select("root").distinct(), "root", "left_semi").groupBy("root").cogroup(steps.toDF(*[f"_{c}" for c in steps.columns]).toDF(*steps.columns).groupBy("root")).applyInPandas(level(depth), WALKED))
-        found = materialised(found.unionByName(new))
-        frontier = new.filter("kind = 'method'")
+        before, found = found, materialised(found.unionByName(new))
+        discarded(before, *([last] if last is not None else []))
+        last, frontier = new, new.filter("kind = 'method'")
         if frontier.filter("queued").isEmpty():
             break
     targets = first(implementations.withColumn("confidence", F.lit(0.8)), "target", "source", max_implementations)

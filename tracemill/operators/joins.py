@@ -127,7 +127,7 @@ def overlaps(work: DataFrame, item: str, *by: str) -> DataFrame:
 
     once = materialised(work.select(item, *by).distinct())
     a, b = once.withColumnRenamed(item, "a"), once.withColumnRenamed(item, "b")
-    return skew.dealt_join(a, b, list(by), 0, ("a",)).filter("a < b").select("a", "b").distinct()
+    return skew.dealt_join(a, b, list(by), spread=("a",)).filter("a < b").select("a", "b").distinct()
 
 
 def fresh_facts(facts: Column, known: Column) -> Column:
@@ -200,7 +200,7 @@ def callers(hierarchy: DataFrame, implementations: DataFrame, references: DataFr
     direct = materialised(direct)
     known = direct.select("target").distinct()
     impls = rows.top_per(implementations.select(F.col("source").alias("method"), F.col("target").alias("impl"), F.col("ord").alias("nth")), ["method"], limit, F.col("nth"), F.col("impl")).join(known.withColumnRenamed("target", "method"), "method", "left_semi")
-    over = skew.dealt_join(materialised(impls), direct.withColumnRenamed("target", "impl"), ["impl"], 0, ("method",))
+    over = skew.dealt_join(materialised(impls), direct.withColumnRenamed("target", "impl"), ["impl"], spread=("method",))
     first = direct.select("source", "target", F.struct(F.lit(0).alias("k"), F.lit(0).cast("long").alias("nth"), F.col("ord").cast("long").alias("ord")).alias("at"))
     more = over.select("source", F.col("method").alias("target"), F.struct(F.lit(1).alias("k"), F.col("nth").cast("long").alias("nth"), F.col("ord").cast("long").alias("ord")).alias("at"))
     once = first.unionByName(more).groupBy("source", "target").agg(F.min("at").alias("at"))

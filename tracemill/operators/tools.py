@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import fixed
+from ..functions import fixed, scalars
 from . import rows
 from .store import materialised
 
@@ -23,6 +23,8 @@ SCHEMAS = {
     "grep": (("pattern",), ("path", "include", "limit")),
     "list_files": ((), ("prefix", "pattern", "limit")),
     "board": (("section",), ("limit",)),
+    "dataflow_verify": (("file", "line"), ()),
+    "record": (("kind", "title"), ("file", "line", "detail")),
 }
 MOST_BROADCAST = 1000
 GROUP = 256
@@ -95,10 +97,12 @@ def answers(calls: DataFrame, hits: DataFrame, most: int, *order: str) -> DataFr
 
 
 def call(name: str, files: DataFrame, calls: DataFrame, most: int = 200) -> DataFrame:
-    """Answers of the named function for all calls. files: path, text; for `board` items: section, place, item.
+    """Answers of the named function for all calls. files: path, text; for `board` items: section, place, item; for
+    `dataflow_verify` an engine's answers, one a place: file, line, outcome, flow (array of steps); for `record` the kinds that may be recorded: kind.
 
     `read` gives lines from `offset`; `grep` the lines that match, of files below `path` whose name fits `include`; `list_files` paths
-    that begin with `prefix` and fit the glob `pattern`; `board` the first items of a section. Each tells the exact total."""
+    that begin with `prefix` and fit the glob `pattern`; `board` the first items of a section; each tells the exact total. `dataflow_verify` tells what the engine found out about a place, `record`
+    gives back what may be appended to a trail."""
     good, refused = checked(materialised(calls), name)
     limit = F.least(number("limit", most), F.lit(most))
     if name == "read":
@@ -124,6 +128,15 @@ def call(name: str, files: DataFrame, calls: DataFrame, most: int = 200) -> Data
         prefix, fits = F.coalesce(F.col("arguments")["prefix"], F.lit("")), F.col("arguments")["pattern"]
         found = met(files.select("path").filter(shown(F.col("path"))), good).filter(F.startswith("path", prefix) & F.coalesce(F.regexp(F.col("path"), glob(fits)), F.lit(True)))
         out = answers(good, found.select("call_id", limit.alias("limit"), F.lit(1).alias("n"), F.array(F.struct("path")).alias("first")), most, "path")
+    elif name == "dataflow_verify":
+        asked = good.select("call_id", F.col("arguments")["file"].alias("__file"), F.col("arguments")["line"].try_cast("int").alias("__line"))
+        told = asked.join(files, (F.col("__file") == files["file"]) & (F.col("__line") == files["line"]), "left")
+        ok = F.coalesce(~F.col("outcome").isin("error", "fallback"), F.lit(False))
+        out = told.select("call_id", ok.alias("ok"), F.coalesce("outcome", F.lit("no such place")).alias("summary"), F.to_json(F.coalesce("flow", F.array().cast("array<string>"))).alias("data"), F.lit(False).alias("truncated"))
+    elif name == "record":
+        known = good.join(F.broadcast(files.select(F.col("kind").alias("__kind")).distinct().limit(MOST_BROADCAST)), F.col("arguments")["kind"] == F.col("__kind"), "left")
+        fits = F.col("__kind").isNotNull() & (F.trim(F.col("arguments")["title"]) != "")
+        out = known.select("call_id", fits.alias("ok"), F.when(fits, "recorded").otherwise("unknown kind or empty title").alias("summary"), F.when(fits, F.concat(F.lit("["), scalars.sorted_json(F.col("arguments")), F.lit("]"))).otherwise("[]").alias("data"), F.lit(False).alias("truncated"))
     else:
         found = files.join(good, files["section"] == F.col("arguments")["section"])
         out = answers(good, found.select("call_id", limit.alias("limit"), F.lit(1).alias("n"), F.array(F.struct("place", "item")).alias("first")), most, "place", "item")

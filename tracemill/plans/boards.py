@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import boards, graph, joins, totals
+from ..operators import boards, contexts, folds, graph, joins, totals
 from .adapters import Tables
 from .registry import query
 
@@ -143,3 +143,28 @@ def place_provenance(t: Tables) -> DataFrame:
 @query("AG-9", "select l_suppkey run, count(distinct l_orderkey) slices, count(distinct l_partkey) methods, count(distinct (l_orderkey, l_partkey)) methods_in_slices from lineitem group by 1")
 def run_counters(t: Tables) -> DataFrame:
     return totals.run_counters(t.lineitem.withColumnRenamed("l_suppkey", "run"), "run", "l_partkey", "l_orderkey")
+
+
+@query("GR-14", """select user_id, event_type capability, 'r' || (coalesce((props::json ->> '$.k')::int, 0) % 4)::varchar reason, min(event_id) seq from events group by 1, 2, 3""")
+def manifest_degradations(t: Tables) -> DataFrame:
+    """A user's events as degradations: the first of each capability and reason."""
+    return contexts.degradations(degraded(t), ["user_id", "capability", "reason"], "seq")
+
+
+@query("GR-14", """select 'r' || (coalesce((props::json ->> '$.k')::int, 0) % 4)::varchar reason, min_by(event_type, event_id) capability, min_by(user_id, event_id) user_id, min(event_id) seq from events group by 1""")
+def symbol_degradations(t: Tables) -> DataFrame:
+    return contexts.degradations(degraded(t), ["reason"], "seq")
+
+
+def degraded(t: Tables) -> DataFrame:
+    k = F.coalesce(F.get_json_object("props", "$.k").cast("int"), F.lit(0))
+    return t.events.select("user_id", F.col("event_type").alias("capability"), F.concat(F.lit("r"), (k % 4).cast("string")).alias("reason"), F.col("event_id").alias("seq"))
+
+
+@query("SM-10", """with s as (select run, k % 3 stage, min(seq) filter (kind = 'agent_start') started, max(seq) filter (kind = 'agent_end') ended, arg_max(cents, seq) filter (kind = 'agent_end') cents from v_trail where k is not null group by 1, 2)
+select *, started is not null and (ended is null or ended < started) running from s""")
+def stage_events(t: Tables) -> DataFrame:
+    """Stages of runs with what their last end counted."""
+    kind = F.col("kind")
+    events = t.trail().filter("k is not null").withColumn("stage", F.col("k") % 3)
+    return folds.stages(events, "run", "stage", "seq", kind == "agent_start", kind == "agent_end", "cents")
