@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from itertools import permutations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -69,8 +69,9 @@ def replayed(flags: DataFrame) -> DataFrame:
         F.count_if((F.col("first") < F.col("step")) & (F.col("fails").bitwiseAND(F.col("bit")) != 0)).alias("redundant"),
         F.count_if(F.col("fails") == F.col("bit")).alias("unique_fails"),
         F.count_if(removed & F.col("good")).alias("good_lost"), F.count_if(removed & F.col("toxic")).alias("toxic_lost"))
-    whole = counts.groupBy("part", F.substring("filter_order", F.col("step"), F.lit(1)).alias("filter")).agg(F.sum("removed").alias("shapley"))
-    return counts.withColumn("filter", F.substring("filter_order", F.col("step"), F.lit(1))).join(whole, ["part", "filter"]).select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
+    # a row an order: 120 rows of a part and filter
+    of = Window.partitionBy("part", F.substring("filter_order", F.col("step"), F.lit(1)))
+    return counts.withColumn("shapley", F.sum("removed").over(of))
 
 
 def interactions(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
