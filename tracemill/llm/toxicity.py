@@ -104,8 +104,7 @@ def train(texts: list[np.ndarray], toxic: np.ndarray, langs: list[str], size: in
         at = np.minimum(np.searchsorted(kept, t), len(kept) - 1)
         return np.where(kept[at] == t, FIRST + at, EMPTY).astype(np.int32)
 
-    own = [numbered(t) for t in texts]
-    own = [np.append(t, np.full(widths, PAD, np.int32)) for t in own]
+    own = [np.append(numbered(t), np.full(widths, PAD, np.int32)) for t in texts]
     names = sorted(set(langs)) or [""]
     counts = np.ones((FIRST + len(rows), len(names)))
     for t, lang in zip(own, langs, strict=True):
@@ -173,9 +172,12 @@ def train(texts: list[np.ndarray], toxic: np.ndarray, langs: list[str], size: in
     model = Model(rows, tables, [b.astype(np.float32) for b in bias], out, float(base[0]), names, languages.astype(np.float32), np.zeros(len(names)))
     held = np.flatnonzero(tuned) if tuned.any() else np.arange(len(own))
     if len(held):
-        ids = np.concatenate([own[i] for i in held])
-        begins = np.concatenate([[0], np.cumsum([len(own[i]) for i in held])[:-1]])
-        logits, lang = model.logits(ids, begins), model.language(ids, begins)
+        parts = []
+        for some in np.array_split(held, max(1, len(held) // 128)):  # a few texts at once, as the filters' values are many times their size
+            ids = np.concatenate([own[i] for i in some])
+            begins = np.concatenate([[0], np.cumsum([len(own[i]) for i in some])[:-1]])
+            parts.append((model.logits(ids, begins), model.language(ids, begins)))
+        logits, lang = (np.concatenate(p) for p in zip(*parts, strict=True))
         every = threshold(logits, toxic[held], 0.0)
         model.cuts = np.array([threshold(logits[lang == k], toxic[held][lang == k], every) for k in range(len(names))])
     return model
@@ -230,7 +232,10 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 16_000, most_bytes:
     rows = one.filter((F.col("order") <= int(whole[-1])) & (F.octet_length("words") <= most_bytes)).toArrow()
     rows = rows.take(pa.compute.sort_indices(rows["doc_id"]))
     words = [np.frombuffer(w.as_buffer(), np.uint32) for w in rows["words"]]  # views: the driver holds the sample once
-    return train(words, (rows["toxic"].to_numpy() > 0).astype(np.int64), rows["lang"].to_pylist(), **how)
+    model = train(words, (rows["toxic"].to_numpy() > 0).astype(np.int64), rows["lang"].to_pylist(), **how)
+    del words, rows
+    common.trimmed()
+    return model
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
