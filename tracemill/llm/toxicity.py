@@ -206,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 16_000, most_bytes:
     """A model from labelled rows whose fold isn't 0: those with the least hash of doc_id, at most `most_rows` of them and at most
     `most_bytes` of word hashes (four bytes a word; a text with more is passed over, and it is an error if none is left). Rows without a label, doc_id or document are
     left out; a doc_id labelled several times counts as toxic if one label says so; of the documents of a doc_id one is taken;
-    without any labels every score is low."""
+    without any labels, or with a bound of 0, every score is low."""
     known = labels.filter("doc_id is not null and toxic is not null").filter(fold() != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
@@ -223,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 16_000, most_bytes:
     each = texts.mapInArrow(hashed, "doc_id long, lang string, toxic int, words binary").groupBy("doc_id").agg(F.min(F.struct("words", "lang", "toxic")).alias("row"))
     one = common.written(each.select("doc_id", "row.*", F.xxhash64("doc_id").alias("order")), "toxicity-sample")
     lengths = np.array([tuple(r) for r in one.select("order", F.octet_length("words")).orderBy("order", "doc_id").collect()], np.int64).reshape(-1, 2)  # at most most_rows
-    if not len(lengths):
+    if not len(lengths) or not most_bytes:
         return train([], np.zeros(0, np.int64), [], **how)
     fits = lengths[lengths[:, 1] <= most_bytes]  # a text beyond the bound alone is passed over
     whole = fits[np.cumsum(fits[:, 1]) <= most_bytes, 0]
