@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracemill.functions import scalars
-from tracemill.operators import graph, intervals, packing, rows
+from tracemill.operators import boards, graph, intervals, packing, rows
 
 
 def pairs(df, *columns):
@@ -143,3 +143,26 @@ def test_salted_join_equals_a_join(spark, how, monkeypatch):
     assert pairs(got, "id", "k", "v") == pairs(left.join(side.drop("n"), "k", how), "id", "k", "v")
     parts = got.withColumn("p", F.spark_partition_id()).filter("k = -1").select("p").distinct().count()
     assert parts > 1
+
+
+def test_what_concerns_work_is_counted_without_pairs(spark):
+    """Counts are those of the pairs: rows told twice, by several, without a teller or a file, and items with several or no files."""
+    told = [(1, "w1", "a"), (2, "w2", "a"), (3, "w3", "b"), (3, "w1", "c"), (4, "w1", "b"), (4, "w1", "b"), (5, None, "a"), (6, "w2", None), (7, "w1", "a"), (7, "w2", "a"), (8, "w9", "c")]
+    seen = [("w1", "a"), ("w1", "b"), ("w2", "b"), ("w2", "b"), ("w3", "c"), ("w4", "a"), ("w9", "a")]
+    work = ["w1", "w2", "w3", "w4", "w5"]
+    expected = []
+    for w in work:
+        mine = [(r, by) for r, by, f in told if by == w or (w, f) in seen]
+        if mine:
+            expected.append((w, len({r for r, _ in mine}), len({r for r, by in mine if by not in (None, w)})))
+    got = boards.concerned(spark.createDataFrame(told, "row long, work_id string, file string"), spark.createDataFrame([(w,) for w in work], "work_id string"), spark.createDataFrame(seen, "work_id string, file string"))
+    assert pairs(got, "work_id", "n", "near") == expected
+
+
+def test_a_file_of_many_items_makes_no_pairs(spark):
+    """2,000 items on one file of 20,000 rows: 40 million pairs, as sums."""
+    told = spark.range(20_000).select(F.col("id").alias("row"), (F.col("id") % 2_000).alias("work_id"), F.lit("f").alias("file"))
+    work = spark.range(2_000).select(F.col("id").alias("work_id"))
+    got = boards.concerned(told, work, work.withColumn("file", F.lit("f"))).cache()
+    assert [tuple(r) for r in got.select("n", "near").distinct().collect()] == [(20_000, 19_990)]
+    assert got.count() == 2_000

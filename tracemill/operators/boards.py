@@ -21,10 +21,33 @@ def shown(rows: DataFrame, by: list[str], most: int, *order: Column) -> DataFram
 def concerning(rows: DataFrame, work: DataFrame, files: DataFrame) -> DataFrame:
     """work_id (of the work item that looks) and the rows (row, work_id, file ...) that are its own or on one of its files (files:
     work_id, file), each once: a union of two equi-joins instead of a join on either."""
+    return seen(rows, work, files).dropDuplicates(["work_id", "row"])
+
+
+def seen(rows: DataFrame, work: DataFrame, files: DataFrame) -> DataFrame:
+    """`concerning` with a row a time that it is met."""
     rows = materialised(rows.withColumnRenamed("work_id", "__by"))
     own = rows.join(work.select(F.col("work_id"), F.col("work_id").alias("__by")), "__by").select("work_id", *rows.columns)
     near = skew.dealt_join(rows, files.join(work.select("work_id"), "work_id", "left_semi").select("work_id", "file").distinct(), ["file"], spread=("row",)).select("work_id", *rows.columns)
-    return own.unionByName(near).dropDuplicates(["work_id", "row"]).withColumnRenamed("__by", "by")
+    return own.unionByName(near).withColumnRenamed("__by", "by")
+
+
+def concerned(rows: DataFrame, work: DataFrame, files: DataFrame) -> DataFrame:
+    """work_id, n (distinct rows that concern it) and near (those of them that another's work tells), without the pairs of `concerning`.
+
+    A row that is told once, in one file, adds one to each work item of the file, so what such rows add are sums over files: those on its
+    files and its own, less its own on its files. Only rows that are told in several ways are paired with the items that see them."""
+    kept = rows.select("row", F.col("work_id").alias("by"), "file").distinct()
+    told = materialised(kept.withColumn("__ways", F.count("*").over(Window.partitionBy("row"))))
+    work = work.select("work_id").distinct()
+    files = files.select("work_id", "file").distinct().join(work, "work_id", "left_semi")
+    sums = materialised(told.filter("__ways = 1").groupBy("by", "file").agg(F.count("*").alias("k"), F.count_if(F.col("by").isNotNull()).alias("named")))
+    here = files.join(sums.groupBy("file").agg(F.sum("k").alias("k"), F.sum("named").alias("named")), "file").select("work_id", F.col("k").alias("n"), F.col("named").alias("near"))
+    own = sums.groupBy(F.col("by").alias("work_id")).agg(F.sum("k").alias("n")).join(work, "work_id").withColumn("near", F.lit(0).cast("long"))
+    both = sums.join(files.withColumnRenamed("work_id", "by"), ["by", "file"]).groupBy(F.col("by").alias("work_id")).agg((-F.sum("k")).alias("n")).withColumn("near", F.col("n"))
+    pairs = seen(told.filter("__ways > 1").select("row", F.col("by").alias("work_id"), "file"), work, files).groupBy("work_id", "row").agg(F.bool_or(F.col("by") != F.col("work_id")).alias("__near"))
+    several = pairs.groupBy("work_id").agg(F.count("*").alias("n"), F.count_if("__near").alias("near"))
+    return here.unionByName(own).unionByName(both).unionByName(several).groupBy("work_id").agg(F.sum("n").alias("n"), F.sum("near").alias("near"))
 
 
 def detailed(findings: DataFrame, most: int, *order: Column) -> DataFrame:
