@@ -132,6 +132,18 @@ def test_dry_run_closes(spark):
     assert {r["state"] for r in dryrun.run(files, patterns, 2, 1).filter("candidates > 0").collect()} == {"insufficient"}
 
 
+def test_packets_of_many_candidates_are_no_groups(spark, capsys):
+    """Candidates follow each other in a task, each with its own budget, place and blocks seen; no function call a candidate."""
+    source = "def f(a):\n    return a\n\n\ndef g():\n    pass\n"
+    c = spark.range(300).selectExpr("id candidate_id", "'m.py' file", "1 line", "array('m.py:5', 'm.py:2', 'x.py:1', 'm.py:6') path")
+    packets = material.packets(c, spark.createDataFrame([("m.py", source)], "path string, text string"))
+    packets.explain()
+    assert "FlatMapGroups" not in capsys.readouterr().out
+    got = packets.groupBy("candidate_id").agg(F.sort_array(F.collect_list(F.struct("place", "start", "end", "outcome"))).alias("b"))
+    assert {tuple(map(tuple, r["b"])) for r in got.collect()} == {((0, 1, 3, "shown"), (1, 5, 6, "shown"), (2, None, None, "unreadable"))}
+    assert got.count() == 300
+
+
 def test_packet_budget(spark):
     source = "def f(a):\n" + "\n".join(f"    x{i} = {i}" for i in range(60)) + "\n\n\ndef g():\n    pass\n"
     c = spark.createDataFrame([(1, "m.py", 30, ["m.py:65", "m.py:40", "n.txt:1", "odd"]), (2, "gone.py", None, None)], "candidate_id int, file string, line int, path array<string>")
