@@ -10,9 +10,12 @@ from . import rows
 
 
 # --- latest wins ----------------------------------------------------------------------------------------------------
-def latest_by(events: DataFrame, key: str, order: str, *columns: str) -> DataFrame:
-    """Each key with columns of its last row by `order`, and the order itself."""
-    return events.groupBy(key).agg(*[F.max_by(c, order).alias(c) for c in columns], F.max(order).alias(order))
+def latest_by(events: DataFrame, key: str, order: str, *columns: str, seq: str | None = None) -> DataFrame:
+    """Each key with columns of its last row by `order`, and the order itself. Of rows of one order the first by `seq` counts; without a
+    `seq` orders must differ, or any of them does."""
+    last = F.struct(F.col(order), -F.col(seq)) if seq else F.col(order)
+    last = F.when(F.col(order).isNotNull(), last) if seq else last
+    return events.groupBy(key).agg(*[F.max_by(c, last).alias(c) for c in columns], F.max(order).alias(order))
 
 
 def latest_on_axis(events: DataFrame, key: str, arrival: str, axis: list[str], *columns: str) -> DataFrame:

@@ -14,7 +14,7 @@ from .registry import query
 
 @query("WN-1 WN-2 WN-6", "select run, max_by(kind, arrival) kind, max(arrival) arrival from v_trail group by run")
 def latest_by_arrival(t: Tables) -> DataFrame:
-    return folds.latest_by(t.trail(), "run", "arrival", "kind").select("run", "kind", "arrival")
+    return folds.latest_by(t.trail(), "run", "arrival", "kind", seq="seq").select("run", "kind", "arrival")
 
 
 @query("WN-3 GR-13", "select run, max_by(kind, seq) kind, max(seq) seq from v_trail group by run")
