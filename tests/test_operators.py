@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracemill.functions import scalars
-from tracemill.operators import boards, graph, intervals, packing, rows
+from tracemill.operators import boards, folds, graph, intervals, packing, rows
 
 
 def pairs(df, *columns):
@@ -166,3 +166,22 @@ def test_a_file_of_many_items_makes_no_pairs(spark):
     got = boards.concerned(told, work, work.withColumn("file", F.lit("f"))).cache()
     assert [tuple(r) for r in got.select("n", "near").distinct().collect()] == [(20_000, 19_990)]
     assert got.count() == 2_000
+
+
+def test_rows_of_one_arrival(spark):
+    """Ties have one answer in any order of rows: the last by arrival is the first by seq, and what a run did before its start isn't since it."""
+    log = [(1, 5, 10, "step"), (1, 5, 11, "start"), (1, 5, 12, "step"), (1, 5, 13, "end"), (2, 7, 3, "end"), (2, 7, 1, "start"), (2, None, 0, "step")]
+    kind = F.col("kind")
+    for order in (log, log[::-1]):
+        df = spark.createDataFrame(order, "run long, arrival long, seq long, kind string").coalesce(1)
+        assert pairs(folds.latest_by(df, "run", "arrival", "kind", seq="seq"), "run", "kind", "arrival") == [(1, "step", 5), (2, "start", 7)]
+        assert pairs(folds.agent_rows(df, "run", "arrival", kind == "start", kind == "step", kind == "end", "seq"), "run", "starts", "steps", "ended") == [(1, 1, 1, 5), (2, 1, 0, 7)]
+
+
+def test_first_of_one_arrival_by_seq(spark, tmp_path):
+    """Twelve views of one arrival, written backwards."""
+    from tracemill.plans import registry
+
+    log = [(10007 * n, None, 1, "view", 0.0, '{"k": 1}') for n in range(12, 0, -1)]
+    spark.createDataFrame(log, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    assert pairs(registry.QUERIES["topk_new_per_scope"](spark, str(tmp_path)), "seq") == [(10007 * n,) for n in range(1, 6)]

@@ -37,20 +37,22 @@ def latest_bundle(bundles: DataFrame, key: str, created: str, name: str, *runnin
     return bundles.groupBy(key).agg(F.max_by(name, F.struct(created, name)).alias("latest"), *[F.bool_or(r).alias("in_flight") for r in running])
 
 
-def since_last(events: DataFrame, key: str, order: str, starts: Column) -> DataFrame:
+def since_last(events: DataFrame, key: str, order: str, starts: Column, seq: str | None = None) -> DataFrame:
     """Events from the last start of their key on (all where it has none), with starts: how many it has. The last start is an aggregate, so no
-    running number goes over a key's events."""
+    running number goes over a key's events. Events of one order follow each other by `seq`."""
     from . import skew
     from .store import materialised
 
     rows_ = materialised(events)
-    last = rows_.groupBy(key).agg(F.max(F.when(starts, F.col(order))).alias("__last"), F.count_if(starts).alias("starts"))
-    return skew.keyed_join(rows_, last, [key], "inner", (order,)).filter(F.col("__last").isNull() | (F.col(order) >= F.col("__last"))).drop("__last")
+    at = F.struct(order, seq) if seq else F.col(order)
+    last = rows_.groupBy(key).agg(F.max(F.when(starts, at)).alias("__last"), F.count_if(starts).alias("starts"))
+    return skew.keyed_join(rows_, last, [key], "inner", (order,)).filter(F.col("__last").isNull() | (at >= F.col("__last"))).drop("__last")
 
 
-def agent_rows(events: DataFrame, run: str, order: str, starts: Column, steps: Column, ends: Column) -> DataFrame:
-    """Each run's row: starts, the steps since the last start, and where it ended (null: it goes on). Runs that never started have none."""
-    now = since_last(events, run, order, starts).filter("starts > 0")
+def agent_rows(events: DataFrame, run: str, order: str, starts: Column, steps: Column, ends: Column, seq: str | None = None) -> DataFrame:
+    """Each run's row: starts, the steps since the last start, and where it ended (null: it goes on). Runs that never started have none.
+    Events of one order follow each other by `seq`."""
+    now = since_last(events, run, order, starts, seq).filter("starts > 0")
     return now.groupBy(run, "starts").agg(F.count_if(steps).alias("steps"), F.max(F.when(ends, F.col(order))).alias("ended"))
 
 

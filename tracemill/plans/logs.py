@@ -26,7 +26,7 @@ def latest_by_seq(t: Tables) -> DataFrame:
     select e.run, last starts, count(*) filter (where kind = 'agent_step') steps, max(arrival) filter (where kind = 'agent_end') ended from e join l on e.run = l.run and e.epoch = l.last where last > 0 group by 1, 2""")
 def agent_rows_fold(t: Tables) -> DataFrame:
     kind = F.col("kind")
-    return folds.agent_rows(t.trail(), "run", "arrival", kind == "agent_start", kind == "agent_step", kind == "agent_end")
+    return folds.agent_rows(t.trail(), "run", "arrival", kind == "agent_start", kind == "agent_step", kind == "agent_end", "seq")
 
 
 @query("WN-5", """with e as (select *, sum(case kind when 'agent_start' then 1 else 0 end) over (partition by run order by seq rows unbounded preceding) epoch from v_trail), m as (select run, max(epoch) last from e group by run)
