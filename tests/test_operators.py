@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracemill.functions import scalars
-from tracemill.operators import boards, folds, graph, intervals, packing, rows
+from tracemill.operators import boards, folds, graph, intervals, packing, rows, tools
 
 
 def pairs(df, *columns):
@@ -185,3 +185,10 @@ def test_first_of_one_arrival_by_seq(spark, tmp_path):
     log = [(10007 * n, None, 1, "view", 0.0, '{"k": 1}') for n in range(12, 0, -1)]
     spark.createDataFrame(log, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     assert pairs(registry.QUERIES["topk_new_per_scope"](spark, str(tmp_path)), "seq") == [(10007 * n,) for n in range(1, 6)]
+
+
+def test_all_tasks_search_the_few_bytes_of_one_split(spark):
+    files = spark.createDataFrame([(f"d/p{i}.py", f"a\nb{i}\na") for i in range(20)], "path string, text string").coalesce(1)
+    calls = spark.createDataFrame([(1, {"pattern": "^b1"}), (2, {"pattern": "^a$", "include": "p3.*"}), (3, {"pattern": "c"}), (4, {"pattern": "b7", "path": "d/p7.py"})], "call_id long, arguments map<string,string>")
+    assert tools.met(files, calls).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    assert pairs(tools.call("grep", files, calls), "call_id", "summary") == [(1, "11 found"), (2, "2 found"), (3, "0 found"), (4, "1 found")]

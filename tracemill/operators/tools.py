@@ -73,7 +73,9 @@ def number(name: str, default: int) -> F.Column:
 
 
 def met(files: DataFrame, calls: DataFrame) -> DataFrame:
-    """Every file with every call: few calls are broadcast, more meet the files in groups of `GROUP`."""
+    """Every file with every call: few calls are broadcast, more meet the files in groups of `GROUP`. The work is in the pairs, so files
+    are dealt by number, not by the few bytes they are read from."""
+    files = files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
     if calls.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         return files.join(F.broadcast(calls))
     grouped = rows.ordinal(calls, "__at", F.col("call_id")).groupBy(F.floor(F.col("__at") / GROUP).alias("__group")).agg(F.collect_list(F.struct(*calls.columns)).alias("__calls"))
@@ -118,10 +120,12 @@ def call(name: str, files: DataFrame, calls: DataFrame, most: int = 200) -> Data
     elif name == "grep":
         pattern, below, fits = F.col("arguments")["pattern"], F.col("arguments")["path"], F.col("arguments")["include"]
         inside = F.coalesce((below.isin("", ".")) | (F.col("path") == below) | F.startswith("path", F.concat(F.rtrim(below, F.lit("/")), F.lit("/"))), F.lit(True))
-        named = F.coalesce(F.regexp(F.element_at(F.split("path", "/"), -1), glob(fits)), F.lit(True))
-        lines = F.transform(F.split("text", "\n"), lambda line, i: F.struct(F.col("path").alias("path"), (i + 1).alias("line"), line.alias("content")))
-        found = met(files, good).filter(inside & named)
-        found = found.select("call_id", limit.alias("limit"), F.filter(lines, lambda x: F.regexp(x["content"], pattern)).alias("m")).filter(F.size("m") > 0)
+        # lines and names are cut once a file and globs read once a call, before they meet; only files with a hit get numbered lines
+        cut = files.select("path", F.element_at(F.split("path", "/"), -1).alias("__name"), F.split("text", "\n").alias("__lines"))
+        asked = good.withColumn("__glob", glob(fits))
+        found = met(cut, asked).filter(inside).filter(F.coalesce(F.regexp("__name", F.col("__glob")), F.lit(True))).filter(F.exists("__lines", lambda x: F.regexp(x, pattern)))
+        lines = F.transform("__lines", lambda line, i: F.struct(F.col("path").alias("path"), (i + 1).alias("line"), line.alias("content")))
+        found = found.select("call_id", limit.alias("limit"), F.filter(lines, lambda x: F.regexp(x["content"], pattern)).alias("m"))
         cut = F.transform(F.slice("m", 1, most), lambda x: F.struct(x["path"].alias("path"), x["line"].alias("line"), F.substring(F.trim(x["content"]), 1, 400).alias("content")))
         out = answers(good, found.select("call_id", "limit", F.size("m").alias("n"), cut.alias("first")), most, "path", "line", "content")
     elif name == "list_files":
