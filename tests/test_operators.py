@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracemill.functions import scalars
-from tracemill.operators import boards, folds, graph, intervals, packing, rows, tools
+from tracemill.operators import boards, folds, graph, intervals, packing, rows, tools, totals
 
 
 def pairs(df, *columns):
@@ -192,3 +192,13 @@ def test_all_tasks_search_the_few_bytes_of_one_split(spark):
     calls = spark.createDataFrame([(1, {"pattern": "^b1"}), (2, {"pattern": "^a$", "include": "p3.*"}), (3, {"pattern": "c"}), (4, {"pattern": "b7", "path": "d/p7.py"})], "call_id long, arguments map<string,string>")
     assert tools.met(files, calls).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
     assert pairs(tools.call("grep", files, calls), "call_id", "summary") == [(1, "11 found"), (2, "2 found"), (3, "0 found"), (4, "1 found")]
+
+
+def test_run_counters_hold_no_split(spark, capsys):
+    """Rows of a split are dealt before they are made distinct: the first aggregate stands above the exchange."""
+    df = spark.createDataFrame([(1, 1, 1), (1, 1, 1), (1, 1, 2), (1, 2, 1), (2, 1, 1)], "run long, slice long, method long").coalesce(1)
+    got = totals.run_counters(df, "run", "method", "slice")
+    got.explain()
+    plan = capsys.readouterr().out
+    assert plan.rindex("HashAggregate") < plan.index("REPARTITION_BY_NUM")
+    assert pairs(got, "run", "slices", "methods", "methods_in_slices") == [(1, 2, 2, 3), (2, 1, 1, 1)]

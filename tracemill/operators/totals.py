@@ -191,6 +191,9 @@ def funnel(counts: DataFrame, steps: list[tuple[str, str, str]]) -> DataFrame:
 
 
 def run_counters(slices: DataFrame, run: str, method: str, slice_id: str) -> DataFrame:
-    """Per run of rows (run, slice, method): slices, methods (each once) and methods_in_slices (each once a slice)."""
-    once = slices.select(run, slice_id, method).distinct()
+    """Per run of rows (run, slice, method): slices, methods (each once) and methods_in_slices (each once a slice).
+
+    Rows are dealt by number before they are made distinct, so no task holds the keys of a whole split."""
+    n = int(slices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    once = slices.select(run, slice_id, method).repartition(n, run, slice_id, method).distinct()
     return once.groupBy(run).agg(F.count_distinct(slice_id).alias("slices"), F.count_distinct(method).alias("methods"), F.count("*").alias("methods_in_slices"))
