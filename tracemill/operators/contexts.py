@@ -60,7 +60,7 @@ def capped(ranked: DataFrame, max_contexts: int) -> DataFrame:
 def identified(slices: DataFrame, references: DataFrame, named: DataFrame, findings: DataFrame, length: int = 12) -> DataFrame:
     """bundle, focus and context_id: a digest over the focus, its sorted methods and its sorted known findings."""
     key = ["bundle", "focus"]
-    known = named.select("bundle", "slice", "finding_id").join(findings.select("bundle", "finding_id"), ["bundle", "finding_id"], "left_semi").join(slices.select("bundle", "slice", "focus"), ["bundle", "slice"])
+    known = told.filter("rank is not null")
     rows = slices.select(*key).distinct().select(*key, F.lit(0).alias("kind"), F.col("focus").alias("value"))
     rows = rows.unionByName(references.select(*key, F.lit(1).alias("kind"), F.col("method_id").alias("value"))).unionByName(known.select(*key, F.lit(2).alias("kind"), F.col("finding_id").alias("value")))
     told = texts.streamed_digests(rows.withColumn("value", F.col("value").cast("binary")), key, 3, "value", ["value"], length=length)
@@ -106,8 +106,11 @@ def prune_views(contexts: DataFrame, members: DataFrame, prunes: DataFrame, most
     """context_id and the columns of the prunes that concern it: those of its focus or of one of its methods, and those of its bundle
     without a method, which concern every context. Each prune comes once a context.
 
-    contexts: bundle, context_id, focus; members: bundle, context_id, method_id; prunes: bundle, method_id, other columns."""
-    own = members.select("bundle", "context_id", "method_id").unionByName(contexts.select("bundle", "context_id", F.col("focus").alias("method_id"))).distinct()
+    contexts: bundle, context_id, focus; members: bundle, context_id, method_id; prunes: bundle, method_id, other columns. Methods without a
+    prune are left out before they are made distinct, and the others written, as `dealt_join` counts them first."""
+    own = members.select("bundle", "context_id", "method_id").unionByName(contexts.select("bundle", "context_id", F.col("focus").alias("method_id")))
+    named = prunes.filter("method_id is not null").select("bundle", "method_id")
+    own = materialised(own.join(named, ["bundle", "method_id"], "left_semi").repartition("bundle", "context_id", "method_id").distinct())
     of = skew.dealt_join(own, prunes.filter("method_id is not null"), ["bundle", "method_id"], most_broadcast, ("context_id",))
     whole = skew.dealt_join(contexts.select("bundle", "context_id"), prunes.filter("method_id is null"), ["bundle"], most_broadcast, ("context_id",))
     columns = ["bundle", "context_id", *[c for c in prunes.columns if c != "bundle"]]

@@ -91,9 +91,10 @@ select context_id, p_type "rule", p_partkey prune from own join part on p = p_pa
 union all select context_id, n_name, n_nationkey from c join nation on bundle = 'b' || (n_nationkey % 5)::varchar""")
 def context_prune_views(t: Tables) -> DataFrame:
     """Prunes of a context's methods and focus, and those of its bundle that name no method."""
-    slices, refs, _, _, _ = slice_tables(t)
-    of = slices.select("bundle", "slice", "focus", F.concat(F.lit("C"), F.substring("focus", 2, 99)).alias("context_id"))
-    members = refs.select("bundle", "slice", "method_id").join(of, ["bundle", "slice"])
+    key = F.col("o_custkey").cast("string")
+    of = t.orders.select("o_orderkey", F.concat(F.lit("b"), (F.col("o_custkey") % 5).cast("string")).alias("bundle"), F.concat(F.lit("m"), key).alias("focus"), F.concat(F.lit("C"), key).alias("context_id"))
+    li = t.lineitem.select("l_orderkey", F.concat(F.lit("m"), F.col("l_partkey").cast("string")).alias("method_id"))
+    members = li.join(of, F.col("l_orderkey") == F.col("o_orderkey")).select("bundle", "context_id", "method_id")
     five = F.explode(F.array(*[F.lit(f"b{i}") for i in range(5)]))
     prunes = t.part.filter("p_size < 10").select(five.alias("bundle"), F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("method_id"), F.col("p_type").alias("rule"), F.col("p_partkey").alias("prune"))
     prunes = prunes.unionByName(t.nation.select(F.concat(F.lit("b"), (F.col("n_nationkey") % 5).cast("string")).alias("bundle"), F.lit(None).cast("string").alias("method_id"), F.col("n_name").alias("rule"), F.col("n_nationkey").cast("long").alias("prune")))
