@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracemill.operators import contexts, skew
+from tracemill.operators import contexts, joins, skew
 
 
 def plan_of(df, capsys):
@@ -50,3 +50,11 @@ def test_keys_are_counted_in_groups(spark, monkeypatch):
     for groups in (1, 1 << 16):
         monkeypatch.setattr(skew, "GROUPS", groups)
         assert skew.keyed_join(left, side, ["k"], "inner", ("id",)).filter("v = k + 1").count() == 2000
+
+
+def test_points_are_dealt_before_they_are_distinct(spark, capsys):
+    points = spark.createDataFrame([(1, 5, "p"), (1, 5, "p"), (2, 9, "p")], "id int, line int, path string").coalesce(1)
+    ranges = spark.createDataFrame([("p", 1, 9, "a", 1), ("p", 4, 6, "b", 2)], "path string, start int, `end` int, method string, k int")
+    got = joins.widest_start(points, ranges, "path", "line", "start", "end", "method", "k", ["id", "line"])
+    assert sorted(map(tuple, got.collect())) == [(1, 5, "b"), (2, 9, "a")]
+    assert "REPARTITION_BY_NUM" in plan_of(got, capsys)

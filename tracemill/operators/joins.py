@@ -36,8 +36,11 @@ def containing_chain(points: DataFrame, ranges: DataFrame, path: str, point: str
 
 
 def widest_start(points: DataFrame, ranges: DataFrame, path: str, point: str, start: str, end: str, name: str, order: str, keys: list[str]) -> DataFrame:
-    """For each point (keys) the range that holds it and begins last."""
-    inside = contained(points.select(*keys, path).distinct(), ranges, path, point, start, end)
+    """For each point (keys) the range that holds it and begins last. Points are dealt by number before they are made distinct, so no task
+    holds those of a whole split."""
+    from . import skew
+
+    inside = contained(skew.dealt(points.select(*keys, path), *keys, path).distinct(), ranges, path, point, start, end)
     return inside.groupBy(*keys).agg(F.max_by(name, F.struct(start, order)).alias(name))
 
 
