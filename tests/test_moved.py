@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracemill.operators import contexts, joins, skew
+from tracemill.operators import contexts, inbox, joins, skew
 
 
 def plan_of(df, capsys):
@@ -58,3 +58,10 @@ def test_points_are_dealt_before_they_are_distinct(spark, capsys):
     got = joins.widest_start(points, ranges, "path", "line", "start", "end", "method", "k", ["id", "line"])
     assert sorted(map(tuple, got.collect())) == [(1, 5, "b"), (2, 9, "a")]
     assert "REPARTITION_BY_NUM" in plan_of(got, capsys)
+
+
+def test_jobs_are_dealt_by_number(spark, capsys):
+    events = spark.createDataFrame([(1, 1, 1, "submitted", "a"), (1, 2, 2, "claimed", "a")], "job long, at long, seq long, kind string, consumer string").coalesce(1)
+    got = inbox.held(events, "job", ["a"], 10, 10, until=5)
+    assert sorted(r["state"] for r in got.collect()) == ["queued", "running"]
+    assert "REPARTITION_BY_NUM" in plan_of(got, capsys)

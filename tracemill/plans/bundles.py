@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..operators import batches, contexts, evidence, inbox, merges, scopes, tools
+from ..operators import batches, contexts, evidence, inbox, merges, scopes, skew, tools
 from ..operators.store import materialised
 from ..sources import definitions
 from .adapters import Tables
@@ -160,7 +160,7 @@ def job_takeovers(t: Tables) -> DataFrame:
     """Orders as jobs whose lines are beats: a claim that is silent for 70 goes to the other consumer and then fails; ended jobs
     expire after 500."""
     of = Window.partitionBy("l_orderkey")
-    lines = t.lineitem.withColumn("n", F.row_number().over(of.orderBy("l_linenumber", "l_extendedprice"))).withColumn("last", F.count("*").over(of))
+    lines = skew.dealt(t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_returnflag"), "l_orderkey").withColumn("n", F.row_number().over(of.orderBy("l_linenumber", "l_extendedprice"))).withColumn("last", F.count("*").over(of))
     at = (F.col("n") * 60 + F.col("l_quantity").cast("long")).cast("long").alias("at")
     li = lines.select(F.col("l_orderkey").alias("job_id"), at, "n", ((F.col("l_returnflag") == "N") & (F.col("n") == F.col("last"))).alias("ends"))
     first = F.array(F.lit("submitted"), F.lit("claimed"))
