@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracemill.operators import contexts, inbox, joins, skew
+from tracemill.sources import code
 
 
 def plan_of(df, capsys):
@@ -65,3 +66,11 @@ def test_jobs_are_dealt_by_number(spark, capsys):
     got = inbox.held(events, "job", ["a"], 10, 10, until=5)
     assert sorted(r["state"] for r in got.collect()) == ["queued", "running"]
     assert "REPARTITION_BY_NUM" in plan_of(got, capsys)
+
+
+def test_files_are_dealt_before_they_are_read(spark, capsys):
+    """One partition of files doesn't stay one task."""
+    files = spark.createDataFrame([(f"{i}.py", f"def f{i}(a):\n    return g(a)\n") for i in range(9)], "path string, text string").coalesce(1)
+    got = code.innermost_calls(files)
+    assert sorted(r["caller"] for r in got.collect()) == [f"f{i}" for i in range(9)]
+    assert plan_of(got, capsys).count("REPARTITION_BY_NUM") >= 3

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.fixed import NOT_CALLS
+from ..operators.skew import dealt
 
 CALL, DEF, CLASS = (re.compile(p) for p in (fixed.CALL, fixed.DEF, fixed.CLASS))
 BRACED = re.compile(r"^\s*(?:(?:public|private|protected|static|final|export|async|func|fun|function)\s+)*(?:[\w<>\[\],.?]+\s+)?([A-Za-z_]\w*)\s*\([^;{]*\)\s*(?:throws\s+[\w, .]+)?\{\s*$")
@@ -155,9 +156,11 @@ def methods(df: DataFrame, path: str, text: str) -> DataFrame:
 
 
 def innermost_calls(files: DataFrame) -> DataFrame:
-    """Edges from each file's innermost method to called names, for files (path, text); first call of a pair wins."""
-    scopes = methods(files, "path", "text")
-    sites = call_sites(files, "path", "text").withColumn("at", F.col("line_no") - 1)
+    """Edges from each file's innermost method to called names, for files (path, text); first call of a pair wins. Files and what is found
+    in them are dealt by number: texts are read from a few bytes, and most of the work is in Python."""
+    files = dealt(files.select("path", "text"), "path")
+    scopes = dealt(methods(files, "path", "text"), "path")
+    sites = dealt(call_sites(files, "path", "text"), "path").withColumn("at", F.col("line_no") - 1)
     inside = sites.join(scopes.withColumnRenamed("name", "caller"), "path").filter("at > start and at <= `end`")
     w = Window.partitionBy("path", "line_no", "col").orderBy(F.col("end") - F.col("start"), F.col("start").desc())
     best = inside.withColumn("n", F.row_number().over(w)).filter("n = 1 and name != caller")
