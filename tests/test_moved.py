@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracemill.operators import contexts, inbox, joins, skew
+from tracemill.operators import contexts, inbox, joins, skew, tools
 from tracemill.sources import code
 
 
@@ -74,3 +74,12 @@ def test_files_are_dealt_before_they_are_read(spark, capsys):
     got = code.innermost_calls(files)
     assert sorted(r["caller"] for r in got.collect()) == [f"f{i}" for i in range(9)]
     assert plan_of(got, capsys).count("REPARTITION_BY_NUM") >= 3
+
+
+def test_reads_meet_files_by_number(spark, capsys, monkeypatch):
+    monkeypatch.setattr(tools, "MOST_BROADCAST", 1)
+    files = spark.createDataFrame([("a.py", "x\ny"), ("b.py", "z")], "path string, text string")
+    calls = spark.createDataFrame([(1, {"path": "a.py"}), (2, {"path": "b.py"}), (3, {"path": "c.py"})], "call_id int, arguments map<string,string>")
+    got = tools.call("read", files, calls)
+    assert sorted((r["call_id"], r["ok"], r["data"]) for r in got.collect()) == [(1, True, '["x","y"]'), (2, True, '["z"]'), (3, False, "[]")]
+    assert plan_of(got, capsys).count("REPARTITION_BY_NUM") >= 2

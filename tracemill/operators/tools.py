@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, scalars
-from . import rows
+from . import rows, skew
 from .store import materialised
 
 #: Arguments of each function: those it needs and those it may have.
@@ -110,10 +110,14 @@ def call(name: str, files: DataFrame, calls: DataFrame, most: int = 200) -> Data
     if name == "read":
         first, n = number("offset", 1), F.greatest(F.lit(0), limit)
         lines = F.split("text", "\n")
-        few = F.broadcast(good) if good.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else good
+        asked = good.withColumn("__path", F.col("arguments")["path"])
         cut = F.slice(lines, F.greatest(F.lit(1), first), n)
-        found = files.join(few, files["path"] == F.col("arguments")["path"]).select("call_id", cut.alias("l"), F.size(lines).alias("total"), first.alias("first"))
-        told = good.select("call_id").join(found, "call_id", "left")
+        if good.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+            both = files.join(F.broadcast(asked), files["path"] == F.col("__path"))
+        else:  # by number: compressed texts are many rows a partition
+            both = skew.dealt(files, "path").join(skew.dealt(asked, "__path"), F.col("path") == F.col("__path"))
+        found = both.select("call_id", cut.alias("l"), F.size(lines).alias("total"), first.alias("first"))
+        told = skew.dealt(good.select("call_id"), "call_id").join(skew.dealt(found, "call_id"), "call_id", "left")
         summary = F.when(F.col("l").isNull(), "no such file").otherwise(F.concat(F.size("l").cast("string"), F.lit(" of "), F.col("total").cast("string"), F.lit(" lines")))
         rest = F.coalesce(F.col("first") - 1 + F.size("l") < F.col("total"), F.lit(False))
         out = told.select("call_id", F.col("l").isNotNull().alias("ok"), summary.alias("summary"), F.to_json(F.coalesce("l", F.array().cast("array<string>"))).alias("data"), rest.alias("truncated"))
