@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracemill.operators import contexts, inbox, joins, skew, tools
+from tracemill.operators import contexts, folds, inbox, joins, skew, tools
 from tracemill.sources import code
 
 
@@ -83,3 +83,11 @@ def test_reads_meet_files_by_number(spark, capsys, monkeypatch):
     got = tools.call("read", files, calls)
     assert sorted((r["call_id"], r["ok"], r["data"]) for r in got.collect()) == [(1, True, '["x","y"]'), (2, True, '["z"]'), (3, False, "[]")]
     assert plan_of(got, capsys).count("REPARTITION_BY_NUM") >= 2
+
+
+def test_one_struct_a_claim_moves(spark, capsys):
+    """The representative is read from the greatest struct, not summed up beside it; nulls in a claim are equal."""
+    members = spark.createDataFrame([("a", 1, 3), ("b", 1, 9), ("c", None, 4), ("d", None, 2)], "id string, claim int, weight int")
+    got = folds.fanned_out(members, ["claim"], "id", F.struct("weight", "id"), F.when(F.col("__w.weight") > 5, "yes").otherwise("no"))
+    assert sorted(map(tuple, got.collect())) == [("a", "b", "yes", True), ("b", "b", "yes", False), ("c", "c", "no", False), ("d", "c", "no", True)]
+    assert "max_by" not in plan_of(got, capsys)

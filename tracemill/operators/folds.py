@@ -99,8 +99,8 @@ def claim_groups(candidates: DataFrame, claim: list[str], key: str, weight: str,
 
 def fanned_out(members: DataFrame, claim: list[str], key: str, weight: Column, verdict: Column) -> DataFrame:
     """Each member with its group's representative and its verdict; inherited where the representative is another. Nulls in a claim
-    are equal."""
-    reps = members.groupBy(*claim).agg(F.max_by(key, weight).alias("rep"), F.max(weight).alias("__w"))
+    are equal. `weight` holds the key, so one struct a claim moves."""
+    reps = members.groupBy(*claim).agg(F.max(weight).alias("__w")).withColumn("rep", F.col("__w")[key])
     same = F.lit(True)
     for c in claim:
         same = same & F.col(f"m.{c}").eqNullSafe(F.col(f"r.{c}"))
