@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
-from tracemill.operators import contexts, folds, inbox, joins, skew, tools
+from tracemill.operators import contexts, folds, inbox, joins, packing, skew, tools
 from tracemill.sources import code
 
 
@@ -91,3 +93,23 @@ def test_one_struct_a_claim_moves(spark, capsys):
     got = folds.fanned_out(members, ["claim"], "id", F.struct("weight", "id"), F.when(F.col("__w.weight") > 5, "yes").otherwise("no"))
     assert sorted(map(tuple, got.collect())) == [("a", "b", "yes", True), ("b", "b", "yes", False), ("c", "c", "no", False), ("d", "c", "no", True)]
     assert "max_by" not in plan_of(got, capsys)
+
+
+def test_claims_meet_only_batches_of_their_files(spark):
+    """First fit as by looking through all batches, with a hundred times fewer comparisons."""
+    rng = random.Random(3)
+    claims = [sorted({rng.randrange(60) for _ in range(rng.randrange(1, 7))}) for _ in range(400)]
+    held, want = [], []
+    for own in map(set, claims):
+        at = next((i for i, (h, n) in enumerate(held) if len(own) <= 5 and n < 4 and h & own and len(h | own) <= 5), None)
+        if at is None:
+            held.append((own, 4 if len(own) > 5 else 1))
+            at = len(held) - 1
+        else:
+            held[at] = (held[at][0] | own, held[at][1] + 1)
+        want.append(at)
+    packed = packing.Batches(4, 5)
+    assert [packed.add(files) for files in claims] == want
+    df = spark.createDataFrame([(s, c, f) for s in (1, 2) for c, files in enumerate(claims) for f in files], "scope int, claim int, file int")
+    got = {(r["scope"], r["claim"]): r["batch"] for r in packing.first_fit(df, 4, 5).collect()}
+    assert got == {(s, c): at for s in (1, 2) for c, at in enumerate(want)}
