@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tracemill.operators import contexts, folds, inbox, joins, packing, skew, tools
+from tracemill.operators import contexts, folds, graph, inbox, joins, packing, skew, tools
 from tracemill.sources import code
 
 
@@ -113,3 +113,14 @@ def test_claims_meet_only_batches_of_their_files(spark):
     df = spark.createDataFrame([(s, c, f) for s in (1, 2) for c, files in enumerate(claims) for f in files], "scope int, claim int, file int")
     got = {(r["scope"], r["claim"]): r["batch"] for r in packing.first_fit(df, 4, 5).collect()}
     assert got == {(s, c): at for s in (1, 2) for c, at in enumerate(want)}
+
+
+def test_roots_are_folded_as_a_stream(spark, capsys):
+    edges = spark.createDataFrame([(1, 2, 0, 1.0), (2, 3, 0, 1.0), (4, 1, 0, 0.5)], "source long, target long, ord long, confidence double")
+    none = spark.createDataFrame([], "source long, target long, ord long")
+    starts = spark.createDataFrame([(i,) for i in range(1, 40)], "root long")
+    got = graph.budgeted(edges, none, starts, 2, 9, 4, 4, 4).filter("root = 1")
+    assert sorted(r["node"] for r in got.filter("kind = 'method'").collect()) == [1, 2, 3, 4]
+    held = graph.folded(starts.selectExpr("root", "0 place", "root node"), starts.selectExpr("root", "0 place", "root node", "'callee' direction", "root next", "1.0D confidence", "1 n"), lambda root, own, asked: [(root, "method", own[0], None, len(asked), None, None, None, 0, True)])
+    assert sorted((r["root"], r["node"], r["depth"]) for r in held.collect()) == [(i, i, 1) for i in range(1, 40)]
+    assert "CoGroup" not in plan_of(held, capsys)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .skew import salted_join
+from .skew import dealt, salted_join
 from .store import discarded, materialised
 
 
@@ -82,6 +84,39 @@ def stars(places: DataFrame, shared: str, member: str) -> DataFrame:
 WALKED = "root long, kind string, node long, parent long, depth int, direction string, rule string, confidence double, place int, queued boolean"
 
 
+def folded(methods: DataFrame, steps: DataFrame, fold: Callable[[int, list, list], list]) -> DataFrame:
+    """Rows that `fold` gives for each root of its methods (in order of place) and its steps (place, node, direction, next, confidence, in order of
+    place, direction and n); roots without steps have none. Both pass a task as one sorted stream, which holds a root's rows."""
+    none = F.lit(None)
+    held = methods.select("root", F.lit(0).alias("kind"), "place", "node", none.cast("string").alias("direction"), none.cast("long").alias("next"), none.cast("double").alias("confidence"), F.lit(0).alias("n"))
+    asked = steps.select("root", F.lit(1).alias("kind"), "place", "node", "direction", F.col("next").cast("long").alias("next"), F.col("confidence").cast("double").alias("confidence"), "n")
+    rows = dealt(held.unionByName(asked), "root").sortWithinPartitions("root", "kind", "place", "direction", "n").drop("n")
+    fields = [f.split() for f in WALKED.split(", ")]
+    kinds = {"long": "int64", "int": "int32", "string": "string", "double": "float64", "boolean": "bool"}
+
+    def laid(out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) or [()] * len(fields)
+        return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own, asked = None, [], []
+        for batch in batches:
+            out = []
+            for root, kind, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if root != now:
+                    out += fold(now, own, asked) if asked else []
+                    now, own, asked = root, [], []
+                if kind:
+                    asked.append(row)
+                else:
+                    own.append(row[1])
+            yield laid(out)
+        if asked:
+            yield laid(fold(now, own, asked))
+
+    return rows.mapInArrow(run, WALKED)
+
+
 def budgeted(edges: DataFrame, implementations: DataFrame, starts: DataFrame, max_depth: int, max_nodes: int, max_callees: int, max_callers: int, max_implementations: int) -> DataFrame:
     """A walk from each start (root) to callees and callers at once: rows of kind method, edge (parent calls node) and prune.
 
@@ -98,10 +133,11 @@ def budgeted(edges: DataFrame, implementations: DataFrame, starts: DataFrame, ma
     limits = {"callee": max_callees, "caller": max_callers}
 
     def level(depth: int):
-        def fold(key: tuple, held: pd.DataFrame, steps: pd.DataFrame) -> pd.DataFrame:
-            root, out, seen, queued = key[0], [], dict.fromkeys(held["node"].tolist()), True
-            by = {(r[0], r[1]): g for r, g in steps.dropna(subset=["next"]).sort_values("n").groupby(["node", "direction"])}
-            for _, node, direction in sorted(set(zip(steps["place"].tolist(), steps["node"].tolist(), steps["direction"].tolist(), strict=True)), key=lambda e: (e[0], e[2] == "caller")):
+        def fold(root: int, held: list, steps: list) -> list:
+            out, seen, queued, by = [], dict.fromkeys(held), True, {}
+            for place, node, direction, other, confidence in steps:  # in the order of the queue and of the neighbours
+                by.setdefault((place, node, direction), []).append((other, confidence))
+            for (_, node, direction), near_by in by.items():
                 if depth >= max_depth:
                     out.append((root, "prune", node, None, depth, direction, "max_depth", None, None, False))
                     continue
@@ -110,8 +146,8 @@ def budgeted(edges: DataFrame, implementations: DataFrame, starts: DataFrame, ma
                     out.append((root, "prune", node, None, depth, direction, "max_nodes", None, None, False))
                     queued = False
                     break
-                limit, taken = min(limits[direction], rest), by.get((node, direction))
-                taken = [] if taken is None else list(zip(taken["next"].astype("int64").tolist(), taken["confidence"].tolist(), strict=True))[:limit]
+                limit = min(limits[direction], rest)
+                taken = [e for e in near_by if e[0] is not None][:limit]
                 for other, confidence in taken:
                     if other not in seen:
                         out.append((root, "method", other, node, depth + 1, direction, None, None, len(seen), True))
@@ -120,13 +156,13 @@ def budgeted(edges: DataFrame, implementations: DataFrame, starts: DataFrame, ma
                     out.append((root, "edge", child, parent, None, direction, None, confidence, None, False))
                 if limit and len(taken) >= limit:
                     out.append((root, "prune", node, None, depth, direction, f"max_{direction}s_per_node", None, None, False))
-            return frame(out, queued)
+            return out if queued else [(*r[:-1], False) for r in out]
 
         return fold
 
-    def attach(key: tuple, held: pd.DataFrame, steps: pd.DataFrame) -> pd.DataFrame:
-        root, out, seen = key[0], [], dict.fromkeys(held["node"].tolist())
-        for node, other in steps.sort_values(["place", "n"])[["node", "next"]].itertuples(index=False):
+    def attach(root: int, held: list, steps: list) -> list:
+        out, seen = [], dict.fromkeys(held)
+        for _, node, _, other, _ in steps:
             if other not in seen and len(seen) >= max_nodes:
                 out.append((root, "prune", other, node, 1, "callee", "max_nodes", None, None, False))
                 continue
@@ -134,29 +170,23 @@ def budgeted(edges: DataFrame, implementations: DataFrame, starts: DataFrame, ma
                 out.append((root, "method", other, node, 1, "callee", None, None, len(seen), False))
                 seen[other] = None
             out.append((root, "edge", other, node, None, "callee", None, 0.8, None, False))
-        return frame(out, False)
-
-    def frame(out: list, queued: bool) -> pd.DataFrame:
-        rows = pd.DataFrame(out, columns=[c.split()[0] for c in WALKED.split(", ")])
-        rows["queued"] &= queued
-        return rows.astype({"parent": "Int64", "depth": "Int32", "place": "Int32", "queued": "bool"})
+        return out
 
     empty = F.lit(None)
     found = materialised(starts.select(F.col("root").cast("long").alias("root"), F.lit("method").alias("kind"), F.col("root").cast("long").alias("node"), empty.cast("long").alias("parent"), F.lit(0).alias("depth"), empty.cast("string").alias("direction"), empty.cast("string").alias("rule"), empty.cast("double").alias("confidence"), F.lit(0).alias("place"), F.lit(True).alias("queued")))
     frontier = found.drop("direction").withColumn("direction", F.explode(F.array(F.lit("callee"), F.lit("caller"))))
-    last = None
+    levels = [found]
     for depth in range(max_depth + 1):
         steps = frontier.filter("queued").select("root", "place", "node", "direction").join(near.select("node", "direction", "next", "n", "confidence"), ["node", "direction"], "left")
-        new = materialised(found.filter("kind = 'method'").join(frontier.filter("queued").select("root").distinct(), "root", "left_semi").groupBy("root").cogroup(steps.toDF(*[f"_{c}" for c in steps.columns]).toDF(*steps.columns).groupBy("root")).applyInPandas(level(depth), WALKED))
-        before, found = found, materialised(found.unionByName(new))
-        discarded(before, *([last] if last is not None else []))
-        last, frontier = new, new.filter("kind = 'method'")
+        new = materialised(folded(found.filter("kind = 'method'"), steps, level(depth)))
+        levels.append(new)
+        found, frontier = table_of(levels), new.filter("kind = 'method'")
         if frontier.filter("queued").isEmpty():
             break
     targets = first(implementations.withColumn("confidence", F.lit(0.8)), "target", "source", max_implementations)
     methods = found.filter("kind = 'method'")
-    aimed = methods.select("root", "place", "node").join(targets, "node")
-    attached = methods.groupBy("root").cogroup(aimed.toDF(*[f"_{c}" for c in aimed.columns]).toDF(*aimed.columns).groupBy("root")).applyInPandas(attach, WALKED)
+    aimed = methods.select("root", "place", "node").join(targets, "node").withColumn("direction", F.lit("callee"))
+    attached = folded(methods, aimed, attach)
     once = Window.partitionBy("root", "parent", "node", "direction").orderBy(F.col("confidence").desc())
     whole = materialised(found.unionByName(attached)).drop("queued")
     edge = whole.filter("kind = 'edge'").withColumn("__n", F.row_number().over(once)).filter("__n = 1").drop("__n")
