@@ -121,6 +121,37 @@ def test_one_of_each_links_by_jaccard(spark, tile, monkeypatch):
     assert len(texts) > len(set(want.values())) > 5
 
 
+@pytest.mark.parametrize("tile", [2048, 3])
+def test_one_of_each_finds_by_fingerprints(spark, tile, monkeypatch):
+    """Near copies within few bits are found by their fingerprints alone, without a common min-hash, and then checked exactly."""
+    monkeypatch.setattr(simhash, "EXACT_TILE", tile)
+    base = [" ".join(f"w{d}x{i}" for i in range(400)) for d in range(6)]
+    copies = [f"{t} end{k}" for t in base[:4] for k in range(3)]
+    prints = [simhash.folded(np.unique(simhash.hashes(t, 5, 42))) for t in base + copies]
+    assert all((prints[d] ^ prints[6 + 3 * d + k]).bit_count() <= 4 for d in range(4) for k in range(3))
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(base + copies)], SCHEMA)
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs, mins=0).collect()) == list(range(6))
+    assert simhash.one_of_each(docs, similarity=0.9999, mins=0).count() == len(base + copies)
+
+
+@pytest.mark.parametrize("cut", [0, 70])
+def test_bits_decide_what_is_compared(tmp_path, cut):
+    """Of large sets only those within the radius are compared, of small ones those within the wider one."""
+    import pandas as pd
+
+    own = np.arange(1, 41, dtype="<u8")
+    (tmp_path / "s").write_bytes(own.tobytes())
+    for size, bits, links in ((40, 22, True), (40, 23, False), (20, 32, True), (20, 33, False)):
+        far = [(1 << bits) - 1 if k >= 70 else 0 for k in range(140)]
+        df = pd.DataFrame([(k, far[k], size, str(tmp_path / "s"), 0) for k in range(140)], columns=["node", "fp", "size", "shard", "offset"])
+        sets = simhash.Sets()
+        edges = simhash.exact_edges(df, cut, 0.8, simhash.WIDE, sets)
+        known = simhash.Forest()
+        simhash.few_edges(df[69:71], np.array([2, 2]), 0.8, simhash.WIDE, sets, known)
+        sets.close()
+        assert any((a < 70) != (b < 70) for a, b in edges) == links == bool(known.stars())
+
+
 def test_sets_meet_all_at_once(tmp_path, monkeypatch):
     """The forest is the same whether a set meets its candidates at once or one by one."""
     import pandas as pd

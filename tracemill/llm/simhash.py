@@ -4,7 +4,8 @@ Distinct fingerprints are compared, so copies cost nothing. For links at few bit
 differ in at most `radius` bits agree on all but `radius` of the blocks, so each combination of the other blocks is a
 bucket key that finds them (pigeonhole: no link is lost). The number of blocks grows with the number of fingerprints so
 that buckets stay small. For links at many bits, where that would need too many keys, the bucket keys are min-hashes of
-the shingles: documents of similarity s share one of k with a chance of 1 - (1 - s)^k. Inside a bucket the fingerprints' bits stand in vertical planes: 64 candidates share a machine
+the shingles: documents of similarity s share one of k with a chance of 1 - (1 - s)^k. The pipeline's stage uses both and checks what is near
+by its bits exactly. Inside a bucket the fingerprints' bits stand in vertical planes: 64 candidates share a machine
 word, distances are counted for all of them with carry-save adders, and a block of candidates is left as soon as all of
 it exceeds the radius. A bucket beyond `TILE` fingerprints is cut into tiles whose pairs are compared in tasks of
 their own. A bucket emits only the edges of a spanning forest of its links, so no group is expanded into pairs.
@@ -35,9 +36,14 @@ FEW = 32
 #: The same bound where shingle sets are compared.
 EXACT_TILE = 2048
 #: Sets of similarity 0.8 differ in 9.7 of 64 bits on average, with a deviation of 2.9. Of small sets, where a few shingles decide a
-#: bit, the bits are no test; they are compared at once.
+#: bit, a bit differs with a chance of 3/16 at most (four shingles and five), so 12 do with a deviation of 3.1: they have a wider bound.
 WIDE = 22
 SMALL = 32
+SMALL_WIDE = 32
+#: So many fingerprints are compared with the planes of a bucket at once.
+AT_ONCE = 32
+#: Plans of bucket keys from fingerprints are numbered from here, those of min-hashes from 0.
+BIT_PLANS = 1 << 16
 #: Large buckets are broadcast up to so many.
 MOST_BROADCAST = 10_000
 
@@ -113,16 +119,22 @@ def planes_of(values: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")).view("<u8")
 
 
-def near(planes: np.ndarray, value: int, radius: int, first: int = 0) -> np.ndarray:
-    """Machine words whose bits say which values differ from `value` in at most radius bits, from word `first` on.
+def near(planes: np.ndarray, value: int | np.ndarray, radius: int, first: int = 0) -> np.ndarray:
+    """Machine words whose bits say which values differ from `value` in at most radius bits, from word `first` on. Of several values
+    at once, a row each.
 
     Differences are added plane by plane into bitwise counters (three planes at a time through a carry-save adder);
     `over` gathers the lanes whose count has passed the radius, and the block is left once all have."""
     top = max(1, (radius + 4).bit_length())
-    count = [np.zeros(planes.shape[1] - first, np.uint64) for _ in range(top)]
-    over = np.zeros(planes.shape[1] - first, np.uint64)
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
-    flip = [full if value >> i & 1 else np.uint64(0) for i in range(64)]
+    if isinstance(value, np.ndarray):
+        shape = (len(value), planes.shape[1] - first)
+        flip = [np.where(value >> np.uint64(i) & np.uint64(1) == 1, full, np.uint64(0))[:, None] for i in range(64)]
+    else:
+        shape = (planes.shape[1] - first,)
+        flip = [full if value >> i & 1 else np.uint64(0) for i in range(64)]
+    count = [np.zeros(shape, np.uint64) for _ in range(top)]
+    over = np.zeros(shape, np.uint64)
 
     def add(carry: np.ndarray, at: int) -> None:
         nonlocal over
@@ -164,6 +176,17 @@ def lanes(hits: np.ndarray) -> Iterator[int]:
             word &= word - 1
 
 
+def as_words(flags: np.ndarray, n: int) -> np.ndarray:
+    """Flags of lanes as n machine words."""
+    packed = np.packbits(flags, bitorder="little")
+    return np.concatenate([packed, np.zeros(8 * n - len(packed), np.uint8)]).view("<u8")
+
+
+def flags_of(words: np.ndarray, n: int) -> np.ndarray:
+    """The first n lanes of machine words."""
+    return np.unpackbits(words.view(np.uint8), bitorder="little")[:n].astype(bool)
+
+
 def pair_links(values: np.ndarray, bucket: np.ndarray, size: np.ndarray, radius: int) -> set[tuple[int, int]]:
     """Links inside buckets of few values: `bucket` is where each value's bucket ends, `size` how many it has. The candidate
     pairs of all buckets are the lanes, so small buckets fill machine words too."""
@@ -193,8 +216,7 @@ def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tupl
         if not apart.any():
             continue
         hits = near(planes, value, radius, first)
-        mask = np.packbits(apart, bitorder="little")
-        hits &= np.concatenate([mask, np.zeros(8 * len(hits) - len(mask), np.uint8)]).view("<u8")
+        hits &= as_words(apart, len(hits))
         for j in lanes(hits):
             j += base + 64 * first
             if label[i] != label[j]:
@@ -204,12 +226,12 @@ def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tupl
 
 
 def bit_keys(distinct: DataFrame, radius: int) -> DataFrame:
-    """plan, key and fp: bucket keys at which any two fingerprints within the radius meet."""
+    """Rows with plan and key added: bucket keys at which any two fingerprints (column fp) within the radius meet."""
     blocks = blocks_for(distinct.count(), radius)
     cuts = [64 * i // blocks for i in range(blocks + 1)]
     masks = [sum(((1 << cuts[b + 1]) - 1) ^ ((1 << cuts[b]) - 1) for b in chosen) for chosen in combinations(range(blocks), blocks - radius)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    return distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("plan", "key"))
+    return distinct.select("*", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("plan", "key"))
 
 
 def links(keyed: DataFrame, radius: int = 4) -> DataFrame:
@@ -269,8 +291,8 @@ def links(keyed: DataFrame, radius: int = 4) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node and root (smallest node reachable) of all nodes of `edges` (a, b), by alternating star rounds."""
     now = common.written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges")
+    n = now.count()
     while True:
-        n = now.count()
         # large star: every node links its larger neighbours to its smallest neighbour (or itself)
         both = now.select(F.col("b").alias("u"), F.col("a").alias("v")).unionByName(now.select(F.col("a").alias("u"), F.col("b").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")).filter("n > 0").select("u", F.least("u", "m").alias("m"), "n")
@@ -284,7 +306,7 @@ def components(edges: DataFrame) -> DataFrame:
         if same["n"] == same["d"] and new.select("a").distinct().join(new.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
             break
         common.dropped(now)
-        now = new
+        now, n = new, same["n"]
     common.dropped(now)
     return new.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(new.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
@@ -395,26 +417,87 @@ class Incidence:
         return sums[self.ends] - sums[self.ends - self.size]
 
 
+def sizes_allow(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    return np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9
+
+
+class Forest:
+    """Components of the nodes linked so far."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def root(self, node: int) -> int:
+        while (up := self.parent.get(node, node)) != node:
+            self.parent[node] = node = self.parent.get(up, up)
+        return node
+
+    def joined(self, a: int, b: int) -> bool:
+        return self.root(a) == self.root(b)
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        self.parent[max(a, b)] = min(a, b)
+
+    def stars(self) -> list[tuple[int, int]]:
+        """Each node that isn't the smallest of its component, beside the smallest."""
+        return [(r, n) for n in list(self.parent) if (r := self.root(n)) != n]
+
+
+def few_edges(rows: pd.DataFrame, ends: np.ndarray, similarity: float, radius: int, sets: Sets, known: Forest) -> None:
+    """Links inside buckets of few sets go to `known`; `ends` is where each row's bucket ends. The candidate pairs of all buckets are the lanes,
+    so small buckets fill machine words too. Pairs near by their bits are compared unless they are joined already or, in a bucket of
+    fingerprints' bits (whose rows have mins), meet at a min-hash as well."""
+    node, fp, size = rows["node"].to_numpy(), rows["fp"].to_numpy().view(np.uint64), rows["size"].to_numpy()
+    shard, offset = rows["shard"].to_numpy(), rows["offset"].to_numpy()
+    here, mins = np.arange(len(node)), rows["mins"].to_numpy() if "mins" in rows else np.full(len(node), None)
+    for gap in range(1, int((ends - here).max(initial=1))):
+        all_pairs = np.flatnonzero(here + gap < ends)
+        for k in range(0, len(all_pairs), 1 << 16):
+            i = all_pairs[k : k + (1 << 16)]
+            j = i + gap
+            planes, small = planes_of(fp[i] ^ fp[j]), np.minimum(size[i], size[j]) <= SMALL
+            hits = near(planes, 0, radius)
+            if radius < SMALL_WIDE and small.any():
+                hits |= near(planes, 0, SMALL_WIDE) & as_words(small, len(hits))
+            at = flags_of(hits, len(i)) & sizes_allow(size[i], size[j], similarity)
+            for a, b in zip(i[at].tolist(), j[at].tolist(), strict=True):
+                if not known.joined(int(node[a]), int(node[b])) and (mins[a] is None or not (mins[a] == mins[b]).any()) and alike(*(sets.get(int(node[x]), shard[x], int(offset[x]), int(size[x])) for x in (a, b)), similarity):
+                    known.join(int(node[a]), int(node[b]))
+
+
 def exact_edges(rows: pd.DataFrame, cut: int, similarity: float, radius: int, sets: Sets) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links in a bucket, whose candidates differ in at most `radius` bits (or one of which is
-    SMALL) and have sizes that allow the similarity. With `cut` only pairs of the first `cut` rows with the others count. Pairs already joined are
-    not compared. A set with many candidates meets them all at once."""
+    """Edges of a spanning forest of the links in a bucket. Fingerprints are compared in bit planes; those within `radius` bits (SMALL_WIDE
+    of a set up to SMALL) whose sizes allow the similarity are candidates. With `cut` only pairs of the first `cut` rows with the others
+    count. Pairs already joined are not compared, nor are those of a bucket of fingerprints' bits (whose rows have mins) that meet at a min-hash. A set with many candidates meets them all at once."""
     node, fp, size = rows["node"].to_numpy(), rows["fp"].to_numpy().view(np.uint64), rows["size"].to_numpy()
     shard, offset = rows["shard"].to_numpy(), rows["offset"].to_numpy()
     label, edges = np.arange(len(node)), []
-    small, incidence = int(size.sum(dtype=np.int64)) <= Incidence.MOST, None
+    enough, incidence = int(size.sum(dtype=np.int64)) <= Incidence.MOST, None
+    planes, rows_in = planes_of(fp[cut:]), cut or len(node)
+    mins = np.stack(rows["mins"].to_list()) if "mins" in rows and rows["mins"].iloc[0] is not None else None
 
     def of(k: int) -> np.ndarray:
         return sets.get(int(node[k]), shard[k], int(offset[k]), int(size[k]))
 
-    for i in range(cut or len(node)):
-        first = cut or i + 1
-        near_by = ((np.bitwise_count(fp[first:] ^ fp[i]) <= radius) | (np.minimum(size[first:], size[i]) <= SMALL)) & (label[first:] != label[i])
-        if not near_by.any():
+    for i in range(rows_in):
+        if i % AT_ONCE == 0:
+            word, hits, wider = 0 if cut else (i + 1) // 64, None, None
+            values, begin = fp[i : min(i + AT_ONCE, rows_in)], cut + 64 * word
+        allowed = (label[begin:] != label[i]) & sizes_allow(size[begin:], size[i], similarity)
+        if not cut:
+            allowed[: i + 1 - begin] = False
+        if mins is not None and allowed.any():
+            allowed &= ~(mins[begin:] == mins[i]).any(1)  # they meet at a min-hash as well
+        if not allowed.any():
             continue
-        near_by &= np.minimum(size[first:], size[i]) >= similarity * np.maximum(size[first:], size[i]) - 1e-9
-        at = first + np.flatnonzero(near_by)
-        if len(at) >= 16 and small:
+        hits = near(planes, values, radius, word) if hits is None else hits
+        close, small = flags_of(hits[i % AT_ONCE], len(allowed)), np.minimum(size[begin:], size[i]) <= SMALL
+        if radius < SMALL_WIDE and (small & allowed).any():
+            wider = near(planes, values, SMALL_WIDE, word) if wider is None else wider
+            close |= flags_of(wider[i % AT_ONCE], len(allowed)) & small
+        at = begin + np.flatnonzero(close & allowed)
+        if len(at) >= 16 and enough:
             incidence = incidence or Incidence([of(k) for k in range(len(node))])
             shared = incidence.shared(i)[at]
             at = at[shared >= similarity * (size[at] + size[i] - shared) - 1e-9]
@@ -428,10 +511,22 @@ def exact_edges(rows: pd.DataFrame, cut: int, similarity: float, radius: int, se
     return edges
 
 
-def exact_links(each: DataFrame, similarity: float, radius: int) -> DataFrame:
-    """Edges a < b with the same components as all pairs of shingle sets that share a min-hash, differ in at most `radius`
-    bits and have a Jaccard similarity of at least `similarity`. `each`: one row a node, as from shingle_sets."""
-    keyed = each.select("node", "fp", "size", "shard", "offset", F.posexplode("mins").alias("plan", "key"))
+def close_fingerprints(each: DataFrame, few: int) -> DataFrame:
+    """Bucket keys at which sets meet whose fingerprints differ in at most `few` bits, of the sets that have such a partner. Their rows have mins."""
+    by = common.written(each.groupBy("fp").agg(F.count("*").alias("n")), "fingerprints")
+    ends = links(bit_keys(by.select("fp"), few), few).select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    partners = by.join(ends.withColumn("linked", F.lit(True)), "fp", "left").filter("n > 1 or linked").select("fp", "n")
+    total = by.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    close = common.written(common.salted_join(each, partners, ["fp"], "n", total, spread=("node",), counts=by).select("node", "fp", "size", "shard", "offset", "mins"), "close")
+    return bit_keys(close, few).withColumn("plan", F.col("plan") + BIT_PLANS)
+
+
+def exact_links(each: DataFrame, similarity: float, radius: int, few: int = 4) -> DataFrame:
+    """Edges a < b with the same components as all pairs of shingle sets of Jaccard similarity `similarity` or more whose fingerprints differ in at
+    most `few` bits, or in at most `radius` bits (SMALL_WIDE of small sets) where they also share a min-hash. `each`: one row a node, as
+    from shingle_sets."""
+    columns = ["node", "fp", "size", "shard", "offset"]
+    keyed = close_fingerprints(each, few).unionByName(each.select(*columns, F.posexplode("mins").alias("plan", "key")), allowMissingColumns=True)
     sizes = keyed.groupBy("plan", "key").agg(F.count("*").alias("n")).filter("n > 1")
     large = common.written(sizes.filter(F.col("n") > EXACT_TILE), "large")
 
@@ -442,8 +537,14 @@ def exact_links(each: DataFrame, similarity: float, radius: int) -> DataFrame:
             plan, key = rows["plan"].to_numpy(), rows["key"].to_numpy()
             begins = np.flatnonzero(np.concatenate([[True], (plan[1:] != plan[:-1]) | (key[1:] != key[:-1])]))
             n = np.diff(np.append(begins, len(rows)))
-            found = {e for b, m in zip(begins[n > 1].tolist(), n[n > 1].tolist(), strict=True) for e in exact_edges(rows.iloc[b : b + m], 0, similarity, radius, sets)}
-            return pa.RecordBatch.from_pandas(pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64"), preserve_index=False)
+            known, few_rows = Forest(), np.repeat((n > 1) & (n <= FEW), n)
+            if few_rows.any():
+                kept = np.cumsum(few_rows)  # positions among the rows of small buckets
+                few_edges(rows[few_rows], kept[np.repeat(begins + n, n)[few_rows] - 1], similarity, radius, sets, known)
+            for b, m in zip(begins[n > FEW].tolist(), n[n > FEW].tolist(), strict=True):
+                for edge in exact_edges(rows.iloc[b : b + m], 0, similarity, radius, sets):
+                    known.join(*edge)
+            return pa.RecordBatch.from_pandas(pd.DataFrame(sorted(known.stars()), columns=["a", "b"], dtype="int64"), preserve_index=False)
 
         for batch in batches:
             rows = batch.to_pandas()
@@ -487,15 +588,16 @@ def exact_components(docs: DataFrame, words: int, similarity: float, mins: int,
     one = common.written(each.groupBy("node").agg(F.min(F.struct("shard", "offset", "fp", "size", "mins")).alias("at"), F.count("*").alias("n")).select("node", "n", "at.*"), "distinct")
     of = components(exact_links(one, similarity, WIDE))
     named = one.join(of, "node", "left").select("node", "n", F.coalesce("root", "node").alias("component"))
-    return common.salted_join(each.select("doc_id", "hash", "node"), named, ["node"], "n", each.count(), spread=("doc_id",)).select("doc_id", "hash", "component")
+    return common.salted_join(each.select("doc_id", "hash", "node"), named, ["node"], "n", each.count(), spread=("doc_id",), counts=one.select("node", "n")).select("doc_id", "hash", "component")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, mins: int = 8, text: str = "text") -> DataFrame:
     """`docs` with one document of each near-duplicate component: the one with the smallest doc_id.
 
-    Documents link if the Jaccard similarity of their sets of shingles is at least `similarity`; those that share one of
-    `mins` min-hashes and differ in few bits of their fingerprints (sets of over SMALL shingles) are compared. A pair of similarity
-    0.8 shares a min-hash with a chance of 0.999997 at any size; the bits lose fewer than one in 10^4 beyond SMALL. A null doc_id tells nothing, so rows with one
+    Fingerprints of the sets of shingles meet in buckets and are compared in bit planes: pairs within 4 bits are all found (pigeonhole), those within
+    WIDE bits (SMALL_WIDE of sets up to SMALL) if they also share one of `mins` min-hashes. An exact check follows: what is near by its bits links
+    if the Jaccard similarity of the sets is at least `similarity`. A pair of similarity 0.8 shares a min-hash with a chance of 0.999997
+    at any size; the bits lose fewer than one in 10^4 beyond SMALL. A null doc_id tells nothing, so rows with one
     aren't dropped for a document that has an id: of each component one row with an id stays (of the smallest doc_id, then
     of the least row hash) and one without."""
     kinds = dict(docs.dtypes)
@@ -504,7 +606,7 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, mins:
     of = common.written(exact_components(keyed, words, similarity, mins, text), "components")
     first = of.groupBy("component", F.col("doc_id").isNull().alias("__none")).agg(F.min(F.struct("doc_id", "hash")).alias("first")).select(F.col("first.hash").alias("__hash")).distinct()
     equal = of.groupBy(F.col("hash").alias("__hash")).agg(F.count("*").alias("n"))  # rows of a hash are equal
-    chosen = first.join(equal, "__hash").withColumn("__many", F.col("n") > 1)
+    chosen = common.written(first.join(equal, "__hash").withColumn("__many", F.col("n") > 1), "chosen")
     kept = common.salted_join(keyed, chosen, ["__hash"], "n", of.count())
     columns = [F.col(f"`{c}`") for c in docs.columns]
     # of equal rows one stays; they are put together before they move
