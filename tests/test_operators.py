@@ -19,6 +19,13 @@ def test_interval_reach(spark):
     assert len(intervals.union(df, ["k"], "lo", "hi", 11).collect()) == 2
 
 
+def test_intervals_of_unknown_ends(spark):
+    """Rows without a start or an end come last in their key, where they stand in no other's way."""
+    df = spark.createDataFrame([("a", 1, None), ("a", None, None), ("a", 1, 5), ("a", 3, 9), ("a", 20, None), ("b", 2, None), ("b", None, 4)], "k string, lo int, hi int")
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    assert sorted(map(key, intervals.union(df, ["k"], "lo", "hi", 0).collect())) == [("a", 1, 9), ("a", 20, -1), ("b", -1, 4), ("b", 2, -1)]
+
+
 def test_gaps(spark):
     merged = spark.createDataFrame([("a", 2, 3), ("a", 6, 10)], "k string, lo int, hi int")
     totals = spark.createDataFrame([("a", 10), ("b", 5)], "k string, total int")

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 def union(df: DataFrame, keys: list[str], start: str, end: str, reach: int = 0) -> DataFrame:
     """Merged intervals of each key. Intervals join while start <= last end + reach: 0 for half-open, 1 for inclusive, more for
-    tolerance."""
-    w = Window.partitionBy(*keys).orderBy(start, end)
+    tolerance. An unknown start or end comes last, so it neither parts nor hides the known ones."""
+    w = Window.partitionBy(*keys).orderBy(F.col(start).asc_nulls_last(), F.col(end).asc_nulls_last())
     last = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = df.withColumn("__new", F.when(last.isNull() | (F.col(start) > last + reach), 1).otherwise(0))
     islands = marked.withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
