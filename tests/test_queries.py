@@ -40,7 +40,7 @@ def test_query_agrees_with_sql(spark, oracle, name):
     assert sorted(tuple(plain(r[c]) for c in columns) for r in got.collect()) == want
 
 
-@pytest.mark.parametrize("name", ["intervals_halfopen"])
+@pytest.mark.parametrize("name", ["intervals_halfopen", "intervals_inclusive"])
 def test_reads_of_unknown_lines_agree_with_sql(spark, tmp_path, name):
     """Reads without a quantity have no last line, those without a supplier no line at all; no two reads of a file are equal."""
     reads = [(1, 1, 1, 1, None), (1, 2, 1, 1, 5.0), (1, 3, 3, 1, 7.0), (1, 4, None, 1, 2.0), (2, 5, 1, 1, None), (2, 6, 1, 2, None), (3, 7, None, 1, 1.0), (3, 8, 50, 1, 50.0), (None, 9, 1, 1, 3.0)]
