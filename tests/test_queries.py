@@ -51,3 +51,31 @@ def test_reads_of_unknown_lines_agree_with_sql(spark, tmp_path, name):
     want = con.execute(registry.ORACLE_SQL[name])
     assert got.columns == [d[0] for d in want.description]
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want.fetchall()))
+
+
+def agrees(spark, folder, name, **tables):
+    """Whether a query over made-up tables (rows and schema) has the rows of its SQL."""
+    con = duckdb.connect()
+    for table, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/{table}.parquet")
+        con.execute(f"create view {table} as select * from '{folder}/{table}.parquet/*.parquet'")
+    got = registry.QUERIES[name](spark, str(folder))
+    want = con.execute(registry.ORACLE_SQL[name])
+    assert got.columns == [d[0] for d in want.description]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want.fetchall()))
+
+
+def test_jobs_of_unknown_lines_agree_with_sql(spark, tmp_path):
+    """Lines without a number or a price come last, those without a flag may have ended, and one without a quantity has no time."""
+    lines = [(1, None, 1.0, 9.0, "N"), (1, 1, 1.0, 30.0, "A"), (1, 1, None, 5.0, "A"), (2, 1, 1.0, 3.0, "A"), (2, 2, 1.0, 3.0, None), (3, 1, 1.0, 3.0, None), (4, 1, 1.0, 3.0, None), (4, 2, 1.0, 49.0, "N")]
+    lines += [(5, 1, 1.0, 3.0, "R"), (5, 2, 1.0, None, "R"), (5, 3, 1.0, 3.0, "N"), (6, 1, 1.0, None, "N"), (7, 1, 1.0, None, "A"), (8, 1, 1.0, None, "A"), (8, 2, 1.0, 9.0, "N"), (9, 1, 1.0, 1.0, "A"), (9, 2, 1.0, 40.0, None)]
+    agrees(spark, tmp_path, "job_takeovers", lineitem=(lines, "l_orderkey long, l_linenumber int, l_extendedprice double, l_quantity double, l_returnflag string"))
+
+
+@pytest.mark.parametrize("flip", [False, True])
+def test_jobs_of_equal_lines_are_the_same_in_any_order(spark, tmp_path, flip):
+    """Lines of one number and price follow each other by quantity and flag, however they are stored."""
+    lines = [(job, 1, 5.0, float(q), flag) for job in range(20) for q, flag in ((50, "A"), (2, "N"), (2, "A"), (31, "R"))]
+    spark.createDataFrame(lines[::-1] if flip else lines, "l_orderkey long, l_linenumber int, l_extendedprice double, l_quantity double, l_returnflag string").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = registry.QUERIES["job_takeovers"](spark, str(tmp_path)).filter("job_id = 7").orderBy("at").collect()
+    assert [(r["at"], r["state"]) for r in got] == [(62, "queued"), (62, "running"), (192, "running"), (262, "failed"), (762, "expired")]

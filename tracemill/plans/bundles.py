@@ -158,15 +158,17 @@ union all select job_id, "at", 'succeeded', 'a', 1 from g where ends and job_id
 union all select job_id, "at", 'queued', null, 0 from e where n = 1 union all select job_id, "at", 'running', 'a', 1 from e where n = 1""")
 def job_takeovers(t: Tables) -> DataFrame:
     """Orders as jobs whose lines are beats: a claim that is silent for 70 goes to the other consumer and then fails; ended jobs
-    expire after 500."""
+    expire after 500. Whether a job ends isn't known where its last line has no flag."""
     of = Window.partitionBy("l_orderkey")
-    lines = skew.dealt(t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_returnflag"), "l_orderkey").withColumn("n", F.row_number().over(of.orderBy("l_linenumber", "l_extendedprice"))).withColumn("last", F.count("*").over(of))
+    lines = skew.dealt(t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_returnflag"), "l_orderkey").withColumn("n", F.row_number().over(of.orderBy(*(F.col(c).asc_nulls_last() for c in ("l_linenumber", "l_extendedprice", "l_quantity", "l_returnflag"))))).withColumn("last", F.count("*").over(of))
     at = (F.col("n") * 60 + F.col("l_quantity").cast("long")).cast("long").alias("at")
     li = lines.select(F.col("l_orderkey").alias("job_id"), at, "n", ((F.col("l_returnflag") == "N") & (F.col("n") == F.col("last"))).alias("ends"))
     first = F.array(F.lit("submitted"), F.lit("claimed"))
-    kinds = F.when((F.col("n") == 1) & F.col("ends"), F.concat(first, F.array(F.lit("succeeded")))).when(F.col("n") == 1, first).when(F.col("ends"), F.array(F.lit("succeeded"))).otherwise(F.array(F.lit("beat")))
+    end = F.array(F.when(F.col("ends"), "succeeded").otherwise("unknown"))
+    open_ = F.coalesce(~F.col("ends"), F.lit(False))
+    kinds = F.when((F.col("n") == 1) & open_, first).when(F.col("n") == 1, F.concat(first, end)).when(open_, F.array(F.lit("beat"))).otherwise(end)
     events = li.select("job_id", "at", "n", F.posexplode(kinds).alias("i", "kind")).select("job_id", "at", (F.col("n") * 10 + F.col("i")).alias("seq"), "kind", F.when(F.col("kind") != "submitted", "a").alias("consumer"))
-    return inbox.held(events, "job_id", ["a", "b"], visibility=70, ttl=500)
+    return inbox.held(events, "job_id", ["a", "b"], visibility=70, ttl=500, order=("seq",))
 
 
 # --- scopes ---------------------------------------------------------------------------------------------------------------
