@@ -79,3 +79,12 @@ def test_jobs_of_equal_lines_are_the_same_in_any_order(spark, tmp_path, flip):
     spark.createDataFrame(lines[::-1] if flip else lines, "l_orderkey long, l_linenumber int, l_extendedprice double, l_quantity double, l_returnflag string").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     got = registry.QUERIES["job_takeovers"](spark, str(tmp_path)).filter("job_id = 7").orderBy("at").collect()
     assert [(r["at"], r["state"]) for r in got] == [(62, "queued"), (62, "running"), (192, "running"), (262, "failed"), (762, "expired")]
+
+
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+
+def test_steps_of_unknown_arrival_agree_with_sql(spark, tmp_path):
+    """A step without an id has no arrival and comes after the others."""
+    events = [(i, None, user, "view", 1.0, "{}") for user in (1, 2) for i in (None, *range(10 * user, 10 * user + 4 * user))]
+    agrees(spark, tmp_path, "topk_new_per_scope", events=(events, EVENTS))

@@ -49,7 +49,7 @@ def model_call_totals(t: Tables) -> DataFrame:
 
 @query("WN-10", "select run, seq from (select run, seq, row_number() over (partition by run order by arrival) n from v_trail where kind = 'agent_step') where n <= 5")
 def topk_new_per_scope(t: Tables) -> DataFrame:
-    return rows.top_per(t.trail().filter("kind = 'agent_step'"), ["run"], 5, F.col("arrival"), F.col("seq")).select("run", "seq")
+    return rows.top_per(t.trail().filter("kind = 'agent_step'"), ["run"], 5, F.col("arrival").asc_nulls_last(), F.col("seq").asc_nulls_last()).select("run", "seq")
 
 
 @query("WN-12 SRC-8", "select seq, run, kind, (select count(*) from v_trail) total from v_trail order by seq desc limit 500")
