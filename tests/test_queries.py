@@ -88,3 +88,11 @@ def test_steps_of_unknown_arrival_agree_with_sql(spark, tmp_path):
     """A step without an id has no arrival and comes after the others."""
     events = [(i, None, user, "view", 1.0, "{}") for user in (1, 2) for i in (None, *range(10 * user, 10 * user + 4 * user))]
     agrees(spark, tmp_path, "topk_new_per_scope", events=(events, EVENTS))
+
+
+def test_agents_of_unknown_arrival_agree_with_sql(spark, tmp_path):
+    """An event without an id has no arrival and comes after the others, be it a start, a step or an end."""
+    told = {1: ["signup", "view", "error", "view"], 2: ["view", "signup", "signup", "error"], 3: ["view"], 4: ["signup", "view"]}
+    last = {1: "view", 2: "signup", 3: "signup", 4: "error"}
+    events = [(10 * user + n, None, user, kind, 1.0, "{}") for user, kinds in told.items() for n, kind in enumerate(kinds)]
+    agrees(spark, tmp_path, "agent_rows_fold", events=(events + [(None, None, user, kind, 1.0, "{}") for user, kind in last.items()], EVENTS))

@@ -39,12 +39,12 @@ def latest_bundle(bundles: DataFrame, key: str, created: str, name: str, *runnin
 
 def since_last(events: DataFrame, key: str, order: str, starts: Column, seq: str | None = None) -> DataFrame:
     """Events from the last start of their key on (all where it has none), with starts: how many it has. The last start is an aggregate, so no
-    running number goes over a key's events. Events of one order follow each other by `seq`."""
+    running number goes over a key's events. Events of one order follow each other by `seq`, those without one come last."""
     from . import skew
     from .store import materialised
 
     rows_ = materialised(events)
-    at = F.struct(order, seq) if seq else F.col(order)
+    at = F.struct(F.col(order).isNull().alias("__none"), order, *([seq] if seq else []))
     last = rows_.groupBy(key).agg(F.max(F.when(starts, at)).alias("__last"), F.count_if(starts).alias("starts"))
     return skew.keyed_join(rows_, last, [key], "inner", (order,)).filter(F.col("__last").isNull() | (at >= F.col("__last"))).drop("__last")
 
