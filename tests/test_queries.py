@@ -96,3 +96,10 @@ def test_agents_of_unknown_arrival_agree_with_sql(spark, tmp_path):
     last = {1: "view", 2: "signup", 3: "signup", 4: "error"}
     events = [(10 * user + n, None, user, kind, 1.0, "{}") for user, kinds in told.items() for n, kind in enumerate(kinds)]
     agrees(spark, tmp_path, "agent_rows_fold", events=(events + [(None, None, user, kind, 1.0, "{}") for user, kind in last.items()], EVENTS))
+
+
+def test_coverage_of_repeated_files_agrees_with_sql(spark, tmp_path):
+    """A file is counted once, with the lines of all its rows, and so are those without a key."""
+    parts = [(1,), (1,), (2,), (3,), (3,), (None,), (None,)]
+    reads = [(1, 1, 0, 1, 60.0), (2, 2, 0, 1, 7.0), (2, 3, 49, 1, 5.0), (None, 4, 0, 1, 3.0)]
+    agrees(spark, tmp_path, "coverage_full_partial_never", part=(parts, "p_partkey long"), lineitem=(reads, "l_partkey long, l_orderkey long, l_suppkey long, l_linenumber int, l_quantity double"))
